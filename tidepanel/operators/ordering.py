@@ -160,3 +160,16 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int
     """
     spec = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(spec)).where(F.col(rank) <= k)
+
+
+def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], first: bool = False) -> DataFrame:
+    """One row per key: the last (or first) in the given order, picked by a partially aggregated min/max.
+
+    The whole row takes part in the comparison after the order, so equal orders cannot give different answers.
+    """
+    order = list(order)
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    row = F.struct(*[F.col(c) for c in [*order, *rest]])
+    pick = F.min(row) if first else F.max(row)
+    out = df.groupBy(*keys).agg(pick.alias("_row"))
+    return out.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
