@@ -10,7 +10,8 @@ lagged close share one column.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from contextvars import ContextVar
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -18,6 +19,18 @@ from pyspark.sql import functions as F
 
 EPS = 1e-12
 
+# Window specifications already made while one select is being put together.
+_specs: ContextVar[dict | None] = ContextVar("tidepanel_specs", default=None)
+
+
+def _spec(key, make: Callable[[], WindowSpec]) -> WindowSpec:
+    known = _specs.get()
+    if known is None:
+        return make()
+    if key not in known:
+        known[key] = make()
+    return known[key]
+
 
 @dataclass(frozen=True)
 class Axis:
@@ -32,21 +45,24 @@ class Axis:
     order: tuple[str, ...] = ("trade_date",)
 
     def ordered(self) -> WindowSpec:
-        return Window.partitionBy(*self.key).orderBy(*self.order)
+        return _spec((self, None), lambda: Window.partitionBy(*self.key).orderBy(*self.order))
 
     def last(self, rows: int) -> WindowSpec:
-        return self.ordered().rowsBetween(-(int(rows) - 1), Window.currentRow)
+        return _spec((self, rows), lambda: self.ordered().rowsBetween(-(int(rows) - 1), Window.currentRow))
 
     def running(self) -> WindowSpec:
-        return self.ordered().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return _spec((self, "all"), lambda: self.ordered().rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
 PANEL = Axis()
 
 
-def _merge(*steps: tuple[Mapping[str, Column], ...]) -> tuple[dict[str, Column], ...]:
+Make = Callable[[], Column]
+
+
+def _merge(*steps: tuple[Mapping[str, Make], ...]) -> tuple[dict[str, Make], ...]:
     depth = max((len(s) for s in steps), default=0)
-    merged: list[dict[str, Column]] = [{} for _ in range(depth)]
+    merged: list[dict[str, Make]] = [{} for _ in range(depth)]
     for chain in steps:
         for layer, columns in enumerate(chain):
             merged[layer].update(columns)
@@ -55,24 +71,20 @@ def _merge(*steps: tuple[Mapping[str, Column], ...]) -> tuple[dict[str, Column],
 
 @dataclass(frozen=True)
 class Factor:
+    """What a value is called, how its Column is made, and which helper columns must exist before."""
+
     label: str
-    column: Column
-    steps: tuple[Mapping[str, Column], ...] = ()
-    windowed: bool = False
+    make: Make
+    steps: tuple[Mapping[str, Make], ...] = ()
     axis: Axis = field(default=PANEL)
 
-    def settled(self) -> "Factor":
-        """The same value as a plain column, so that another window may read it."""
-        if not self.windowed:
-            return self
-        name = "_" + hashlib.md5(self.label.encode()).hexdigest()[:16]
-        depth = len(self.steps)
-        steps = _merge(self.steps, ({},) * depth + ({name: self.column},))
-        return Factor(self.label, F.col(name), steps, False, self.axis)
+    @property
+    def column(self) -> Column:
+        return self.make()
 
     def map(self, label: str, fn) -> "Factor":
         """Row-wise function of this value."""
-        return Factor(label, fn(self.column), self.steps, self.windowed, self.axis)
+        return Factor(label, lambda: fn(self.make()), self.steps, self.axis)
 
     def __add__(self, other): return combine("+", lambda a, b: a + b, self, other)
     def __radd__(self, other): return combine("+", lambda a, b: a + b, other, self)
@@ -109,15 +121,15 @@ def factor(value, axis: Axis = PANEL) -> Factor:
     if isinstance(value, Factor):
         return value
     if isinstance(value, str):
-        return Factor(f"`{value}`", F.col(value), axis=axis)
+        return Factor(f"`{value}`", lambda: F.col(value), axis=axis)
     if isinstance(value, Column):
-        return Factor(str(value), value, axis=axis)
-    return Factor(repr(value), F.lit(value), axis=axis)
+        return Factor(str(value), lambda: value, axis=axis)
+    return Factor(repr(value), lambda: F.lit(value), axis=axis)
 
 
 def sql(text: str, axis: Axis = PANEL) -> Factor:
     """A row-wise Spark SQL expression as a Factor."""
-    return Factor(f"sql({text})", F.expr(text), axis=axis)
+    return Factor(f"sql({text})", lambda: F.expr(text), axis=axis)
 
 
 def combine(name: str, fn, *args) -> Factor:
@@ -125,26 +137,46 @@ def combine(name: str, fn, *args) -> Factor:
     axis = next((a.axis for a in args if isinstance(a, Factor)), PANEL)
     parts = [factor(a, axis) for a in args]
     label = f"{name}({','.join(p.label for p in parts)})"
-    return Factor(label, fn(*[p.column for p in parts]), _merge(*[p.steps for p in parts]),
-                  any(p.windowed for p in parts), axis)
+    return Factor(label, lambda: fn(*[p.make() for p in parts]), _merge(*[p.steps for p in parts]), axis)
 
 
 def windowed(name: str, fn, *args, axis: Axis | None = None) -> Factor:
-    """A window function of several values; ``fn`` gets the axis and the settled columns."""
+    """A window function of several values; ``fn`` gets the axis and the values' columns.
+
+    The result is a helper column of its own: Spark does not evaluate equal window expressions of one projection
+    once, but two factors that ask for the same helper share it.
+    """
     axis = axis or next((a.axis for a in args if isinstance(a, Factor)), PANEL)
-    parts = [factor(a, axis).settled() for a in args]
+    parts = [factor(a, axis) for a in args]
     label = f"{name}({','.join(p.label for p in parts)};{axis.key}{axis.order})"
-    return Factor(label, fn(axis, *[p.column for p in parts]), _merge(*[p.steps for p in parts]), True, axis)
+    helper = "_" + hashlib.md5(label.encode()).hexdigest()[:16]
+    steps = _merge(*[p.steps for p in parts])
+    steps = _merge(steps, ({},) * len(steps) + ({helper: lambda: fn(axis, *[p.make() for p in parts])},))
+    return Factor(helper, lambda: F.col(helper), steps, axis)
+
+
+def by_instrument(df: DataFrame, axis: Axis = PANEL) -> DataFrame:
+    """Rows of one instrument in one partition, in as many partitions as the session shuffles into.
+
+    Rolling factors cost far more than their rows weigh; without this the optimizer would merge light partitions
+    into few tasks.  All windows and the recursive pass that follow reuse this partitioning.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *axis.key)
 
 
 def with_factors(df: DataFrame, factors: Mapping[str, Factor | Column], keep: list[str] | None = None) -> DataFrame:
     """``df`` with one column per factor; ``keep`` narrows which of its own columns stay."""
     wanted = {name: factor(value) for name, value in factors.items()}
-    out = df
-    for layer in _merge(*[f.steps for f in wanted.values()]):
-        present = set(out.columns)
-        fresh = [column.alias(name) for name, column in layer.items() if name not in present]
-        if fresh:
-            out = out.select("*", *fresh)
-    base = [c for c in (keep if keep is not None else df.columns) if c not in wanted]
-    return out.select(*base, *[f.column.alias(name) for name, f in wanted.items()])
+    token = _specs.set({})
+    try:
+        out, present = df, set(df.columns)
+        for layer in _merge(*[f.steps for f in wanted.values()]):
+            fresh = {name: make for name, make in layer.items() if name not in present}
+            if fresh:
+                out = out.select("*", *[make().alias(name) for name, make in fresh.items()])
+                present |= fresh.keys()
+        base = [c for c in (keep if keep is not None else df.columns) if c not in wanted]
+        return out.select(*base, *[f.make().alias(name) for name, f in wanted.items()])
+    finally:
+        _specs.reset(token)

@@ -15,12 +15,23 @@ from .factor import EPS, Axis, Factor, combine, factor, windowed
 from .scalar import absolute, clip, row_max
 
 
-def full(axis: Axis, x: Column, w: int, value: Column) -> Column:
-    return F.when(F.count(x).over(axis.last(w)) == w, value)
+def over_last(name: str, agg, w: int, *args) -> Factor:
+    """An aggregate over the last ``w`` rows, however few values they hold."""
+    return windowed(f"{name}{w}", lambda ax, *c: agg(*c).over(ax.last(w)), *args)
+
+
+def full(x, w: int, value: Factor) -> Factor:
+    """``value`` where the last ``w`` rows all have an ``x``."""
+    return combine(f"full{w}", lambda n, v: F.when(n == w, v), over_last("count", F.count, w, x), value)
 
 
 def _rolling(name: str, agg, x, w: int) -> Factor:
-    return windowed(f"{name}{w}", lambda ax, c: full(ax, c, w, agg(c).over(ax.last(w))), x)
+    return full(x, w, over_last(name, agg, w, x))
+
+
+def _values(x, w: int) -> Factor:
+    """The window's values, oldest first: ``w`` numbers, ``w`` being a constant."""
+    return _rolling("values", F.collect_list, x, w)
 
 
 def shift(x, n: int = 1) -> Factor:
@@ -57,23 +68,30 @@ rolling_mean = sma
 def rolling_skew(x, w: int) -> Factor:
     """Bias-corrected skewness; 0 on a constant window."""
     scale = math.sqrt(w * (w - 1)) / (w - 2)
-    return windowed(f"skew{w}", lambda ax, c: full(
-        ax, c, w, F.coalesce(F.nanvl(F.skewness(c).over(ax.last(w)), F.lit(None)) * scale, F.lit(0.0))), x)
+    raw = over_last("skew", F.skewness, w, x)
+    return full(x, w, combine("skew", lambda c: F.coalesce(F.nanvl(c, F.lit(None)) * scale, F.lit(0.0)), raw))
 
 
 def rolling_quantile(x, w: int, q: float) -> Factor:
-    return windowed(f"quantile{w}_{q}", lambda ax, c: full(ax, c, w, F.percentile(c, q).over(ax.last(w))), x)
+    """Linear between neighbours."""
+    at = q * (w - 1)
+    low, high = math.floor(at), math.ceil(at)
+
+    def pick(values):
+        ordered = F.array_sort(values)
+        a, b = F.element_at(ordered, low + 1), F.element_at(ordered, high + 1)
+        return a + (b - a) * (at - low)
+    return combine(f"quantile{q}", pick, _values(x, w))
 
 
 def rank_pct(x, w: int) -> Factor:
     """Rank of the newest value within its window, ties averaged, divided by ``w``."""
-    def build(ax, c):
-        # counting needs the window's values next to the newest one: a list of w numbers, w being a constant
-        values = F.collect_list(c).over(ax.last(w))
-        below = F.size(F.filter(values, lambda v: v < c))
-        same = F.size(F.filter(values, lambda v: v == c))
-        return full(ax, c, w, (below + (same + 1) / 2) / w)
-    return windowed(f"rank_pct{w}", build, x)
+    def rank(values):
+        newest = F.element_at(values, -1)
+        # two points for a smaller value, one for an equal one (the newest itself included)
+        points = F.aggregate(values, F.lit(0), lambda acc, v: acc + F.when(v < newest, 2).when(v == newest, 1).otherwise(0))
+        return (points + 1) / (2.0 * w)
+    return combine("rank_pct", rank, _values(x, w))
 
 
 rolling_rank = rank_pct
@@ -84,38 +102,32 @@ def zscore(x, w: int) -> Factor:
     return (x - sma(x, w)) / (rolling_std(x, w) + EPS)
 
 
-def _first_position(ax: Axis, c: Column, w: int, pick) -> Column:
-    values = F.collect_list(c).over(ax.last(w))
-    return (F.array_position(values, pick(c).over(ax.last(w))) - 1).cast("double")
-
-
 def argmax_ratio(x, w: int) -> Factor:
-    return windowed(f"argmax{w}", lambda ax, c: full(ax, c, w, _first_position(ax, c, w, F.max) / w), x)
+    """Place of the first largest value in the window, counted from 0, over ``w``."""
+    return combine("argmax", lambda v: (F.array_position(v, F.array_max(v)) - 1) / float(w), _values(x, w))
 
 
 def argmin_ratio(x, w: int) -> Factor:
-    return windowed(f"argmin{w}", lambda ax, c: full(ax, c, w, _first_position(ax, c, w, F.min) / w), x)
+    return combine("argmin", lambda v: (F.array_position(v, F.array_min(v)) - 1) / float(w), _values(x, w))
 
 
 def argmax_minus_argmin_ratio(x, y, w: int) -> Factor:
     return argmax_ratio(x, w) - argmin_ratio(y, w)
 
 
-def safe_corr(x: Column, y: Column, spec=None) -> Column:
+def safe_corr(x: Column, y: Column) -> Column:
     """Pearson correlation; NULL, never an error, when one side is constant (``corr`` divides by zero there)."""
     both = x.isNotNull() & y.isNotNull()
     px, py = F.when(both, x), F.when(both, y)
-    parts = [F.covar_samp(px, py), F.stddev_samp(px), F.stddev_samp(py)]
-    if spec is not None:
-        parts = [p.over(spec) for p in parts]
-    return F.try_divide(parts[0], parts[1] * parts[2])
+    return F.try_divide(F.covar_samp(px, py), F.stddev_samp(px) * F.stddev_samp(py))
 
 
 def rolling_corr(x, y, w: int) -> Factor:
-    def build(ax, a, b):
-        pairs = F.when(a.isNotNull() & b.isNotNull(), a)
-        return full(ax, pairs, w, safe_corr(a, b, ax.last(w)))
-    return windowed(f"corr{w}", build, x, y)
+    """NULL until ``w`` rows have both values, and when one side is constant."""
+    x, y = factor(x), factor(y)
+    ratio = combine("corr", lambda c, a, b: F.try_divide(c, a * b), over_last("covar", F.covar_samp, w, x, y),
+                    over_last("std", F.stddev_samp, w, x), over_last("std", F.stddev_samp, w, y))
+    return full(x, w, full(y, w, ratio))
 
 
 def position(axis: Axis) -> Factor:
@@ -124,8 +136,7 @@ def position(axis: Axis) -> Factor:
 
 def linearreg_slope(x, w: int) -> Factor:
     x = factor(x)
-    return windowed(f"slope{w}", lambda ax, c, i: full(ax, c, w, F.regr_slope(c, i).over(ax.last(w))),
-                    x, position(x.axis))
+    return full(x, w, over_last("slope", F.regr_slope, w, x, position(x.axis)))
 
 
 def linearreg_rsquare(x, w: int) -> Factor:
@@ -271,12 +282,10 @@ def _stochastic(high, low, close, fastk, slowk, slowd) -> tuple[Factor, Factor]:
 def cci(high, low, close, w: int) -> Factor:
     typical = (factor(high) + factor(low) + factor(close)) / 3.0
 
-    def build(ax, c):
-        spec = ax.last(w)
-        mean = F.avg(c).over(spec)
-        spread = F.aggregate(F.collect_list(c).over(spec), F.lit(0.0), lambda acc, v: acc + F.abs(v - mean)) / w
-        return full(ax, c, w, F.when(spread != 0, (c - mean) / (spread * 0.015)).otherwise(F.lit(0.0)))
-    return windowed(f"cci{w}", build, typical)
+    def build(c, mean, values):
+        spread = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + F.abs(v - mean)) / w
+        return F.when(spread != 0, (c - mean) / (spread * 0.015)).when(spread == 0, 0.0)
+    return combine("cci", build, typical, sma(typical, w), _values(typical, w))
 
 
 def mfi(high, low, close, volume, w: int) -> Factor:
@@ -291,15 +300,11 @@ def mfi(high, low, close, volume, w: int) -> Factor:
 
 def aroon_osc(high, low, w: int) -> Factor:
     """100/w * (bars since the lowest low - bars since the highest high) over w + 1 bars, the latest of ties."""
-    n = w + 1
-
-    def build(ax, h, l):
-        spec = ax.last(n)
-        newest_high = F.array_position(F.reverse(F.collect_list(h).over(spec)), F.max(h).over(spec))
-        newest_low = F.array_position(F.reverse(F.collect_list(l).over(spec)), F.min(l).over(spec))
-        both = F.when(h.isNotNull() & l.isNotNull(), h)
-        return full(ax, both, n, (newest_low - newest_high) * (100.0 / w))
-    return windowed(f"aroon{w}", build, high, low)
+    def since(pick):
+        return lambda v: F.array_position(F.reverse(v), pick(v))
+    newest_high = combine("since_high", since(F.array_max), _values(high, w + 1))
+    newest_low = combine("since_low", since(F.array_min), _values(low, w + 1))
+    return (newest_low - newest_high) * (100.0 / w)
 
 
 def true_range(high, low, close) -> Factor:
