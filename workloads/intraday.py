@@ -1 +1,230 @@
+"""Minute bars to daily features, as-of joins, and the factor graph."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidepanel.operators import intraday as i
+from tidepanel.operators import joins
+from tidepanel.plans import tables
+from tidepanel.plans.factor_graph import factor_graph, minute_factors
+from tidepanel.sources.canonical import canonical_minutes
+
+from .common import BARS, MACRO, MINUTES, ORDERED, PK, avg, kept, query, std
+
 QUERIES = {}
+
+
+def minute_bars(spark, folder):
+    """(instrument_id, ts, trade_date, price, volume, amount), one row per (instrument, ts)."""
+    raw = tables.minutes(spark, folder).withColumnRenamed("price", "close")
+    return canonical_minutes(raw, ["event_id"], normalize_ids=False).select(
+        "instrument_id", "trade_date", "ts", F.col("close").alias("price"), "volume", "amount")
+
+
+def close_bars(spark, folder):
+    return minute_bars(spark, folder).withColumnRenamed("price", "close")
+
+
+FEATURES = ("hf_bar_count", "hf_open_close_ret", "hf_intraday_range_pct", "hf_logret_std", "hf_realized_var", "hf_realized_vol",
+            "hf_max_abs_logret", "hf_up_bar_ratio", "hf_last_tail_ret", "hf_last_tail_volume_share", "hf_last_tail_amount_share")
+
+
+def _features_sql(source: str, out: str, min_bars: int = 1, tail: int = 30) -> str:
+    """CTE ``out`` with the day features of ``source`` (instrument_id, trade_date, ts, price, volume, amount)."""
+    e = "1e-12"
+    return f"""
+{out}_r AS (
+  SELECT *, ln(price + {e}) - lag(ln(price + {e})) OVER (PARTITION BY instrument_id, trade_date ORDER BY ts) AS r,
+         max(ts) OVER (PARTITION BY instrument_id, trade_date) AS end_ts
+  FROM {source}),
+{out}_a AS (
+  SELECT instrument_id, trade_date, count(price) AS n, arg_min(price, ts) AS p0, arg_max(price, ts) AS p1, max(price) AS hi, min(price) AS lo,
+         stddev_pop(r) AS sd, sum(r * r) AS rv, max(abs(r)) AS mx, avg(CASE WHEN r > 0 THEN 1.0 WHEN r <= 0 THEN 0.0 END) AS up,
+         count(CASE WHEN tail THEN price END) AS tn, arg_min(CASE WHEN tail THEN price END, CASE WHEN tail THEN ts END) AS t0,
+         arg_max(CASE WHEN tail THEN price END, CASE WHEN tail THEN ts END) AS t1,
+         sum(greatest(volume, 0)) AS v, sum(CASE WHEN tail THEN greatest(volume, 0) ELSE 0 END) AS tv,
+         sum(greatest(amount, 0)) AS a, sum(CASE WHEN tail THEN greatest(amount, 0) ELSE 0 END) AS ta
+  FROM (SELECT *, ts >= end_ts - INTERVAL {tail} MINUTE AS tail FROM {out}_r)
+  GROUP BY 1, 2),
+{out} AS (
+  SELECT instrument_id, trade_date, n AS hf_bar_count,
+         CASE WHEN n > 1 THEN (p1 - p0) / (p0 + {e}) END AS hf_open_close_ret,
+         CASE WHEN n > 1 THEN (hi - lo) / (p0 + {e}) END AS hf_intraday_range_pct,
+         CASE WHEN n > 1 THEN sd END AS hf_logret_std, CASE WHEN n > 1 THEN rv END AS hf_realized_var,
+         CASE WHEN n > 1 THEN sqrt(rv) END AS hf_realized_vol, CASE WHEN n > 1 THEN mx END AS hf_max_abs_logret,
+         CASE WHEN n > 1 THEN up END AS hf_up_bar_ratio,
+         CASE WHEN n > 1 AND tn > 1 THEN (t1 - t0) / (t0 + {e}) END AS hf_last_tail_ret,
+         CASE WHEN n > 1 AND v > 0 THEN tv / (v + {e}) END AS hf_last_tail_volume_share,
+         CASE WHEN n > 1 AND a > 0 THEN ta / (a + {e}) END AS hf_last_tail_amount_share
+  FROM {out}_a WHERE n >= {min_bars})"""
+
+
+def _resample_sql(minutes: int, out: str) -> str:
+    return f"""
+{out} AS (
+  SELECT instrument_id, trade_date,
+         CAST(trade_date AS TIMESTAMP) + INTERVAL ({minutes}) MINUTE * CAST(floor((epoch(ts) - epoch(CAST(trade_date AS TIMESTAMP))) / {minutes * 60}) AS INTEGER) AS ts,
+         arg_max(price, minutes.ts) AS price, sum(volume) AS volume, sum(amount) AS amount
+  FROM minutes GROUP BY 1, 2, 3)"""
+
+
+_DIGITS = {f: 5 for f in FEATURES}
+QUERIES["intraday_day_features"] = query(
+    lambda spark, folder: i.day_features(minute_bars(spark, folder), 30, min_bars=2),
+    f"{_features_sql('minutes', 'feat', 2)} => SELECT * FROM feat", PK, _DIGITS, ctes=(MINUTES,))
+
+QUERIES["intraday_keep_last_dedup"] = query(
+    minute_bars, "SELECT instrument_id, trade_date, ts, price, volume, amount FROM minutes", (*PK, "ts"),
+    ["price", "volume", "amount"], ctes=(MINUTES,))
+
+QUERIES["intraday_resample_15m"] = query(
+    lambda spark, folder: i.resample(minute_bars(spark, folder), 15),
+    f"{_resample_sql(15, 'm15')} => SELECT * FROM m15", (*PK, "ts"), ["price", "volume", "amount"], ctes=(MINUTES,))
+
+_VARIANTS = {f"{f}_{tag}": 5 for tag in ("raw", "m05", "m30") for f in FEATURES}
+QUERIES["intraday_variants_outer_join"] = query(
+    lambda spark, folder: i.day_feature_variants(minute_bars(spark, folder), [5, 30], 30),
+    f"""{_resample_sql(5, 'm05')}, {_resample_sql(30, 'm30')}, {_features_sql('minutes', 'f_raw')},
+        {_features_sql('m05', 'f_m05')}, {_features_sql('m30', 'f_m30')} =>
+        SELECT instrument_id, trade_date, {', '.join(f'f_{v[len(f) + 1:]}.{f} AS {v}' for f in FEATURES for v in _VARIANTS if v.startswith(f + '_') and v[len(f) + 1:] in ('raw', 'm05', 'm30'))}
+        FROM f_raw FULL JOIN f_m05 USING (instrument_id, trade_date) FULL JOIN f_m30 USING (instrument_id, trade_date)""",
+    PK, _VARIANTS, ctes=(MINUTES,))
+
+
+def _user_aggregates(spark, folder):
+    step = i.diff(i.log("close"))
+    return i.day_aggregates(close_bars(spark, folder), {
+        "tail_share": i.day_agg("sum", "close", "60m"), "all_sum": i.day_agg("sum", "close", i.FULL_DAY),
+        "mean5": i.day_agg("mean", "volume", 5), "std_tail": i.day_agg("std", "close", "120m"),
+        "low_": i.day_agg("min", "close"), "top_": i.day_agg("max", "close", 10), "first_tail": i.day_agg("first", "volume", "60m"),
+        "last_": i.day_agg("last", "close"), "rvar": i.day_agg("sum", step, power=2.0),
+        "step_tail": i.day_agg("mean", step, "120m"), "abs_sum": i.day_agg("sum", i.series(F.abs(F.col("close") - 50.0), "dist"))}, 5)
+
+
+_LAST = "row_number() OVER (PARTITION BY instrument_id, trade_date ORDER BY ts DESC)"
+QUERIES["intraday_user_aggregates"] = query(
+    _user_aggregates,
+    f"""agg_rows AS (
+  SELECT *, {_LAST} AS back, max(ts) OVER (PARTITION BY instrument_id, trade_date) AS end_ts,
+         ln(price + 1e-12) - lag(ln(price + 1e-12)) OVER (PARTITION BY instrument_id, trade_date ORDER BY ts) AS step
+  FROM minutes) =>
+  SELECT instrument_id, trade_date, sum(price) FILTER (WHERE ts >= end_ts - INTERVAL 60 MINUTE) AS tail_share, sum(price) AS all_sum,
+         avg(volume) FILTER (WHERE back <= 5) AS mean5, stddev_pop(price) FILTER (WHERE ts >= end_ts - INTERVAL 120 MINUTE) AS std_tail,
+         min(price) AS low_, max(price) FILTER (WHERE back <= 10) AS top_,
+         arg_min(volume, ts) FILTER (WHERE ts >= end_ts - INTERVAL 60 MINUTE) AS first_tail, arg_max(price, ts) AS last_,
+         sum(step * step) AS rvar, avg(step) FILTER (WHERE ts >= end_ts - INTERVAL 120 MINUTE) AS step_tail, sum(abs(price - 50)) AS abs_sum
+  FROM agg_rows GROUP BY 1, 2 HAVING count(*) >= 5""",
+    PK, {c: 4 for c in ("tail_share", "all_sum", "mean5", "std_tail", "low_", "top_", "first_tail", "last_", "rvar", "step_tail", "abs_sum")},
+    ctes=(MINUTES,))
+
+# The nodes computed from minutes (realised volatility, tail return, tail share).
+_NODES = """
+nodes AS (
+  SELECT instrument_id, trade_date, sqrt(sum(step * step)) AS f_hf_realized_vol_1d,
+         (arg_max(price, ts) - arg_min(price, ts) FILTER (WHERE ts >= end_ts - INTERVAL 30 MINUTE))
+           / nullif(arg_min(price, ts) FILTER (WHERE ts >= end_ts - INTERVAL 30 MINUTE), 0) AS f_hf_tail_ret_30m,
+         sum(amount) FILTER (WHERE ts >= end_ts - INTERVAL 30 MINUTE) / nullif(sum(amount), 0) AS f_hf_tail_amount_share_30m
+  FROM (SELECT *, max(ts) OVER (PARTITION BY instrument_id, trade_date) AS end_ts,
+               ln(price + 1e-12) - lag(ln(price + 1e-12)) OVER (PARTITION BY instrument_id, trade_date ORDER BY ts) AS step FROM minutes)
+  GROUP BY 1, 2 HAVING count(*) >= 2)"""
+_NODE_NAMES = ("f_hf_realized_vol_1d", "f_hf_tail_ret_30m", "f_hf_tail_amount_share_30m")
+QUERIES["intraday_factor_nodes"] = query(
+    lambda spark, folder: minute_factors(close_bars(spark, folder), 2),
+    f"{_NODES} => SELECT * FROM nodes", PK, {c: 5 for c in _NODE_NAMES}, ctes=(MINUTES,))
+
+# ---- as of ----------------------------------------------------------------------------------------------------
+
+
+def _asof_sql(series: str, days: float | None, out: str, fill: bool = True) -> str:
+    stale = f"CASE WHEN epoch(cutoff) - epoch(available_time) <= {days} * 86400 THEN value END" if days else "value"
+    value = "last_value(v IGNORE NULLS) OVER (ORDER BY trade_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)" if fill else "v"
+    return f"""
+{out} AS (
+  SELECT trade_date, {value} AS value FROM (
+    SELECT trade_date, {stale} AS v FROM (
+      SELECT DISTINCT trade_date, CAST(trade_date AS TIMESTAMP) + INTERVAL 15 HOUR AS cutoff FROM bars) d
+    ASOF LEFT JOIN (SELECT * FROM macro WHERE series_id = '{series}') m ON d.cutoff >= m.available_time))"""
+
+
+# Priorities stand for the macro series.
+SERIES = {"f_macro_m2_yoy": ("1-URGENT", 120.0), "f_macro_shibor_3m": ("2-HIGH", 20.0), "f_macro_usdcny": ("3-MEDIUM", 10.0)}
+
+QUERIES["asof_macro_true_cap"] = query(
+    lambda spark, folder: joins.asof_series(tables.bars(spark, folder), tables.macro(spark, folder).where("series_id = '5-LOW'"),
+                                            max_staleness_days=0.75, fill_forward=False).select("trade_date", "value"),
+    f"{_asof_sql('5-LOW', 0.75, 'a', False)} => SELECT * FROM a", ("trade_date",), {"value": 2}, ctes=(BARS, MACRO))
+
+QUERIES["asof_macro_columns"] = query(
+    lambda spark, folder: joins.asof_columns(tables.bars(spark, folder), tables.macro(spark, folder), SERIES),
+    ",".join(_asof_sql(s, d, f"s{n}") for n, (s, d) in enumerate(SERIES.values()))
+    + """ => SELECT instrument_id, trade_date, s0.value AS f_macro_m2_yoy, s1.value AS f_macro_shibor_3m, s2.value AS f_macro_usdcny
+         FROM bars LEFT JOIN s0 USING (trade_date) LEFT JOIN s1 USING (trade_date) LEFT JOIN s2 USING (trade_date)""",
+    PK, {c: 2 for c in SERIES}, ctes=(BARS, MACRO))
+
+_GRAPH_COLUMNS = (*SERIES, "f_ret_1d", "f_ret_5d", "f_vol_20d", "f_turnover_20d_mean", "f_momentum_quality_score",
+                  "f_liquidity_stress_score", "f_regime_risk_on")
+
+
+def _z(c): return f"(({c} - avg({c}) OVER w) / (nullif(stddev_samp({c}) OVER w, 0) + 1e-12))"
+
+
+# With no minute bars for the suppliers the intraday columns are constant 0 and so are the scores that need them.
+QUERIES["factor_graph_daily_macro"] = query(
+    lambda spark, folder: factor_graph(kept(tables.bars(spark, folder)), macro=tables.macro(spark, folder), series=SERIES).frame,
+    ",".join(_asof_sql(s, d, f"s{n}") for n, (s, d) in enumerate(SERIES.values())) + f""",
+ts1 AS (SELECT *, close / lag(close) OVER {ORDERED} - 1 AS ret FROM bars) =>
+SELECT instrument_id, trade_date, coalesce(s0.value, 0) AS f_macro_m2_yoy, coalesce(s1.value, 0) AS f_macro_shibor_3m, coalesce(s2.value, 0) AS f_macro_usdcny,
+       coalesce(ret, 0) AS f_ret_1d, coalesce(close / lag(close, 5) OVER {ORDERED} - 1, 0) AS f_ret_5d,
+       coalesce({std('ret', 20)}, 0) AS f_vol_20d, coalesce({avg('turnover', 20)}, 0) AS f_turnover_20d_mean,
+       0.0 AS f_momentum_quality_score, 0.0 AS f_liquidity_stress_score, 0.0 AS f_regime_risk_on
+FROM ts1 LEFT JOIN s0 USING (trade_date) LEFT JOIN s1 USING (trade_date) LEFT JOIN s2 USING (trade_date)""",
+    PK, {c: 2 if c in SERIES else 5 for c in _GRAPH_COLUMNS}, ctes=(BARS, MACRO))
+
+
+def _daily_from_minutes(spark, folder):
+    """A daily panel of the event instruments: the graph then has all three kinds of input."""
+    bars = close_bars(spark, folder).groupBy("instrument_id", "trade_date").agg(
+        F.min_by("close", "ts").alias("open"), F.max("close").alias("high"), F.min("close").alias("low"),
+        F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume"), F.sum("amount").alias("amount"))
+    return bars.withColumn("turnover", F.col("volume") / 1000.0)
+
+
+def _graph_all(spark, folder, zero_std="null"):
+    minutes = kept(close_bars(spark, folder))
+    daily = kept(_daily_from_minutes(spark, folder))
+    macro = tables.macro(spark, folder).withColumn("available_time", F.expr("available_time + interval 29 years"))
+    return factor_graph(daily, minutes=minutes, macro=macro, series=SERIES, min_bars=2, zero_std=zero_std).frame
+
+
+def _graph_sql(zero: bool):
+    def zz(c):
+        if not zero:
+            return _z(c)
+        return f"(CASE WHEN stddev_samp({c}) OVER w = 0 THEN 0 ELSE {_z(c)} END)"
+    asof = ",".join(_asof_sql(s, d, f"s{n}") for n, (s, d) in enumerate(SERIES.values()))
+    return f"""
+bars AS (SELECT instrument_id, trade_date, arg_max(price, ts) AS close, sum(volume) / 1000.0 AS turnover FROM minutes GROUP BY 1, 2),
+macro AS (SELECT o_orderpriority AS series_id, o_orderdate + INTERVAL 29 YEAR AS available_time, avg(o_totalprice) AS value FROM orders GROUP BY 1, 2),
+{_NODES}, {asof},
+ts1 AS (SELECT *, close / lag(close) OVER {ORDERED} - 1 AS ret FROM bars),
+ts2 AS (
+SELECT instrument_id, trade_date, coalesce(s0.value, 0) AS f_macro_m2_yoy, coalesce(s1.value, 0) AS f_macro_shibor_3m, coalesce(s2.value, 0) AS f_macro_usdcny,
+       coalesce(ret, 0) AS f_ret_1d, coalesce(close / lag(close, 5) OVER {ORDERED} - 1, 0) AS f_ret_5d,
+       coalesce({std('ret', 20)}, 0) AS f_vol_20d, coalesce({avg('turnover', 20)}, 0) AS f_turnover_20d_mean,
+       coalesce(f_hf_realized_vol_1d, 0) AS f_hf_realized_vol_1d, coalesce(f_hf_tail_ret_30m, 0) AS f_hf_tail_ret_30m,
+       coalesce(f_hf_tail_amount_share_30m, 0) AS f_hf_tail_amount_share_30m
+FROM ts1 LEFT JOIN s0 USING (trade_date) LEFT JOIN s1 USING (trade_date) LEFT JOIN s2 USING (trade_date) LEFT JOIN nodes USING (instrument_id, trade_date)),
+ts3 AS (
+SELECT *, 0.5 * {zz('f_ret_5d')} - 0.3 * {zz('f_vol_20d')} + 0.2 * {zz('f_hf_tail_ret_30m')} AS mq,
+       0.4 * {zz('f_turnover_20d_mean')} + 0.3 * {zz('f_hf_tail_amount_share_30m')} + 0.3 * {zz('f_macro_shibor_3m')} AS ls,
+       0.4 * {zz('f_macro_m2_yoy')} - 0.3 * {zz('f_macro_usdcny')} AS rr
+FROM ts2 WINDOW w AS (PARTITION BY trade_date)) =>
+SELECT *, coalesce(mq, 0) AS f_momentum_quality_score, coalesce(ls, 0) AS f_liquidity_stress_score,
+       coalesce(rr + 0.3 * mq, 0) AS f_regime_risk_on FROM ts3"""
+
+
+for _name, _zero in (("factor_graph_all_inputs", "null"), ("factor_graph_zero_std_option", "zero")):
+    QUERIES[_name] = query(
+        lambda spark, folder, z=_zero: _graph_all(spark, folder, z), _graph_sql(_zero == "zero"), PK,
+        {c: 2 if c in SERIES else 5 for c in (*_GRAPH_COLUMNS, *_NODE_NAMES)}, ctes=(MINUTES,))
