@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ..functions.factor import EPS, PANEL, Axis, factor, windowed, with_factors
 from ..functions.rolling import pct_change, shift, true_range
 from ..functions.scalar import absolute, clip, finite, log1p
+from ..session import durable
 from .ordering import average_ranks, group_quantiles
 
 DATE = ("trade_date",)
@@ -37,13 +38,14 @@ def attach(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def cs_zscore(df: DataFrame, columns: Mapping[str, str], by: Sequence[str] = DATE, zero_std: str = "null",
-              eps: float = EPS, clip_at: float | None = None) -> DataFrame:
+              eps: float = EPS, clip_at: float | None = None, over: DataFrame | None = None) -> DataFrame:
     """Adds ``out: source`` z-scores within each group (sample standard deviation).
 
-    A group without spread gives NULL, or 0 with ``zero_std="zero"``.
+    A group without spread gives NULL, or 0 with ``zero_std="zero"``.  ``over`` is a stored table with the same
+    rows to take the statistics from, where ``df`` itself is costly to compute twice.
     """
     sources = list(dict.fromkeys(columns.values()))
-    stats = df.groupBy(*by).agg(*[e for i, c in enumerate(sources) for e in (
+    stats = (over if over is not None else df).groupBy(*by).agg(*[e for i, c in enumerate(sources) for e in (
         F.avg(c).alias(f"_mean{i}"), F.stddev_samp(c).alias(f"_sd{i}"))])
     joined = attach(df, stats, by)
 
@@ -61,10 +63,10 @@ def cs_zscore(df: DataFrame, columns: Mapping[str, str], by: Sequence[str] = DAT
 
 
 def cs_rank(df: DataFrame, columns: Mapping[str, str], row_key: Sequence[str] = ("instrument_id", "trade_date"),
-            by: Sequence[str] = DATE) -> DataFrame:
+            by: Sequence[str] = DATE, over: DataFrame | None = None) -> DataFrame:
     """Adds ``out: source`` average-tie ranks divided by the group's non-NULL count."""
     sources = list(dict.fromkeys(columns.values()))
-    ranks = average_ranks(df, by, sources, row_key)
+    ranks = average_ranks(over if over is not None else df, by, sources, row_key)
     key = list(dict.fromkeys([*row_key, *by]))
     ranks = ranks.select(*key, *[F.col(source).alias(f"_r_{out}") for out, source in columns.items()])
     joined = df.join(ranks, key, "left")
@@ -182,10 +184,11 @@ def price_volume_features(df: DataFrame, axis: Axis = PANEL) -> DataFrame:
 
 
 def market_sentiment(df: DataFrame, return_column: str = "pct_chg", turnover_column: str | None = "amount",
-                     by: Sequence[str] = DATE, limit_up: float = LIMIT_UP) -> DataFrame:
+                     by: Sequence[str] = DATE, limit_up: float = LIMIT_UP, over: DataFrame | None = None) -> DataFrame:
     """Per-day columns ``market_*`` shared by all names; percent returns are recognised and scaled."""
-    size = group_quantiles(df.select(F.abs(F.col(return_column)).alias("_a")), [], "_a", {"m": 0.5}).scalar()
-    scaled = df.withColumn("_ret", F.col(return_column) / F.when(size > 1.0, 100.0).otherwise(1.0))
+    source = over if over is not None else df
+    size = group_quantiles(source.select(F.abs(F.col(return_column)).alias("_a")), [], "_a", {"m": 0.5}).scalar()
+    scaled = source.withColumn("_ret", F.col(return_column) / F.when(size > 1.0, 100.0).otherwise(1.0))
     rising = F.sum(F.when(F.col("_ret") >= limit_up, 1.0).otherwise(0.0))
     aggs = [F.log1p(rising).alias("market_limit_up_count_log"),
             (rising / (F.count(F.lit(1)) + EPS)).alias("market_limit_up_ratio")]
@@ -198,9 +201,9 @@ def market_sentiment(df: DataFrame, return_column: str = "pct_chg", turnover_col
 
 
 def industry_zscore(df: DataFrame, columns: Mapping[str, str], industry: str = "industry_bucket",
-                    by: Sequence[str] = DATE) -> DataFrame:
+                    by: Sequence[str] = DATE, over: DataFrame | None = None) -> DataFrame:
     """z-score within (date, industry); 0 where it is undefined."""
-    scored = cs_zscore(df, columns, [*by, industry])
+    scored = cs_zscore(df, columns, [*by, industry], over=over)
     return null_policy(scored, list(columns))
 
 
@@ -224,15 +227,15 @@ def augment(df: DataFrame, dim: DataFrame, rank_sources: Sequence[str], industry
             return_column: str = "pct_chg", turnover_column: str = "amount", k: int = 12) -> tuple[DataFrame, list[str]]:
     """Static, price-volume, market, rank and industry-relative features in that order; nothing undefined stays."""
     before = set(df.columns)
-    out = static_features(df, dim, k)
-    out = price_volume_features(out)
-    out = market_sentiment(out, return_column, turnover_column)
-    ranked = [c for c in rank_sources if c in out.columns]
+    # every statistic below is taken from this stored table; the joins then pass over it once
+    base = durable(price_volume_features(static_features(df, dim, k)))
+    out = market_sentiment(base, return_column, turnover_column, over=base)
+    ranked = [c for c in rank_sources if c in base.columns]
     if ranked:
-        out = cs_rank(out, dict(zip(rank_feature_names(ranked, "cs_rank_"), ranked)))
-    relative = [c for c in industry_sources if c in out.columns]
+        out = cs_rank(out, dict(zip(rank_feature_names(ranked, "cs_rank_"), ranked)), over=base)
+    relative = [c for c in industry_sources if c in base.columns]
     if relative:
-        out = industry_zscore(out, dict(zip(rank_feature_names(relative, "ind_z_"), relative)))
+        out = industry_zscore(out, dict(zip(rank_feature_names(relative, "ind_z_"), relative)), over=base)
     out = out.drop("industry_bucket")
     added = [c for c in out.columns if c not in before]
     return null_policy(out, added), added

@@ -13,6 +13,7 @@ from ..functions import recursive as rec
 from ..functions import rolling, scalar
 from ..functions.factor import PANEL, Axis, Factor, factor, sql, with_factors
 from ..operators.cross_section import cs_rank, cs_zscore, null_policy
+from ..session import durable
 from ..sources.manifest import fingerprint
 
 # Factor functions a definition may name.
@@ -198,6 +199,8 @@ def run_factors(df: DataFrame, specs: Sequence[FactorSpec | CrossSpec], strict:
     if crossed and fill is not None:
         numeric = [f.name for f in out.schema.fields if f.dataType.typeName() in ("double", "float")]
         out = null_policy(out, numeric, fill)
+    if crossed:
+        out = durable(out)  # a cross-section reads the panel once for its statistics and once to apply them
     while crossed:
         layer, rest = [], []
         for s in crossed:
