@@ -292,7 +292,7 @@ def linear_score(df: DataFrame, weights: Mapping[str, float], out: str = "score"
 def group_ablation(df: DataFrame, weights: Mapping[str, float], groups: Mapping[str, Sequence[str]],
                    strategy: Strategy, ret: str = "ret", by_metric: str = "risk_adjusted",
                    risk_lambda: float = RISK_LAMBDA) -> DataFrame:
-    """(group, num_features, value, delta): the strategy's metric with each feature group left out of a linear score."""
+    """(factor_group, num_features, value, delta): the strategy's metric with each feature group left out of a linear score."""
     variants = {"": dict(weights), **{g: {c: w for c, w in weights.items() if c not in set(cols)} for g, cols in groups.items()}}
 
     def total(w):
@@ -309,7 +309,7 @@ def group_ablation(df: DataFrame, weights: Mapping[str, float], groups: Mapping[
     base = metrics.where(F.col("variant") == "").agg(F.max(by_metric)).scalar()
     size = F.coalesce(*[F.when(F.col("variant") == g, F.lit(len(cols))) for g, cols in groups.items()])
     return metrics.where(F.col("variant") != "").select(
-        F.col("variant").alias("group"), size.alias("num_features"), F.col(by_metric).alias("value"),
+        F.col("variant").alias("factor_group"), size.alias("num_features"), F.col(by_metric).alias("value"),
         (F.col(by_metric) - base).alias("delta"))
 
 
@@ -319,7 +319,7 @@ def fit_ranker(df: DataFrame, features: Sequence[str], target: str, kind: str =
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor, LinearRegression
     maker = {"linear": LinearRegression, "gbt": GBTRegressor}[kind]
-    rows = df.where(F.col(target).isNotNull()).fillna(0.0, list(features))
+    rows = df.where(F.col(target).isNotNull()).select(*features, target).fillna(0.0, list(features))
     model = maker(featuresCol="_features", labelCol=target, predictionCol="score", **params)
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_features"), model]).fit(rows)
 

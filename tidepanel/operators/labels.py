@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.factor import EPS, PANEL, Axis, Factor, factor, windowed
 from ..functions.rolling import shift
+from ..session import durable
 from .cross_section import DATE, attach, cs_rank, cs_zscore, winsorize_mad
 from .ordering import group_quantiles, ordinal_positions
 
@@ -129,7 +130,7 @@ def transform_targets(df: DataFrame, target: str, mode: str = "none", norm: str
         flagged = attach(out, bounds, by).withColumn("_in", inside.cast("int"))
         sizes = flagged.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.sum("_in").alias("_kept"))
         kept = attach(flagged, sizes, by).where((F.col("_n") <= 5) | (F.col("_kept") < 2) | (F.col("_in") == 1))
-        out = kept.select(*df.columns)
+        out = durable(kept.select(*df.columns))  # every further step reads it more than once
     if "clip" in mode:
         bounds = _bounds(out, target, by, kind, lower_q, upper_q, mad_n, min_scale)
         sizes = out.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))

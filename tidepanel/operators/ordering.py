@@ -125,18 +125,19 @@ def ordinal_positions(df: DataFrame, keys: Sequence[str], value: str, tie: str,
     characters of ``tie`` and never sorted in one task.
     """
     keys = list(keys)
-    work = df.withColumn("_x", F.col(value).cast("double") + F.lit(0.0))
-    if descending:
-        work = work.withColumn("_x", -F.col("_x") + F.lit(0.0))
-    places = value_positions(work.select(*keys, "_x"), keys, "_x").select(*keys, "_x", "_below")
-    work = work.withColumn("_p", F.substring(F.col(tie).cast("string"), 1, tie_prefix))
-    runs = work.where(F.col("_x").isNotNull()).groupBy(*keys, "_x", "_p").agg(F.count(F.lit(1)).alias("_pn"))
-    earlier = Window.partitionBy(*keys, "_x").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select(*keys, "_x", "_p", F.coalesce(F.sum("_pn").over(earlier), F.lit(0)).alias("_pbase"))
-    starts = runs.join(places, [*keys, "_x"]).select(*keys, "_x", "_p", (F.col("_below") + F.col("_pbase")).alias("_start"))
-    inside = Window.partitionBy(*keys, "_x", "_p").orderBy(tie)
-    placed = work.join(starts, [*keys, "_x", "_p"], "left").withColumn(
-        out, F.when(F.col("_start").isNotNull(), F.col("_start") + F.row_number().over(inside) - 1))
+    size = F.col(value).cast("double") + F.lit(0.0)
+    work = df.withColumn("_ord_x", -size + F.lit(0.0) if descending else size)
+    places = value_positions(work.select(*keys, "_ord_x"), keys, "_ord_x").select(
+        *keys, F.col("_x").alias("_ord_x"), "_below")
+    work = work.withColumn("_ord_p", F.substring(F.col(tie).cast("string"), 1, tie_prefix))
+    run = [*keys, "_ord_x", "_ord_p"]
+    runs = work.where(F.col("_ord_x").isNotNull()).groupBy(*run).agg(F.count(F.lit(1)).alias("_run"))
+    earlier = Window.partitionBy(*keys, "_ord_x").orderBy("_ord_p").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(*run, F.coalesce(F.sum("_run").over(earlier), F.lit(0)).alias("_before"))
+    starts = runs.join(places, [*keys, "_ord_x"]).select(*run, (F.col("_below") + F.col("_before")).alias("_ord_start"))
+    inside = Window.partitionBy(*run).orderBy(tie)
+    placed = work.join(starts, run, "left").withColumn(
+        out, F.when(F.col("_ord_start").isNotNull(), F.col("_ord_start") + F.row_number().over(inside) - 1))
     return placed.select(*df.columns, out)
 
 
