@@ -1 +1,304 @@
+"""Sources, normalisation, joins of tables, quality rules, manifests, the catalog."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from tidepanel.operators import joins
+from tidepanel.operators import quality as q
+from tidepanel.operators import stats
+from tidepanel.plans import catalog, featuresets, tables
+from tidepanel.sources import canonical as cn
+from tidepanel.sources import files, manifest, providers
+from tidepanel.functions import rolling as r
+from tidepanel.functions.factor import by_instrument, with_factors
+
+from .common import BARS, DIM, ORDERED, PK, kept, query
+
 QUERIES = {}
+
+
+def scratch(spark, name):
+    """A fresh folder next to the checkpoints, which every executor can reach."""
+    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidepanel-")
+    return os.path.join(root, f"{name}-{uuid.uuid4().hex}") if "://" not in root and not root.startswith("file:") else f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+# ---- normalisation ----------------------------------------------------------------------------------------------
+
+
+def _texts(spark, folder):
+    """Ids in several spellings."""
+    c = tables.read(spark, folder, "customer").select(F.col("c_name").alias("t"))
+    s = tables.read(spark, folder, "supplier").select(F.concat(F.lit(" sh"), F.col("s_suppkey").cast("string"), F.lit(".SZ ")).alias("t"))
+    o = tables.read(spark, folder, "orders").select(F.concat(F.lit("x"), (F.col("o_orderkey") * 977).cast("string")).alias("t"))
+    n = tables.read(spark, folder, "nation").select(F.col("n_name").alias("t"))
+    return c.unionByName(s).unionByName(o).unionByName(n).distinct()
+
+
+_TEXTS = """
+texts AS (SELECT DISTINCT t FROM (SELECT c_name AS t FROM customer UNION ALL SELECT ' sh' || s_suppkey || '.SZ ' FROM supplier
+  UNION ALL SELECT 'x' || (o_orderkey * 977) FROM orders UNION ALL SELECT n_name FROM nation)),
+ids AS (SELECT t, CASE WHEN regexp_matches(t, '[0-9]{6}') THEN regexp_extract(t, '[0-9]{6}')
+                       WHEN regexp_matches(t, '[0-9]') THEN lpad(right(regexp_replace(t, '[^0-9]', '', 'g'), 6), 6, '0') ELSE '' END AS id FROM texts)"""
+QUERIES["instrument_id_normalisation"] = query(
+    lambda spark, folder: _texts(spark, folder).withColumn("id", cn.instrument_id(F.col("t"))), f"{_TEXTS} => SELECT * FROM ids", ("t", "id"), ctes=())
+QUERIES["exchange_symbols"] = query(
+    lambda spark, folder: _texts(spark, folder).withColumn("symbol", cn.exchange_symbol(F.col("t"))),
+    f"""{_TEXTS} => SELECT t, CASE WHEN id = '' THEN trim(t) WHEN left(id, 1) IN ('4', '8') THEN 'bj.' || id WHEN left(id, 1) IN ('5', '6', '9') THEN 'sh.' || id
+        ELSE 'sz.' || id END AS symbol FROM ids""", ("t", "symbol"), ctes=())
+
+
+def _raw_daily(spark, folder):
+    """Trades as a provider would land them: foreign names, ids with a suffix, unpadded date text, text numbers."""
+    return tables.read(spark, folder, "lineitem").select(
+        F.concat(F.lpad(F.col("l_suppkey").cast("string"), 6, "0"), F.lit(".SZ")).alias("股票代码"), F.date_format("l_shipdate", "y/M/d").alias("日期"),
+        F.when(F.col("l_quantity") < 49, (F.col("l_extendedprice") / F.col("l_quantity")).cast("string")).otherwise("n/a").alias("收盘"),
+        F.col("l_quantity").cast("string").alias("成交量"), F.col("l_extendedprice").alias("amount"),
+        "l_orderkey", "l_linenumber", "l_partkey")
+
+
+_RAW = """
+raw AS (SELECT lpad(l_suppkey::VARCHAR, 6, '0') AS instrument_id, CAST(l_shipdate AS DATE) AS trade_date, l_extendedprice / l_quantity AS close, l_quantity AS volume,
+               l_extendedprice AS amount, l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_quantity < 49),
+daily AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY instrument_id, trade_date ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, close DESC, volume DESC) AS rn FROM raw) WHERE rn = 1)"""
+_ORDER = ["l_orderkey", "l_linenumber", "l_partkey"]
+QUERIES["canonical_daily"] = query(
+    lambda spark, folder: cn.canonical_daily(_raw_daily(spark, folder), _ORDER),
+    f"{_RAW} => SELECT *, CAST(NULL AS DOUBLE) AS turnover FROM daily", PK, ["close", "volume", "amount", "turnover"], 2, ctes=())
+
+
+def _hf(spark, folder):
+    e = tables.read(spark, folder, "events")
+    return e.select(F.col("user_id").cast("string").alias("code"), F.date_format("ts", "yyyy-MM-dd").alias("date"), F.col("value").cast("string").alias("hf_realized_vol_m05"),
+                    (F.col("value") / 2).alias("hf_realized_vol_m30"), (F.col("value") / 4).alias("hf_last_tail_ret_raw"), "event_id")
+
+
+QUERIES["canonical_hf_daily"] = query(
+    lambda spark, folder: cn.canonical_hf_daily(_hf(spark, folder), ["event_id"]),
+    """SELECT lpad(user_id::VARCHAR, 6, '0') AS instrument_id, CAST(ts AS DATE) AS trade_date, arg_max(value, event_id) AS f_hf_realized_vol_1d,
+              arg_max(value, event_id) / 4 AS f_hf_tail_ret_30m, CAST(NULL AS DOUBLE) AS f_hf_tail_amount_share_30m FROM events GROUP BY 1, 2""",
+    PK, ["f_hf_realized_vol_1d", "f_hf_tail_ret_30m", "f_hf_tail_amount_share_30m"], ctes=())
+QUERIES["canonical_minutes"] = query(
+    lambda spark, folder: cn.canonical_minutes(tables.read(spark, folder, "events").select(
+        F.col("user_id").cast("string").alias("股票代码"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("datetime"), F.col("value").alias("收盘"), "event_id"), ["event_id"]),
+    """SELECT lpad(user_id::VARCHAR, 6, '0') AS instrument_id, date_trunc('second', ts) AS ts, CAST(ts AS DATE) AS trade_date, arg_max(value, event_id) AS close
+       FROM events GROUP BY 1, 2, 3""", ("instrument_id", "ts", "trade_date"), ["close"], ctes=())
+QUERIES["canonical_macro"] = query(
+    lambda spark, folder: cn.canonical_macro(tables.read(spark, folder, "orders").select(
+        F.concat(F.lit(" "), "o_orderpriority").alias("指标"), F.date_format("o_orderdate", "yyyy-M-d").alias("release_time"),
+        F.when(F.col("o_totalprice") > 1000, F.col("o_totalprice").cast("string")).otherwise("-").alias("值"))).groupBy("series_id", "available_time").agg(
+        F.count(F.lit(1)).alias("n"), F.count("value").alias("known")),
+    """SELECT trim(o_orderpriority) AS series_id, date_trunc('day', o_orderdate) AS available_time, count(*) AS n, count(CASE WHEN o_totalprice > 1000 THEN 1 END) AS known
+       FROM orders GROUP BY 1, 2""", ("series_id", "available_time"), ["n", "known"], ctes=())
+
+QUERIES["provider_daily"] = query(
+    lambda spark, folder: providers.provider_daily(tables.read(spark, folder, "lineitem").select(
+        F.concat(F.lit("sh."), F.lpad(F.col("l_suppkey").cast("string"), 6, "0")).alias("code"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"),
+        F.col("l_extendedprice").cast("string").alias("close"), F.col("l_quantity").cast("string").alias("volume"), F.col("l_discount").cast("string").alias("turn"),
+        F.when(F.col("l_returnflag") == "N", "1").otherwise("").alias("tradestatus"))).groupBy(*PK).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("volume").alias("volume"), F.avg("turnover").alias("turnover"), F.count("trade_status").alias("traded"), F.count("open").alias("opens")),
+    """SELECT lpad(l_suppkey::VARCHAR, 6, '0') AS instrument_id, CAST(l_shipdate AS DATE) AS trade_date, count(*) AS n, sum(l_quantity) AS volume, avg(l_discount) AS turnover,
+              count(CASE WHEN l_returnflag = 'N' THEN 1 END) AS traded, 0 AS opens FROM lineitem GROUP BY 1, 2""", PK, ["n", "volume", "turnover", "traded", "opens"], ctes=())
+QUERIES["provider_minutes"] = query(
+    lambda spark, folder: providers.provider_minutes(tables.read(spark, folder, "events").select(
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("时间"), F.col("value").cast("string").alias("收盘"), "user_id", "event_id"), F.col("user_id").cast("string")).groupBy(*PK).agg(
+        F.count(F.lit(1)).alias("n"), F.min("close").alias("lowest"), F.max("close").alias("highest")),
+    """SELECT lpad(user_id::VARCHAR, 6, '0') AS instrument_id, CAST(ts AS DATE) AS trade_date, count(*) AS n, min(value) AS lowest, max(value) AS highest FROM events GROUP BY 1, 2""",
+    PK, ["n", "lowest", "highest"], ctes=())
+
+
+def _provider_macro(spark, folder):
+    monthly = tables.read(spark, folder, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("月份")).agg(F.avg("o_totalprice").alias("美元"))
+    cpi = tables.read(spark, folder, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("月份")).agg((F.count(F.lit(1)) / 10).alias("figure"))
+    return providers.provider_macro(monthly, "usdcny", "1996-01-01", "1999-06-01").unionByName(providers.provider_macro(cpi, "cpi_yoy"))
+
+
+QUERIES["provider_macro"] = query(
+    _provider_macro,
+    """SELECT 'usdcny' AS series_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS observation_date, 'daily' AS frequency, 'latest' AS vintage, avg(o_totalprice) / 100 AS value
+       FROM orders GROUP BY 2 HAVING CAST(date_trunc('month', o_orderdate) AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1999-06-01'
+       UNION ALL SELECT 'cpi_yoy', CAST(date_trunc('month', o_orderdate) AS DATE), 'monthly', 'latest', count(*) / 10.0 FROM orders GROUP BY 2""",
+    ("series_id", "observation_date", "frequency", "vintage"), ["value"], 4, ctes=())
+
+_LEGACY = "l1 AS (SELECT *, nullif(lag(close) OVER (PARTITION BY instrument_id ORDER BY trade_date), 0) AS pc FROM bars)"
+QUERIES["legacy_daily_projection"] = query(
+    lambda spark, folder: providers.legacy_daily(with_factors(by_instrument(tables.bars(spark, folder)), {"preclose": r.shift("close")})).withColumnsRenamed(
+        {"股票代码": "code", "日期": "day_text", "振幅": "amplitude", "涨跌额": "change", "换手率": "turn", "收盘": "last_price"}),
+    f"""{_LEGACY} => SELECT instrument_id AS code, year(trade_date) || '/' || month(trade_date) || '/' || day(trade_date) AS day_text, close AS last_price,
+        coalesce((high - low) / pc * 100, 0) AS amplitude, coalesce(close - pc, 0) AS change, turnover AS turn FROM l1""",
+    ("code", "day_text"), {"last_price": 3, "amplitude": 3, "change": 3, "turn": 6})
+
+# ---- files ------------------------------------------------------------------------------------------------------
+
+
+def _csv_round(spark, folder):
+    path = scratch(spark, "csv")
+    files.write_csv(tables.bars(spark, folder), path + "/bars.csv")
+    files.write_csv(tables.bars(spark, folder).where("volume > 300"), path + "/again.csv")
+    both = files.read_many(spark, f"{path}/bars.csv,{path}/again.csv,{path}/bars.csv")
+    return both.select("instrument_id", F.to_date("trade_date").alias("trade_date"), cn.number(F.col("close")).alias("close"), cn.number(F.col("volume")).alias("volume"))
+
+
+QUERIES["files_csv_multi_scan"] = query(
+    _csv_round, "SELECT instrument_id, trade_date, close, volume FROM bars UNION ALL SELECT instrument_id, trade_date, close, volume FROM bars WHERE volume > 300", PK, ["close", "volume"], 3)
+
+
+def _sinks(spark, folder):
+    path = files.layer_path("curated", root=scratch(spark, "lake"), dataset="market_bar")
+    b = kept(tables.bars(spark, folder))
+    files.append_only(b.where("trade_date < '1998-01-01'"), path)
+    files.append_only(b.where("trade_date >= '1998-01-01'"), path)
+    files.replace_partitions(b.where("trade_date BETWEEN '1996-01-01' AND '1996-12-31' AND volume > 100"), path)
+    changes = b.where("trade_date >= '2000-01-01'").withColumn("close", F.lit(1.0)).where("volume < 200")
+    files.upsert_on_key(changes, path, list(PK))
+    return spark.read.parquet(path)
+
+
+QUERIES["sink_partitioned_write_modes"] = query(
+    _sinks,
+    """SELECT instrument_id, trade_date, CASE WHEN trade_date >= DATE '2000-01-01' AND volume < 200 THEN 1 ELSE close END AS close, volume FROM bars
+       WHERE NOT (trade_date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31' AND volume <= 100)""", PK, ["close", "volume"], 3)
+
+QUERIES["table_snapshot"] = query(
+    lambda spark, folder: manifest.snapshot(tables.bars(spark, folder), "bars"),
+    "SELECT 'bars' AS table_name, count(*) AS row_count, 9 AS column_count, min(trade_date) AS date_min, max(trade_date) AS date_max, count(DISTINCT instrument_id) AS instruments FROM bars",
+    ("table_name", "date_min", "date_max"), ["row_count", "column_count", "instruments"])
+QUERIES["run_manifest"] = query(
+    lambda spark, folder: (lambda b: manifest.manifest({"bars": b, "dim": tables.dimension(spark, folder).withColumn("trade_date", F.lit(None).cast("date"))}, b, run_id="run-1").withColumn("n_inputs", F.size("inputs")))(kept(tables.bars(spark, folder))),
+    None, ("run_id", "status", "schema_hash", "data_hash"), ["row_count", "n_inputs"])
+QUERIES["factor_quality_summary"] = query(
+    lambda spark, folder: manifest.quality_summary(with_factors(by_instrument(tables.bars(spark, folder)), {"f1": r.pct_change("close"), "f20": r.sma("close", 20)}), ["f1", "f20"]),
+    f"""qs AS (SELECT *, close / lag(close) OVER {ORDERED} AS f1, CASE WHEN row_number() OVER {ORDERED} >= 20 THEN 1 END AS f20 FROM bars) =>
+    SELECT 'f1' AS factor, count(*) AS row_count, 1 - count(f1) * 1.0 / count(*) AS null_ratio, count(DISTINCT instrument_id) AS instruments, min(trade_date) AS date_min, max(trade_date) AS date_max FROM qs
+    UNION ALL SELECT 'f20', count(*), 1 - count(f20) * 1.0 / count(*), count(DISTINCT instrument_id), min(trade_date), max(trade_date) FROM qs""",
+    ("factor", "date_min", "date_max"), ["row_count", "null_ratio", "instruments"])
+
+# ---- joins ------------------------------------------------------------------------------------------------------
+
+
+def _side(spark, folder):
+    """A second daily table over part of the bars."""
+    return tables.bars(spark, folder).where("volume > 150").select(*PK, (F.col("volume") * 2).alias("extra"), F.col("close").alias("other"))
+
+
+QUERIES["join_many_to_one"] = query(
+    lambda spark, folder: joins.join_many_to_one(tables.bars(spark, folder), _side(spark, folder)),
+    "SELECT a.*, b.volume * 2 AS extra FROM bars a LEFT JOIN bars b ON a.instrument_id = b.instrument_id AND a.trade_date = b.trade_date AND b.volume > 150", PK, ["volume", "extra"])
+QUERIES["join_backfill"] = query(
+    lambda spark, folder: joins.join_backfill(tables.bars(spark, folder).withColumn("extra", F.when(F.col("volume") > 250, F.lit(-1.0))), _side(spark, folder)),
+    "SELECT *, CASE WHEN volume > 250 THEN -1 WHEN volume > 150 THEN volume * 2 END AS extra, CASE WHEN volume > 150 THEN close END AS other FROM bars", PK, {"extra": 4, "other": 3})
+
+
+def _merge(spark, folder):
+    hf = tables.read(spark, folder, "lineitem").select(
+        F.concat(F.lit("SZ"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0")).alias("instrument_id"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("trade_date"),
+        F.col("l_tax").alias("tax"), F.col("l_discount").alias("turnover"), "l_orderkey", "l_linenumber", "l_partkey").where("l_tax > 0.06")
+    return joins.merge_features(tables.bars(spark, folder), hf, _ORDER)
+
+
+_MERGE = """
+mh AS (SELECT * FROM (SELECT lpad(l_suppkey::VARCHAR, 6, '0') AS instrument_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS trade_date, l_tax AS tax, l_discount AS hf_turnover,
+  row_number() OVER (PARTITION BY l_suppkey, date_trunc('month', l_shipdate) ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_tax DESC, l_discount DESC) AS rn FROM lineitem WHERE l_tax > 0.06) WHERE rn = 1)"""
+QUERIES["merge_hf_features"] = query(lambda spark, folder: _merge(spark, folder)[0], f"{_MERGE} => SELECT bars.*, tax, hf_turnover FROM bars LEFT JOIN mh USING (instrument_id, trade_date)", PK, ["turnover", "tax", "hf_turnover"], 5)
+QUERIES["merge_hf_coverage"] = query(
+    lambda spark, folder: _merge(spark, folder)[1].withColumnRenamed("rows", "total"),
+    f"{_MERGE} => SELECT count(*) AS total, count(tax) AS matched_rows, count(tax) * 1.0 / count(*) AS coverage FROM bars LEFT JOIN mh USING (instrument_id, trade_date)", (), ["total", "matched_rows", "coverage"])
+QUERIES["dataset_build"] = query(
+    lambda spark, folder: joins.between_dates(joins.build_dataset(tables.bars(spark, folder), _side(spark, folder).withColumn("volume", F.col("extra") / 4), "inner")[0], "1996-01-01", "1999-12-31"),
+    "SELECT *, volume * 2 AS extra, volume / 2 AS f_ext_volume FROM bars WHERE volume > 150 AND trade_date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'", PK, ["volume", "extra", "f_ext_volume"])
+QUERIES["dataset_coverage"] = query(
+    lambda spark, folder: joins.build_dataset(tables.bars(spark, folder), _side(spark, folder))[1].withColumnRenamed("rows", "total"),
+    "SELECT count(*) AS total, count(CASE WHEN volume > 150 THEN 1 END) AS matched_rows, count(CASE WHEN volume > 150 THEN 1 END) * 1.0 / count(*) AS coverage FROM bars", (), ["total", "matched_rows", "coverage"])
+QUERIES["dimension_lookup"] = query(
+    lambda spark, folder: joins.lookup(tables.bars(spark, folder), tables.dimension(spark, folder).unionByName(tables.dimension(spark, folder).withColumn("cap", F.lit(-9999.0))), ["cap"], ["industry"]),
+    "SELECT bars.*, industry FROM bars LEFT JOIN dim USING (instrument_id)", (*PK, "industry"), ["close"], 3, ctes=(BARS, DIM))
+QUERIES["benchmark_lookup_with_fallback"] = query(
+    lambda spark, folder: joins.with_benchmark(tables.bars(spark, folder), tables.macro(spark, folder).where("series_id = '1-URGENT'").select(
+        F.to_date("available_time").alias("trade_date"), F.col("value").alias("benchmark_return")), "turnover"),
+    """bm AS (SELECT CAST(o_orderdate AS DATE) AS trade_date, avg(o_totalprice) AS b FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) =>
+    SELECT instrument_id, trade_date, coalesce(b, avg(turnover) OVER (PARTITION BY trade_date)) AS benchmark FROM bars LEFT JOIN bm USING (trade_date)""", PK, ["benchmark"], 4)
+
+
+def _universe(spark, folder):
+    s = tables.read(spark, folder, "supplier")
+    return joins.restrict_universe(tables.bars(spark, folder), s.where("s_acctbal > 5000").select(F.concat(F.lit("sz"), F.lpad(F.col("s_suppkey").cast("string"), 6, "0")).alias("instrument_id")),
+                                   s.where("s_nationkey < 5").select(F.col("s_suppkey").alias("instrument_id")))
+
+
+QUERIES["universe_restriction"] = query(
+    _universe, "SELECT * FROM bars WHERE CAST(instrument_id AS BIGINT) IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000 OR s_nationkey < 5)", PK, ["close"], 3)
+QUERIES["universe_membership_dates"] = query(
+    lambda spark, folder: joins.member_on_date(tables.bars(spark, folder), tables.read(spark, folder, "supplier").select(
+        tables.padded_id("s_suppkey").alias("instrument_id"), F.add_months(F.lit("1995-01-01").cast("date"), F.col("s_nationkey")).alias("in_date"),
+        F.when(F.col("s_acctbal") > 0, F.add_months(F.lit("1998-01-01").cast("date"), F.col("s_nationkey"))).alias("out_date"))),
+    """SELECT bars.* FROM bars JOIN supplier ON CAST(instrument_id AS BIGINT) = s_suppkey WHERE trade_date >= DATE '1995-01-01' + to_months(s_nationkey)
+       AND (s_acctbal <= 0 OR trade_date < DATE '1998-01-01' + to_months(s_nationkey))""", PK, ["close"], 3)
+QUERIES["dataset_product"] = query(
+    lambda spark, folder: joins.dataset_product(tables.bars(spark, folder), _side(spark, folder), tables.dimension(spark, folder), ["close", "extra", "industry"]),
+    "SELECT bars.*, CASE WHEN volume > 150 THEN volume * 2 END AS extra, industry, cap FROM bars LEFT JOIN dim USING (instrument_id)", (*PK, "industry"), {"close": 3, "extra": 3, "cap": 2}, ctes=(BARS, DIM))
+
+# ---- quality ----------------------------------------------------------------------------------------------------
+
+RULES = [
+    {"type": "unique_key", "key": ["l_orderkey", "l_linenumber"], "name": "line_key"},
+    {"type": "expression", "expr": "l_discount < 0.08", "name": "discount"},
+    {"type": "expression", "expr": "nullif(l_quantity, 5) > 0", "name": "null_fails"},
+    {"type": "stock_coverage_vs_trade_days", "min_ratio_p50": 0.3, "min_ratio_p10": 0.9, "name": "cover"},
+    {"type": "market_session_check", "name": "hours"},
+    {"type": "unheard_of", "name": "later"}]
+
+
+def _report(spark, folder):
+    rows = tables.read(spark, folder, "lineitem").withColumns({
+        "instrument_id": tables.padded_id("l_suppkey"), "trade_date": F.to_date(F.date_trunc("month", "l_shipdate")),
+        "ts": F.timestamp_add("MINUTE", (F.col("l_orderkey") % 1440).cast("int"), F.date_trunc("day", "l_shipdate"))})
+    return q.validate(kept(rows.select("l_orderkey", "l_linenumber", "l_discount", "l_quantity", "instrument_id", "trade_date", "ts")), RULES, ["ts"]).withColumn("ok", F.col("passed").cast("int"))
+
+
+_COUNTS = "SELECT count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY date_trunc('month', l_shipdate)"
+_RATIOS = f"SELECT quantile_cont(n, 0.5) / max(n) AS p50, quantile_cont(n, 0.1) / max(n) AS p10 FROM ({_COUNTS})"
+QUERIES["quality_rule_report"] = query(
+    _report,
+    f"""SELECT 'line_key' AS rule, 'unique_key' AS type, count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS failed_rows, CASE WHEN count(*) = count(DISTINCT (l_orderkey, l_linenumber)) THEN 1 ELSE 0 END AS ok FROM lineitem
+    UNION ALL SELECT 'discount', 'expression', count(CASE WHEN NOT l_discount < 0.08 THEN 1 END), 0 FROM lineitem
+    UNION ALL SELECT 'null_fails', 'expression', count(CASE WHEN l_quantity = 5 THEN 1 END), 0 FROM lineitem
+    UNION ALL SELECT 'cover', 'stock_coverage_vs_trade_days', CASE WHEN p50 >= 0.3 AND p10 >= 0.9 THEN 0 ELSE 1 END, CASE WHEN p50 >= 0.3 AND p10 >= 0.9 THEN 1 ELSE 0 END FROM ({_RATIOS})
+    UNION ALL SELECT 'hours', 'market_session_check', count(CASE WHEN NOT (l_orderkey % 1440 BETWEEN 570 AND 690 OR l_orderkey % 1440 BETWEEN 780 AND 900) THEN 1 END), 0 FROM lineitem
+    UNION ALL SELECT 'later', 'unheard_of', 0, NULL""", ("rule", "type"), ["failed_rows", "ok"], ctes=())
+QUERIES["quality_daily_coverage"] = query(
+    lambda spark, folder: q.coverage_ratios(tables.bars(spark, folder)),
+    "cc AS (SELECT count(DISTINCT instrument_id) AS n FROM bars GROUP BY trade_date) => SELECT count(*) AS days, quantile_cont(n, 0.5) / max(n) AS ratio_p50, quantile_cont(n, 0.1) / max(n) AS ratio_p10 FROM cc",
+    (), ["days", "ratio_p50", "ratio_p10"])
+QUERIES["quality_daily_counts"] = query(
+    lambda spark, folder: q.daily_counts(tables.bars(spark, folder)), "SELECT trade_date, count(DISTINCT instrument_id) AS names FROM bars GROUP BY 1", ("trade_date",), ["names"])
+
+# ---- catalog ----------------------------------------------------------------------------------------------------
+
+
+def part_catalog(spark, folder):
+    """Parts as factor definitions: brand as group, type as source, small sizes disabled."""
+    return tables.read(spark, folder, "part").select(
+        F.col("p_name").alias("name"), F.col("p_brand").alias("group"), F.col("p_type").alias("source"), (F.col("p_size") > 10).alias("enabled"))
+
+
+QUERIES["catalog_group_counts"] = query(
+    lambda spark, folder: catalog.group_counts(part_catalog(spark, folder)).withColumnRenamed("group", "factor_group"),
+    "SELECT p_brand AS factor_group, p_type AS source, count(*) AS factors, sum(CASE WHEN p_size > 10 THEN 1 ELSE 0 END) AS enabled FROM part GROUP BY 1, 2",
+    ("factor_group", "source"), ["factors", "enabled"], ctes=())
+
+
+def _lenient(spark, folder):
+    """Broken definitions give NULL columns and a report line; the others are computed."""
+    specs = [catalog.FactorSpec("ok", "sma", {"x": "close", "w": 5}), catalog.FactorSpec("bad", "no_such_function", {"x": "close"}),
+             catalog.FactorSpec("after", "diff", {"x": "bad"}), catalog.FactorSpec("lost", "sma", {"x": "nowhere", "w": 3})]
+    return catalog.run_factors(tables.bars(spark, folder), specs, strict=False).frame
+
+
+QUERIES["factor_nodes_lenient"] = query(
+    _lenient, f"SELECT *, CASE WHEN count(close) OVER w = 5 THEN avg(close) OVER w END AS ok, CAST(NULL AS DOUBLE) AS bad, CAST(NULL AS DOUBLE) AS after, CAST(NULL AS DOUBLE) AS lost FROM bars "
+    "WINDOW w AS (PARTITION BY instrument_id ORDER BY trade_date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)", PK, ["ok", "bad", "after", "lost"], 3)
