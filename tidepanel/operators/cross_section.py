@@ -273,14 +273,15 @@ def factor_gates(df: DataFrame, columns: Sequence[str], max_null_ratio: float =
         v = F.col(c).cast("double")
         missing = v.isNull() | F.isnan(v)
         endless = F.coalesce(F.abs(v) == float("inf"), F.lit(False))
-        return missing, endless
-
-    long = df.select(*by, F.explode(F.array(*[F.struct(
-        F.lit(c).alias("factor"), flags(c)[0].cast("int").alias("missing"), flags(c)[1].cast("int").alias("endless"))
-        for c in columns])).alias("v")).select(*by, "v.*")
-    daily = long.groupBy(*by, "factor").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("missing").alias("missing"), F.sum("endless").alias("endless"))
-    out = daily.groupBy("factor").agg(
+        return F.count_if(missing), F.count_if(endless)
+
+    # side by side per day, so that no row is multiplied; only the daily table is turned
+    daily = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[e for i, c in enumerate(columns) for e in (
+        flags(c)[0].alias(f"m{i}"), flags(c)[1].alias(f"e{i}"))])
+    long = daily.select("n", F.explode(F.array(*[F.struct(
+        F.lit(c).alias("factor"), F.col(f"m{i}").alias("missing"), F.col(f"e{i}").alias("endless"))
+        for i, c in enumerate(columns)])).alias("v")).select("n", "v.*")
+    out = long.groupBy("factor").agg(
         F.sum("n").alias("n"), (F.sum("missing") / F.sum("n")).alias("null_ratio"),
         (F.sum("endless") / F.sum("n")).alias("inf_ratio"),
         F.avg(F.lit(1.0) - F.col("missing") / F.col("n")).alias("coverage"))

@@ -8,7 +8,7 @@ Everything else is a partially aggregated ``groupBy``.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,15 +27,20 @@ def _slot(seconds: int) -> Column:
 
 
 def with_previous(df: DataFrame, columns: Mapping[str, str], keys: Sequence[str] = KEYS,
-                  slot_seconds: int = SLOT_SECONDS, skip_nulls: bool = True) -> DataFrame:
+                  slot_seconds: int = SLOT_SECONDS, skip_nulls: bool = True,
+                  day: Mapping[str, tuple[Column, Callable]] | None = None) -> DataFrame:
     """Adds ``out: source``, the source's value in the day's previous row by ``ts`` (``lag`` without one big sort).
 
     With ``skip_nulls`` rows whose source is NULL are passed over: they neither get nor give a previous value.
+    ``day`` adds values of the whole day, each as the aggregate per slot and the function that combines slots
+    (``{"end": (F.max("ts"), F.max)}``).  Slots and rows meet in one join on (keys, slot), so that a busy day is
+    spread over its slots throughout.
     """
-    keys = list(keys)
+    keys, day = list(keys), dict(day or {})
     work = df.withColumn("_slot", _slot(slot_seconds))
     inside = Window.partitionBy(*keys, "_slot").orderBy("ts")
-    slots = Window.partitionBy(*keys).orderBy("_slot")
+    whole = Window.partitionBy(*keys)
+    slots = whole.orderBy("_slot")
     ends, priors, within = {}, {}, {}
     for out, source in columns.items():
         present = F.when(F.col(source).isNotNull(), F.col("ts"))
@@ -47,10 +52,13 @@ def with_previous(df: DataFrame, columns: Mapping[str, str], keys: Sequence[str]
             ends[out] = F.max_by(source, "ts")
             priors[out] = F.lag(f"_end_{out}").over(slots)
             within[out] = F.lag(source).over(inside)
-    boundary = df.withColumn("_slot", _slot(slot_seconds)).groupBy(*keys, "_slot").agg(
-        *[c.alias(f"_end_{out}") for out, c in ends.items()])
-    boundary = boundary.select(*keys, "_slot", *[c.alias(f"_prior_{out}") for out, c in priors.items()])
-    work = work.select("*", F.row_number().over(inside).alias("_at"), *[c.alias(f"_in_{out}") for out, c in within.items()])
+    boundary = work.groupBy(*keys, "_slot").agg(
+        *[c.alias(f"_end_{out}") for out, c in ends.items()], *[c.alias(f"_day_{out}") for out, (c, _) in day.items()])
+    boundary = boundary.select(
+        *keys, "_slot", *[c.alias(f"_prior_{out}") for out, c in priors.items()],
+        *[combine(f"_day_{out}").over(whole).alias(out) for out, (_, combine) in day.items()])
+    if columns:
+        work = work.select("*", F.row_number().over(inside).alias("_at"), *[c.alias(f"_in_{out}") for out, c in within.items()])
     joined = work.join(boundary, [*keys, "_slot"], "left")
 
     def value(out, source):
@@ -58,7 +66,7 @@ def with_previous(df: DataFrame, columns: Mapping[str, str], keys: Sequence[str]
             return F.when(F.col(source).isNotNull(), F.coalesce(f"_in_{out}", f"_prior_{out}"))
         return F.when(F.col("_at") == 1, F.col(f"_prior_{out}")).otherwise(F.col(f"_in_{out}"))
 
-    return joined.select(*df.columns, *[value(out, source).alias(out) for out, source in columns.items()])
+    return joined.select(*df.columns, *[value(out, source).alias(out) for out, source in columns.items()], *day)
 
 
 def resample(df: DataFrame, minutes: int) -> DataFrame:
@@ -83,9 +91,7 @@ def day_features(df: DataFrame, tail_minutes: int = 30, min_bars: int = 1, suffi
     """
     rows = df.select(*KEYS, "ts", finite(F.col("price")).alias("price"), "volume", "amount")
     rows = rows.withColumn("_lp", F.ln(F.col("price") + EPS))
-    rows = with_previous(rows, {"_prev": "_lp"}, KEYS, slot_seconds)
-    ends = df.groupBy(*KEYS).agg(F.max("ts").alias("_end"))
-    rows = rows.join(ends, list(KEYS))
+    rows = with_previous(rows, {"_prev": "_lp"}, KEYS, slot_seconds, day={"_end": (F.max("ts"), F.max)})
     tail = F.col("ts") >= F.timestamp_add("MINUTE", F.lit(-max(1, int(tail_minutes))), F.col("_end"))
     ret = F.col("_lp") - F.col("_prev")
     price = F.col("price")
@@ -219,15 +225,14 @@ def day_aggregates(df: DataFrame, aggregates: Mapping[str, DayAggregate], min_ba
     work = df.where(F.col("close").isNotNull()).select("*", *[s.column.cast("double").alias(slot[l]) for l, s in args.items()])
     stepped = [l for l, s in args.items() if s.differenced]
     if stepped:
-        before = {f"{slot[l]}_p": slot[l] for l in stepped}
         plain = work.columns
+        before = {f"{slot[l]}_p": slot[l] for l in stepped}
         work = with_previous(work, before, keys, slot_seconds, skip_nulls=False)
         steps = {slot[l]: F.col(slot[l]) - F.col(f"{slot[l]}_p") for l in stepped}
         work = work.select(*[steps[c].alias(c) if c in steps else F.col(c) for c in plain])
     timed = sorted({a.x.label for a in named.values() if _minutes(a.window) is not None})
-    ends = work.groupBy(*keys).agg(F.count(F.lit(1)).alias("_bars"), *[
-        F.max(F.when(F.col(slot[l]).isNotNull(), F.col("ts"))).alias(f"{slot[l]}_end") for l in timed])
-    rows = work.join(ends, keys)
+    rows = with_previous(work, {}, keys, slot_seconds, day={f"{slot[l]}_end": (
+        F.max(F.when(F.col(slot[l]).isNotNull(), F.col("ts"))), F.max) for l in timed}) if timed else work
     built = []
     for name, a in named.items():
         if isinstance(a.window, int):
@@ -238,7 +243,7 @@ def day_aggregates(df: DataFrame, aggregates: Mapping[str, DayAggregate], min_ba
         if m is not None:
             value = F.when(F.col("ts") >= F.timestamp_add("MINUTE", F.lit(-m), F.col(f"{slot[a.x.label]}_end")), value)
         built.append(_apply(a.function, value, F.col("ts")).alias(name))
-    out = rows.groupBy(*keys).agg(F.max("_bars").alias("_bars"), *built)
+    out = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_bars"), *built)
     for name, a in named.items():
         if not isinstance(a.window, int):
             continue

@@ -55,9 +55,10 @@ def rolling_folds(df: DataFrame, folds: int = 4, window: int = 20, step: int | N
 
 def with_fold(df: DataFrame, folds: DataFrame) -> DataFrame:
     """Rows of the validation folds with their fold's name (each day lies in one fold at most)."""
-    days = df.select("trade_date").distinct()
-    f = F.broadcast(folds.select("fold", "start_date", "end_date"))  # a handful of rows
-    named = days.join(f, F.col("trade_date").between(F.col("start_date"), F.col("end_date"))).select("trade_date", "fold")
+    listed = folds.agg(F.collect_list(F.struct("fold", "start_date", "end_date")).alias("l")).scalar()  # a handful
+    days = df.select("trade_date").distinct().withColumn("_folds", listed)
+    hit = F.filter("_folds", lambda f: F.col("trade_date").between(f["start_date"], f["end_date"]))
+    named = days.select("trade_date", F.try_element_at(hit, F.lit(1))["fold"].alias("fold")).where("fold IS NOT NULL")
     return df.join(F.broadcast(named), "trade_date")  # one row per day at most
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,15 +23,26 @@ def local_session(cores: int = 8, name: str = "tidepanel", memory: str = "12g")
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder, so that lost executors cost nothing upstream.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can reach: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where none is configured (tests) a temporary one
-    is set.
+    Only where none is configured (tests on one machine) a temporary one is set.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidepanel-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidepanel-checkpoint-"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` computed once and written to the shared folder, read back from there.
+
+    For a table that several following steps read: it is not computed again for each of them, a lost executor costs
+    nothing upstream, and being parquet each reader takes only the columns it needs and the optimizer knows its
+    size.
+    """
+    path = f"{shared_folder(df.sparkSession)}/tidepanel-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

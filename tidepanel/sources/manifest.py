@@ -32,14 +32,14 @@ def data_hash(df: DataFrame) -> DataFrame:
 
 def quality_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per factor: rows, missing share, instruments and date range of the table."""
-    long = df.select("instrument_id", "trade_date", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("factor"), F.col(c).isNull().cast("int").alias("missing")) for c in columns])).alias("v"))
-    whole = df.agg(F.count_distinct("instrument_id").alias("instruments"), F.min("trade_date").alias("date_min"),
-                   F.max("trade_date").alias("date_max"))
-    per = long.groupBy("v.factor").agg(F.count(F.lit(1)).alias("row_count"),
-                                       (F.sum("v.missing") / F.count(F.lit(1))).alias("null_ratio"))
-    spot = whole.select(F.struct("*")).scalar()
-    return per.withColumn("_w", spot).select("factor", "row_count", "null_ratio", "_w.instruments", "_w.date_min", "_w.date_max")
+    whole = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("instrument_id").alias("instruments"),
+                   F.min("trade_date").alias("date_min"), F.max("trade_date").alias("date_max"),
+                   *[F.count(c).alias(f"k{i}") for i, c in enumerate(columns)])
+    cells = F.array(*[F.struct(F.lit(c).alias("factor"), F.col("n").alias("row_count"),
+                               (1.0 - F.try_divide(F.col(f"k{i}"), F.col("n"))).alias("null_ratio"))
+                      for i, c in enumerate(columns)])
+    return whole.select(F.explode(cells).alias("v"), "instruments", "date_min", "date_max").select(
+        "v.*", "instruments", "date_min", "date_max")
 
 
 def fingerprint(specs: Sequence[Mapping]) -> str:

@@ -8,7 +8,7 @@ from tidepanel.operators import evaluation as ev
 from tidepanel.operators import splits as sp
 from tidepanel.plans import tables
 
-from .common import BARS, PK, kept, query
+from .common import PK, kept, query
 from .labels import FOLD_ARGS, FOLDS_SQL
 from .portfolios import SCORES, scores
 
@@ -16,12 +16,6 @@ QUERIES = {}
 GRID = ev.strategy_grid((1, 3, 5), ("equal", "softmax"))
 NAMES = ("mean_return", "return_std", "risk_adjusted")
 
-QUERIES["strategy_grid"] = query(
-    lambda spark, folder: ev.strategy_table(spark, GRID).join(tables.read(spark, folder, "region").agg(F.count(F.lit(1)).alias("n")).where("n > 0"), F.lit(True)),
-    "SELECT 0 AS position, 'equal_top1' AS strategy, 1 AS top_k, 'equal' AS weighting UNION ALL SELECT 1, 'equal_top3', 3, 'equal' UNION ALL "
-    "SELECT 2, 'softmax_top3', 3, 'softmax' UNION ALL SELECT 3, 'equal_top5', 5, 'equal' UNION ALL SELECT 4, 'softmax_top5', 5, 'softmax'",
-    ("strategy", "weighting"), ["position", "top_k"], ctes=())
-
 
 def _returns_sql(source: str = "scores", out: str = "sr", by: str = "trade_date", grid=None) -> str:
     """CTE ``out`` (by, position, strategy, value)."""
@@ -139,10 +133,10 @@ def _board(spark, folder):
     s = scores(spark, folder)
     last = s.where("ret IS NOT NULL").agg(F.max("trade_date")).scalar()
     day = s.where(F.col("trade_date") == last)
-    return ev.strategy_board(day.select("instrument_id", "score"), day.where("position % 2 = 0").select("instrument_id", "ret"))
+    return ev.strategy_board(day.select("instrument_id", "score"), day.where("volume > 100").select("instrument_id", "ret"))
 
 
-_BOARD = "bo AS (SELECT *, row_number() OVER (ORDER BY score DESC, instrument_id) AS k, CASE WHEN position % 2 = 0 THEN ret END AS r, max(score) OVER () AS peak FROM scores WHERE trade_date = (SELECT max(trade_date) FROM scores WHERE ret IS NOT NULL))"
+_BOARD = "bo AS (SELECT *, row_number() OVER (ORDER BY score DESC, instrument_id) AS k, CASE WHEN volume > 100 THEN ret END AS r, max(score) OVER () AS peak FROM scores WHERE trade_date = (SELECT max(trade_date) FROM scores WHERE ret IS NOT NULL))"
 QUERIES["strategy_board"] = query(
     _board,
     f"{SCORES}, {_BOARD} => " + " UNION ALL ".join(

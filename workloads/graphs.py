@@ -76,14 +76,14 @@ QUERIES["similarity_knn"] = query(
 def _edge_sets(spark, folder, how):
     wide = kept(eg.similarity_knn(_vectors(spark, folder), ["label"], "vec_id", "embedding", 8))
     short = wide.where("score >= 0.3")
-    other = wide.where("(src + dst) % 2 = 0")
+    other = wide.where("score <= 0.5")
     return eg.combine_edges(short, other, how)
 
 
 for _how, _op in (("intersection", "INTERSECT"), ("union", "UNION")):
     QUERIES[f"edge_set_{_how}"] = query(
         lambda spark, folder, h=_how: _edge_sets(spark, folder, h),
-        f"{_KNN.format(k=8)} => SELECT src, dst FROM kn WHERE score >= 0.3 {_op} SELECT src, dst FROM kn WHERE (src + dst) % 2 = 0", ("src", "dst"), ctes=())
+        f"{_KNN.format(k=8)} => SELECT src, dst FROM kn WHERE score >= 0.3 {_op} SELECT src, dst FROM kn WHERE score <= 0.5", ("src", "dst"), ctes=())
 
 QUERIES["industry_index"] = query(
     lambda spark, folder: eg.industry_index(dim(spark, folder))[0],

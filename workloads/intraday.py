@@ -151,9 +151,10 @@ def _asof_sql(series: str, days: float | None, out: str, fill: bool = True) -> s
 SERIES = {"f_macro_m2_yoy": ("1-URGENT", 120.0), "f_macro_shibor_3m": ("2-HIGH", 20.0), "f_macro_usdcny": ("3-MEDIUM", 10.0)}
 
 QUERIES["asof_macro_true_cap"] = query(
-    lambda spark, folder: joins.asof_series(tables.bars(spark, folder), tables.macro(spark, folder).where("series_id = '5-LOW'"),
-                                            max_staleness_days=0.75, fill_forward=False).select("trade_date", "value"),
-    f"{_asof_sql('5-LOW', 0.75, 'a', False)} => SELECT * FROM a", ("trade_date",), {"value": 2}, ctes=(BARS, MACRO))
+    lambda spark, folder: joins.asof_series(tables.bars(spark, folder), tables.macro(spark, folder), max_staleness_days=0.75, fill_forward=False),
+    """grid AS (SELECT series_id, trade_date, CAST(trade_date AS TIMESTAMP) + INTERVAL 15 HOUR AS cutoff FROM (SELECT DISTINCT trade_date FROM bars), (SELECT DISTINCT series_id FROM macro)) =>
+    SELECT g.series_id, trade_date, CASE WHEN epoch(cutoff) - epoch(available_time) <= 0.75 * 86400 THEN value END AS value
+    FROM grid g ASOF LEFT JOIN macro m ON g.series_id = m.series_id AND g.cutoff >= m.available_time""", ("series_id", "trade_date"), {"value": 2}, ctes=(BARS, MACRO))
 
 QUERIES["asof_macro_columns"] = query(
     lambda spark, folder: joins.asof_columns(tables.bars(spark, folder), tables.macro(spark, folder), SERIES),

@@ -69,12 +69,12 @@ _NEUTRAL = {
     "industry": f"SELECT *, label - {_IND.format(x='label')} AS y FROM labd",
     "benchmark_then_industry": f"SELECT *, x - {_IND.format(x='x')} AS y FROM (SELECT *, label - {_BM.format(x='label')} AS x FROM labd)",
     "industry_then_benchmark": f"SELECT *, x - {_BM.format(x='x')} AS y FROM (SELECT *, label - {_IND.format(x='label')} AS x FROM labd)"}
-# every third supplier has no industry, so that the fallback is used
-_LABD = f"{LAB}, {_BENCH}, labd AS (SELECT lab.*, CASE WHEN CAST(instrument_id AS BIGINT) % 3 > 0 THEN industry END AS industry, benchmark_return FROM lab LEFT JOIN dim USING (instrument_id) LEFT JOIN bench USING (trade_date))"
+# suppliers in debt have no industry here, so that the fallback is used
+_LABD = f"{LAB}, {_BENCH}, labd AS (SELECT lab.*, CASE WHEN cap > 0 THEN industry END AS industry, benchmark_return FROM lab LEFT JOIN dim USING (instrument_id) LEFT JOIN bench USING (trade_date))"
 
 
 def _with_industry(spark, folder):
-    dim = tables.dimension(spark, folder).select("instrument_id", F.when(F.col("instrument_id").cast("bigint") % 3 > 0, F.col("industry")).alias("industry"))
+    dim = tables.dimension(spark, folder).select("instrument_id", F.when(F.col("cap") > 0, F.col("industry")).alias("industry"))
     return kept(labelled(spark, folder).join(dim, "instrument_id", "left"))
 
 

@@ -73,9 +73,9 @@ QUERIES["portfolio_turnover_penalty"] = query(
 
 QUERIES["portfolio_industry_cap"] = query(
     lambda spark, folder: pf.select_names(
-        scores(spark, folder).join(tables.dimension(spark, folder).select("instrument_id", F.when(F.col("instrument_id").cast("bigint") % 4 > 0, F.col("industry")).alias("industry")), "instrument_id", "left"),
+        scores(spark, folder).join(tables.dimension(spark, folder).select("instrument_id", F.when(F.col("cap") > 0, F.col("industry")).alias("industry")), "instrument_id", "left"),
         5, max_per_industry=1),
-    f"""{SCORES}, si AS (SELECT scores.*, CASE WHEN position % 4 > 0 THEN industry END AS industry FROM scores LEFT JOIN dim USING (instrument_id)),
+    f"""{SCORES}, si AS (SELECT scores.*, CASE WHEN cap > 0 THEN industry END AS industry FROM scores LEFT JOIN dim USING (instrument_id)),
     ci AS (SELECT *, row_number() OVER (PARTITION BY trade_date, coalesce(industry, '#' || instrument_id) ORDER BY score DESC, position DESC) AS g FROM si) =>
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY score DESC, position DESC) AS rank FROM ci WHERE g <= 1) WHERE rank <= 5""",
     ("trade_date", "instrument_id"), ["rank", "score"], ctes=(BARS, DIM))

@@ -2,30 +2,28 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from tidepanel.operators import joins
 from tidepanel.operators import quality as q
-from tidepanel.operators import stats
-from tidepanel.plans import catalog, featuresets, tables
+from tidepanel.plans import catalog, tables
 from tidepanel.sources import canonical as cn
 from tidepanel.sources import files, manifest, providers
 from tidepanel.functions import rolling as r
 from tidepanel.functions.factor import by_instrument, with_factors
 
+from tidepanel.session import shared_folder
+
 from .common import BARS, DIM, ORDERED, PK, kept, query
 
 QUERIES = {}
 
 
 def scratch(spark, name):
-    """A fresh folder next to the checkpoints, which every executor can reach."""
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidepanel-")
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex}") if "://" not in root and not root.startswith("file:") else f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # ---- normalisation ----------------------------------------------------------------------------------------------
