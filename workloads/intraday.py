@@ -102,19 +102,23 @@ def _user_aggregates(spark, folder):
         "step_tail": i.day_agg("mean", step, "120m"), "abs_sum": i.day_agg("sum", i.series(F.abs(F.col("close") - 50.0), "dist"))}, 5)
 
 
+_ENOUGH = ", ".join(f"CASE WHEN n >= 5 THEN {c} END AS {c}" for c in (
+    "tail_share", "all_sum", "mean5", "std_tail", "low_", "top_", "first_tail", "last_", "rvar", "step_tail", "abs_sum"))
 _LAST = "row_number() OVER (PARTITION BY instrument_id, trade_date ORDER BY ts DESC)"
 QUERIES["intraday_user_aggregates"] = query(
     _user_aggregates,
     f"""agg_rows AS (
   SELECT *, {_LAST} AS back, max(ts) OVER (PARTITION BY instrument_id, trade_date) AS end_ts,
          ln(price + 1e-12) - lag(ln(price + 1e-12)) OVER (PARTITION BY instrument_id, trade_date ORDER BY ts) AS step
-  FROM minutes) =>
-  SELECT instrument_id, trade_date, sum(price) FILTER (WHERE ts >= end_ts - INTERVAL 60 MINUTE) AS tail_share, sum(price) AS all_sum,
+  FROM minutes),
+day_agg AS (
+  SELECT instrument_id, trade_date, count(*) AS n, sum(price) FILTER (WHERE ts >= end_ts - INTERVAL 60 MINUTE) AS tail_share, sum(price) AS all_sum,
          avg(volume) FILTER (WHERE back <= 5) AS mean5, stddev_pop(price) FILTER (WHERE ts >= end_ts - INTERVAL 120 MINUTE) AS std_tail,
          min(price) AS low_, max(price) FILTER (WHERE back <= 10) AS top_,
          arg_min(volume, ts) FILTER (WHERE ts >= end_ts - INTERVAL 60 MINUTE) AS first_tail, arg_max(price, ts) AS last_,
          sum(step * step) AS rvar, avg(step) FILTER (WHERE ts >= end_ts - INTERVAL 120 MINUTE) AS step_tail, sum(abs(price - 50)) AS abs_sum
-  FROM agg_rows GROUP BY 1, 2 HAVING count(*) >= 5""",
+  FROM agg_rows GROUP BY 1, 2) =>
+  SELECT instrument_id, trade_date, {_ENOUGH} FROM day_agg""",
     PK, {c: 4 for c in ("tail_share", "all_sum", "mean5", "std_tail", "low_", "top_", "first_tail", "last_", "rvar", "step_tail", "abs_sum")},
     ctes=(MINUTES,))
 
