@@ -13,6 +13,7 @@ from ..functions import recursive as rec
 from ..functions import rolling, scalar
 from ..functions.factor import PANEL, Axis, Factor, factor, sql, with_factors
 from ..operators.cross_section import cs_rank, cs_zscore, null_policy
+from ..operators.joins import one_row_per_key
 from ..session import durable
 from ..sources.manifest import fingerprint
 
@@ -101,6 +102,17 @@ def as_table(spark: SparkSession, specs: Sequence[FactorSpec]) -> DataFrame:
     return spark.createDataFrame(rows, "name string, function string, inputs string, `group` string, source string, enabled boolean")
 
 
+def resolve_table(builtin: DataFrame, overrides: DataFrame, custom: DataFrame, disabled: DataFrame) -> DataFrame:
+    """:func:`resolve` for catalogs kept as tables (columns of :func:`as_table`); a name that occurs twice fails."""
+    changed = [c for c in builtin.columns if c != "name"]
+    renamed = one_row_per_key(overrides, ["name"]).select("name", *[F.col(c).alias(f"_o_{c}") for c in changed], F.lit(True).alias("_hit"))
+    own = builtin.join(renamed, "name", "left").select(
+        "name", *[F.when(F.col("_hit"), F.col(f"_o_{c}")).otherwise(F.col(c)).alias(c) for c in changed],
+        F.coalesce("_hit", F.lit(False)).alias("overridden"))
+    every = one_row_per_key(own.unionByName(custom.withColumn("overridden", F.lit(False))), ["name"])
+    return every.where("enabled").join(disabled.select("name").distinct(), "name", "left_anti")
+
+
 def group_counts(catalog: DataFrame) -> DataFrame:
     return catalog.groupBy("group", "source").agg(
         F.count(F.lit(1)).alias("factors"), F.sum(F.col("enabled").cast("int")).alias("enabled"))

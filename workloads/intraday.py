@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidepanel.operators import intraday as i
 from tidepanel.operators import joins
 from tidepanel.plans import tables
 from tidepanel.plans.factor_graph import factor_graph, minute_factors
+from tidepanel.session import shared_folder
 from tidepanel.sources.canonical import canonical_minutes
+from tidepanel.streaming import minute_bars as minute_bars_stream
 
 from .common import BARS, MACRO, MINUTES, ORDERED, PK, avg, kept, query, std
 
@@ -233,3 +237,26 @@ for _name, _zero in (("factor_graph_all_inputs", "null"), ("factor_graph_zero_st
     QUERIES[_name] = query(
         lambda spark, folder, z=_zero: _graph_all(spark, folder, z), _graph_sql(_zero == "zero"), PK,
         {c: 2 if c in SERIES else 5 for c in (*_GRAPH_COLUMNS, *_NODE_NAMES)}, ctes=(MINUTES,))
+
+
+# ---- streams ----------------------------------------------------------------------------------------------------
+
+
+def _streamed(spark, folder):
+    """Five-minute bars of the events read as a stream; buckets still open under the watermark are not out yet."""
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{folder}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    bars = events.select(F.col("event_type").alias("instrument_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"),
+                         F.get_json_object("props", "$.k").try_cast("double").alias("volume")).withColumn("amount", F.col("price") * F.col("volume"))
+    made = minute_bars_stream.resample_stream(bars, 5, "10 minutes")
+    q = made.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start(f"{path}/out")
+    q.awaitTermination()
+    return spark.read.parquet(f"{path}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+QUERIES["stream_resample_5m"] = query(
+    _streamed,
+    """sb AS (SELECT instrument_id, time_bucket(INTERVAL 5 MINUTE, ts, TIMESTAMP '1970-01-01') AS ts, max(price) AS top, sum(volume) AS volume, sum(amount) AS amount FROM raw_minutes GROUP BY 1, 2) =>
+    SELECT instrument_id, ts, volume, amount FROM sb WHERE ts + INTERVAL 5 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM raw_minutes)""",
+    ("instrument_id", "ts"), ["volume", "amount"], 3, ctes=(MINUTES,))

@@ -10,7 +10,7 @@ from tidepanel.operators import joins
 from tidepanel.operators import quality as q
 from tidepanel.plans import catalog, tables
 from tidepanel.sources import canonical as cn
-from tidepanel.sources import files, manifest, providers
+from tidepanel.sources import files, logs, manifest, providers
 from tidepanel.functions import rolling as r
 from tidepanel.functions.factor import by_instrument, with_factors
 
@@ -300,3 +300,42 @@ def _lenient(spark, folder):
 QUERIES["factor_nodes_lenient"] = query(
     _lenient, f"SELECT *, CASE WHEN count(close) OVER w = 5 THEN avg(close) OVER w END AS ok, CAST(NULL AS DOUBLE) AS bad, CAST(NULL AS DOUBLE) AS after, CAST(NULL AS DOUBLE) AS lost FROM bars "
     "WINDOW w AS (PARTITION BY instrument_id ORDER BY trade_date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)", PK, ["ok", "bad", "after", "lost"], 3)
+
+
+def _resolved(spark, folder):
+    """Parts as built-in factors: those of one manufacturer type overridden, suppliers as custom ones, some disabled."""
+    part = tables.read(spark, folder, "part")
+    builtin = part.select(F.concat(F.lit("p"), "p_partkey").alias("name"), F.col("p_brand").alias("group"), (F.col("p_size") > 10).alias("enabled"))
+    overrides = part.where("p_retailprice > 1200").select(F.concat(F.lit("p"), "p_partkey").alias("name"), F.lit("changed").alias("group"), F.lit(True).alias("enabled"))
+    custom = tables.read(spark, folder, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("name"), F.lit("custom").alias("group"), (F.col("s_acctbal") > 0).alias("enabled"))
+    disabled = part.where("p_brand = 'Brand#11'").select(F.concat(F.lit("p"), "p_partkey").alias("name"))
+    return catalog.resolve_table(builtin, overrides, custom, disabled).withColumnRenamed("group", "factor_group")
+
+
+QUERIES["catalog_resolution"] = query(
+    _resolved,
+    """SELECT 'p' || p_partkey AS name, CASE WHEN p_retailprice > 1200 THEN 'changed' ELSE p_brand END AS factor_group, p_retailprice > 1200 AS overridden
+       FROM part WHERE (p_size > 10 OR p_retailprice > 1200) AND p_brand <> 'Brand#11'
+       UNION ALL SELECT 's' || s_suppkey, 'custom', FALSE FROM supplier WHERE s_acctbal > 0""", ("name", "factor_group", "overridden"), ctes=())
+
+# ---- logs -------------------------------------------------------------------------------------------------------
+
+
+def _log_lines(spark, folder):
+    """Each supplier's bars as a training log: a header per month, then two figures, the first reported twice."""
+    b = tables.bars(spark, folder).select("instrument_id", "trade_date", "volume", "turnover")
+    b = b.withColumn("k", F.months_between("trade_date", F.lit("1990-01-01").cast("date")).cast("int"))
+    lines = F.array(F.format_string("=== Epoch %d/400 ===", "k"), F.lit("Train loss: 0.5"), F.format_string("Train loss: %.1f", "volume"),
+                    F.format_string("Eval rank-ic: %.4f", "turnover"), F.format_string("  - price: features=%d, return=%.4f, delta=-0.5", "k", "turnover"), F.lit("other text"))
+    placed = b.select(F.col("instrument_id").alias("file"), "k", F.posexplode(lines).alias("n", "line"))
+    return placed.select("file", (F.col("k") * 10 + F.col("n")).alias("line_no"), "line")
+
+
+QUERIES["training_log_metrics"] = query(
+    lambda spark, folder: logs.parse_training_log(_log_lines(spark, folder))["metrics"],
+    """lm AS (SELECT instrument_id AS file, CAST(datediff('month', DATE '1990-01-01', trade_date) AS INTEGER) AS epoch, volume, round(turnover, 4) AS t FROM bars) =>
+    SELECT file, epoch, 'train_loss' AS name, volume AS value FROM lm UNION ALL SELECT file, epoch, 'eval_rank-ic', t FROM lm""", ("file", "epoch", "name"), {"value": 3})
+QUERIES["training_log_ablation"] = query(
+    lambda spark, folder: logs.parse_training_log(_log_lines(spark, folder))["ablation"].withColumnRenamed("return", "ret"),
+    """SELECT instrument_id AS file, CAST(datediff('month', DATE '1990-01-01', trade_date) AS INTEGER) AS epoch, 'price' AS factor_group,
+       datediff('month', DATE '1990-01-01', trade_date) AS num_features, round(turnover, 4) AS ret, -0.5 AS delta FROM bars""", ("file", "epoch", "factor_group"), {"num_features": 0, "ret": 3, "delta": 2})
