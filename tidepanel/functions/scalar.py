@@ -81,4 +81,5 @@ def vwap(amount, volume) -> Factor:
 def finite(c):
     """A Column with NaN and the infinities turned into NULL."""
     c = c.cast("double")
-    return F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), c)
+    # NaN counts as larger than every number, so one comparison excludes all three
+    return F.when(F.abs(c) < F.lit(float("inf")), c)

@@ -80,18 +80,17 @@ def timestamp(df: DataFrame, column: str) -> Column:
     c = F.col(column)
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return c.cast("timestamp_ntz")
-    text = F.translate(F.trim(c.cast("string")), "/", "-")
-    compact = F.concat_ws("-", F.substring(text, 1, 4), F.substring(text, 5, 2), F.substring(text, 7, 2))
-    # one cast reads every remaining form, padded or not; pattern parsing costs an exception per miss
-    return F.when(text.rlike(r"^\d{8}$"), compact).otherwise(text).try_cast("timestamp_ntz")
+    dashed = F.translate(F.trim(c.cast("string")), "/", "-")
+    # one cast reads every form, padded or not; pattern parsing costs an exception per miss
+    return F.regexp_replace(dashed, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3").try_cast("timestamp_ntz")
 
 
 def instrument_id(c: Column) -> Column:
     """The first run of six digits, else the last six of all digits zero-filled; without digits an empty text."""
-    text = F.upper(F.trim(F.coalesce(c.cast("string"), F.lit(""))))
-    six = F.regexp_extract(text, r"(\d{6})", 1)
+    text = c.cast("string")
     digits = F.regexp_replace(text, r"\D", "")
-    return (F.when(six != "", six).when(digits != "", F.lpad(F.right(digits, F.lit(6)), 6, "0")).otherwise(F.lit("")))
+    return (F.when(text.rlike(r"\d{6}"), F.regexp_extract(text, r"\d{6}", 0))
+            .when(text.rlike(r"\d"), F.lpad(F.right(digits, F.lit(6)), 6, "0")).otherwise(F.lit("")))
 
 
 def exchange_symbol(c: Column) -> Column:
