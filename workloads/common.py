@@ -20,9 +20,19 @@ PK = ("instrument_id", "trade_date")
 HALF = 0.5001
 
 
+HUGE = 1e12  # beyond this a quotient by epsilon is all that is left; compared in units of 1e8
+
+
 def rounded_column(c, digits: int):
-    scale = F.lit(float(10 ** digits))
-    return F.floor(c.cast("double") * scale + F.lit(HALF)).cast("double") / scale + F.lit(0.0)
+    x, scale = c.cast("double"), F.lit(float(10 ** digits))
+    fine = F.floor(x * scale + F.lit(HALF)).cast("double") / scale + F.lit(0.0)
+    return F.when(F.abs(x) >= HUGE, F.floor(x / 1e8 + F.lit(HALF)).cast("double") * 1e8).otherwise(fine)
+
+
+def rounded_sql(c: str, digits: int) -> str:
+    x = f"CAST({c} AS DOUBLE)"
+    return (f"CASE WHEN abs({x}) >= {HUGE} THEN floor({x} / 1e8 + {HALF}) * 1e8 "
+            f"ELSE floor({x} * 1e{digits} + {HALF}) / 1e{digits} + 0.0 END")
 
 
 @dataclass(frozen=True)
@@ -48,7 +58,7 @@ def query(run: Callable[[SparkSession, str], DataFrame], sql: str | None, keys:
         body = sql.strip()
         more, select = body.split("=>", 1) if "=>" in body else ("", body)
         tables_ = ",".join([*ctes, *([more] if more.strip() else [])])
-        picked = ", ".join([*keys, *[f"floor(CAST({c} AS DOUBLE) * 1e{d} + {HALF}) / 1e{d} + 0.0 AS {c}" for c, d in rounding.items()]])
+        picked = ", ".join([*keys, *[f"{rounded_sql(c, d)} AS {c}" for c, d in rounding.items()]])
         text = (f"WITH {tables_} " if tables_.strip() else "") + f"SELECT {picked} FROM ({select.strip()}) AS checked"
     return Query(rounded, text)
 

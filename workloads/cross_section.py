@@ -17,16 +17,21 @@ QUERIES = {}
 W = "OVER (PARTITION BY trade_date)"
 
 
+def _steady(x):
+    """Rounded to nine digits: means of the same numbers in another order are then equal, and so are their ranks."""
+    return x.map(f"steady({x.label})", lambda c: F.floor(c * 1e9 + 0.5001).cast("double") / 1e9)
+
+
 def featured(spark, folder):
     """Bars with a few factors, stored once: every query here reads it several times."""
     return kept(with_factors(by_instrument(tables.bars(spark, folder)), {
         "ret_1": r.pct_change("close"), "ret_5": r.pct_change("close", 5), "vol_20": r.rolling_std(r.pct_change("close"), 20),
-        "turn_5": r.sma("turnover", 5)}))
+        "turn_5": _steady(r.sma("turnover", 5))}))
 
 
 FEAT = f"""
 s0 AS (SELECT *, close / lag(close) OVER {ORDERED} - 1 AS ret_1, close / lag(close, 5) OVER {ORDERED} - 1 AS ret_5 FROM bars),
-feat AS (SELECT *, {std('ret_1', 20)} AS vol_20, {avg('turnover', 5)} AS turn_5 FROM s0)"""
+feat AS (SELECT *, {std('ret_1', 20)} AS vol_20, floor(({avg('turnover', 5)}) * 1e9 + 0.5001) / 1e9 AS turn_5 FROM s0)"""
 
 
 def z(c, by="trade_date", eps="1e-12"):
