@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan
+from ..session import durable
+from . import license_scan, mixing, packing, token_counts
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,8 +18,24 @@ def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.digest(license_scan.scan(table(spark, folder, "documents")))
 
 
+def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, folder, "documents"))
+
+
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = durable(mixing.sized(table(spark, folder, "documents")))
+    return mixing.taken(sizes, mixing.draw(sizes, mixing.targets(sizes))).withColumnRenamed("doc", "doc_id")
+
+
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents")).withColumnRenamed("doc", "doc_id")
+
+
+QUERIES = (op1_license_scan, op5_token_counts, op6_mixing, op10_packing)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_license_scan": op1_license_scan}
+    return {run.__name__: run for run in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
