@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import durable
-from . import license_scan, mixing, packing, token_counts
+from . import license_scan, mixing, packing, token_counts, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.digest(license_scan.scan(table(spark, folder, "documents")))
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.predict(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"))
 
@@ -31,7 +35,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents")).withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = (op1_license_scan, op5_token_counts, op6_mixing, op10_packing)
+QUERIES = (op1_license_scan, op4_toxicity, op5_token_counts, op6_mixing, op10_packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
