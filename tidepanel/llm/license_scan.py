@@ -16,7 +16,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import lower_ascii, whole
+from .text import let, lower_ascii, whole
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 START, END = "\u0001", "\u0002"  # separators, so no normal form contains them
@@ -257,9 +257,9 @@ def _places(normal: Column, rule: Column) -> Column:
     at = F.transform(tokens, lambda w, i: F.struct(F.substring(w, 1, 1).eqNullSafe(START).alias("first"),
                                                    F.contains(w, F.lit(END)).alias("last"), i.alias("i")))
     edges = F.filter(at, lambda e: e["first"] | e["last"])
-    firsts = F.transform(F.filter(edges, lambda e: e["first"]), lambda e: e["i"])
-    lasts = F.transform(F.filter(edges, lambda e: e["last"]), lambda e: e["i"])
-    return F.arrays_zip(firsts.alias("first"), lasts.alias("last"))
+    return let(edges, lambda x: F.zip_with(
+        F.filter(x, lambda e: e["first"]), F.filter(x, lambda e: e["last"]),
+        lambda a, b: F.struct(a["i"].alias("first"), b["i"].alias("last"))))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -277,36 +277,38 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                                             for n, r in enumerate(table)])), _SCHEMA)
     keywords = F.array(*[F.lit(k) for k in sorted({r.keyword for r in table})])
     inner = F.trim(F.regexp_replace(lower_ascii(whole(text_col)), SEPARATORS, " "))
-    base = docs.select(F.col(id_col), inner.alias("inner"))
-    gated = base.select(id_col, "inner", F.array_intersect(keywords, F.split("inner", " ")).alias("found"))
-    gated = gated.select(
-        id_col, "found",
-        F.when(F.col("inner") == "", 0).otherwise(
-            F.length("inner") - F.length(F.replace(F.col("inner"), F.lit(" "), F.lit(""))) + 1).cast("long").alias("n_words"),
-        F.when(F.size("found") > 0, F.concat(F.lit(" "), F.replace(F.col("inner"), F.lit(" "), F.lit("  ")), F.lit(" "))
-               ).alias("normal"))
-
-    def detect(rule: Column) -> Column:
-        return F.when(F.rlike("normal", rule["pattern"]), F.transform(
-            _places(F.col("normal"), rule),
-            lambda p: F.struct(p["first"].alias("first"), (-p["last"]).alias("minus_last"),
-                               (-rule["priority"]).alias("minus_priority"), rule["n"].alias("rule"),
-                               rule["label"].alias("label"), rule["weight"].alias("weight"), rule["base"].alias("base"))
-        )).otherwise(F.array().cast(_HIT))
-
-    hits = F.when(F.size("found") == 0, F.array().cast(_HIT)).otherwise(F.array_sort(F.flatten(F.transform(
-        F.filter(literal, lambda r: F.array_contains(F.col("found"), r["keyword"])), detect))))
-    found = gated.select(id_col, "n_words", hits.alias("every"))
-
-    def shown(h: Column) -> Column:
-        return F.struct(h["first"].alias("first"), (-h["minus_last"]).alias("last"),
-                        (-h["minus_priority"]).alias("priority"), h["label"].alias("label"),
-                        h["weight"].alias("weight"), h["rule"].alias("rule"))
-
-    return found.select(
-        id_col, "n_words",
-        F.transform(F.filter("every", lambda h: h["base"]), shown).alias("base_hits"),
-        F.transform(_surviving(F.col("every")), shown).alias("hits"))
+
+    def scanned(inner: Column) -> Column:
+        n_words = F.when(inner == "", 0).otherwise(
+            F.length(inner) - F.length(F.replace(inner, F.lit(" "), F.lit(""))) + 1).cast("long")
+        hits = let(F.array_intersect(keywords, F.split(inner, " ")), lambda found: F.when(
+            F.size(found) == 0, F.array().cast(_HIT)).otherwise(let(
+                F.concat(F.lit(" "), F.replace(inner, F.lit(" "), F.lit("  ")), F.lit(" ")),
+                lambda normal: detected(found, normal))))
+        return let(hits, lambda every: F.struct(
+            n_words.alias("n_words"), F.transform(F.filter(every, lambda h: h["base"]), _shown).alias("base_hits"),
+            F.transform(_surviving(every), _shown).alias("hits")))
+
+    def detected(found: Column, normal: Column) -> Column:
+        tried = F.filter(literal, lambda r: F.array_contains(found, r["keyword"]))
+        return F.array_sort(F.flatten(F.transform(tried, lambda r: _detect(normal, r))))
+
+    return docs.select(F.col(id_col), let(inner, scanned).alias("scanned__")).select(id_col, "scanned__.*")
+
+
+def _detect(normal: Column, rule: Column) -> Column:
+    """A rule's hits, first those that start first."""
+    return F.when(F.rlike(normal, rule["pattern"]), F.transform(
+        _places(normal, rule),
+        lambda p: F.struct(p["first"].alias("first"), (-p["last"]).alias("minus_last"),
+                           (-rule["priority"]).alias("minus_priority"), rule["n"].alias("rule"),
+                           rule["label"].alias("label"), rule["weight"].alias("weight"), rule["base"].alias("base"))
+    )).otherwise(F.array().cast(_HIT))
+
+
+def _shown(h: Column) -> Column:
+    return F.struct(h["first"].alias("first"), (-h["minus_last"]).alias("last"), (-h["minus_priority"]).alias("priority"),
+                    h["label"].alias("label"), h["weight"].alias("weight"), h["rule"].alias("rule"))
 
 
 _HIT = ("array<struct<first:int,minus_last:int,minus_priority:int,rule:int,label:string,weight:double,base:boolean>>")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import durable
-from . import license_scan, mixing, packing, token_counts, toxicity
+from . import license_scan, mixing, packing, pairwise_quality, quality_cascade, token_counts, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.digest(license_scan.scan(table(spark, folder, "documents")))
 
 
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_cascade.verdicts(table(spark, folder, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.predict(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -31,11 +35,15 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken(sizes, mixing.draw(sizes, mixing.targets(sizes))).withColumnRenamed("doc", "doc_id")
 
 
+def op7_pairwise_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return pairwise_quality.predict(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents")).withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = (op1_license_scan, op4_toxicity, op5_token_counts, op6_mixing, op10_packing)
+QUERIES = (op1_license_scan, op2_quality_rules, op4_toxicity, op5_token_counts, op6_mixing, op7_pairwise_quality, op10_packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

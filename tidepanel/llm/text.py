@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+BLANK = " \t\n\x0b\f\r"
 BLANKS = r"[ \t-\r]+"
 
 
@@ -16,15 +19,19 @@ def whole(text: str | Column) -> Column:
 
 def words(text: Column) -> Column:
     """Maximal runs of other characters than space, tab, newline, vertical tab, form feed and return."""
-    return F.filter(F.split(text, BLANKS), lambda w: w != "")
+    inner = F.trim(text, F.lit(BLANK))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, BLANKS))
 
 
 def word_count(text: Column) -> Column:
-    """How many ``words`` a non-null text has; only its first and its last piece can be empty."""
-    pieces = F.split(text, BLANKS)
-    outer = F.when(F.substring(text, 1, 1).rlike(r"^[ \t-\r]"), 1).otherwise(0) + F.when(
-        F.substring(text, -1, 1).rlike(r"^[ \t-\r]"), 1).otherwise(0)
-    return F.when(text.rlike(r"[^ \t-\r]"), F.size(pieces) - outer).otherwise(0).cast("long")
+    """How many ``words`` a text has."""
+    inner = F.trim(text, F.lit(BLANK))
+    return F.when(inner == "", 0).otherwise(F.size(F.split(inner, BLANKS))).cast("long")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once and only if the result is asked for."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def lower_ascii(text: Column) -> Column:
