@@ -27,3 +27,11 @@ def blocks(texts: list, block_bytes: int = BLOCK_BYTES, before: bytes = b" ", af
         offsets.append(total)
     if parts:
         yield first, len(texts), np.frombuffer(b"".join(parts), np.uint8), np.array(offsets)
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The different values in rising order, by sorting."""
+    ordered = np.sort(values)
+    if not len(ordered):
+        return ordered
+    return ordered[np.append(True, ordered[1:] != ordered[:-1])]

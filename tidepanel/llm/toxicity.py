@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import blocks
+from .blocks import blocks, distinct
 from .labelled import training_rows
 from .per_text import per_text
 from .text import fold
@@ -57,13 +57,13 @@ def present(texts: list, chosen: np.ndarray | None = None) -> Iterator[tuple[int
     ``chosen`` marks the buckets that count; without it all do.
     """
     for first, stop, raw, offsets in blocks([t and t.lower() for t in texts]):
-        keys = []
+        keys, owner = [], np.repeat(np.arange(stop - first), np.diff(offsets))
         for n, h in grams(raw):
             at = np.arange(len(h)) if chosen is None else np.flatnonzero(chosen[h])
-            text = np.searchsorted(offsets, at, "right") - 1
+            text = owner[at]
             inside = at + n <= offsets[text + 1]  # n-grams don't reach into the next text
             keys.append((text[inside] << BITS) + h[at[inside]])
-        key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+        key = distinct(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
         yield first, stop, key >> BITS, key & ((1 << BITS) - 1)
 
 
