@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import durable
-from . import license_scan, mixing, packing, pairwise_quality, quality_cascade, token_counts, toxicity
+from . import license_scan, mixing, ngram_join, packing, pairwise_quality, quality_cascade, token_counts, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -39,11 +39,16 @@ def op7_pairwise_quality(spark: SparkSession, folder: str) -> DataFrame:
     return pairwise_quality.predict(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op9_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.join(table(spark, folder, "documents"))
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents")).withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = (op1_license_scan, op2_quality_rules, op4_toxicity, op5_token_counts, op6_mixing, op7_pairwise_quality, op10_packing)
+QUERIES = (op1_license_scan, op2_quality_rules, op4_toxicity, op5_token_counts, op6_mixing, op7_pairwise_quality,
+           op9_ngram_join, op10_packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
