@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from ..session import durable
 from .blocks import blocks, distinct
 from .components import components
+from .lists import list_entries, stars
 from .per_text import per_text
 
 WORDS, PERCENT = 5, 80
@@ -113,10 +114,7 @@ def profiles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _entries(docs: DataFrame, id_col: str, text_col: str, frequent: np.ndarray) -> DataFrame:
-    """(shingle, doc, near): prefix entries with frequent shingles last, one per shingle and task run.
-
-    Further documents of the run that have the shingle come with ``near``, the first of them, and no shingle.
-    """
+    """Entries (see ``lists``) of prefixes with frequent shingles last; the keys are shingles."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
     named = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).where(F.col("doc").isNotNull())
     kind = named.schema["doc"].dataType
@@ -138,19 +136,9 @@ def _entries(docs: DataFrame, id_col: str, text_col: str, frequent: np.ndarray)
             if not sets:
                 continue
             shingle, row = np.concatenate(sets), np.concatenate(rows)
-            order = np.lexsort((row, shingle))
-            shingle, row = shingle[order], row[order]
-            leads = np.append(True, shingle[1:] != shingle[:-1])
-            lead = row[np.flatnonzero(leads)][np.cumsum(leads) - 1]
-            pairs = distinct(row[~leads] * (batch.num_rows + 1) + lead[~leads])
-            doc = batch.column("doc")
-            member, near = pairs // (batch.num_rows + 1), pairs % (batch.num_rows + 1)
-            yield pa.RecordBatch.from_arrays([
-                pa.concat_arrays([pa.array(shingle[leads]), pa.nulls(len(pairs), pa.int64())]),
-                doc.take(pa.array(np.concatenate((row[leads], member)))),
-                pa.concat_arrays([pa.nulls(int(leads.sum()), doc.type), doc.take(pa.array(near))])], ["shingle", "doc", "near"])
+            yield list_entries(shingle, row, batch.column("doc"))
 
-    return named.mapInArrow(run, f"shingle long, doc {kind.simpleString()}, near {kind.simpleString()}")
+    return named.mapInArrow(run, f"key long, doc {kind.simpleString()}, near {kind.simpleString()}")
 
 
 def _candidates(docs: DataFrame, profile: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -158,27 +146,7 @@ def _candidates(docs: DataFrame, profile: DataFrame, id_col: str, text_col: str)
     counted = profile.select(F.explode("prefix").alias("shingle")).groupBy("shingle").count().where(F.col("count") >= FREQUENT)
     frequent = counted.orderBy(F.desc("count"), "shingle").limit(MOST_FREQUENT).select("shingle").toArrow().column("shingle")
     entries = _entries(docs, id_col, text_col, np.sort(np.asarray(frequent.combine_chunks() if frequent.num_chunks else [], np.int64)))
-    # one shuffle: rows without a shingle are spread and pass through
-    keyed = entries.withColumn("key", F.coalesce("shingle", F.xxhash64("doc"))).repartition("key").sortWithinPartitions("key", "doc")
-    kind = entries.schema["doc"].dataType.simpleString()
-
-    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, lead = None, None  # the list that runs on from the batch before, and its first document
-        for batch in batches:
-            near, docs_ = batch.column("near"), batch.column("doc")
-            direct = near.is_valid()
-            yield pa.RecordBatch.from_arrays([docs_.filter(direct), near.filter(direct)], ["a", "b"])
-            shingle, doc = batch.column("shingle").drop_null().to_numpy(), docs_.filter(batch.column("shingle").is_valid())
-            if not len(shingle):
-                continue
-            leads = np.append(key is None or shingle[0] != key, shingle[1:] != shingle[:-1])
-            heads = np.append(-1, np.flatnonzero(leads))[np.cumsum(leads)]  # -1: the list of the batch before
-            follow = np.flatnonzero(~leads)
-            first = pa.concat_arrays([pa.array([lead], doc.type), doc])
-            yield pa.RecordBatch.from_arrays([doc.take(pa.array(follow)), first.take(pa.array(heads[follow] + 1))], ["a", "b"])
-            key, lead = shingle[-1], first[int(heads[-1]) + 1].as_py()
-
-    return keyed.select("shingle", "doc", "near").mapInArrow(stars, f"a {kind}, b {kind}").distinct()
+    return stars(entries)
 
 
 def search(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
