@@ -17,14 +17,22 @@ from pyspark.sql import functions as F
 from .blocks import distinct
 
 
-def list_entries(key: np.ndarray, row: np.ndarray, doc: pa.Array) -> pa.RecordBatch:
-    """Entries of a batch: document ``doc[row[i]]`` belongs on list ``key[i]``."""
+def list_entries(key: np.ndarray, row: np.ndarray, doc: pa.Array, chain: bool = False) -> pa.RecordBatch:
+    """Entries of a batch: document ``doc[row[i]]`` belongs on list ``key[i]``.
+
+    With ``chain`` the others of a list are linked to the one before them as well as to the first.
+    """
     order = np.lexsort((row, key))
     key, row = key[order], row[order]
     leads = np.append(True, key[1:] != key[:-1])[:len(key)]
     lead = row[leads][np.cumsum(leads) - 1]
     apart = ~leads & (row != lead)
-    pairs = distinct(row[apart] * (len(doc) + 1) + lead[apart])
+    pairs = row[apart] * (len(doc) + 1) + lead[apart]
+    if chain:
+        before = np.append(row[:1], row[:-1])
+        apart = ~leads & (row != before)
+        pairs = np.append(pairs, row[apart] * (len(doc) + 1) + before[apart])
+    pairs = distinct(pairs)
     member, near = pairs // (len(doc) + 1), pairs % (len(doc) + 1)
     return pa.RecordBatch.from_arrays([
         pa.concat_arrays([pa.array(key[leads]), pa.nulls(len(pairs), pa.int64())]),
@@ -32,9 +40,11 @@ def list_entries(key: np.ndarray, row: np.ndarray, doc: pa.Array) -> pa.RecordBa
         pa.concat_arrays([pa.nulls(int(leads.sum()), doc.type), doc.take(pa.array(near))])], ["key", "doc", "near"])
 
 
-def stars(entries: DataFrame) -> DataFrame:
+def stars(entries: DataFrame, chain: bool = False) -> DataFrame:
     """(a, b): each document of a list with the first one there, and those that have met already; every pair once.
 
+    With ``chain`` also each with the one before it on the list.
+
     One shuffle by key; a task walks over its lists in order and holds a batch.
     """
     kind = entries.schema["doc"].dataType.simpleString()
@@ -54,6 +64,9 @@ def stars(entries: DataFrame) -> DataFrame:
             follow = np.flatnonzero(~leads)
             first = pa.concat_arrays([pa.array([lead], doc.type), doc])
             yield pa.RecordBatch.from_arrays([doc.take(pa.array(follow)), first.take(pa.array(heads[follow] + 1))], ["a", "b"])
+            if chain:
+                follow = np.flatnonzero(~leads[1:])
+                yield pa.RecordBatch.from_arrays([doc.take(pa.array(follow + 1)), doc.take(pa.array(follow))], ["a", "b"])
             key, lead = listed[-1], first[int(heads[-1]) + 1].as_py()
 
     return dealt.select("key", "doc", "near").mapInArrow(walk, f"a {kind}, b {kind}").distinct()

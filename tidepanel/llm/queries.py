@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import durable
-from . import license_scan, mixing, ngram_join, packing, pairwise_quality, quality_cascade, token_counts, toxicity
+from . import lattice_dedup, license_scan, mixing, ngram_join, packing, pairwise_quality, quality_cascade, token_counts, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_cascade.verdicts(table(spark, folder, "documents"))
 
 
+def op3_lattice_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice_dedup.dedup(table(spark, folder, "embeddings"))
+
+
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.predict(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -47,7 +51,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents")).withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = (op1_license_scan, op2_quality_rules, op4_toxicity, op5_token_counts, op6_mixing, op7_pairwise_quality,
+QUERIES = (op1_license_scan, op2_quality_rules, op3_lattice_dedup, op4_toxicity, op5_token_counts, op6_mixing, op7_pairwise_quality,
            op9_ngram_join, op10_packing)
 
 
