@@ -32,6 +32,7 @@ from .blocks import blocks, distinct
 from .components import components
 from .lists import list_entries, stars
 from .per_text import per_text
+from .text import free_name
 
 WORDS, PERCENT = 5, 80
 MOST_FREQUENT, FREQUENT = 1_000_000, 8
@@ -285,14 +286,8 @@ def _searched(docs: DataFrame, grouped: DataFrame, id_col: str, text_col: str) -
         run, f"doc {kind.simpleString()}, links long, near {kind.simpleString()}"))
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, n_links), one row per row of ``docs``.
-
-    ``component_id`` is the smallest id reachable by links, the own one included; ``n_links`` the number of other documents linked
-    directly. Texts without words are linked with nothing. A row without an id counts as a copy of the documents
-    with its set and has no component if there are none. Rows that share an id are one document of several texts.
-    Other columns aren't looked at; an empty table gives an empty table.
-    """
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc, n, d1, d2) of every row, and (n, d1, d2, rep, component, links) of every class that has an id; both stored."""
     profile = profiles(docs, id_col, text_col)
     classes = durable(profile.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc").alias("rep"), F.count("*").alias("weight")))
     known = classes.where(F.col("rep").isNotNull())
@@ -310,8 +305,54 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     counts = reported.groupBy("doc").agg(F.sum("links").alias("links"))
     per_class = known.join(linked.withColumnRenamed("node", "rep"), "rep", "left").join(
         counts.withColumnRenamed("doc", "rep"), "rep", "left").select(
-        "n", "d1", "d2", F.coalesce("component", "rep").alias("component"),
+        "n", "d1", "d2", "rep", F.coalesce("component", "rep").alias("component"),
         (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
-    return profile.select("doc", "n", "d1", "d2").join(per_class, ["n", "d1", "d2"], "left").select(
+    return profile.select("doc", "n", "d1", "d2"), durable(per_class)
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id, n_links), one row per row of ``docs``.
+
+    ``component_id`` is the smallest id reachable by links, the own one included; ``n_links`` the number of other
+    documents linked directly. Texts without words are linked with nothing. A row without an id counts as a copy of
+    the documents with its set and has no component if there are none. Rows that share an id are one document of
+    several texts. Other columns aren't looked at; an empty table gives an empty table.
+    """
+    rows, per_class = _classes(docs, id_col, text_col)
+    return rows.join(per_class.drop("rep"), ["n", "d1", "d2"], "left").select(
         F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"),
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component the rows of ``docs`` with the smallest id, one row per id, with their columns.
+
+    Rows without words stay. Of rows without an id those that copy a document with one go; of others with equal sets one stays.
+    """
+    rows, per_class = _classes(docs, id_col, text_col)
+    placed = rows.where(F.col("doc").isNotNull()).join(per_class.drop("rep", "links"), ["n", "d1", "d2"], "left").groupBy("doc").agg(
+        F.min(F.coalesce("component", "doc")).alias("component"), F.count("*").alias("rows"), F.max("n").alias("n"))
+    stays = F.col("component") == F.col("doc")
+    out_of = free_name(docs, "out__")
+    gone = placed.where(~stays).select(F.col("doc").alias(out_of))
+    kept = docs.where(F.col(id_col).isNotNull()).join(gone, F.col(id_col) == F.col(out_of), "left_anti")
+    again = durable(placed.where(stays & (F.col("rows") > 1) & (F.col("n") > 0)).select(F.col("doc").alias(out_of)))
+    if again.first() is not None:  # ids of several rows: one row of each
+        same = F.col(id_col) == F.col(out_of)
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col]))
+    without = docs.where(F.col(id_col).isNull())
+
+    def start():
+        def compute(texts: list) -> tuple:
+            sets = list(shingle_sets(texts))
+            d = [_digest(s) for s in sets]
+            return [len(s) for s in sets], [x[0] for x in d], [x[1] for x in d]
+        return compute
+
+    key = ["n", "d1", "d2"]
+    names = [free_name(docs, f"{k}__") for k in key]
+    hashed = per_text(without, text_col, docs.columns, dict.fromkeys(names, "long"), start)
+    wordless, worded = hashed.where(F.col(names[0]) == 0), hashed.where(F.col(names[0]) > 0)
+    known = per_class.select(*[F.col(k).alias(f"{n}_") for k, n in zip(key, names)])
+    fresh = worded.join(known, [F.col(n) == F.col(f"{n}_") for n in names], "left_anti").dropDuplicates(names)
+    return kept.unionByName(wordless.unionByName(fresh).select(*docs.columns))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import durable
-from . import lattice_dedup, license_scan, mixing, ngram_join, packing, pairwise_quality, quality_cascade, token_counts, toxicity
+from . import html_layout, lattice_dedup, license_scan, mixing, ngram_join, packing, pairwise_quality, quality_cascade, token_counts, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op7_pairwise_quality(spark: SparkSession, folder: str) -> DataFrame:
     return pairwise_quality.predict(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op8_html_layout(spark: SparkSession, folder: str) -> DataFrame:
+    return html_layout.extract(table(spark, folder, "pages"))
+
+
 def op9_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.join(table(spark, folder, "documents"))
 
@@ -52,7 +56,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = (op1_license_scan, op2_quality_rules, op3_lattice_dedup, op4_toxicity, op5_token_counts, op6_mixing, op7_pairwise_quality,
-           op9_ngram_join, op10_packing)
+           op8_html_layout, op9_ngram_join, op10_packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
