@@ -2,12 +2,16 @@
 
 import datetime as dt
 import json
+import re
 
 import numpy as np
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from tidepanel import session
 from tidepanel.functions import recursive as rec
+from tidepanel.operators import edges as eg
 from tidepanel.operators import evaluation as ev
 from tidepanel.operators import intraday as i
 from tidepanel.operators import joins
@@ -35,12 +39,65 @@ def ids(df, column="instrument_id"):
 # ---- ids, dates, provider files --------------------------------------------------------------------------------
 
 def test_instrument_ids(spark):
-    texts = ["000001.SZ", "SZ000002", "000003", "sh600519", None, "", "x12", " 7654321 "]
-    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
-    got = [r["i"] for r in df.orderBy("k").select(cn.instrument_id(F.col("t")).alias("i")).collect()]
-    assert got == ["000001", "000002", "000003", "600519", "", "", "000012", "765432"]
-    sym = [r["s"] for r in df.orderBy("k").select(cn.exchange_symbol(F.col("t")).alias("s")).collect()]
-    assert sym[:4] == ["sz.000001", "sz.000002", "sz.000003", "sh.600519"]
+    texts = ["sz300750", "688981.SH", " 2594 ", "id-83-0799-7", "20240102#600036", None, "", "none"]
+
+    def expected(t):
+        digits = re.sub(r"\D", "", t or "")
+        run = re.search(r"\d{6}", t or "")
+        return run[0] if run else digits[-6:].rjust(6, "0") if digits else ""
+
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k")
+    got = df.select(cn.instrument_id(F.col("t")).alias("i"), cn.exchange_symbol(F.col("t")).alias("s"), cn.key_id(F.col("t"), False).alias("w")).collect()
+    assert [r["i"] for r in got] == [expected(t) if t is not None else "" for t in texts]
+    assert [r["s"] for r in got][:4] == ["sz.300750", "sh.688981", "sz.002594", "sz.307997"]
+    assert [r["w"] for r in got] == [t.strip() if t is not None else None for t in texts]
+
+
+def test_ids_of_any_length_stay_apart(spark):
+    bars = days(spark.createDataFrame([("2024-01-02", "1234567", 1.0), ("2024-01-02", "1234568", 2.0)], "trade_date string, instrument_id string, close double"))
+    assert ids(joins.restrict_universe(bars, bars.where("close = 1"), normalize_ids=False)) == ["1234567"]
+    features = bars.select("instrument_id", "trade_date", (F.col("close") * 10).alias("ten"), F.lit(1).alias("n"))
+    merged = joins.merge_features(bars, features, ["n"], normalize_ids=False)[0]
+    assert {(r["instrument_id"], r["ten"]) for r in merged.collect()} == {("1234567", 10.0), ("1234568", 20.0)}
+
+
+def test_upsert_keeps_stored_columns(spark, tmp_path):
+    path = str(tmp_path / "t")
+    stored = days(spark.createDataFrame([("a", "2024-01-02", 1.0, 5), ("b", "2024-01-02", 2.0, 6), ("a", "2024-01-03", 3.0, 7)],
+                                        "instrument_id string, trade_date string, close double, volume long"))
+    files.replace_build(stored, path)
+    change = days(spark.createDataFrame([("a", "2024-01-02", 9.0), ("c", "2024-01-02", 8.0)], "instrument_id string, trade_date string, close double"))
+    files.upsert_on_key(change, path, ["instrument_id", "trade_date"])
+    got = {(r["instrument_id"], r["trade_date"].day, r["close"], r["volume"]) for r in spark.read.parquet(path).collect()}
+    assert got == {("a", 2, 9.0, 5), ("b", 2, 2.0, 6), ("c", 2, 8.0, None), ("a", 3, 3.0, 7)}
+    for wrong in (change.drop("instrument_id"), change.drop("trade_date"), change.withColumn("other", F.lit(1))):
+        with pytest.raises(ValueError):
+            files.upsert_on_key(wrong, path, ["instrument_id", "trade_date"])
+
+
+def test_correlation_edges_of_any_scale(spark):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=40)
+    series = {"p": base, "q": -2 * base, "r": base + 5, "s": rng.normal(size=40), "flat": np.full(40, 0.1)}
+    rows = [(f"2024-{1 + d // 28:02d}-{1 + d % 28:02d}", n, float(v)) for n, x in series.items() for d, v in enumerate(x)]
+    found = []
+    for scale in (1.0, 1e-10, 1e10):
+        df = days(spark.createDataFrame([(d, n, v * scale) for d, n, v in rows], "trade_date string, instrument_id string, x double"))
+        found.append({(r["src"], r["dst"]) for r in eg.correlation_edges(df, "x", 20, 0.9, 0).collect()})
+    assert found[0] == {(a, b) for a in "pqr" for b in "pqr" if a != b} and found[0] == found[1] == found[2]
+
+
+def test_no_machine_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+        def getCheckpointDir(self): return None
+
+    class Session:
+        sparkContext = Context()
+        class conf:
+            get = staticmethod(lambda key, default: default)
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        session.shared_folder(Session())
 
 
 def test_provider_and_legacy_layouts(spark):
@@ -92,10 +149,12 @@ def test_files_round_trip(spark, tmp_path):
     assert one.columns == ["股票代码", "日期", "收盘"]
     assert cn.canonical_daily(one, []).first()["trade_date"] == dt.date(2026, 3, 2)
     (tmp_path / "more.csv").write_text("股票代码,日期,收盘,成交量\n000002,2026/3/2,1,9\n", encoding="utf-8")
-    both = files.read_many(spark, [f"{tmp_path}/*.csv", str(path)])
+    both = files.read_many(spark, [f"{tmp_path}/b*.csv", f"{tmp_path}/more.csv", f"{tmp_path}/more.csv"])
     assert both.count() == 2 and {r["source_file"] for r in both.collect()} == {"bom.csv", "more.csv"}
-    with pytest.raises(FileNotFoundError):
+    with pytest.raises(AnalysisException):
         files.read_many(spark, f"{tmp_path}/none*.csv")
+    with pytest.raises(FileNotFoundError):
+        files.read_many(spark, " , ")
 
 
 # ---- minute bars -------------------------------------------------------------------------------------------------
@@ -264,18 +323,25 @@ def book(spark, scores, industries=None):
 
 
 def test_portfolio_cases(spark):
-    top = pf.portfolio(book(spark, [("AAA", 0.1), ("BBB", 0.4), ("CCC", 0.2)]), 2).orderBy("rank").collect()
-    assert [(r["instrument_id"], r["weight"]) for r in top] == [("BBB", 0.5), ("CCC", 0.5)]
-    capped = pf.select_names(book(spark, [("AAA", 0.95), ("BBB", 0.9), ("CCC", 0.8), ("DDD", 0.7)], {"AAA": "x", "BBB": "x", "CCC": "y"}), 3, max_per_industry=1)
-    assert ids(capped.orderBy("rank")) == ["AAA", "CCC", "DDD"]
-    held = spark.createDataFrame([("CCC",)], "instrument_id string")
-    turned = pf.select_names(book(spark, [("AAA", 0.92), ("BBB", 0.91), ("CCC", 0.90)]), 2, previous=held, penalty=0.05)
-    assert ids(turned.orderBy("rank")) == ["CCC", "AAA"]
-    ties = pf.rank_candidates(book(spark, [("AAA", 1.0), ("BBB", 1.0)]), 2)
-    assert ids(ties.orderBy("rank")) == ["BBB", "AAA"]
-    soft = {r["instrument_id"]: r["weight"] for r in pf.portfolio(book(spark, [("AAA", 1.0), ("BBB", 0.0)]), 2, "softmax", 1.0).collect()}
-    assert soft["AAA"] == pytest.approx(np.e / (1 + np.e))
-    assert pf.select_names(book(spark, [(f"N{k}", k) for k in range(9)]), 8).count() == 5
+    scores = {"kiwi": 3.1, "lime": 2.9, "pear": 2.95, "plum": 0.4, "fig": 2.0, "date": -1.5}
+    table = book(spark, list(scores.items()), {"kiwi": "tart", "lime": "tart", "pear": "sweet", "plum": "tart", "date": "sweet"})
+    by_score = sorted(scores, key=lambda n: -scores[n])
+    for k in (1, 4, 6):
+        got = pf.portfolio(table, k).orderBy("rank").collect()
+        assert [(r["instrument_id"], r["weight"]) for r in got] == [(n, 1 / k) for n in by_score[:k]]
+    assert ids(pf.select_names(table, 5, max_per_industry=1).orderBy("rank")) == ["kiwi", "pear", "fig"]
+    assert ids(pf.select_names(table, 3, max_per_industry=2).orderBy("rank")) == by_score[:3]
+    held = spark.createDataFrame([("lime",), ("gone",)], "instrument_id string")
+    turned = pf.select_names(table, 3, previous=held, penalty=0.3)
+    assert ids(turned.orderBy("rank")) == sorted(scores, key=lambda n: -(scores[n] - 0.3 * (n != "lime")))[:3]
+    ties = pf.rank_candidates(book(spark, [("one", 7.0), ("two", 7.0), ("three", 8.0)]), 3)
+    assert ids(ties.orderBy("rank")) == ["three", "two", "one"]
+    soft = {r["instrument_id"]: r["weight"] for r in pf.portfolio(table, 3, "softmax", 0.5).collect()}
+    total = sum(np.exp(scores[n] / 0.5) for n in by_score[:3])
+    assert soft == {n: pytest.approx(np.exp(scores[n] / 0.5) / total) for n in by_score[:3]}
+    assert pf.select_names(book(spark, [(f"N{k}", k) for k in range(9)]), 8).count() == 8
+    with pytest.raises(ValueError, match="8 names"):
+        pf.select_names(table, 8, max_names=5)
     with pytest.raises(ValueError):
         pf.select_names(book(spark, []), 0)
 
@@ -285,20 +351,29 @@ def metrics(spark, rows, key):
 
 
 def test_diagnostics_and_ensemble(spark):
-    rows = [("fold_1", 0, "equal_top1", 0.03, 0.0), ("fold_1", 1, "equal_top2", 0.01, 0.0), ("fold_2", 0, "equal_top1", -0.02, 0.0), ("fold_2", 1, "equal_top2", 0.06, 0.0)]
+    grid = ev.strategy_grid((4, 1), ("softmax", "equal"))
+    assert [s.name for s in grid] == ["equal_top1", "softmax_top4", "equal_top4"]
+    assert [s.name for s in ev.strategy_grid((9,))] == ["equal_top9"]
+    for wrong in (((), ("equal",)), ((0, 3), ("equal",)), ((3,), ("odd",)), ((3,), ())):
+        with pytest.raises(ValueError):
+            ev.strategy_grid(*wrong)
+    means = {"spring": (0.5, 0.2, 0.1), "summer": (-0.4, -0.1, -0.3), "autumn": (0.05, 0.3, 0.2)}
+    rows = [(fold, i, s.name, m, 0.01 * i) for fold, values in means.items() for i, (s, m) in enumerate(zip(grid, values))]
+    scored = {fold: [m - 0.2 * 0.01 * i for i, m in enumerate(values)] for fold, values in means.items()}
     per, summary = ev.fold_diagnostics(metrics(spark, rows, "fold"))
+    best = {fold: max(range(3), key=lambda i: v[i]) for fold, v in scored.items()}
+    wins = [grid[i].name for i in best.values()]
     s = summary.first()
-    assert {r["strategy"] for r in per.collect()} == {"equal_top1", "equal_top2"}
-    assert (s["folds"], s["positive_folds"], s["dominant_strategy"], s["dominant_wins"], s["best_fold"], s["worst_fold"]) == (2, 2, "equal_top1", 1, "fold_2", "fold_1")
-    assert s["mean_score_spread"] == pytest.approx(0.05)
-    runs = [("seed_1", 0, "equal_top1", 0.02, 0.0), ("seed_1", 1, "softmax_top2", 0.09, 0.0), ("seed_2", 0, "equal_top1", 0.03, 0.0), ("seed_2", 1, "softmax_top2", 0.12, 0.0)]
-    mean, best = ev.ensemble(metrics(spark, runs, "run"))
-    assert {r["strategy"]: round(r["mean_return"], 6) for r in mean.collect()} == {"equal_top1": 0.025, "softmax_top2": 0.105}
-    assert best.first()["run"] == "seed_2"
-    tie = ev.best_strategy(metrics(spark, [("f", 1, "later", 0.1, 0.0), ("f", 0, "first", 0.1, 0.0)], "fold")).first()
-    assert tie["strategy"] == "first"
-    assert [s.name for s in ev.strategy_grid((1, 2, 7), ("equal", "softmax", "odd"))] == ["equal_top1", "equal_top2", "softmax_top2"]
-    assert ev.strategy_grid((9,), ("odd",))[0].name == "equal_top5"
+    assert {r["strategy"] for r in per.collect()} == set(wins)
+    assert s["dominant_strategy"] == max(set(wins), key=wins.count) and s["dominant_wins"] == max(map(wins.count, wins))
+    assert (s["folds"], s["best_fold"], s["worst_fold"]) == (3, "spring", "summer")
+    assert s["positive_folds"] == sum(scored[f][best[f]] > 0 for f in scored)
+    mean, chosen = ev.ensemble(metrics(spark, [("run-" + r[0], *r[1:]) for r in rows], "run"))
+    assert {r["strategy"]: r["mean_return"] for r in mean.collect()} == {
+        g.name: pytest.approx(np.mean([v[i] for v in means.values()])) for i, g in enumerate(grid)}
+    assert chosen.first()["run"] == "run-spring"
+    tie = ev.best_strategy(metrics(spark, [("f", 3, "listed_last", 0.4, 0.0), ("f", 2, "listed_first", 0.4, 0.0)], "fold")).first()
+    assert tie["strategy"] == "listed_first"
 
 
 def test_short_days_have_no_strategy_return_and_no_rank_ic(spark):
@@ -317,22 +392,29 @@ def mini(spark):
 
 
 def test_factor_order_stages_and_errors(spark):
-    specs = [ct.CrossSpec("rank_ret", lambda z, k: k("ret_1"), ranks=("ret_1",)), ct.FactorSpec("ret_1", "pct_change", {"x": "price_now", "n": 1}),
-             ct.FactorSpec("price_now", "sql", {"text": "close * 1.0D", "reads": ("close",)}), ct.FactorSpec("avg2", "sma", {"x": "close", "w": 2})]
+    paths = {"up": (4.0, 5.0, 7.0), "down": (9.0, 6.0, 3.0), "flat": (2.0, 2.0, 2.0)}
+    bars = days(spark.createDataFrame([(f"2023-06-0{d + 1}", n, v) for n, x in paths.items() for d, v in enumerate(x)],
+                                      "trade_date string, instrument_id string, close double"))
+    specs = [ct.CrossSpec("place", lambda z, k: k("move"), ranks=("move",)), ct.FactorSpec("move", "diff", {"x": "twice"}),
+             ct.FactorSpec("twice", "sql", {"text": "close * 2.0D", "reads": ("close",)}), ct.FactorSpec("mean3", "sma", {"x": "close", "w": 3})]
     order = ct.evaluation_order(specs)
-    assert order.index("price_now") < order.index("ret_1") < order.index("rank_ret")
-    made = ct.run_factors(mini(spark), specs)
-    last = {r["instrument_id"]: r for r in made.frame.where("trade_date = '2024-01-02'").collect()}
-    assert last["1"]["rank_ret"] == 1.0 and last["2"]["rank_ret"] == 0.5
-    assert [r["avg2"] for r in made.frame.where("trade_date = '2024-01-01'").collect()] == [0.0, 0.0]
+    assert sorted(("twice", "move", "place"), key=order.index) == ["twice", "move", "place"]
+    frame = ct.run_factors(bars, specs).frame
+    last = {r["instrument_id"]: r for r in frame.where("trade_date = '2023-06-03'").collect()}
+    moves = sorted(2 * (x[2] - x[1]) for x in paths.values())
+    for n, x in paths.items():
+        assert last[n]["place"] == pytest.approx((moves.index(2 * (x[2] - x[1])) + 1) / 3) and last[n]["mean3"] == pytest.approx(np.mean(x))
+    assert {r["mean3"] for r in frame.where("trade_date < '2023-06-03'").collect()} == {0.0}
+    ring = [ct.FactorSpec(a, "diff", {"x": b}) for a, b in ("pq", "qr", "rp")]
     with pytest.raises(ValueError, match="depend on each other"):
-        ct.evaluation_order([ct.FactorSpec("a", "diff", {"x": "b"}), ct.FactorSpec("b", "diff", {"x": "a"})])
+        ct.evaluation_order(ring)
     with pytest.raises(ValueError, match="time series over cross-section"):
-        ct.evaluation_order([specs[0], ct.FactorSpec("bad", "sma", {"x": "rank_ret", "w": 2})])
+        ct.evaluation_order([*specs, ct.FactorSpec("late", "diff", {"x": "place"})])
     with pytest.raises(ValueError, match="unknown factor function"):
-        ct.run_factors(mini(spark), [ct.FactorSpec("x", "__import__", {"x": "close"})])
-    lenient = ct.run_factors(mini(spark), [ct.FactorSpec("x", "nope", {"x": "close"}), ct.FactorSpec("y", "diff", {"x": "x"})], strict=False)
-    assert {s[0]: s[1] for s in lenient.status} == {"x": "error", "y": "error"} and lenient.report(spark).count() == 2
+        ct.run_factors(bars, [ct.FactorSpec("q", "eval", {"x": "close"})])
+    made = ct.run_factors(bars, [ct.FactorSpec("q", "eval", {"x": "close"}), ct.FactorSpec("s", "sma", {"x": "q", "w": 2}), specs[3]], strict=False)
+    status = {s[0]: s[1] for s in made.status}
+    assert status["q"] == status["s"] == "error" and status["mean3"] != "error" and made.report(spark).count() == 3
 
 
 def test_catalog(spark):

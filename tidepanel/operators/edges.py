@@ -51,10 +51,10 @@ def _pairwise_correlation(min_periods: int):
                     values[i, int(x["day"])] = x["value"]
             centre = np.nanmean(values, axis=1, keepdims=True) if width else values
             known = ~np.isnan(values)
-            return np.where(known, values - centre, 0.0), known.astype(float)
+            return np.where(known, values - centre, 0.0), known.astype(float), np.where(known, values, 0.0) ** 2
 
-        xa, ma = table(a)
-        xb, mb = table(b)
+        xa, ma, squares_a = table(a)
+        xb, mb, squares_b = table(b)
         n = ma @ mb.T
         sa, sb = xa @ mb.T, ma @ xb.T
         with np.errstate(all="ignore"):
@@ -62,7 +62,9 @@ def _pairwise_correlation(min_periods: int):
             va = (xa * xa) @ mb.T - sa * sa / n
             vb = ma @ (xb * xb).T - sb * sb / n
             corr = cov / np.sqrt(va * vb)
-        enough = (n >= max(2, min_periods)) & (va > 1e-18) & (vb > 1e-18)
+        # constant is what varies by no more than rounding, whatever the unit of the values
+        varies = (va > 1e-14 * (squares_a @ mb.T)) & (vb > 1e-14 * (ma @ squares_b.T))
+        enough = (n >= max(2, min_periods)) & varies
         return np.where(enough & np.isfinite(corr), np.abs(corr), 0.0)
     return score
 

@@ -26,10 +26,20 @@ class Strategy:
 
 
 def strategy_grid(top_ks: Sequence[int] = (5,), weightings: Sequence[str] = ("equal",)) -> list[Strategy]:
-    """Every top_k (1 to 5) with every weighting; softmax of a single name is the same as equal and left out."""
-    grid = [Strategy(f"{w}_top{k}", k, w) for k in sorted({int(k) for k in top_ks if 1 <= int(k) <= 5})
-            for w in dict.fromkeys(weightings) if w in ("equal", "softmax") and not (w == "softmax" and k == 1)]
-    return grid or [Strategy("equal_top5", 5, "equal")]
+    """The strategies of a backtest, by number of names, then in the order of ``weightings``.
+
+    Weightings are equal and softmax; with one name both hold the same, so it is listed once, as equal. A number
+    below one, another weighting, or nothing to list is an error.
+    """
+    sizes, kinds = sorted(set(map(int, top_ks))), list(dict.fromkeys(weightings))
+    wrong = [k for k in sizes if k < 1] + [w for w in kinds if w not in ("equal", "softmax")]
+    if wrong or not sizes or not kinds:
+        raise ValueError(f"no strategies can be made of sizes {sizes} and weightings {kinds}")
+    named = []
+    for size in sizes:
+        for kind in ["equal"] if size == 1 else kinds:
+            named.append(Strategy(f"{kind}_top{size}", size, kind))
+    return named
 
 
 def strategy_table(spark: SparkSession, grid: Sequence[Strategy]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.canonical import instrument_id
+from ..sources.canonical import key_id
 from .cross_section import attach
 from .ordering import keep_last
 
@@ -44,8 +44,9 @@ def join_backfill(left: DataFrame, right: DataFrame, keys: Sequence[str] = KEYS)
 
 
 def merge_features(base: DataFrame, features: DataFrame, order: Sequence[str], columns: Sequence[str] | None = None,
-                   prefix: str = "", overwrite: bool = False, keep: str = "last", how: str = "left") -> tuple[DataFrame, DataFrame]:
-    """Adds feature columns to a base table on normalised (instrument, day).
+                   prefix: str = "", overwrite: bool = False, keep: str = "last", how: str = "left",
+                   normalize_ids: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Adds feature columns to a base table on (instrument, day), ids as ``key_id`` reads them.
 
     Repeated feature rows are reduced to the first or last by ``order``.  A name the base already has becomes
     ``hf_`` + name, or replaces the base column with ``overwrite``.  Also returns one row of coverage figures.
@@ -55,12 +56,12 @@ def merge_features(base: DataFrame, features: DataFrame, order: Sequence[str], c
     for c in picked:
         target = prefix + c
         names[c] = target if overwrite or target not in base.columns else f"hf_{target}"
-    right = features.select(instrument_id(F.col("instrument_id")).alias("_id"), F.to_date("trade_date").alias("_d"),
+    right = features.select(key_id(F.col("instrument_id"), normalize_ids).alias("_id"), F.to_date("trade_date").alias("_d"),
                             *order, *picked).where(F.col("_id").isNotNull() & F.col("_d").isNotNull())
     right = keep_last(right, ["_id", "_d"], order, first=keep == "first").select(
         "_id", "_d", *[F.col(c).alias(n) for c, n in names.items()])
     left = base.drop(*[n for n in names.values() if n in base.columns])
-    left = left.withColumns({"_id": instrument_id(F.col("instrument_id")), "_d": F.to_date("trade_date")})
+    left = left.withColumns({"_id": key_id(F.col("instrument_id"), normalize_ids), "_d": F.to_date("trade_date")})
     merged = left.join(right, ["_id", "_d"], how).drop("_id", "_d")
     matched = F.coalesce(*[F.when(F.col(n).isNotNull(), 1) for n in names.values()])
     coverage = merged.agg(F.count(F.lit(1)).alias("rows"), F.count(matched).alias("matched_rows")).withColumn(
@@ -158,12 +159,15 @@ def with_benchmark(df: DataFrame, benchmark: DataFrame, value: str, out: str = "
     return joined.select(*df.columns, F.coalesce(F.col("benchmark_return"), F.col("_mean")).alias(out))
 
 
-def restrict_universe(df: DataFrame, *universes: DataFrame) -> DataFrame:
-    """Rows whose normalised id is in any of the id lists."""
-    ids = universes[0].select(instrument_id(F.col("instrument_id")).alias("_id"))
+def restrict_universe(df: DataFrame, *universes: DataFrame, normalize_ids: bool = True) -> DataFrame:
+    """Rows whose id, as ``key_id`` reads it, is in any of the id lists."""
+    def own(t: DataFrame) -> Column:
+        return key_id(t["instrument_id"], normalize_ids).alias("_id")
+
+    ids = universes[0].select(own(universes[0]))
     for u in universes[1:]:
-        ids = ids.unionByName(u.select(instrument_id(F.col("instrument_id")).alias("_id")))
-    keyed = df.withColumn("_id", instrument_id(F.col("instrument_id")))
+        ids = ids.unionByName(u.select(own(u)))
+    keyed = df.withColumn("_id", own(df))
     return keyed.join(ids.distinct(), "_id", "left_semi").drop("_id")
 
 

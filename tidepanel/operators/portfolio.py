@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .ordering import top_rows
 
-MAX_NAMES = 5
+MAX_NAMES = 5  # of a valid submission
 
 
 def rank_candidates(df: DataFrame, k: int, by: Sequence[str] = ("trade_date",), position: str = "position") -> DataFrame:
@@ -19,16 +19,18 @@ def rank_candidates(df: DataFrame, k: int, by: Sequence[str] = ("trade_date",),
 
 def select_names(df: DataFrame, k: int, by: Sequence[str] = ("trade_date",), position: str = "position",
                  previous: DataFrame | None = None, penalty: float = 0.0, max_per_industry: int = 0,
-                 max_names: int = MAX_NAMES) -> DataFrame:
+                 max_names: int | None = None) -> DataFrame:
     """Up to ``k`` names per day after turnover penalty and industry limit.
 
     ``previous`` lists the names held before (instrument_id, and the day when it has one); every other name loses
     ``penalty`` for the ordering.  Names without an industry are not limited.
     """
     by = list(by)
-    k = min(int(k), max_names)
+    k = int(k)
     if k <= 0:
         raise ValueError("a portfolio needs at least one name")
+    if max_names is not None and k > max_names:
+        raise ValueError(f"{k} names were asked for, {max_names} are allowed")
     rows = df.withColumn("_adjusted", F.col("score"))
     if previous is not None and penalty > 0:
         on = [*by, "instrument_id"] if set(by) <= set(previous.columns) else ["instrument_id"]
@@ -71,6 +73,6 @@ def realized_score(holdings: DataFrame, prices: DataFrame, days: int = 5, max_na
         F.try_divide(F.max_by("open", "trade_date") - F.min_by("open", "trade_date"), F.min_by("open", "trade_date")).alias("ret"))
     score = holdings.join(returns, "instrument_id").agg(F.coalesce(F.sum(F.col("ret") * F.col("weight")), F.lit(0.0)).alias("score"))
     shape = holdings.agg(F.count(F.lit(1)).alias("names"), F.sum("weight").alias("weight_sum"))
-    valid = (F.col("names") <= max_names) & F.col("weight_sum").between(0.0, 1.0 + 1e-9)
+    valid = (F.col("names") <= max_names) & F.col("weight_sum").between(0.0, 1.0)
     return shape.withColumn("_s", score.scalar()).select(
         "names", "weight_sum", F.when(valid, F.col("_s")).otherwise(F.lit(-999.0)).alias("score"))

@@ -26,11 +26,14 @@ def local_session(cores: int = 8, name: str = "tidepanel", memory: str = "12g")
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: the session's ``spark.checkpoint.dir``.
 
-    Only where none is configured (tests on one machine) a temporary one is set.
+    Where none is configured a temporary one is set, but only if the session runs on this machine alone; on a
+    cluster each executor would write to a disk of its own.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
+        if not context.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tidepanel-checkpoint-"))
         folder = context.getCheckpointDir()
     return folder.rstrip("/")

@@ -50,9 +50,13 @@ ALIASES: dict[str, tuple[str, ...]] = {
 
 # Which daily intraday factor is taken from which column, the first one present.
 HF_DAILY: dict[str, tuple[str, ...]] = {
-    f"f_{target}": (f"f_{target}", *(source + tag for tag in ("", "_raw", "_m05", "_m15", "_m30")))
-    for target, source in (("hf_realized_vol_1d", "hf_realized_vol"), ("hf_tail_ret_30m", "hf_last_tail_ret"),
-                           ("hf_tail_amount_share_30m", "hf_last_tail_amount_share"))}
+    "f_hf_realized_vol_1d": ("f_hf_realized_vol_1d", "hf_realized_vol", "hf_realized_vol_raw", "hf_realized_vol_m05",
+                             "hf_realized_vol_m15", "hf_realized_vol_m30"),
+    "f_hf_tail_ret_30m": ("f_hf_tail_ret_30m", "hf_last_tail_ret", "hf_last_tail_ret_raw", "hf_last_tail_ret_m05",
+                          "hf_last_tail_ret_m15", "hf_last_tail_ret_m30"),
+    "f_hf_tail_amount_share_30m": ("f_hf_tail_amount_share_30m", "hf_last_tail_amount_share", "hf_last_tail_amount_share_raw",
+                                   "hf_last_tail_amount_share_m05", "hf_last_tail_amount_share_m15", "hf_last_tail_amount_share_m30"),
+}
 
 # Exchange prefix by the first digit of an id; every other id belongs to sz.
 EXCHANGES = {"bj": ("4", "8"), "sh": ("5", "6", "9")}
@@ -93,6 +97,11 @@ def instrument_id(c: Column) -> Column:
             .when(text.rlike(r"\d"), F.lpad(F.right(digits, F.lit(6)), 6, "0")).otherwise(F.lit("")))
 
 
+def key_id(c: Column, normalize: bool = True) -> Column:
+    """An id for joins: the six-digit form of the exchanges, or the trimmed text as it is, of any length."""
+    return instrument_id(c) if normalize else F.trim(c.cast("string"))
+
+
 def exchange_symbol(c: Column) -> Column:
     """``600519`` as ``sh.600519``; a text without digits stays as it is."""
     code = instrument_id(c)
@@ -110,7 +119,7 @@ def _numbers(df: DataFrame, names: Sequence[str]) -> dict[str, Column]:
 def canonical_daily(df: DataFrame, order: Sequence[str], normalize_ids: bool = True) -> DataFrame:
     """One row per (instrument, day) with all price columns; the last row by ``order`` of a repeated key counts."""
     raw_id = F.col(resolve(df, "instrument_id"))
-    key = instrument_id(raw_id) if normalize_ids else F.trim(raw_id.cast("string"))
+    key = key_id(raw_id, normalize_ids)
     date_column = resolve(df, "trade_date")
     resolve(df, "close")
     names = ("open", "high", "low", "close", "preclose", "volume", "amount", "turnover", "pct_chg")
@@ -122,10 +131,10 @@ def canonical_daily(df: DataFrame, order: Sequence[str], normalize_ids: bool = T
     return kept.select("instrument_id", "trade_date", *names)
 
 
-def canonical_hf_daily(df: DataFrame, order: Sequence[str]) -> DataFrame:
+def canonical_hf_daily(df: DataFrame, order: Sequence[str], normalize_ids: bool = True) -> DataFrame:
     """The three intraday factor columns under their canonical names; a missing one is NULL throughout."""
     picked = {target: resolve(df, target, names, required=False) for target, names in HF_DAILY.items()}
-    rows = df.select(instrument_id(F.col(resolve(df, "instrument_id"))).alias("instrument_id"),
+    rows = df.select(key_id(F.col(resolve(df, "instrument_id")), normalize_ids).alias("instrument_id"),
                      F.to_date(timestamp(df, resolve(df, "trade_date"))).alias("trade_date"),
                      *[(number(F.col(c)) if c else F.lit(None).cast("double")).alias(t) for t, c in picked.items()],
                      *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)])
@@ -137,7 +146,7 @@ def canonical_hf_daily(df: DataFrame, order: Sequence[str]) -> DataFrame:
 def canonical_minutes(df: DataFrame, order: Sequence[str], normalize_ids: bool = True) -> DataFrame:
     """One row per (instrument, ts) with every price column the input has."""
     raw_id = F.col(resolve(df, "instrument_id"))
-    key = instrument_id(raw_id) if normalize_ids else F.trim(raw_id.cast("string"))
+    key = key_id(raw_id, normalize_ids)
     names = ("open", "high", "low", "close", "volume", "amount")
     rows = df.select(key.alias("instrument_id"), timestamp(df, resolve(df, "ts")).alias("ts"),
                      *[c.alias(n) for n, c in _numbers(df, names).items()],

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.cross_section import attach
-from .canonical import instrument_id, number, resolve, timestamp
+from .canonical import key_id, number, resolve, timestamp
 
 # How often a series is published.
 FREQUENCY = {"cpi_yoy": "monthly", "ppi_yoy": "monthly", "m2_yoy": "monthly", "shibor_3m": "daily",
@@ -35,21 +35,21 @@ def _optional(df: DataFrame, *names: str) -> Column:
     return F.lit(None).cast("double")
 
 
-def provider_daily(df: DataFrame) -> DataFrame:
+def provider_daily(df: DataFrame, normalize_ids: bool = True) -> DataFrame:
     """Twelve canonical columns from text columns; rows without an id are dropped."""
     status = next((c for c in ("trade_status", "tradestatus") if c in df.columns), None)
     out = df.select(
-        instrument_id(F.col("code")).alias("instrument_id"), F.to_date(timestamp(df, "date")).alias("trade_date"),
+        key_id(F.col("code"), normalize_ids).alias("instrument_id"), F.to_date(timestamp(df, "date")).alias("trade_date"),
         *[_optional(df, c).alias(c) for c in ("open", "high", "low", "close", "preclose", "volume", "amount")],
         _optional(df, "turnover", "turn").alias("turnover"), _optional(df, "pct_chg", "pctChg").alias("pct_chg"),
         (F.col(status).try_cast("int") if status else F.lit(None).cast("int")).alias("trade_status"))
     return out.where(F.col("instrument_id") != "")
 
 
-def provider_minutes(df: DataFrame, symbol: Column) -> DataFrame:
+def provider_minutes(df: DataFrame, symbol: Column, normalize_ids: bool = True) -> DataFrame:
     ts = timestamp(df, resolve(df, "ts", ("ts", "datetime", "时间")))
     names = {"open": "开盘", "high": "最高", "low": "最低", "close": "收盘", "volume": "成交量", "amount": "成交额"}
-    out = df.select(instrument_id(symbol).alias("instrument_id"), ts.alias("ts"), F.to_date(ts).alias("trade_date"),
+    out = df.select(key_id(symbol, normalize_ids).alias("instrument_id"), ts.alias("ts"), F.to_date(ts).alias("trade_date"),
                     *[_optional(df, n, alias).alias(n) for n, alias in names.items()])
     return out.where(F.col("ts").isNotNull())
 
@@ -88,12 +88,12 @@ def rescale_percent_series(df: DataFrame, limit: float = PERCENT_FX) -> DataFram
     return joined.select(*[value.alias(c) if c == "value" else F.col(c) for c in df.columns])
 
 
-def legacy_daily(df: DataFrame) -> DataFrame:
+def legacy_daily(df: DataFrame, normalize_ids: bool = True) -> DataFrame:
     """The twelve-column legacy layout: amplitude and change relative to the previous close, unpadded date text."""
     before = F.nullif(_optional(df, "preclose"), F.lit(0.0))
     high, low, close = number(F.col("high")), number(F.col("low")), number(F.col("close"))
     return df.select(
-        instrument_id(F.col("instrument_id")).alias("股票代码"), F.date_format("trade_date", "y/M/d").alias("日期"),
+        key_id(F.col("instrument_id"), normalize_ids).alias("股票代码"), F.date_format("trade_date", "y/M/d").alias("日期"),
         number(F.col("open")).alias("开盘"), close.alias("收盘"), high.alias("最高"), low.alias("最低"),
         _optional(df, "volume").alias("成交量"), _optional(df, "amount").alias("成交额"),
         F.coalesce((high - low) / before * 100.0, F.lit(0.0)).alias("振幅"),

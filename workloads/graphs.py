@@ -46,6 +46,15 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) A
 hit AS (SELECT src, dst, score FROM rk WHERE k <= 3 OR score >= 0.35),
 cedge AS (SELECT src, dst, max(score) AS weight FROM (SELECT * FROM hit UNION ALL SELECT dst, src, score FROM hit) GROUP BY 1, 2)"""
 QUERIES["correlation_edges"] = query(correlation, f"{CORR} => SELECT * FROM cedge", ("src", "dst"), ["weight"])
+
+
+def _small_correlation(spark, folder):
+    """The same series in a unit ten orders of magnitude larger."""
+    panel = with_factors(by_instrument(tables.bars(spark, folder)), {"x": r.diff(r.sma("turnover", 2))})
+    return eg.correlation_edges(panel.select("instrument_id", "trade_date", (F.col("x") * 1e-10).alias("x")), "x", **ARGS)
+
+
+QUERIES["correlation_edges_small_scale"] = query(_small_correlation, f"{CORR} => SELECT * FROM cedge", ("src", "dst"), ["weight"])
 QUERIES["edges_within_industry"] = query(
     lambda spark, folder: eg.within_industry(correlation(spark, folder), dim(spark, folder)),
     f"{CORR} => SELECT src, dst, weight, coalesce(a.industry = b.industry, FALSE) AS same_industry FROM cedge LEFT JOIN dim a ON src = a.instrument_id LEFT JOIN dim b ON dst = b.instrument_id",

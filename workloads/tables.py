@@ -54,37 +54,41 @@ QUERIES["exchange_symbols"] = query(
 def _raw_daily(spark, folder):
     """Trades as a provider would land them: foreign names, ids with a suffix, unpadded date text, text numbers."""
     return tables.read(spark, folder, "lineitem").select(
-        F.concat(F.lpad(F.col("l_suppkey").cast("string"), 6, "0"), F.lit(".SZ")).alias("股票代码"), F.date_format("l_shipdate", "y/M/d").alias("日期"),
+        F.concat(F.lit(" "), tables.padded_id("l_suppkey")).alias("股票代码"), F.date_format("l_shipdate", "y/M/d").alias("日期"),
+        F.col("l_partkey").cast("string").alias("开盘"), (F.col("l_tax") * 100).alias("high"), F.col("l_linenumber").alias("最低"),
+        F.col("l_discount").cast("string").alias("preclose"), F.col("l_tax").alias("涨跌幅"),
         F.when(F.col("l_quantity") < 49, (F.col("l_extendedprice") / F.col("l_quantity")).cast("string")).otherwise("n/a").alias("收盘"),
         F.col("l_quantity").cast("string").alias("成交量"), F.col("l_extendedprice").alias("amount"),
         "l_orderkey", "l_linenumber", "l_partkey")
 
 
 _RAW = """
-raw AS (SELECT lpad(l_suppkey::VARCHAR, 6, '0') AS instrument_id, CAST(l_shipdate AS DATE) AS trade_date, l_extendedprice / l_quantity AS close, l_quantity AS volume,
-               l_extendedprice AS amount, l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_quantity < 49),
-daily AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY instrument_id, trade_date ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, close DESC, volume DESC) AS rn FROM raw) WHERE rn = 1)"""
+raw AS (SELECT lpad(l_suppkey::VARCHAR, greatest(6, length(l_suppkey::VARCHAR))::INTEGER, '0') AS instrument_id, CAST(l_shipdate AS DATE) AS trade_date, l_extendedprice / l_quantity AS close, l_quantity AS volume,
+               l_extendedprice AS amount, l_partkey AS open, l_tax * 100 AS high, l_linenumber AS low, l_discount AS preclose, l_tax AS pct_chg,
+               l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_quantity < 49),
+daily AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY instrument_id, trade_date ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, high DESC, preclose DESC, close DESC, volume DESC) AS rn FROM raw) WHERE rn = 1)"""
 _ORDER = ["l_orderkey", "l_linenumber", "l_partkey"]
 QUERIES["canonical_daily"] = query(
-    lambda spark, folder: cn.canonical_daily(_raw_daily(spark, folder), _ORDER),
-    f"{_RAW} => SELECT *, CAST(NULL AS DOUBLE) AS turnover FROM daily", PK, ["close", "volume", "amount", "turnover"], 2, ctes=())
+    lambda spark, folder: cn.canonical_daily(_raw_daily(spark, folder), _ORDER, normalize_ids=False),
+    f"{_RAW} => SELECT *, CAST(NULL AS DOUBLE) AS turnover FROM daily", PK,
+    ["open", "high", "low", "close", "preclose", "volume", "amount", "turnover", "pct_chg"], 2, ctes=())
 
 
 def _hf(spark, folder):
     e = tables.read(spark, folder, "events")
-    return e.select(F.col("user_id").cast("string").alias("code"), F.date_format("ts", "yyyy-MM-dd").alias("date"), F.col("value").cast("string").alias("hf_realized_vol_m05"),
+    return e.select(tables.padded_id("user_id").alias("code"), F.date_format("ts", "yyyy-MM-dd").alias("date"), F.col("value").cast("string").alias("hf_realized_vol_m05"),
                     (F.col("value") / 2).alias("hf_realized_vol_m30"), (F.col("value") / 4).alias("hf_last_tail_ret_raw"), "event_id")
 
 
 QUERIES["canonical_hf_daily"] = query(
-    lambda spark, folder: cn.canonical_hf_daily(_hf(spark, folder), ["event_id"]),
-    """SELECT lpad(user_id::VARCHAR, 6, '0') AS instrument_id, CAST(ts AS DATE) AS trade_date, arg_max(value, event_id) AS f_hf_realized_vol_1d,
+    lambda spark, folder: cn.canonical_hf_daily(_hf(spark, folder), ["event_id"], normalize_ids=False),
+    """SELECT lpad(user_id::VARCHAR, greatest(6, length(user_id::VARCHAR))::INTEGER, '0') AS instrument_id, CAST(ts AS DATE) AS trade_date, arg_max(value, event_id) AS f_hf_realized_vol_1d,
               arg_max(value, event_id) / 4 AS f_hf_tail_ret_30m, CAST(NULL AS DOUBLE) AS f_hf_tail_amount_share_30m FROM events GROUP BY 1, 2""",
     PK, ["f_hf_realized_vol_1d", "f_hf_tail_ret_30m", "f_hf_tail_amount_share_30m"], ctes=())
 QUERIES["canonical_minutes"] = query(
     lambda spark, folder: cn.canonical_minutes(tables.read(spark, folder, "events").select(
-        F.col("user_id").cast("string").alias("股票代码"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("datetime"), F.col("value").alias("收盘"), "event_id"), ["event_id"]),
-    """SELECT lpad(user_id::VARCHAR, 6, '0') AS instrument_id, date_trunc('second', ts) AS ts, CAST(ts AS DATE) AS trade_date, arg_max(value, event_id) AS close
+        tables.padded_id("user_id").alias("股票代码"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("datetime"), F.col("value").alias("收盘"), "event_id"), ["event_id"], normalize_ids=False),
+    """SELECT lpad(user_id::VARCHAR, greatest(6, length(user_id::VARCHAR))::INTEGER, '0') AS instrument_id, date_trunc('second', ts) AS ts, CAST(ts AS DATE) AS trade_date, arg_max(value, event_id) AS close
        FROM events GROUP BY 1, 2, 3""", ("instrument_id", "ts", "trade_date"), ["close"], ctes=())
 QUERIES["canonical_macro"] = query(
     lambda spark, folder: cn.canonical_macro(tables.read(spark, folder, "orders").select(
@@ -96,17 +100,17 @@ QUERIES["canonical_macro"] = query(
 
 QUERIES["provider_daily"] = query(
     lambda spark, folder: providers.provider_daily(tables.read(spark, folder, "lineitem").select(
-        F.concat(F.lit("sh."), F.lpad(F.col("l_suppkey").cast("string"), 6, "0")).alias("code"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"),
+        tables.padded_id("l_suppkey").alias("code"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"),
         F.col("l_extendedprice").cast("string").alias("close"), F.col("l_quantity").cast("string").alias("volume"), F.col("l_discount").cast("string").alias("turn"),
-        F.when(F.col("l_returnflag") == "N", "1").otherwise("").alias("tradestatus"))).groupBy(*PK).agg(
+        F.when(F.col("l_returnflag") == "N", "1").otherwise("").alias("tradestatus")), normalize_ids=False).groupBy(*PK).agg(
         F.count(F.lit(1)).alias("n"), F.sum("volume").alias("volume"), F.avg("turnover").alias("turnover"), F.count("trade_status").alias("traded"), F.count("open").alias("opens")),
-    """SELECT lpad(l_suppkey::VARCHAR, 6, '0') AS instrument_id, CAST(l_shipdate AS DATE) AS trade_date, count(*) AS n, sum(l_quantity) AS volume, avg(l_discount) AS turnover,
+    """SELECT lpad(l_suppkey::VARCHAR, greatest(6, length(l_suppkey::VARCHAR))::INTEGER, '0') AS instrument_id, CAST(l_shipdate AS DATE) AS trade_date, count(*) AS n, sum(l_quantity) AS volume, avg(l_discount) AS turnover,
               count(CASE WHEN l_returnflag = 'N' THEN 1 END) AS traded, 0 AS opens FROM lineitem GROUP BY 1, 2""", PK, ["n", "volume", "turnover", "traded", "opens"], ctes=())
 QUERIES["provider_minutes"] = query(
     lambda spark, folder: providers.provider_minutes(tables.read(spark, folder, "events").select(
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("时间"), F.col("value").cast("string").alias("收盘"), "user_id", "event_id"), F.col("user_id").cast("string")).groupBy(*PK).agg(
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("时间"), F.col("value").cast("string").alias("收盘"), "user_id", "event_id"), tables.padded_id("user_id"), normalize_ids=False).groupBy(*PK).agg(
         F.count(F.lit(1)).alias("n"), F.min("close").alias("lowest"), F.max("close").alias("highest")),
-    """SELECT lpad(user_id::VARCHAR, 6, '0') AS instrument_id, CAST(ts AS DATE) AS trade_date, count(*) AS n, min(value) AS lowest, max(value) AS highest FROM events GROUP BY 1, 2""",
+    """SELECT lpad(user_id::VARCHAR, greatest(6, length(user_id::VARCHAR))::INTEGER, '0') AS instrument_id, CAST(ts AS DATE) AS trade_date, count(*) AS n, min(value) AS lowest, max(value) AS highest FROM events GROUP BY 1, 2""",
     PK, ["n", "lowest", "highest"], ctes=())
 
 
@@ -162,6 +166,43 @@ QUERIES["sink_partitioned_write_modes"] = query(
     """SELECT instrument_id, trade_date, CASE WHEN trade_date >= DATE '2000-01-01' AND volume < 200 THEN 1 ELSE close END AS close, volume FROM bars
        WHERE NOT (trade_date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31' AND volume <= 100)""", PK, ["close", "volume"], 3)
 
+
+
+def _partial_upsert(spark, folder):
+    """Closing prices of the later years changed by rows that know no other value; some of them are new."""
+    path = scratch(spark, "lake") + "/bars"
+    b = kept(tables.bars(spark, folder))
+    files.replace_build(b.where("volume > 50"), path)
+    files.upsert_on_key(b.where("trade_date >= '1997-01-01'").select(*PK, (F.col("close") + 1).alias("close")), path, list(PK))
+    return spark.read.parquet(path)
+
+
+QUERIES["upsert_partial_columns"] = query(
+    _partial_upsert,
+    """SELECT instrument_id, trade_date, CASE WHEN trade_date >= DATE '1997-01-01' THEN close + 1 ELSE close END AS close, CASE WHEN volume > 50 THEN open END AS open,
+              CASE WHEN volume > 50 THEN volume END AS volume, CASE WHEN volume > 50 THEN turnover END AS turnover
+       FROM bars WHERE volume > 50 OR trade_date >= DATE '1997-01-01'""", PK, {"close": 3, "open": 3, "volume": 3, "turnover": 6})
+
+
+def _folders(spark, folder):
+    """Many files of one folder, some without a column, and a pattern of text files, read at once."""
+    path = scratch(spark, "many")
+    b = kept(tables.bars(spark, folder))
+    b.select(*PK, "close", "volume").repartition(20).write.parquet(f"{path}/full")
+    b.select(*PK, "close").repartition(5).write.parquet(f"{path}/short")
+    for year in ("1994", "1995"):
+        files.write_csv(b.where(F.year("trade_date") == int(year)).select(*PK, "close"), f"{path}/y{year}.csv")
+    parquet = files.read_many(spark, f"{path}/full,{path}/short")
+    text = files.read_many(spark, f"{path}/y199*.csv")
+    return parquet.select(*PK, "close", "volume", F.lit("parquet").alias("kind")).unionByName(
+        text.select("instrument_id", F.to_date("trade_date").alias("trade_date"), cn.number(F.col("close")).alias("close"), F.lit(None).cast("double").alias("volume"), F.lit("csv").alias("kind")))
+
+
+QUERIES["files_folders_and_patterns"] = query(
+    _folders,
+    """SELECT instrument_id, trade_date, close, volume, 'parquet' AS kind FROM bars UNION ALL SELECT instrument_id, trade_date, close, NULL, 'parquet' FROM bars
+       UNION ALL SELECT instrument_id, trade_date, close, NULL, 'csv' FROM bars WHERE year(trade_date) IN (1994, 1995)""", (*PK, "kind"), {"close": 3, "volume": 3})
+
 QUERIES["table_snapshot"] = query(
     lambda spark, folder: manifest.snapshot(tables.bars(spark, folder), "bars"),
     "SELECT 'bars' AS table_name, count(*) AS row_count, 9 AS column_count, min(trade_date) AS date_min, max(trade_date) AS date_max, count(DISTINCT instrument_id) AS instruments FROM bars",
@@ -194,15 +235,29 @@ QUERIES["join_backfill"] = query(
 
 def _merge(spark, folder):
     hf = tables.read(spark, folder, "lineitem").select(
-        F.concat(F.lit("SZ"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0")).alias("instrument_id"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("trade_date"),
-        F.col("l_tax").alias("tax"), F.col("l_discount").alias("turnover"), "l_orderkey", "l_linenumber", "l_partkey").where("l_tax > 0.06")
-    return joins.merge_features(tables.bars(spark, folder), hf, _ORDER)
+        tables.padded_id("l_suppkey").alias("instrument_id"), F.add_months(F.to_date(F.date_trunc("month", "l_shipdate")), 5).alias("trade_date"),
+        F.col("l_tax").alias("tax"), F.col("l_discount").alias("turnover"), "l_orderkey", "l_linenumber", "l_partkey")
+    return joins.merge_features(tables.bars(spark, folder), hf, _ORDER, normalize_ids=False)
+
+
+def _long_ids(df):
+    """Ids of seven digits and more that differ in their last figure only beyond the sixth."""
+    return df.withColumn("instrument_id", F.concat(F.lit("123456"), F.col("instrument_id").cast("long").cast("string")))
+
+
+def _merge_long(spark, folder):
+    b = _long_ids(tables.bars(spark, folder))
+    return joins.merge_features(b, b.where("volume > 100").select(*PK, (F.col("close") * 2).alias("twice"), F.col("volume").alias("v")), ["v"],
+                                normalize_ids=False)[0]
 
 
 _MERGE = """
-mh AS (SELECT * FROM (SELECT lpad(l_suppkey::VARCHAR, 6, '0') AS instrument_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS trade_date, l_tax AS tax, l_discount AS hf_turnover,
-  row_number() OVER (PARTITION BY l_suppkey, date_trunc('month', l_shipdate) ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_tax DESC, l_discount DESC) AS rn FROM lineitem WHERE l_tax > 0.06) WHERE rn = 1)"""
+mh AS (SELECT * FROM (SELECT lpad(l_suppkey::VARCHAR, greatest(6, length(l_suppkey::VARCHAR))::INTEGER, '0') AS instrument_id, CAST(date_trunc('month', l_shipdate) + INTERVAL 5 MONTH AS DATE) AS trade_date, l_tax AS tax, l_discount AS hf_turnover,
+  row_number() OVER (PARTITION BY l_suppkey, date_trunc('month', l_shipdate) ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_tax DESC, l_discount DESC) AS rn FROM lineitem) WHERE rn = 1)"""
 QUERIES["merge_hf_features"] = query(lambda spark, folder: _merge(spark, folder)[0], f"{_MERGE} => SELECT bars.*, tax, hf_turnover FROM bars LEFT JOIN mh USING (instrument_id, trade_date)", PK, ["turnover", "tax", "hf_turnover"], 5)
+QUERIES["merge_hf_long_ids"] = query(
+    _merge_long, "SELECT '123456' || CAST(instrument_id AS BIGINT) AS instrument_id, trade_date, close, CASE WHEN volume > 100 THEN close * 2 END AS twice FROM bars",
+    PK, {"close": 3, "twice": 3})
 QUERIES["merge_hf_coverage"] = query(
     lambda spark, folder: _merge(spark, folder)[1].withColumnRenamed("rows", "total"),
     f"{_MERGE} => SELECT count(*) AS total, count(tax) AS matched_rows, count(tax) * 1.0 / count(*) AS coverage FROM bars LEFT JOIN mh USING (instrument_id, trade_date)", (), ["total", "matched_rows", "coverage"])
@@ -224,12 +279,18 @@ QUERIES["benchmark_lookup_with_fallback"] = query(
 
 def _universe(spark, folder):
     s = tables.read(spark, folder, "supplier")
-    return joins.restrict_universe(tables.bars(spark, folder), s.where("s_acctbal > 5000").select(F.concat(F.lit("sz"), F.lpad(F.col("s_suppkey").cast("string"), 6, "0")).alias("instrument_id")),
-                                   s.where("s_nationkey < 5").select(F.col("s_suppkey").alias("instrument_id")))
+    return joins.restrict_universe(tables.bars(spark, folder), s.where("s_acctbal > 5000").select(tables.padded_id("s_suppkey").alias("instrument_id")),
+                                   s.where("s_nationkey < 5").select(tables.padded_id("s_suppkey").alias("instrument_id")), normalize_ids=False)
 
 
 QUERIES["universe_restriction"] = query(
     _universe, "SELECT * FROM bars WHERE CAST(instrument_id AS BIGINT) IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000 OR s_nationkey < 5)", PK, ["close"], 3)
+QUERIES["universe_restriction_long_ids"] = query(
+    lambda spark, folder: joins.restrict_universe(
+        _long_ids(tables.bars(spark, folder)), _long_ids(tables.read(spark, folder, "supplier").where("s_nationkey < 9").select(F.col("s_suppkey").alias("instrument_id"))),
+        normalize_ids=False),
+    """SELECT '123456' || CAST(instrument_id AS BIGINT) AS instrument_id, trade_date, close FROM bars
+       WHERE CAST(instrument_id AS BIGINT) IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 9)""", PK, ["close"], 3)
 QUERIES["universe_membership_dates"] = query(
     lambda spark, folder: joins.member_on_date(tables.bars(spark, folder), tables.read(spark, folder, "supplier").select(
         tables.padded_id("s_suppkey").alias("instrument_id"), F.add_months(F.lit("1995-01-01").cast("date"), F.col("s_nationkey")).alias("in_date"),
