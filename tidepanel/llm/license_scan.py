@@ -172,7 +172,7 @@ copyright 1 0.5 copyright :: copyright( c)? (19|20)\d\d( (19|20)\d\d)?
 copyright 1 0.4 copyright :: copyright (by|holder|holders|owner|notice)
 copyright 1 0.4 copyrighted :: (is|are) copyrighted( material)?
 reserved 1 0.5 reserved :: (some|no) rights reserved
-reserved 1 0.6 droits :: tous droits r\x{e9}serv\x{e9}s
+reserved 1 0.6 droits :: tous droits réservés
 reserved 1 0.6 rechte :: alle rechte vorbehalten
 reserved 1 0.6 derechos :: todos los derechos reservados
 proprietary 2 0.8 proprietary :: proprietary (and|or) confidential
