@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import durable
-from . import html_layout, lattice_dedup, license_scan, mixing, ngram_join, packing, pairwise_quality, quality_cascade, token_counts, toxicity
+from . import html_layout, lattice_dedup, license_scan, mixing, ngram_join, oracles, packing, pairwise_quality, quality_cascade, token_counts, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -64,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
