@@ -90,12 +90,8 @@ def between_dates(df: DataFrame, start: str | None, end: str | None, column: str
     return df
 
 
-def asof_series(dates: DataFrame, points: DataFrame, order: Sequence[str] = (), max_staleness_days: float | None = None,
-                fill_forward: bool = True, cutoff_hour: int = 15) -> DataFrame:
-    """(series_id, trade_date, value): the last value published by the cutoff hour of each trading day.
-
-    A published NULL counts as the last value.  A value older than ``max_staleness_days`` becomes NULL;
-    ``fill_forward`` then repeats the last value seen on an earlier day (so the limit only shows before it).
+def _seen_by_day(dates: DataFrame, points: DataFrame, order: Sequence[str], cutoff_hour: int) -> DataFrame:
+    """(series_id, trade_date, _age, value): on each trading day the last point published by its cutoff hour.
 
     Points are first reduced to the last one per (series, day slot) with partial aggregation, so the ordered pass
     sees at most one point per calendar day of a series, however densely it is published.
@@ -119,27 +115,51 @@ def asof_series(dates: DataFrame, points: DataFrame, order: Sequence[str] = (),
     spec = Window.partitionBy("series_id").orderBy("trade_date", "_day").rowsBetween(Window.unboundedPreceding, 0)
     seen = F.last(F.when(~F.col("_day"), F.struct("_at", "value")), ignorenulls=True).over(spec)
     out = last.withColumn("_at", F.col("_at").cast("timestamp_ntz")).unionByName(grid).withColumn("_seen", seen)
-    value = F.col("_seen.value")
-    if max_staleness_days is not None and max_staleness_days > 0:
-        cutoff = F.timestamp_add("HOUR", F.lit(cutoff_hour), F.col("trade_date").cast("timestamp_ntz"))
-        age = F.timestamp_diff("MICROSECOND", F.col("_seen._at"), cutoff) / 86400e6
-        value = F.when(age <= max_staleness_days, value)
-    out = out.where("_day").select("series_id", "trade_date", value.alias("value"))
+    cutoff = F.timestamp_add("HOUR", F.lit(cutoff_hour), F.col("trade_date").cast("timestamp_ntz"))
+    age = F.timestamp_diff("MICROSECOND", F.col("_seen._at"), cutoff) / 86400e6
+    return out.where("_day").select("series_id", "trade_date", age.alias("_age"), F.col("_seen.value").alias("value"))
+
+
+def _limited(staleness: float | None) -> Column:
+    value = F.col("value")
+    return F.when(F.col("_age") <= staleness, value) if staleness is not None and staleness > 0 else value
+
+
+def _last_so_far(column: str) -> Column:
+    so_far = Window.partitionBy("series_id").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
+    return F.last(column, ignorenulls=True).over(so_far)
+
+
+def asof_series(dates: DataFrame, points: DataFrame, order: Sequence[str] = (), max_staleness_days: float | None = None,
+                fill_forward: bool = True, cutoff_hour: int = 15) -> DataFrame:
+    """(series_id, trade_date, value): the last value published by the cutoff hour of each trading day.
+
+    A published NULL counts as the last value.  A value older than ``max_staleness_days`` becomes NULL;
+    ``fill_forward`` then repeats the last value seen on an earlier day (so the limit only shows before it).
+    """
+    out = _seen_by_day(dates, points, order, cutoff_hour).select(
+        "series_id", "trade_date", _limited(max_staleness_days).alias("value"))
     if fill_forward:
-        run = Window.partitionBy("series_id").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
-        out = out.select("series_id", "trade_date", F.last("value", ignorenulls=True).over(run).alias("value"))
+        out = out.select("series_id", "trade_date", _last_so_far("value").alias("value"))
     return out
 
 
 def asof_columns(df: DataFrame, points: DataFrame, wanted: Mapping[str, tuple[str, float | None]],
                  fill_forward: bool = True, order: Sequence[str] = ()) -> DataFrame:
-    """``df`` with one column per wanted series: ``{column: (series_id, max_staleness_days)}``."""
-    out = df
-    for column, (series_id, staleness) in wanted.items():
-        one = points.where(F.col("series_id") == series_id)
-        daily = asof_series(df, one, order, staleness, fill_forward).select("trade_date", F.col("value").alias(column))
-        out = attach(out, daily, ["trade_date"])
-    return out
+    """``df`` with one column per wanted series: ``{column: (series_id, max_staleness_days)}``.
+
+    Points and days are read once for all columns; the panel is joined with one row per day.
+    """
+    if not wanted:
+        return df
+    of_interest = points.where(F.col("series_id").isin(*{series for series, _ in wanted.values()}))
+    rows = _seen_by_day(df, of_interest, order, 15)
+    rows = rows.select("series_id", "trade_date", *[_limited(limit).alias(c) for c, (_, limit) in wanted.items()])
+    if fill_forward:
+        rows = rows.select("series_id", "trade_date", *[_last_so_far(c).alias(c) for c in wanted])
+    daily = rows.groupBy("trade_date").agg(*[
+        F.max(F.when(F.col("series_id") == series, F.col(c))).alias(c) for c, (series, _) in wanted.items()])
+    return attach(df, daily, ["trade_date"])
 
 
 def lookup(df: DataFrame, dim: DataFrame, order: Sequence[str], columns: Sequence[str]) -> DataFrame:

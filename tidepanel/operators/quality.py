@@ -41,11 +41,22 @@ def unique_key(df: DataFrame, keys: Sequence[str], name: str = "unique_key") ->
     return _report(copies.agg(failed.alias("f")), name, "unique_key", F.col("f"), F.lit(",".join(keys)))
 
 
+def row_rules(df: DataFrame, rules: Sequence[tuple[str, str, Column, str]]) -> DataFrame:
+    """Rules (name, type, condition, detail) on single rows, all counted in one pass; NULL counts as failed."""
+    counts = df.agg(*[F.count_if(~F.coalesce(ok, F.lit(False))).alias(f"f{i}") for i, (_, _, ok, _) in enumerate(rules)])
+    lines = F.array(*[F.struct(
+        F.lit(name).alias("rule"), F.lit(kind).alias("type"), (F.col(f"f{i}") == 0).alias("passed"),
+        F.col(f"f{i}").cast("bigint").alias("failed_rows"), F.lit(detail).alias("detail")) for i, (name, kind, _, detail) in enumerate(rules)])
+    return counts.select(F.inline(lines))
+
+
 def expression(df: DataFrame, text: str | Column, name: str = "expression") -> DataFrame:
     """Rows for which a Spark SQL condition is false or NULL."""
-    ok = F.expr(text) if isinstance(text, str) else text
-    failed = df.agg(F.count_if(~F.coalesce(ok, F.lit(False))).alias("f"))
-    return _report(failed, name, "expression", F.col("f"), F.lit(text if isinstance(text, str) else str(text)))
+    return row_rules(df, [_condition(text, name)])
+
+
+def _condition(text: str | Column, name: str) -> tuple[str, str, Column, str]:
+    return (name, "expression", F.expr(text), text) if isinstance(text, str) else (name, "expression", text, str(text))
 
 
 def daily_counts(df: DataFrame) -> DataFrame:
@@ -70,29 +81,34 @@ def coverage(df: DataFrame, min_p50: float = 0.0, min_p10: float = 0.0, name: st
 
 def session(df: DataFrame, name: str = "session") -> DataFrame:
     require_columns(df, ["ts"])
-    return _report(df.agg(F.count_if(~in_session(F.col("ts"))).alias("f")), name, "market_session_check", F.col("f"), F.lit(""))
+    return row_rules(df, [(name, "market_session_check", in_session(F.col("ts")), "")])
 
 
 def validate(df: DataFrame, rules: Sequence[Mapping], required: Sequence[str] = (), primary_key: Sequence[str] = ()) -> DataFrame:
-    """The report of all rules; a rule of an unknown type is reported as skipped (``passed`` is NULL)."""
+    """The report of all rules; a rule of an unknown type is reported as skipped (``passed`` is NULL).
+
+    Expressions and session times are counted in one pass; each key rule and coverage rule groups the table its own way.
+    """
     require_columns(df, required)
     parts = [unique_key(df, primary_key, "primary_key")] if primary_key else []
+    single, skipped = [], []
     for i, rule in enumerate(rules):
         kind, name = rule.get("type", ""), rule.get("name") or rule.get("type") or f"rule_{i}"
         if kind == "unique_key":
             parts.append(unique_key(df, rule["key"], name))
         elif kind == "expression":
-            parts.append(expression(df, rule["expr"], name))
+            single.append(_condition(rule["expr"], name))
         elif kind == "stock_coverage_vs_trade_days":
             parts.append(coverage(df, rule.get("min_ratio_p50", 0.0), rule.get("min_ratio_p10", 0.0), name))
         elif kind == "market_session_check":
-            parts.append(session(df, name))
+            require_columns(df, ["ts"])
+            single.append((name, kind, in_session(F.col("ts")), ""))
         else:
-            parts.append(df.sparkSession.createDataFrame([(name, kind, None, 0, "skipped")], REPORT))
-    if not parts:
-        return df.sparkSession.createDataFrame([], REPORT)
-    out = parts[0]
-    for p in parts[1:]:
+            skipped.append((name, kind, None, 0, "skipped"))
+    if single:
+        parts.append(row_rules(df, single))
+    out = df.sparkSession.createDataFrame(skipped, REPORT) if skipped or not parts else parts.pop()
+    for p in parts:
         out = out.unionByName(p)
     return out
 

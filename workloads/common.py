@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.plans import tables
-from tidepanel.session import durable
+from tidepanel.session import durable, shared_folder
 
 BARS, MINUTES, MACRO, DIM = tables.BARS_SQL, tables.MINUTES_SQL, tables.MACRO_SQL, tables.DIM_SQL
 PK = ("instrument_id", "trade_date")
@@ -126,3 +127,8 @@ def bars(spark: SparkSession, folder: str) -> DataFrame:
 def kept(df: DataFrame) -> DataFrame:
     """A panel that is read several times, stored once in the checkpoint folder."""
     return durable(df)
+
+
+def scratch(spark, name):
+    """A fresh path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from tidepanel.operators import evaluation as ev
 from tidepanel.operators import splits as sp
 from tidepanel.plans import tables
+from tidepanel.sources import files
 
-from .common import PK, kept, query
+from .common import PK, kept, query, scratch
 from .labels import FOLD_ARGS, FOLDS_SQL
 from .portfolios import SCORES, scores
 
@@ -147,9 +148,19 @@ QUERIES["top_list_last_date"] = query(
     lambda spark, folder: ev.top_list(scores(spark, folder), 10),
     f"{SCORES} => SELECT * FROM (SELECT *, row_number() OVER (ORDER BY score DESC, instrument_id) AS rank FROM scores WHERE trade_date = (SELECT max(trade_date) FROM scores)) WHERE rank <= 10",
     ("trade_date", "instrument_id"), ["rank", "score"])
+
+
+def _board(spark, folder):
+    """A board on disk to which the strategies of a backtest and then the teams are added."""
+    path = scratch(spark, "board")
+    files.leaderboard_append(ev.strategy_metrics(ev.strategy_returns(scores(spark, folder), GRID)).select("strategy", "mean_return"), path)
+    files.leaderboard_append(tables.read(spark, folder, "region").select(
+        F.concat(F.lit("team_"), "r_name").alias("strategy"), (F.col("r_regionkey") / 10).alias("mean_return")), path)
+    return spark.read.parquet(path)
+
+
 QUERIES["leaderboard_append"] = query(
-    lambda spark, folder: ev.strategy_metrics(ev.strategy_returns(scores(spark, folder), GRID)).select("strategy", "mean_return").unionByName(
-        tables.read(spark, folder, "region").select(F.concat(F.lit("team_"), "r_name").alias("strategy"), (F.col("r_regionkey") / 10).alias("mean_return"))),
+    _board,
     f"{SCORES}, {_returns_sql()} => SELECT strategy, avg(value) AS mean_return FROM sr GROUP BY 1 UNION ALL SELECT 'team_' || r_name, r_regionkey / 10.0 FROM region",
     ("strategy",), ["mean_return"], 5)
 

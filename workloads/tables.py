@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tidepanel.operators import joins
@@ -14,18 +12,11 @@ from tidepanel.sources import files, logs, manifest, providers
 from tidepanel.functions import rolling as r
 from tidepanel.functions.factor import by_instrument, with_factors
 
-from tidepanel.session import shared_folder
-
-from .common import BARS, DIM, ORDERED, PK, kept, query
+from .common import BARS, DIM, ORDERED, PK, kept, query, scratch
 
 QUERIES = {}
 
 
-def scratch(spark, name):
-    """A fresh path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 # ---- normalisation ----------------------------------------------------------------------------------------------
 
 
@@ -316,19 +307,19 @@ def _report(spark, folder):
     rows = tables.read(spark, folder, "lineitem").withColumns({
         "instrument_id": tables.padded_id("l_suppkey"), "trade_date": F.to_date(F.date_trunc("month", "l_shipdate")),
         "ts": F.timestamp_add("MINUTE", (F.col("l_orderkey") % 1440).cast("int"), F.date_trunc("day", "l_shipdate"))})
-    return q.validate(kept(rows.select("l_orderkey", "l_linenumber", "l_discount", "l_quantity", "instrument_id", "trade_date", "ts")), RULES, ["ts"]).withColumn("ok", F.col("passed").cast("int"))
+    return q.validate(rows, RULES, ["ts"]).withColumn("ok", F.col("passed").cast("int"))
 
 
 _COUNTS = "SELECT count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY date_trunc('month', l_shipdate)"
 _RATIOS = f"SELECT quantile_cont(n, 0.5) / max(n) AS p50, quantile_cont(n, 0.1) / max(n) AS p10 FROM ({_COUNTS})"
 QUERIES["quality_rule_report"] = query(
     _report,
-    f"""SELECT 'line_key' AS rule, 'unique_key' AS type, count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS failed_rows, CASE WHEN count(*) = count(DISTINCT (l_orderkey, l_linenumber)) THEN 1 ELSE 0 END AS ok FROM lineitem
-    UNION ALL SELECT 'discount', 'expression', count(CASE WHEN NOT l_discount < 0.08 THEN 1 END), 0 FROM lineitem
-    UNION ALL SELECT 'null_fails', 'expression', count(CASE WHEN l_quantity = 5 THEN 1 END), 0 FROM lineitem
-    UNION ALL SELECT 'cover', 'stock_coverage_vs_trade_days', CASE WHEN p50 >= 0.3 AND p10 >= 0.9 THEN 0 ELSE 1 END, CASE WHEN p50 >= 0.3 AND p10 >= 0.9 THEN 1 ELSE 0 END FROM ({_RATIOS})
-    UNION ALL SELECT 'hours', 'market_session_check', count(CASE WHEN NOT (l_orderkey % 1440 BETWEEN 570 AND 690 OR l_orderkey % 1440 BETWEEN 780 AND 900) THEN 1 END), 0 FROM lineitem
-    UNION ALL SELECT 'later', 'unheard_of', 0, NULL""", ("rule", "type"), ["failed_rows", "ok"], ctes=())
+    f"""SELECT 'line_key' AS rule, 'unique_key' AS type, count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS failed_rows, CASE WHEN count(*) = count(DISTINCT (l_orderkey, l_linenumber)) THEN 1 ELSE 0 END AS ok, 'l_orderkey,l_linenumber' AS detail FROM lineitem
+    UNION ALL SELECT 'discount', 'expression', count(CASE WHEN NOT l_discount < 0.08 THEN 1 END), 0, 'l_discount < 0.08' FROM lineitem
+    UNION ALL SELECT 'null_fails', 'expression', count(CASE WHEN l_quantity = 5 THEN 1 END), 0, 'nullif(l_quantity, 5) > 0' FROM lineitem
+    UNION ALL SELECT 'cover', 'stock_coverage_vs_trade_days', CASE WHEN p50 >= 0.3 AND p10 >= 0.9 THEN 0 ELSE 1 END, CASE WHEN p50 >= 0.3 AND p10 >= 0.9 THEN 1 ELSE 0 END, printf('p50=%.3f p10=%.3f', p50, p10) FROM ({_RATIOS})
+    UNION ALL SELECT 'hours', 'market_session_check', count(CASE WHEN NOT (l_orderkey % 1440 BETWEEN 570 AND 690 OR l_orderkey % 1440 BETWEEN 780 AND 900) THEN 1 END), 0, '' FROM lineitem
+    UNION ALL SELECT 'later', 'unheard_of', 0, NULL, 'skipped'""", ("rule", "type", "detail"), ["failed_rows", "ok"], ctes=())
 QUERIES["quality_daily_coverage"] = query(
     lambda spark, folder: q.coverage_ratios(tables.bars(spark, folder)),
     "cc AS (SELECT count(DISTINCT instrument_id) AS n FROM bars GROUP BY trade_date) => SELECT count(*) AS days, quantile_cont(n, 0.5) / max(n) AS ratio_p50, quantile_cont(n, 0.1) / max(n) AS ratio_p10 FROM cc",
