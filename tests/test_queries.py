@@ -1,7 +1,4 @@
-"""Registered queries against their SQL in DuckDB on the smallest tables.
-
-A selection runs by default; ALL_QUERIES=1 runs every one (``tools_check.py`` does the same on any scale).
-"""
+"""Every registered query against its SQL in DuckDB on the smallest tables (``tools_check.py``: on any scale)."""
 
 import glob
 import os
@@ -13,11 +10,7 @@ import __spark_entry__ as entry
 from tools_check import canonical
 
 FOLDER = "/root/testdata/sf0.001"
-SELECTION = ("flagship_portfolio", "ts_rolling_shape", "indicators_recursive", "canonical_daily", "intraday_variants_outer_join",
-             "asof_macro_columns", "factor_graph_all_inputs", "cs_rank", "augmented_features", "loss_target_mad_drop_zscore",
-             "rolling_folds", "sliding_sequences", "portfolio_industry_cap", "strategy_reselection", "loss_lambda_ndcg",
-             "correlation_edges", "similarity_knn", "sink_partitioned_write_modes", "quality_rule_report", "dataset_product")
-NAMES = sorted(entry.oracle_sql()) if os.environ.get("ALL_QUERIES") else SELECTION
+NAMES = sorted(entry.oracle_sql())
 
 
 @pytest.fixture(scope="module")
