@@ -5,17 +5,15 @@ at least 0.8; then they share at least T = ceil(0.8 n) elements, n being the siz
 
 1. Documents with equal sets form a class; from there on a class counts once, represented by its smallest id.
 2. In any order of all shingles that is the same for everyone, two linked sets have a common element among the first
-   n - T + 1 of each. The order used puts the most frequent shingles last, so these prefixes are short inverted lists:
-   the lists that DivideSkip sets aside as long ones are those left out. Documents that meet in a list belong to one
-   candidate group; a list contributes a star, not pairs, and a task gives at most one entry of a shingle to a list.
+   n - T + 1 of each. Each set looks up its first shingles by hash, half as many again, in the inverted lists; those
+   that no other set has are put first in its order, so only the few others that still belong to the prefix matter.
+   A set that has more than n - T shingles of its own is linked with none. Sets that meet in a list belong to one
+   candidate group; a list contributes a star, not pairs, and a batch puts one entry of a shingle on its list.
 3. Candidate groups, cut in chunks of bounded size ordered by set size, are searched chunk against chunk as far as
    sizes allow: a query's shorter lists are merged by counting, its T / (mu log M + 1) longest lists are
    probed by binary search for the documents that reached T minus their number, and those that reach the required
    overlap exactly stay. A block reports per class its number of links and its group in the block, never pairs.
 4. Connected components of what the blocks report give the result.
-
-Which shingles count as frequent is settled by exact counts over the prefixes of all documents; at most ``MOST_FREQUENT`` of them are
-sent to the tasks. That bounds memory and affects speed alone: any order gives all links.
 """
 
 from __future__ import annotations
@@ -35,7 +33,6 @@ from .per_text import per_text
 from .text import free_name
 
 WORDS, PERCENT = 5, 80
-MOST_FREQUENT, FREQUENT = 1_000_000, 8
 BROADCAST_ROWS = 500_000
 CHUNK = 2048  # a chunk's documents, one of more than 1,024 shingles counting as several
 MU = 0.0085  # cost of a probe against a merge step
@@ -91,8 +88,14 @@ def required(n: int) -> int:
     return -(-PERCENT * n // 100)
 
 
-def prefix(ordered: np.ndarray) -> np.ndarray:
-    return ordered[:len(ordered) - required(len(ordered)) + 1] if len(ordered) else ordered
+def prefix_length(n: int) -> int:
+    """So many elements of a set, first in a common order, hold one of every set it is linked with."""
+    return n - required(n) + 1
+
+
+def reach(n: int) -> int:
+    """So many elements are looked up: half as many again as a prefix has."""
+    return min(n, prefix_length(n) * 3 // 2)
 
 
 def _digest(shingles: np.ndarray) -> tuple[int, int]:
@@ -102,52 +105,86 @@ def _digest(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def profiles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, n, d1, d2, prefix) of every row, stored: set size, digest, and the prefix in the order of hashes."""
+    """(doc, n, d1, d2) of every row, stored: set size and digest."""
     def start():
         def compute(texts: list) -> tuple:
             sets = list(shingle_sets(texts))
             d = [_digest(s) for s in sets]
-            return [len(s) for s in sets], [x[0] for x in d], [x[1] for x in d], [prefix(s) for s in sets]
+            return [len(s) for s in sets], [x[0] for x in d], [x[1] for x in d]
         return compute
 
     named = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    return durable(per_text(named, "text", ["doc"], {"n": "long", "d1": "long", "d2": "long", "prefix": "longs"}, start))
+    return durable(per_text(named, "text", ["doc"], {"n": "long", "d1": "long", "d2": "long"}, start))
 
 
-def _entries(docs: DataFrame, id_col: str, text_col: str, frequent: np.ndarray) -> DataFrame:
-    """Entries (see ``lists``) of prefixes with frequent shingles last; the keys are shingles."""
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)
-    named = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).where(F.col("doc").isNotNull())
-    kind = named.schema["doc"].dataType
+def _entries(docs: DataFrame, text_col: str) -> DataFrame:
+    """(by, key, node, shared): the first ``reach`` shingles (key) of each set (node, its first digest).
 
+    A shingle that several sets of a batch have goes to its list once, marked as shared; the other sets' entries are
+    known to be shared and are dealt anywhere (``by`` differs from the key).
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = sent.value
         for batch in batches:
-            sets, rows, seen = [], [], set()
-            for i, s in enumerate(shingle_sets(batch.column("text").to_pylist())):
-                key = s.tobytes() if len(s) < 3 else (len(s), *_digest(s))
-                if len(s) and key not in seen:  # of equal sets the first one stands for all
-                    seen.add(key)
-                    if len(last):
-                        at = np.minimum(np.searchsorted(last, s), len(last) - 1)
-                        common = last[at] == s
-                        s = np.concatenate((s[~common], s[common]))
-                    sets.append(prefix(s))
-                    rows.append(np.full(len(sets[-1]), i))
-            if not sets:
+            keys, nodes, seen = [], [], set()
+            for s in shingle_sets(batch.column("text").to_pylist()):
+                digest = (len(s), *_digest(s))
+                if len(s) and digest not in seen:  # of equal sets the first one stands for all
+                    seen.add(digest)
+                    keys.append(s[:reach(len(s))])
+                    nodes.append(np.full(len(keys[-1]), digest[1]))
+            if not keys:
                 continue
-            shingle, row = np.concatenate(sets), np.concatenate(rows)
-            yield list_entries(shingle, row, batch.column("doc"))
+            key, node = np.concatenate(keys), np.concatenate(nodes)
+            order = np.argsort(key, kind="stable")
+            again = np.append(False, key[order][1:] == key[order][:-1])
+            shared, follows = np.zeros(len(key), bool), np.zeros(len(key), bool)
+            follows[order] = again
+            shared[order] = again | np.append(again[1:], False)
+            by = np.where(follows, _mix(key.view(np.uint64) ^ node.view(np.uint64)).view(np.int64), key)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (by, key, node, shared)], ["by", "key", "node", "shared"])
+
+    text = docs.select(F.col(text_col).cast("string").alias("text"))
+    return text.mapInArrow(run, "by long, key long, node long, shared boolean")
+
+
+def _shared(entries: DataFrame) -> DataFrame:
+    """(key, node): the entries whose shingle another set has among its first ones too."""
+    dealt = entries.repartition("by").sortWithinPartitions("by", "key", "node")
 
-    return named.mapInArrow(run, f"key long, doc {kind.simpleString()}, near {kind.simpleString()}")
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]  # the last list so far, which may go on
 
+        def found(by: np.ndarray, key: np.ndarray, node: np.ndarray, shared: np.ndarray) -> pa.RecordBatch:
+            listed = by == key
+            same = np.append(False, (key[1:] == key[:-1]) & (node[1:] != node[:-1]) & listed[1:] & listed[:-1])
+            out = shared | ~listed | same | np.append(same[1:], False)
+            return pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(node[out])], ["key", "node"])
+
+        for batch in batches:
+            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("by", "key", "node", "shared")]
+            by, key, node, shared = (np.concatenate(x) for x in zip(held, new))
+            last = int(np.searchsorted(by, by[-1])) if len(by) else 0
+            yield found(by[:last], key[:last], node[:last], shared[:last])
+            held = [x[last:] for x in (by, key, node, shared)]
+        yield found(*held)
+
+    return dealt.mapInArrow(walk, "key long, node long")
+
+
+def _candidates(docs: DataFrame, sizes: DataFrame, text_col: str) -> DataFrame:
+    """(a, b): digests of sets that meet in an inverted list, as stars. ``sizes`` has (d1, n)."""
+    keys = _shared(_entries(docs, text_col)).groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    n = F.col("n")
+    length = n - F.ceil(n * PERCENT / 100) + 1
+    own = F.least(n, F.floor(length * 3 / 2)) - F.size("keys")  # elements no other set has: these come first
+    kept = keys.join(sizes, F.col("node") == F.col("d1")).withColumn("left", (length - own).cast("int")).where(
+        F.col("left") > 0).select("node", F.explode(F.slice("keys", 1, F.col("left"))).alias("key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield list_entries(batch.column("key").to_numpy(), np.arange(batch.num_rows), batch.column("node"))
 
-def _candidates(docs: DataFrame, profile: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(a, b): documents that meet in an inverted list, as stars."""
-    counted = profile.select(F.explode("prefix").alias("shingle")).groupBy("shingle").count().where(F.col("count") >= FREQUENT)
-    frequent = counted.orderBy(F.desc("count"), "shingle").limit(MOST_FREQUENT).select("shingle").toArrow().column("shingle")
-    entries = _entries(docs, id_col, text_col, np.sort(np.asarray(frequent.combine_chunks() if frequent.num_chunks else [], np.int64)))
-    return stars(entries)
+    return stars(kept.mapInArrow(run, "key long, doc long, near long"))
 
 
 def search(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -291,14 +328,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     profile = profiles(docs, id_col, text_col)
     classes = durable(profile.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc").alias("rep"), F.count("*").alias("weight")))
     known = classes.where(F.col("rep").isNotNull())
-    rep_of = profile.where(F.col("doc").isNotNull() & (F.col("n") > 0)).select("doc", "n", "d1", "d2").join(
-        known, ["n", "d1", "d2"]).select("doc", "rep").distinct()
-    pairs = durable(_candidates(docs, profile, id_col, text_col))
-    met = pairs.join(rep_of.select(F.col("doc").alias("a"), F.col("rep").alias("ra")), "a").join(
-        rep_of.select(F.col("doc").alias("b"), F.col("rep").alias("rb")), "b")
-    groups = components(met, "ra", "rb")
+    groups = components(_candidates(docs, classes.select("d1", "n"), text_col), "a", "b")
     nodes = groups.unionByName(groups.select(F.col("component").alias("node"), "component")).distinct()
-    grouped = known.join(nodes, F.col("rep") == F.col("node")).select(
+    grouped = known.join(nodes, F.col("d1") == F.col("node")).select(
         F.col("rep").alias("doc"), "weight", "n", "d1", "component")
     reported = _searched(docs, grouped, id_col, text_col)
     linked = components(reported, "doc", "near")
