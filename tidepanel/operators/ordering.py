@@ -164,13 +164,14 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], first: bool = False) -> DataFrame:
-    """One row per key: the last (or first) in the given order, picked by a partially aggregated min/max.
+    """One row per key: the last (or first) in the given order.
 
-    The whole row takes part in the comparison after the order, so equal orders cannot give different answers.
+    The whole row takes part in the comparison after the order, so equal orders cannot give different answers; NULL
+    is the smallest value. Spark cuts every partition to one row per key before the shuffle (WindowGroupLimit), so a
+    key with many rows sends one per task.
     """
-    order = list(order)
-    rest = [c for c in df.columns if c not in keys and c not in order]
-    row = F.struct(*[F.col(c) for c in [*order, *rest]])
-    pick = F.min(row) if first else F.max(row)
-    out = df.groupBy(*keys).agg(pick.alias("_row"))
-    return out.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
+    by = [c for c in [*order, *df.columns] if c not in keys]
+    if not by:
+        return df.dropDuplicates(list(keys))
+    spec = Window.partitionBy(*keys).orderBy(*[F.asc_nulls_first(c) if first else F.desc_nulls_last(c) for c in dict.fromkeys(by)])
+    return df.withColumn("_row_no", F.row_number().over(spec)).where(F.col("_row_no") == 1).drop("_row_no")
