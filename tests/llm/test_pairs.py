@@ -167,6 +167,46 @@ def test_dedup_against_all_pairs(spark, monkeypatch):
     assert all(r["kept"] == (r["component_id"] == i) for i, r in rows.items())
 
 
+@pytest.mark.parametrize("few,part", [(32, 2048), (2, 9)])
+def test_dedup_compares_all_that_share_a_cell(spark, monkeypatch, few, part):
+    """A cluster at cosine 0.85 whose cells hold planted pairs at 0.93, with vectors between them that are linked with neither."""
+    monkeypatch.setattr(lattice_dedup, "FEW", few, raising=False)
+    monkeypatch.setattr(lattice_dedup, "PART", part)
+    rng = np.random.default_rng(7)
+
+    def tilted(v, cos):
+        noise = rng.normal(size=64)
+        noise -= noise @ v * v
+        return cos * v + np.sqrt(1 - cos * cos) * noise / np.linalg.norm(noise)
+
+    base = rng.normal(size=64)
+    base /= np.linalg.norm(base)
+    near = [tilted(base, np.sqrt(0.85)) for _ in range(200)]
+    x = np.array(near + [tilted(v, 0.93) for v in near[:60]])
+    x = x[rng.permutation(len(x))].astype(np.float32).astype(float)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    linked = unit @ unit.T >= 0.9
+    np.fill_diagonal(linked, False)
+    keys = [set(k) for k in lattice_dedup.cells(unit).tolist()]
+    met = [(i, j) for i, j in zip(*np.nonzero(np.triu(linked))) if keys[i] & keys[j]]
+    assert len(met) > 40
+    component = groups_of(range(len(x)), met)
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    rows = {r["vec_id"]: r for r in lattice_dedup.dedup(docs.repartition(5)).collect()}
+    assert {i: r["component_id"] for i, r in rows.items()} == component
+    assert all(r["n_links"] == sum(linked[i][j] and component[i] == component[j] for j in rows) for i, r in rows.items())
+
+
+def test_spanning():
+    rng = np.random.default_rng(3)
+    for density in (0.0, 0.02, 0.1, 1.0):
+        linked = rng.uniform(size=(40, 30)) < density
+        i, j = lattice_dedup.spanning(linked)
+        assert linked[i, j].all() and len(i) < 70
+        every = groups_of(range(70), [(a, 40 + b) for a, b in zip(*np.nonzero(linked))])
+        assert groups_of(range(70), list(zip(i, 40 + j))) == every
+
+
 def test_dedup_odd_rows(spark):
     v = [0.1 * i + 0.2 for i in range(8)]
     inf, nan = float("inf"), float("nan")

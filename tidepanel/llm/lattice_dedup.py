@@ -4,9 +4,11 @@
 2. In each table a vector is projected to ``blocks`` times eight dimensions by Gaussian numbers and divided by
    ``width``. Each eight are decoded to the nearest points of E8, the integer points with an even sum and those
    shifted by a half. A vector goes to the ``probes`` cells nearest to it (combinations of the blocks' points, by distance); vectors that meet in a cell are candidates.
-3. A cell contributes its documents paired with the first one there and with the one before, never all pairs; cosines of these pairs are
+3. A cell first contributes its documents paired with the first one there and with the one before; cosines of these pairs are
    computed and pairs below the threshold fall. What stays connects components.
-4. Within a component all cosines are computed, in blocks of bounded size; each vector's links are counted there, so
+4. Cells in which several components meet are compared whole: all cosines of members of different components, in small
+   cells as pairs, in others in blocks of bounded size. So every pair that shares a cell is compared here or in step 5.
+5. Within a component all cosines are computed, in blocks of bounded size; each vector's links are counted there, so
    ``n_links`` is exact within components.
 
 With the default parameters two random vectors meet in a table with a probability of about 5e-6, two of cosine 0.9 with 0.17 and two of cosine
@@ -17,7 +19,7 @@ blocks and more probes.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,7 @@ from .lists import list_entries, stars
 THRESHOLD = 0.9
 TABLES, BLOCKS, PROBES, WIDTH = 16, 2, 8, 1.3
 PART = 2048
+FEW = 32  # cells of at most so many documents are compared by a join of pairs
 
 
 def valid_rows(column: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -173,54 +176,136 @@ def _lengths_and_values(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, n
     return np.diff(offsets), offsets[:-1], column.values.to_numpy()
 
 
-def _counted(members: DataFrame, threshold: float) -> DataFrame:
-    """(vec, links): for each class of a component the weight of the classes it is linked with."""
-    kind = members.schema["vec"].dataType.simpleString()
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / PART).alias("parts"))
-    placed = members.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("vec"), F.col("parts")))
+def _in_blocks(members: DataFrame, group: str, more: str, report: Callable[..., pa.RecordBatch], schema: str) -> DataFrame:
+    """``report(vec, vector, more, rows, columns, same)`` for every two blocks of a group and every vector length in them.
+
+    ``rows`` and ``columns`` are the places of the vectors to compare; ``same`` says that they are one block.
+    """
+    sizes = members.groupBy(group).agg(F.ceil(F.count("*") / PART).alias("parts"))
+    placed = members.join(sizes, group).withColumn("part", F.pmod(F.xxhash64("vec"), F.col("parts")))
     visit = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(
         F.least("part", j).alias("left"), F.greatest("part", j).alias("right"))))
-    dealt = placed.withColumn("visit", visit).select("vec", "vector", "weight", "component", "part", "visit.left", "visit.right")
-    dealt = dealt.withColumn("key", F.xxhash64("component", "left", "right")).repartition("key").sortWithinPartitions(
-        "key", "component", "left", "right", "vec")
+    dealt = placed.withColumn("visit", visit).select(
+        "vec", "vector", F.col(more).alias("more"), F.col(group).alias("group"), "part", "visit.left", "visit.right")
+    dealt = dealt.withColumn("key", F.xxhash64("group", "left", "right")).repartition("key").sortWithinPartitions(
+        "key", "group", "left", "right", "vec")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, block = None, []
 
-        def report(vec_kind: pa.DataType) -> pa.RecordBatch:
-            vec, vector, weight, part = zip(*block)
-            (_, left, right), weight, part = now, np.array(weight), np.array(part)
-            links = np.zeros(len(vec), np.int64)
+        def reports(vec_kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+            vec, vector, more, part = zip(*block)
+            (_, left, right), part = now, np.array(part)
             size = np.array([len(v) for v in vector])
             for dims in distinct(size):
-                rows = np.flatnonzero((size == dims) & (part == left))
-                columns = np.flatnonzero((size == dims) & (part == right))
-                x, y = (np.array([vector[i] for i in at]).reshape(-1, dims) for at in (rows, columns))
-                lengths = np.sqrt((x * x).sum(axis=1))[:, None] * np.sqrt((y * y).sum(axis=1))[None, :]
-                linked = (x @ y.T) / lengths >= threshold
-                if left == right:
-                    np.fill_diagonal(linked, False)
-                links[rows] += linked @ weight[columns]
-                if left != right:
-                    links[columns] += weight[rows] @ linked
-            return pa.RecordBatch.from_arrays([pa.array(vec, vec_kind), pa.array(links)], ["vec", "links"])
+                yield report(pa.array(vec, vec_kind), vector, np.array(more), np.flatnonzero((size == dims) & (part == left)),
+                             np.flatnonzero((size == dims) & (part == right)), left == right)
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("component", "left", "right", "vec", "weight", "part")]
+            columns = [batch.column(c).to_pylist() for c in ("group", "left", "right", "vec", "more", "part")]
             vectors = batch.column("vector")
-            for i, (component, left, right, vec, weight, part) in enumerate(zip(*columns)):
-                if (component, left, right) != now and block:
-                    yield report(batch.column("vec").type)
+            for i, (group, left, right, vec, more, part) in enumerate(zip(*columns)):
+                if (group, left, right) != now and block:
+                    yield from reports(batch.column("vec").type)
                     block = []
-                now = (component, left, right)
-                block.append((vec, vectors[i].values.to_numpy(), weight, part))
+                now = (group, left, right)
+                block.append((vec, vectors[i].values.to_numpy(), more, part))
         if block:
-            yield report(batch.column("vec").type)
+            yield from reports(batch.column("vec").type)
+
+    return dealt.select("group", "left", "right", "vec", "vector", "more", "part").mapInArrow(run, schema)
+
+
+def _linked(vector: tuple, rows: np.ndarray, columns: np.ndarray, threshold: float) -> np.ndarray:
+    x, y = (np.array([vector[i] for i in at]).reshape(len(at), -1 if len(at) else 0) for at in (rows, columns))
+    if not len(rows) or not len(columns):
+        return np.zeros((len(rows), len(columns)), bool)
+    return (x @ y.T) / (np.sqrt((x * x).sum(axis=1))[:, None] * np.sqrt((y * y).sum(axis=1))[None, :]) >= threshold
+
+
+def spanning(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of true entries that connect what all true entries connect: a forest."""
+    seen_rows, seen_columns = np.zeros(linked.shape[0], bool), np.zeros(linked.shape[1], bool)
+    found_rows, found_columns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for row in np.flatnonzero(linked.any(axis=1)):
+        front = np.array([row] if not seen_rows[row] else [], np.int64)
+        seen_rows[front] = True
+        while len(front):
+            open_ = linked[front] & ~seen_columns
+            columns = np.flatnonzero(open_.any(axis=0))
+            found_rows.append(front[open_[:, columns].argmax(axis=0)] if len(columns) else columns)
+            found_columns.append(columns)
+            seen_columns[columns] = True
+            back = linked[:, columns] & ~seen_rows[:, None]
+            front = np.flatnonzero(back.any(axis=1))
+            found_rows.append(front)
+            found_columns.append(columns[back[front].argmax(axis=1)] if len(front) else front)
+            seen_rows[front] = True
+    return np.concatenate(found_rows), np.concatenate(found_columns)
+
+
+def _crossing(classes: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links between classes of different components that share a cell; enough of them to connect what all would."""
+    kind = classes.schema["vec"].dataType.simpleString()
+    placed = classes.join(nodes, F.col("vec") == F.col("node"), "left").select(
+        "vec", "vector", F.coalesce("component", "vec").alias("component"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found = valid_rows(batch.column("vector"))
+            for size in sorted({len(x) for x in found}):
+                same = [i for i, x in enumerate(found) if len(x) == size]
+                for part in np.array_split(same, -(-len(same) // 1024)):
+                    x = np.array([found[i] for i in part])
+                    key = cells(x / np.linalg.norm(x, axis=1)[:, None])
+                    row = pa.array(np.repeat(at[part], key.shape[1]))
+                    yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), batch.column("vec").take(row),
+                                                      batch.column("component").take(row)], ["key", "vec", "component"])
+
+    entries = placed.mapInArrow(run, f"key long, vec {kind}, component {kind}")
+    # Two that are alone in a cell have been compared; one component's members are compared when its links are counted.
+    mixed = entries.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where(
+        (F.col("low") != F.col("high")) & (F.col("n") > 2)).select("key", "n")
+    shared = durable(entries.join(mixed, "key"))
+    few = shared.where(F.col("n") <= FEW)
+    left = few.select("key", F.col("vec").alias("a"), F.col("component").alias("ca"))
+    right = few.select("key", F.col("vec").alias("b"), F.col("component").alias("cb"))
+    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
+
+    def links(vec: pa.Array, vector: tuple, component: np.ndarray, rows: np.ndarray, columns: np.ndarray, same: bool) -> pa.RecordBatch:
+        linked = _linked(vector, rows, columns, threshold) & (component[rows][:, None] != component[columns][None, :])
+        i, j = spanning(linked)
+        return pa.RecordBatch.from_arrays([vec.take(pa.array(rows[i])), vec.take(pa.array(columns[j]))], ["a", "b"])
+
+    many = shared.where(F.col("n") > FEW).join(classes.select("vec", "vector"), "vec")
+    return _verified(pairs, classes, threshold).unionByName(
+        _in_blocks(many.select("vec", "vector", "key", "component"), "key", "component", links, f"a {kind}, b {kind}"))
+
 
-    found = dealt.select("component", "left", "right", "vec", "vector", "weight", "part").mapInArrow(run, f"vec {kind}, links long")
+def _counted(members: DataFrame, threshold: float) -> DataFrame:
+    """(vec, links): for each class of a component the weight of the classes it is linked with."""
+    kind = members.schema["vec"].dataType.simpleString()
+
+    def report(vec: pa.Array, vector: tuple, weight: np.ndarray, rows: np.ndarray, columns: np.ndarray, same: bool) -> pa.RecordBatch:
+        links = np.zeros(len(vec), np.int64)
+        linked = _linked(vector, rows, columns, threshold)
+        if same:
+            np.fill_diagonal(linked, False)
+        links[rows] += linked @ weight[columns]
+        if not same:
+            links[columns] += weight[rows] @ linked
+        seen = pa.array(np.append(rows, [] if same else columns).astype(np.int64))
+        return pa.RecordBatch.from_arrays([vec.take(seen), pa.array(links).take(seen)], ["vec", "links"])
+
+    found = _in_blocks(members, "component", "weight", report, f"vec {kind}, links long")
     return found.groupBy("vec").agg(F.sum("links").alias("links"))
 
 
+def _with_least(groups: DataFrame) -> DataFrame:
+    """(node, component) with the smallest node of each component as well."""
+    return groups.unionByName(groups.select(F.col("component").alias("node"), "component")).distinct()
+
+
 def dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """(id, n_links, component_id, kept), one row per row of ``vectors``.
 
@@ -238,7 +323,10 @@ def dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     reps = durable(named.join(own, "vec").dropDuplicates(["vec"]))
     linked = durable(_verified(_meetings(reps), reps, threshold))
     groups = components(linked, "a", "b")
-    nodes = durable(groups.unionByName(groups.select(F.col("component").alias("node"), "component")).distinct())
+    crossing = durable(_crossing(reps, _with_least(groups), threshold))
+    if not crossing.isEmpty():
+        groups = components(groups.toDF("a", "b").unionByName(crossing), "a", "b")
+    nodes = durable(_with_least(groups))
     members = reps.join(nodes, F.col("vec") == F.col("node")).select("vec", "vector", "weight", "component")
     counts = _counted(members, threshold)
     per_class = known.join(nodes.withColumnRenamed("node", "rep"), "rep", "left").join(
