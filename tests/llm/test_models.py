@@ -133,6 +133,12 @@ def test_page_layout(html, text):
     assert html_layout.render(html)[1] == text
 
 
+def test_backface_visibility_hides_nothing():
+    html = """<style>.card{-webkit-backface-visibility:hidden;backface-visibility: hidden}.gone{color:red;visibility:hidden}</style>
+    <p class=card>front<p style="backface-visibility: hidden">back<p style="color:red; visibility: hidden">x<p class=gone>y"""
+    assert html_layout.render(html)[1] == "front\n\nback"
+
+
 def test_pages_by_brute_force(spark):
     """All visible words of a page, in order, against a plain removal of markup."""
     import re
