@@ -139,6 +139,30 @@ def test_backface_visibility_hides_nothing():
     assert html_layout.render(html)[1] == "front\n\nback"
 
 
+SHEETS = [  # style sheet, body, visible text
+    ("@media print{.c{display:none}}", "<p class=c>a", "a"), ("@media (max-width:600px){.c{display:none}} .d{display:none}", "<p class=c>a<p class=d>b", "a"),
+    ("@media screen and (min-width:600px){.c{display:none}}", "<p class=c>a</p>b", "b"), ("@media print, screen{.c{display:none}}", "<p class=c>a</p>b", "b"),
+    (".c{display:none}.c{display:block}", "<p class=c>a", "a"), (".c{display:none}", "<p class=c style='display:block'>a", "a"),
+    (".c{display:none!important}.c{display:block}", "<p class=c style='display:block'>a</p>b", "b"),
+    (".c{display:block}p{display:none}", "<p class=c>a<p>b", "a"), ("#n{display:none}.c{display:block}", "<p class=c id=n>a</p>b", "b"),
+    (".c{display:none}@media (min-width:900px){.c{display:block}}", "<p class=c>a", "a"), (".c{display:block}", "<p class=c hidden>a<p hidden>b", "a"),
+    ("ul{visibility:hidden}.s{visibility:visible}", "<ul><li>a<li class=s>b</ul>c", "- b\n\nc"),
+    ("@supports (display:grid){@media screen{.c{display:none}}}", "<p class=c>a</p>b", "b"), ("@supports not (display:grid){.c{display:none}}", "<p class=c>a", "a"),
+    (".x{color:red;@media print{display:none}}.y{.z{display:none}}.q{display:none", "<p class=x>x<p class=z>z<p class=q>q", "x\n\nz"),
+    ("a::after{content:'}'}/* .b{display:none} */.c{display:none}", "<p class=b>a<p class=c>b", "a"),
+]
+
+
+@pytest.mark.parametrize("sheet,body,text", SHEETS)
+def test_style_sheets(sheet, body, text):
+    assert html_layout.render(f"<style>{sheet}</style><body>{body}")[1] == text
+
+
+def test_sheets_that_do_not_count():
+    html = "<style media=print>.c{display:none}</style><noscript><style>.c{display:none}</style></noscript><!-- <style>.c{display:none}</style> --><p class=c>a"
+    assert html_layout.render(html)[1] == "a"
+
+
 def test_pages_by_brute_force(spark):
     """All visible words of a page, in order, against a plain removal of markup."""
     import re

@@ -4,7 +4,9 @@ A page is cut into tags and text by one regular expression. A builder keeps the
 tag closes by implication (a list item ends the one before, a block ends a paragraph, a cell stands in a row) and
 ignores end tags that match nothing in reach. Elements that show nothing are skipped with all they hold: scripts and
 the like, ``hidden`` ones, those with ``display: none`` or ``visibility: hidden`` in their style or by a simple rule
-(one tag, class or id) of the page's style sheets, closed dialogs, and what a closed ``details`` hides.
+(one tag, class or id) of the page's style sheets, closed dialogs, and what a closed ``details`` hides. Rules count as
+the cascade has them (importance, inline, id, class, tag, order) and only where their at-rules hold on a screen of
+1280 x 800; what is made visible within an invisible element is shown.
 
 The renderer collapses white space except in ``pre``, starts blocks on lines of their own, puts a blank line around
 paragraphs, headings, lists, quotes and tables, marks and indents list items, and aligns the cells of a table in columns.
@@ -42,8 +44,15 @@ IN_BUTTON = SCOPE | {"button"}
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]+|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_HIDING = re.compile(r"(?:^|[;{\s])(?:display\s*:\s*none|(?:content-)?visibility\s*:\s*(?:hidden|collapse))", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_SHEET = re.compile(r"<!--.*?(?:-->|\Z)|<(script|noscript|template|textarea|title|xmp|iframe)\b.*?(?:</\1\s*>|\Z)|"
+                    r"<style\b([^>]*)>(.*?)(?:</style|\Z)", re.S | re.I)
+_CSS = re.compile(r"""((?:"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|[^{};])*+)([{};]|\Z)""", re.S)
+_FEATURE = re.compile(r"(min-|max-)?([a-z-]+)(?:\s*(:|<=|>=|<|>|=)\s*([\w./-]+))?\Z")
+_LENGTH = re.compile(r"(\d*\.?\d+)(px|em|rem)?\Z")
+SCREEN = {"width": 1280.0, "height": 800.0}
+FEATURES = {"orientation": "landscape", "hover": "hover", "any-hover": "hover", "pointer": "fine", "any-pointer": "fine", "scripting": "enabled",
+            "prefers-color-scheme": "light", "prefers-reduced-motion": "no-preference", "prefers-contrast": "no-preference", "grid": "0", "update": "fast"}
+PROPERTIES = frozenset({"display", "visibility", "content-visibility"})
 _SIMPLE = re.compile(r"[.#]?[\w-]+\Z")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 WIDEST = 60  # columns wider than this aren't padded; their text stays whole
@@ -54,21 +63,121 @@ def attributes(text: str) -> dict[str, str]:
     return {k.lower(): unescape(v.strip("\"'")) for k, v in reversed(_ATTRIBUTE.findall(text))} if text and not text.isspace() else {}
 
 
-def hiding_rules(page: str) -> set[str]:
-    """Selectors of one tag, class or id whose rules in the page's style elements hide what they select."""
-    found = set()
-    if "<style" in page.lower():
-        for sheet in re.findall(r"<style[^>]*>(.*?)</style", page, re.S | re.I):
-            for selectors, body in _RULE.findall(sheet):
-                if _HIDING.search(body):
-                    found.update(s.strip() for s in selectors.split(",") if _SIMPLE.match(s.strip()))
+def declarations(body: str) -> dict[str, tuple[bool, str]]:
+    """(important, value) of the properties that decide about showing, the last ones of a list of declarations."""
+    found: dict[str, tuple[bool, str]] = {}
+    for part in re.sub(r"/\*.*?(?:\*/|\Z)", " ", body, flags=re.S).split(";"):
+        name, _, value = part.partition(":")
+        name, (value, _, mark) = name.strip().lower(), value.lower().partition("!")
+        if name in PROPERTIES and value.strip():
+            important = mark.strip() == "important"
+            if important or not found.get(name, (False,))[0]:
+                found[name] = (important, value.strip())
     return found
 
 
-def hidden(tag: str, attrs: dict[str, str], rules: set[str]) -> bool:
-    if tag in SKIPPED or "hidden" in attrs or tag == "dialog" and "open" not in attrs or _HIDING.search(attrs.get("style", "")):
-        return True
-    return bool(rules) and (tag in rules or "#" + attrs.get("id", "") in rules or any("." + c in rules for c in attrs.get("class", "").split()))
+def _feature(text: str) -> bool | None:
+    """Whether one media feature holds on the screen; None if it isn't known."""
+    found = _FEATURE.match(text.strip())
+    if not found:
+        return None
+    bound, name, sign, value = found.groups()
+    if name in SCREEN:
+        length = _LENGTH.match(value or "")
+        if not length:
+            return True if value is None else None
+        limit = float(length[1]) * (16 if length[2] in ("em", "rem") else 1)
+        have = SCREEN[name]
+        sign = {"min-": ">=", "max-": "<="}.get(bound, sign)
+        return {">=": have >= limit, "<=": have <= limit, "<": have < limit, ">": have > limit}.get(sign, have == limit)
+    if bound or name not in FEATURES:
+        return None
+    return FEATURES[name] == value if value else FEATURES[name] not in ("0", "no-preference")
+
+
+def _condition(text: str) -> bool | None:
+    for word, some in ((" or ", True), (" and ", False)):
+        if word in text:
+            parts = [_condition(t) for t in text.split(word)]
+            return some if some in parts else None if None in parts else not some
+    text = text.strip()
+    if text.startswith("not ") or text.startswith("not("):
+        inner = _condition(text[3:])
+        return None if inner is None else not inner
+    if text.startswith("(") and text.endswith(")"):
+        return _feature(text[1:-1])
+    return text in ("all", "screen") if re.fullmatch(r"[a-z-]+", text) else None
+
+
+def on_screen(media: str) -> bool:
+    """Whether a list of media queries holds on a screen; one with parts that aren't known doesn't."""
+    queries = [re.sub(r"\s+", " ", q).strip().lower() for q in media.split(",")]
+    def holds(q: str) -> bool | None:
+        negated = q.startswith("not ") and not q.startswith("not (")
+        found = _condition(q[4:] if negated else q.removeprefix("only "))
+        return not found if negated and found is not None else found
+    return not media.strip() or any(holds(q) for q in queries)
+
+
+def _at_rule(prelude: str) -> bool:
+    """Whether the rules in a block of this at-rule hold."""
+    name, rest = re.match(r"@([\w-]*)(.*)", prelude, re.S).groups()
+    return name.lower() == "layer" or name.lower() == "media" and on_screen(rest) or (
+        name.lower() == "supports" and not rest.strip().lower().startswith("not"))
+
+
+def sheet_rules(page: str) -> dict[str, dict[str, tuple[bool, int, str]]]:
+    """{selector of one tag, class or id: {property: (important, order, value)}} of the page's style elements."""
+    found: dict[str, dict[str, tuple[bool, int, str]]] = {}
+    if "<style" not in page.lower():
+        return found
+    order = 0
+    for sheet in _SHEET.finditer(page):
+        if sheet[3] is None or not on_screen(attributes(sheet[2]).get("media", "")):
+            continue
+        text = re.sub(r"/\*.*?(?:\*/|\Z)|<!--|-->", " ", sheet[3], flags=re.S)
+        blocks: list[tuple[bool, list[str] | None, list[str]]] = []  # whether it holds, its selectors, its declarations
+        for part, end in _CSS.findall(text):
+            holds, selectors, body = blocks[-1] if blocks else (True, None, [])
+            if end == "{":
+                if part.strip().startswith("@"):
+                    blocks.append((holds and _at_rule(part.strip()), selectors, []))
+                else:  # a rule within a rule selects by both
+                    blocks.append((holds, [] if selectors is not None else [s.strip() for s in part.split(",")], []))
+                continue
+            body.append(part)
+            if end != ";":
+                for holds, selectors, body in [blocks.pop()] if end and blocks else blocks[::-1] if not end else []:
+                    declared = declarations(";".join(body)) if holds and selectors else {}
+                    order += 1
+                    for selector in selectors if declared else []:
+                        if _SIMPLE.match(selector):
+                            known = found.setdefault(selector if selector[0] in ".#" else selector.lower(), {})
+                            for name, (important, value) in declared.items():
+                                if important or not known.get(name, (False,))[0]:
+                                    known[name] = (important, order, value)
+                if not end:
+                    break
+    return found
+
+
+def shown_as(tag: str, attrs: dict[str, str], rules: dict[str, dict[str, tuple[bool, int, str]]]) -> dict[str, str]:
+    """The values of ``PROPERTIES`` that an element has by its style and by rules, as far as they are declared."""
+    best: dict[str, tuple[bool, int, int, str]] = {}
+    selectors = [(0, tag), *((1, "." + c) for c in attrs.get("class", "").split()), (2, "#" + attrs.get("id", ""))] if rules else []
+    for level, selector in selectors:
+        for name, (important, order, value) in rules.get(selector, {}).items():
+            best[name] = max(best.get(name, (False, -1, 0, "")), (important, level, order, value))
+    for name, (important, value) in declarations(attrs["style"]).items() if "style" in attrs else ():
+        best[name] = max(best.get(name, (False, -1, 0, "")), (important, 3, 0, value))
+    return {name: found[-1] for name, found in best.items()}
+
+
+def hidden(tag: str, attrs: dict[str, str], style: dict[str, str]) -> bool:
+    """Whether an element is left out with all it holds."""
+    closed = "hidden" in attrs or tag == "dialog" and "open" not in attrs
+    display = style.get("display", "none" if closed else "")
+    return tag in SKIPPED or display == "none" or style.get("content-visibility") == "hidden"
 
 
 class Flow:
@@ -143,7 +252,8 @@ class Page:
         self.skip_at = 0  # depth of the outermost hidden element, 0 if none
         self.pre, self.items, self.n_tables = 0, 0, 0
         self.closed_details: list[int] = []  # depths of details elements that aren't open
-        self.rules = hiding_rules(html)
+        self.veils: list[tuple[int, bool]] = []  # depths of elements with a visibility of their own, and whether they're invisible
+        self.rules = sheet_rules(html)
         self.title = ""
         self.read(html)
 
@@ -217,9 +327,14 @@ class Page:
         if self.skip_at:
             return
         depth = len(self.open)
-        if hidden(tag, attrs, self.rules) or self.closed_details and self.closed_details[-1] == depth - 1 and tag != "summary":
+        style = shown_as(tag, attrs, self.rules)
+        if hidden(tag, attrs, style) or self.closed_details and self.closed_details[-1] == depth - 1 and tag != "summary":
             self.skip_at = depth
             return
+        visibility = style.get("visibility")
+        if visibility in ("hidden", "collapse", "visible", "initial"):
+            self.veils.append((depth, visibility in ("hidden", "collapse")))
+        veiled = self.veiled()
         flow = self.flows[-1]
         if tag == "details" and "open" not in attrs:
             self.closed_details.append(depth)
@@ -232,19 +347,19 @@ class Page:
             flow.line(2 if tag in SPACED and not (tag in ("ul", "ol", "menu") and self.lists) else 1)
         if tag == "table":
             self.tables.append(Table())
-            self.n_tables += 1
+            self.n_tables += not veiled
         elif tag == "tr" and self.tables:
             self.tables[-1].rows.append([])
         elif tag in ("ul", "ol", "menu"):
             start = attrs.get("start", "1")
             self.lists.append(int(start) if tag == "ol" and start.lstrip("-").isdecimal() else 1 if tag == "ol" else None)
         elif tag == "li":
-            self.items += 1
+            self.items += not veiled
             mark = "- "
             if self.lists and self.lists[-1] is not None:
                 mark = f"{self.lists[-1]}. "
                 self.lists[-1] += 1
-            flow.lead("  " * min(DEEPEST, max(0, len(self.lists) - 1)) + mark)
+            flow.lead("" if veiled else "  " * min(DEEPEST, max(0, len(self.lists) - 1)) + mark)
         elif tag == "dd":
             flow.lead("  ")
         elif tag == "pre":
@@ -257,6 +372,8 @@ class Page:
             if self.skip_at == depth:
                 self.skip_at = 0
             return
+        if self.veils and self.veils[-1][0] == depth:
+            self.veils.pop()
         if self.closed_details and self.closed_details[-1] == depth:
             self.closed_details.pop()
         if tag in ("td", "th"):
@@ -280,6 +397,9 @@ class Page:
             flow.line(2 if tag in SPACED and not (tag in ("ul", "ol", "menu") and self.lists) else 1)
             flow.lead("")
 
+    def veiled(self) -> bool:
+        return bool(self.veils) and self.veils[-1][1]
+
     def void(self, tag: str) -> None:
         flow = self.flows[-1]
         if tag == "br":
@@ -290,7 +410,7 @@ class Page:
             flow.line(2)
 
     def data(self, raw: str) -> None:
-        if self.skip_at or self.closed_details and self.closed_details[-1] == len(self.open):
+        if self.skip_at or self.veiled() or self.closed_details and self.closed_details[-1] == len(self.open):
             return
         text = unescape(raw) if "&" in raw else raw
         if self.tables and self.open and self.open[-1] in ("table", "tr", "thead", "tbody", "tfoot"):
