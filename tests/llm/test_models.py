@@ -163,6 +163,23 @@ def test_sheets_that_do_not_count():
     assert html_layout.render(html)[1] == "a"
 
 
+SHOWN = [
+    ("a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b", "a x=2 b"), ("<math><semantics><mi>x</mi><annotation>TeX</annotation></semantics></math>", "x"),
+    ("<svg><title>t</title><defs><text>no</text></defs><g>no<text>Label <tspan>one</tspan></text><text>two</text></g></svg>after", "Label one\ntwo\nafter"),
+    ("<svg><foreignObject><p>in</p></foreignObject></svg>", "in"), ("a<svg viewBox='0 0' />b<math/>c<p>d", "abc\n\nd"), ("a<svg><path d=z/><rect/></svg>b", "ab"),
+    ("<svg><title/><style/><script/><text>x</text></svg>y", "x\ny"), ("<svg><path><p>out</p>", "out"), ("<svg a=b/>x</svg>y", "y"), ("<div/>a", "a"),
+    ("<textarea>\n one &amp; <b>\n  two</textarea>", " one & <b>\n  two"), ("<xmp>\n<i>&amp;</i>\n x</xmp>y", "<i>&amp;</i>\n x\n\ny"),
+    ("a <select><option>b<option selected>c<option>d</select>e", "a c e"), ("<select><optgroup label=g><option disabled>b<option>c</select>", "c"),
+    ("<select multiple><optgroup label=g><option>b<option label=l>c</select>d", "g\nb\nl\nd"), ("<select hidden><option>b</select>c", "c"),
+    ("<select><option>a<input>b", "a b"), ("<textarea hidden>a</textarea><select></select>b", "b"), ("<svg style='display:none'><text>a</text></svg>b", "b"),
+]
+
+
+@pytest.mark.parametrize("html,text", SHOWN)
+def test_elements_a_browser_shows(html, text):
+    assert html_layout.render(html)[1] == text
+
+
 def test_pages_by_brute_force(spark):
     """All visible words of a page, in order, against a plain removal of markup."""
     import re

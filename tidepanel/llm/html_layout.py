@@ -6,7 +6,8 @@ ignores end tags that match nothing in reach. Elements that show nothing are ski
 the like, ``hidden`` ones, those with ``display: none`` or ``visibility: hidden`` in their style or by a simple rule
 (one tag, class or id) of the page's style sheets, closed dialogs, and what a closed ``details`` hides. Rules count as
 the cascade has them (importance, inline, id, class, tag, order) and only where their at-rules hold on a screen of
-1280 x 800; what is made visible within an invisible element is shown.
+1280 x 800; what is made visible within an invisible element is shown. Formulas, the text elements of SVG, text areas and
+the options that a closed or an open list shows are text.
 
 The renderer collapses white space except in ``pre``, starts blocks on lines of their own, puts a blank line around
 paragraphs, headings, lists, quotes and tables, marks and indents list items, and aligns the cells of a table in columns.
@@ -25,9 +26,14 @@ from .per_text import per_text
 
 # Fixed by the HTML standard: element classes and what an opening tag closes by implication.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("head script style template noscript iframe object svg math canvas audio video select datalist textarea title".split())
+SKIPPED = frozenset("head script style template noscript iframe object canvas audio video datalist title".split())
+IN_FOREIGN = frozenset("annotation annotation-xml desc metadata defs symbol clippath mask marker pattern".split())  # shown nowhere in SVG and formulas
+FOREIGN = frozenset({"svg", "math"})
+POINTS = frozenset("foreignobject desc mi mo mn ms mtext annotation-xml".split())  # within these HTML goes on
+BREAKS_OUT = frozenset("""b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p
+    pre ruby s small span strong strike sub sup table tt u ul var""".split())  # these end SVG and formulas
 RAW = frozenset("script style textarea title iframe noscript template xmp".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr menu".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr menu xmp".split())
 BLOCK = SPACED | frozenset("""html body div section article header footer nav aside main address form li dt dd
     figcaption details summary caption legend center dir tr dialog search hgroup""".split())
 ENDS = {  # opening tag -> (elements it ends, elements beyond which it doesn't look)
@@ -35,7 +41,7 @@ ENDS = {  # opening tag -> (elements it ends, elements beyond which it doesn't l
     "tr": ({"tr", "td", "th", "caption"}, {"table"}), "td": ({"td", "th", "caption"}, {"table"}), "th": ({"td", "th", "caption"}, {"table"}),
     "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "body": ({"head"}, {"html"}),
-    "option": ({"option"}, {"select"}), "rt": ({"rt", "rp"}, {"ruby"}), "rp": ({"rt", "rp"}, {"ruby"}),
+    "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"}), "rt": ({"rt", "rp"}, {"ruby"}), "rp": ({"rt", "rp"}, {"ruby"}),
 }
 PARTS = frozenset({"td", "th", "tr", "thead", "tbody", "tfoot", "caption"})
 SCOPE = frozenset({"table", "td", "th", "caption", "html"})  # an end tag doesn't reach out of these, unless it is theirs
@@ -54,6 +60,7 @@ FEATURES = {"orientation": "landscape", "hover": "hover", "any-hover": "hover",
             "prefers-color-scheme": "light", "prefers-reduced-motion": "no-preference", "prefers-contrast": "no-preference", "grid": "0", "update": "fast"}
 PROPERTIES = frozenset({"display", "visibility", "content-visibility"})
 _SIMPLE = re.compile(r"[.#]?[\w-]+\Z")
+_UNQUOTED_END = re.compile(r"=\s*[^\s\"'>]+\Z")  # here a slash belongs to the value
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 WIDEST = 60  # columns wider than this aren't padded; their text stays whole
 DEEPEST = 20  # lists nested deeper are indented like this
@@ -253,6 +260,8 @@ class Page:
         self.pre, self.items, self.n_tables = 0, 0, 0
         self.closed_details: list[int] = []  # depths of details elements that aren't open
         self.veils: list[tuple[int, bool]] = []  # depths of elements with a visibility of their own, and whether they're invisible
+        self.selects: list[tuple[bool, list[tuple[bool, bool, str]]]] = []  # shows all options; (selected, disabled, text) of each
+        self.options: list[tuple[bool, bool, str]] = []  # open ones: selected, disabled, label
         self.rules = sheet_rules(html)
         self.title = ""
         self.read(html)
@@ -274,19 +283,42 @@ class Page:
             if token[1]:
                 self.end_tag(tag)
                 continue
+            foreign = self.foreign(tag)
             self.start_tag(tag, attributes(token[3]))
+            if foreign and token[3].endswith("/") and not _UNQUOTED_END.search(token[3]):
+                if self.open and self.open[-1] == tag:
+                    self.pop()
+                continue
             if tag in RAW:
                 end = re.compile(f"</{re.escape(tag)}[\\s/>]", re.I).search(html, at)
                 stop = end.start() if end else len(html)
                 if tag == "title" and not self.title and not self.at.get("body"):
                     self.title = _SPACE.sub(" ", unescape(html[at:stop])).strip()
+                if tag == "textarea" or tag == "xmp":
+                    raw = re.sub(r"\A\r?\n", "", html[at:stop])
+                    self.data(raw, tag == "textarea", True)
                 at = stop
         if at < len(html):
             self.data(html[at:])
         while self.open:
             self.pop()
 
+    def foreign(self, tag: str) -> bool:
+        """Whether an element is one of SVG or of a formula."""
+        if tag in FOREIGN:
+            return True
+        return tag not in BREAKS_OUT and self.in_foreign()
+
+    def in_foreign(self) -> bool:
+        return bool(self.at.get("svg") or self.at.get("math")) and self.last(FOREIGN) > self.last(POINTS)
+
     def start_tag(self, tag: str, attrs: dict[str, str]) -> None:
+        if tag in BREAKS_OUT and self.in_foreign():
+            self.pop_to(FOREIGN, POINTS, every=True)
+        if tag in ("select", "input", "textarea") and self.at.get("select"):
+            self.pop_to({"select"}, SCOPE)
+            if tag == "select":
+                return
         if tag in ENDS:
             ended, limit = ENDS[tag]
             self.pop_to(ended, limit, every=True)
@@ -328,7 +360,8 @@ class Page:
             return
         depth = len(self.open)
         style = shown_as(tag, attrs, self.rules)
-        if hidden(tag, attrs, style) or self.closed_details and self.closed_details[-1] == depth - 1 and tag != "summary":
+        shapes = tag in IN_FOREIGN and self.last(FOREIGN) >= 0
+        if shapes or hidden(tag, attrs, style) or self.closed_details and self.closed_details[-1] == depth - 1 and tag != "summary":
             self.skip_at = depth
             return
         visibility = style.get("visibility")
@@ -338,6 +371,17 @@ class Page:
         flow = self.flows[-1]
         if tag == "details" and "open" not in attrs:
             self.closed_details.append(depth)
+        if tag == "select":
+            size = attrs.get("size", "1")
+            self.selects.append(("multiple" in attrs or size.isdecimal() and int(size) > 1, []))
+        elif tag == "option" and self.selects:
+            self.flows.append(Flow())
+            self.options.append(("selected" in attrs, "disabled" in attrs, attrs.get("label", "")))
+            return
+        elif tag == "optgroup" and self.selects and self.selects[-1][0] and attrs.get("label") and not veiled:
+            self.selects[-1][1].append((False, False, attrs["label"]))
+        elif tag == "text" and self.at.get("svg"):
+            flow.line(1)
         if tag in ("td", "th"):
             self.flows.append(Flow())
             span = attrs.get("colspan", "1")
@@ -362,7 +406,7 @@ class Page:
             flow.lead("" if veiled else "  " * min(DEEPEST, max(0, len(self.lists) - 1)) + mark)
         elif tag == "dd":
             flow.lead("  ")
-        elif tag == "pre":
+        elif tag in ("pre", "xmp"):
             self.pre += 1
 
     def pop(self) -> None:
@@ -383,7 +427,15 @@ class Page:
             elif cell:
                 self.flows[-1].inline(cell + " ")
             return
+        if tag == "option" and self.selects:
+            text, (chosen, disabled, label) = self.flows.pop().whole(), self.options.pop()
+            self.selects[-1][1].append((chosen, disabled, label if label and not self.veiled() else text))
+            return
         flow = self.flows[-1]
+        if tag == "select":
+            self.choice(*self.selects.pop())
+        elif tag == "text" and self.at.get("svg"):
+            flow.line(1)
         if tag == "table":
             lines = self.tables.pop().lines()
             for line in lines:
@@ -391,12 +443,26 @@ class Page:
                 flow.line(1)
         elif tag in ("ul", "ol", "menu"):
             self.lists.pop()
-        elif tag == "pre":
+        elif tag in ("pre", "xmp"):
             self.pre -= 1
         if tag in BLOCK:
             flow.line(2 if tag in SPACED and not (tag in ("ul", "ol", "menu") and self.lists) else 1)
             flow.lead("")
 
+    def choice(self, every: bool, options: list[tuple[bool, bool, str]]) -> None:
+        """What a select element shows: all its options, or the last selected one, or else the first that isn't disabled."""
+        flow = self.flows[-1]
+        if every:
+            for _, _, text in options:
+                flow.line(1)
+                if text:
+                    flow.inline(text)
+            flow.line(1)
+            return
+        shown = [o[2] for o in options if o[0]][-1:] or [o[2] for o in options if not o[1]][:1]
+        if shown and shown[0]:
+            flow.inline(f" {shown[0]} ")
+
     def veiled(self) -> bool:
         return bool(self.veils) and self.veils[-1][1]
 
@@ -409,14 +475,18 @@ class Page:
         elif tag == "hr":
             flow.line(2)
 
-    def data(self, raw: str) -> None:
+    def data(self, raw: str, coded: bool = True, as_is: bool = False) -> None:
         if self.skip_at or self.veiled() or self.closed_details and self.closed_details[-1] == len(self.open):
             return
-        text = unescape(raw) if "&" in raw else raw
+        if self.selects and self.last({"option"}) < self.last({"select"}):
+            return
+        if self.at.get("svg") and self.last({"svg"}) > self.last({"text", "foreignobject"}):
+            return
+        text = unescape(raw) if coded and "&" in raw else raw
         if self.tables and self.open and self.open[-1] in ("table", "tr", "thead", "tbody", "tfoot"):
             if text.isspace():  # between the parts of a table
                 return
-        if not self.pre:
+        if not self.pre and not as_is:
             self.flows[-1].inline(text)
             return
         flow = self.flows[-1]
