@@ -76,6 +76,44 @@ def test_rule_table():
         assert " " not in r.keyword
 
 
+def word_forms(parsed):
+    """Texts a parsed pattern matches: all branches and letters, optional parts with and without, one digit or word for a range."""
+    forms = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(arg)]
+        elif name == "IN":
+            more = ["7" if str(o) == "CATEGORY" else chr(a[0] if str(o) == "RANGE" else a) for o, a in arg]
+        elif name == "MAX_REPEAT":
+            inner = word_forms(arg[2])
+            more = inner + ([""] if arg[0] == 0 else [])
+        elif name == "BRANCH":
+            more = [f for branch in arg[1] for f in word_forms(branch)]
+        else:
+            assert name == "SUBPATTERN"
+            more = word_forms(arg[3])
+        forms = [a + b for a in forms for b in dict.fromkeys(more)]
+    return forms
+
+
+def test_license_gates():
+    """Every word form that a pattern allows passes its gate."""
+    narrow = [(r.keyword, f) for r in license_scan.rules() for f in word_forms(re._parser.parse(r.pattern)) if r.keyword not in f.split()]
+    assert {k for k, _ in narrow} == {"etalab"} and all(f.startswith("open licen") for _, f in narrow)
+
+
+def test_licenses_behind_gates(spark):
+    texts = {"Published under the Licence Ouverte.": "etalab", "trade secrets of Acme": "proprietary", "trade secret and more": "proprietary",
+             "See the licence file for more details": "license-hint", "see licence for details": "license-hint",
+             "Permission to use, copy, modify, and/or distribute this software for any purpose": "isc", "An open licence": "",
+             "Etalab publishes it under its open licence": "etalab"}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in license_scan.digest(license_scan.scan(docs)).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+    compare_licenses(docs)
+
+
 def brute_quality(text):
     text = text or ""
     w = blank_words(text)

@@ -43,7 +43,8 @@ BASE = (
     Rule("reserved", 2, 0.7, "reserved", "all rights reserved", True),
 )
 
-# label, priority, weight, keyword, pattern
+# label, priority, weight, keyword, pattern. A pattern always contains its keyword, but for "open licence": many licenses
+# are called so, and it is Etalab's only in a text that names Etalab.
 _WRITTEN = r"""
 apache-2.0 3 0.98 apache :: apache( software)? licen[cs]e( v| version)? ?2( 0)?
 apache-2.0 3 0.98 apache :: apache 2( 0)?( licen[cs]e)?
@@ -60,7 +61,7 @@ mit-0 3 0.95 mit :: mit no attribution( licen[cs]e)?
 x11 3 0.9 x11 :: x11 licen[cs]e
 expat 3 0.9 expat :: expat licen[cs]e
 isc 3 0.95 isc :: isc licen[cs]e
-isc 3 0.9 granted :: permission to use copy modify and or distribute this software for any purpose
+isc 3 0.9 modify :: permission to use copy modify and or distribute this software for any purpose
 bsd-2-clause 3 0.95 bsd :: (simplified|freebsd) bsd licen[cs]e
 bsd-2-clause 3 0.95 bsd :: bsd 2 clause( licen[cs]e)?
 bsd-2-clause 3 0.95 bsd :: (2|two) clause bsd( licen[cs]e)?
@@ -157,7 +158,8 @@ odc-by 2 0.9 commons :: open data commons attribution licen[cs]e
 pddl-1.0 3 0.95 pddl :: pddl( 1 0)?
 cdla 2 0.9 cdla :: cdla (permissive|sharing)( \d+( \d+)?)?
 ogl-uk 2 0.9 government :: open government licen[cs]e( v?\d+( \d+)?)?
-etalab 2 0.9 etalab :: (etalab )?(licence ouverte|open licen[cs]e)( etalab)?
+etalab 2 0.9 ouverte :: (etalab )?licence ouverte( etalab)?
+etalab 2 0.9 etalab :: (etalab )?open licen[cs]e( etalab)?
 openrail 2 0.9 rail :: (creativeml )?open rail( m)?( licen[cs]e)?
 gfdl-1.1 3 0.95 gfdl :: gfdl( version| v)? 1 1
 gfdl-1.2 3 0.95 gfdl :: gfdl( version| v)? 1 2
@@ -180,7 +182,8 @@ proprietary 2 0.8 proprietary :: proprietary (software|licen[cs]e)
 proprietary 1 0.6 prohibited :: (reproduction|redistribution|copying)( in whole or in part)?( is)?( strictly)? prohibited
 proprietary 1 0.6 consent :: without (the )?(prior )?(express )?(written )?consent
 proprietary 1 0.6 permission :: without (the )?(prior )?(express )?(written )?permission
-proprietary 2 0.8 secret :: trade secrets? (of|and)
+proprietary 2 0.8 secret :: trade secret (of|and)
+proprietary 2 0.8 secrets :: trade secrets (of|and)
 eula 2 0.8 agreement :: end user licen[cs]e agreement
 terms 1 0.4 terms :: terms (of (use|service)|and conditions) apply
 warranty 1 0.5 warranty :: without warranty of any kind
@@ -190,7 +193,8 @@ warranty 1 0.5 provided :: provided as is
 license-hint 1 0.4 licensed :: (this|the) (work|text|file|document|software|page|content|dataset) is licensed under
 license-hint 1 0.4 licensed :: licensed under( the)?( terms of)?( the)?
 license-hint 1 0.4 released :: released under( the)?( terms of)?( the)?
-license-hint 1 0.4 license :: see( the)? licen[cs]e( file)? for( more)? details
+license-hint 1 0.4 license :: see( the)? license( file)? for( more)? details
+license-hint 1 0.4 licence :: see( the)? licence( file)? for( more)? details
 license-hint 1 0.4 license :: license file
 license-hint 1 0.4 lizenz :: (unter der|diese) lizenz
 license-hint 1 0.4 licence :: sous licence
