@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import durable
-from . import html_layout, lattice_dedup, license_scan, mixing, ngram_join, oracles, packing, pairwise_quality, quality_cascade, token_counts, toxicity
+from . import (approximation_file, frequency_trie, html_layout, hyperplane_tree, lattice_dedup, license_scan, mixing, ngram_join, oracles,
+               packing, pairwise_quality, quality_cascade, token_counts, toxicity)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -55,8 +57,21 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents")).withColumnRenamed("doc", "doc_id")
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hyperplane_tree.hard_negatives(table(spark, folder, "embeddings"), F.col("vec") % 50 == 0, moved)
+
+
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return frequency_trie.variants(table(spark, folder, "documents"))
+
+
+def op13_approximation_search(spark: SparkSession, folder: str) -> DataFrame:
+    return approximation_file.top_k(table(spark, folder, "embeddings"), F.col("vec") % 50 == 0)
+
+
 QUERIES = (op1_license_scan, op2_quality_rules, op3_lattice_dedup, op4_toxicity, op5_token_counts, op6_mixing, op7_pairwise_quality,
-           op8_html_layout, op9_ngram_join, op10_packing)
+           op8_html_layout, op9_ngram_join, op10_packing, op11_hard_negatives, op12_spelling_variants, op13_approximation_search)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
