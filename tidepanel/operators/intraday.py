@@ -145,31 +145,57 @@ AGGREGATES = ("sum", "mean", "std", "min", "max", "first", "last")
 
 @dataclass(frozen=True)
 class Series:
-    """A row-level value of a day: a Column, possibly the step from the previous row to this one."""
+    """A row-level value of a day: a Column of the row, a step from the row before, or an expression over other series.
+
+    ``value`` takes the function that gives a source column as it was k rows earlier, and k.  Steps can be nested and
+    combined: ``steps`` says how many rows back the value looks.
+    """
 
     label: str
-    column: Column
-    differenced: bool = False
+    value: Callable[[Callable[[Column, int], Column], int], Column]
+    steps: int = 0
+
+    def __add__(self, other): return _combined("+", lambda a, b: a + b, self, other)
+    def __radd__(self, other): return _combined("+", lambda a, b: a + b, other, self)
+    def __sub__(self, other): return _combined("-", lambda a, b: a - b, self, other)
+    def __rsub__(self, other): return _combined("-", lambda a, b: a - b, other, self)
+    def __mul__(self, other): return _combined("*", lambda a, b: a * b, self, other)
+    def __rmul__(self, other): return _combined("*", lambda a, b: a * b, other, self)
+    def __truediv__(self, other): return _combined("/", F.try_divide, self, other)
+    def __rtruediv__(self, other): return _combined("/", F.try_divide, other, self)
+    def __neg__(self): return _combined("neg", lambda a: -a, self)
+
+
+def _combined(name: str, function: Callable[..., Column], *parts: str | float | Series) -> Series:
+    """``function`` of series or numbers, row by row."""
+    inner = [p if isinstance(p, Series) else series(F.lit(float(p)), repr(float(p))) if isinstance(p, (int, float)) else series(p) for p in parts]
+    return Series(f"{name}({', '.join(p.label for p in inner)})", lambda at, k: function(*[p.value(at, k) for p in inner]),
+                  max(p.steps for p in inner))
 
 
 def series(value: str | Column, label: str | None = None) -> Series:
     """Any Column over the bar's columns, e.g. ``series("close")`` or ``series(F.ln(F.col("close") + 1e-12), "logc")``."""
     column = F.col(value) if isinstance(value, str) else value
-    return Series(label or (value if isinstance(value, str) else str(value)), column)
+    return Series(label or (value if isinstance(value, str) else str(value)), lambda at, k: at(column, k))
 
 
 def log(x: str | Series) -> Series:
-    x = series(x) if isinstance(x, str) else x
-    if x.differenced:
-        raise ValueError("take the logarithm before the difference")
-    return Series(f"log({x.label})", F.ln(x.column + EPS))
+    return _combined("log", lambda c: F.ln(c + EPS), x)
+
+
+def absolute(x: str | Series) -> Series:
+    return _combined("abs", F.abs, x)
+
+
+def sqrt(x: str | Series) -> Series:
+    """Square root; NULL where the argument is negative."""
+    return _combined("sqrt", lambda c: F.when(c >= 0, F.sqrt(c)), x)
 
 
 def diff(x: str | Series) -> Series:
+    """The step from the day's previous row, whether or not that has a value; NULL in the first one."""
     x = series(x) if isinstance(x, str) else x
-    if x.differenced:
-        raise ValueError("a difference of a difference is not supported")
-    return Series(f"diff({x.label})", x.column, True)
+    return Series(f"diff({x.label})", lambda at, k: x.value(at, k) - x.value(at, k + 1), x.steps + 1)
 
 
 @dataclass(frozen=True)
@@ -210,6 +236,44 @@ def _apply(function: str, value: Column, ts: Column) -> Column:
     return F.min_by(value, present) if function == "first" else F.max_by(value, present)
 
 
+def _with_series(df: DataFrame, wanted: Mapping[str, Series], keys: Sequence[str], slot_seconds: int) -> DataFrame:
+    """Adds the series as columns; those with steps read the day's earlier rows, all of them in one pass."""
+    depth = max((x.steps for x in wanted.values()), default=0)
+    sources: dict[str, tuple[str, Column]] = {}  # by the text of the expression
+
+    def source(column: Column, k: int) -> Column:
+        name, _ = sources.setdefault(str(column), (f"_x{len(sources)}", column))
+        return F.col(f"_before{k}.{name}") if k else F.col(name)
+
+    values = {name: x.value(source, 0) for name, x in wanted.items()}
+    work = df.select("*", *[c.cast("double").alias(name) for name, c in sources.values()])
+    if depth:
+        work = with_rows_before(work, [name for name, _ in sources.values()], depth, keys, slot_seconds)
+    return work.select(*df.columns, *[c.cast("double").alias(name) for name, c in values.items()])
+
+
+def with_rows_before(df: DataFrame, columns: Sequence[str], depth: int, keys: Sequence[str] = KEYS,
+                     slot_seconds: int = SLOT_SECONDS) -> DataFrame:
+    """Adds ``_before1`` ... ``_before<depth>``: ``columns`` of the day's rows that many places earlier by ``ts``, NULL before the first.
+
+    A slot hands on its last ``depth`` rows; as no slot is empty, the ``depth`` slots before a row's own have all it needs.
+    """
+    keys = list(keys)
+    work = df.withColumn("_slot", _slot(slot_seconds)).withColumn("_now", F.struct(*columns))
+    late = Window.partitionBy(*keys, "_slot").orderBy(F.desc("ts"))
+    tails = work.select(*keys, "_slot", "ts", "_now", F.row_number().over(late).alias("_back")).where(F.col("_back") <= depth)
+    tails = tails.groupBy(*keys, "_slot").agg(F.sort_array(F.collect_list(F.struct(-F.col("_back"), "_now"))).alias("_tail"))
+    before = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(-depth, -1)
+    tails = tails.select(*keys, "_slot", F.flatten(F.collect_list(F.col("_tail._now")).over(before)).alias("_tail"))
+    inside = Window.partitionBy(*keys, "_slot").orderBy("ts")
+    placed = work.select("*", F.row_number().over(inside).alias("_at"),
+                         *[F.lag("_now", k).over(inside).alias(f"_in{k}") for k in range(1, depth + 1)])
+    joined = placed.join(tails, [*keys, "_slot"], "left")
+    from_tail = [F.get("_tail", (F.size("_tail") - (F.lit(k + 1) - F.col("_at"))).cast("int")) for k in range(1, depth + 1)]
+    return joined.select(*df.columns, *[F.when(F.col("_at") > k, F.col(f"_in{k}")).otherwise(from_tail[k - 1]).alias(f"_before{k}")
+                                        for k in range(1, depth + 1)])
+
+
 def day_aggregates(df: DataFrame, aggregates: Mapping[str, DayAggregate], min_bars: int = 1,
                    slot_seconds: int = SLOT_SECONDS) -> DataFrame:
     """One row per (instrument, day) with the named aggregates; NULL on days with fewer than ``min_bars`` closes.
@@ -222,14 +286,7 @@ def day_aggregates(df: DataFrame, aggregates: Mapping[str, DayAggregate], min_ba
     for a in named.values():
         args.setdefault(a.x.label, a.x)
     slot = {label: f"_s{i}" for i, label in enumerate(args)}
-    work = df.where(F.col("close").isNotNull()).select("*", *[s.column.cast("double").alias(slot[l]) for l, s in args.items()])
-    stepped = [l for l, s in args.items() if s.differenced]
-    if stepped:
-        plain = work.columns
-        before = {f"{slot[l]}_p": slot[l] for l in stepped}
-        work = with_previous(work, before, keys, slot_seconds, skip_nulls=False)
-        steps = {slot[l]: F.col(slot[l]) - F.col(f"{slot[l]}_p") for l in stepped}
-        work = work.select(*[steps[c].alias(c) if c in steps else F.col(c) for c in plain])
+    work = _with_series(df.where(F.col("close").isNotNull()), {slot[label]: x for label, x in args.items()}, keys, slot_seconds)
     timed = sorted({a.x.label for a in named.values() if _minutes(a.window) is not None})
     rows = with_previous(work, {}, keys, slot_seconds, day={f"{slot[l]}_end": (
         F.max(F.when(F.col(slot[l]).isNotNull(), F.col("ts"))), F.max) for l in timed}) if timed else work

@@ -126,6 +126,44 @@ day_agg AS (
     PK, {c: 4 for c in ("tail_share", "all_sum", "mean5", "std_tail", "low_", "top_", "first_tail", "last_", "rvar", "step_tail", "abs_sum")},
     ctes=(MINUTES,))
 
+
+
+def _stepped_aggregates(spark, folder):
+    move = i.diff(i.log("close"))
+    bend = i.diff(i.diff("close"))
+    spread = i.sqrt(i.absolute(i.diff("volume"))) / (i.series("close") + 1.0)
+    mixed = 2.0 * i.diff("close") * i.diff("amount") - i.diff(i.series("close") * "volume") / 3.0
+    return i.day_aggregates(close_bars(spark, folder), {
+        "path_length": i.day_agg("sum", i.absolute(move)), "path_tail": i.day_agg("sum", i.absolute(move), "60m"),
+        "bend_mean": i.day_agg("mean", bend), "bend_last5": i.day_agg("std", bend, 5), "spread_max": i.day_agg("max", spread),
+        "mixed_mean": i.day_agg("mean", mixed), "rest_first": i.day_agg("first", 1.0 - i.absolute(bend)),
+        "turn_sum": i.day_agg("sum", i.diff(i.absolute(move)), power=2.0), "deep": i.day_agg("last", i.diff(i.diff(i.diff("close"))))}, 4)
+
+
+_STEPPED = ("path_length", "path_tail", "bend_mean", "bend_last5", "spread_max", "mixed_mean", "rest_first", "turn_sum", "deep")
+QUERIES["intraday_stepped_aggregates"] = query(
+    _stepped_aggregates,
+    f"""st1 AS (
+  SELECT *, max(ts) OVER (PARTITION BY instrument_id, trade_date) AS end_ts, price - lag(price) OVER d AS p1, volume - lag(volume) OVER d AS v1,
+         amount - lag(amount) OVER d AS a1, price * volume - lag(price * volume) OVER d AS pv1,
+         ln(price + 1e-12) - lag(ln(price + 1e-12)) OVER d AS m1
+  FROM minutes WINDOW d AS (PARTITION BY instrument_id, trade_date ORDER BY ts)),
+st2 AS (SELECT *, p1 - lag(p1) OVER d AS p2, abs(m1) - lag(abs(m1)) OVER d AS t1
+        FROM st1 WINDOW d AS (PARTITION BY instrument_id, trade_date ORDER BY ts)),
+st3 AS (SELECT *, p2 - lag(p2) OVER d AS p3, CASE WHEN p2 IS NOT NULL THEN row_number() OVER (
+          PARTITION BY instrument_id, trade_date, p2 IS NULL ORDER BY ts DESC) END AS back
+        FROM st2 WINDOW d AS (PARTITION BY instrument_id, trade_date ORDER BY ts)),
+st4 AS (SELECT *, max(CASE WHEN m1 IS NOT NULL THEN ts END) OVER (PARTITION BY instrument_id, trade_date) AS m_end FROM st3),
+st5 AS (
+  SELECT instrument_id, trade_date, count(*) AS n, coalesce(sum(abs(m1)), 0) AS path_length,
+         coalesce(sum(abs(m1)) FILTER (WHERE ts >= m_end - INTERVAL 60 MINUTE), 0) AS path_tail, avg(p2) AS bend_mean,
+         stddev_pop(p2) FILTER (WHERE back <= 5) AS bend_last5, max(sqrt(abs(v1)) / (price + 1)) AS spread_max,
+         avg(2 * p1 * a1 - pv1 / 3) AS mixed_mean, arg_min(1 - abs(p2), ts) FILTER (WHERE p2 IS NOT NULL) AS rest_first,
+         coalesce(sum(t1 * t1), 0) AS turn_sum, arg_max(p3, ts) FILTER (WHERE p3 IS NOT NULL) AS deep
+  FROM st4 GROUP BY 1, 2) =>
+  SELECT instrument_id, trade_date, {', '.join(f'CASE WHEN n >= 4 THEN {c} END AS {c}' for c in _STEPPED)} FROM st5""",
+    PK, {c: 3 if c == "mixed_mean" else 5 for c in _STEPPED}, ctes=(MINUTES,))
+
 # The nodes computed from minutes (realised volatility, tail return, tail share).
 _NODES = """
 nodes AS (
