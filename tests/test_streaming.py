@@ -1,6 +1,7 @@
 """Streams over parquet files that arrive one by one."""
 
 import datetime as dt
+import random
 
 import pandas as pd
 import pytest
@@ -33,12 +34,58 @@ def drain(df, name, mode="append"):
     return df.sparkSession.table(name)
 
 
-def test_resample_equals_batch_for_complete_buckets(spark, feed):
-    stream, rows = feed
-    got = {r["ts"]: (r["price"], r["volume"]) for r in drain(mb.resample_stream(mb.distinct_bars(stream), 5, delay=None), "r5").collect()}
-    batch = intraday.resample(rows.distinct().withColumns({"trade_date": F.to_date("ts"), "ts": F.col("ts").cast("timestamp_ntz")}), 5)
-    want = {r["ts"]: (r["price"], r["volume"]) for r in batch.collect()}
-    assert len(got) >= 4 and all(want[k] == v for k, v in got.items())
+def deliver(spark, tmp_path, parts, make, end=True, schema=SCHEMA):
+    """Deliveries one after the other, each taken up where the query stopped; then the closing row."""
+    folder, every = str(tmp_path / "in"), [r for p in parts for r in p]
+    for n, part in enumerate([*parts, None] if end else parts):
+        rows = spark.createDataFrame(part, schema) if part is not None else mb.closing_row(spark.createDataFrame(every, schema))
+        rows.write.mode("append").parquet(folder)
+        made = make(spark.readStream.schema(schema).parquet(folder))
+        made.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(
+            availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    return spark.read.parquet(str(tmp_path / "out"))
+
+
+def scattered(names=("000001", "000002"), n=60):
+    """Rows up to eight minutes out of order, some repeated, with and without a price."""
+    rng, rows = random.Random(5), []
+    for k in range(n):
+        for name in names:
+            at = START + dt.timedelta(minutes=2 * k, seconds=rng.randrange(60), microseconds=rng.randrange(10**6))
+            rows.append((name, at, None if rng.random() < 0.1 else 10 + rng.random(), 100.0 + k, float(k)))
+    rows.sort(key=lambda r: r[1] + dt.timedelta(seconds=rng.randrange(480)))
+    return rows
+
+
+@pytest.mark.parametrize("minutes", [5, 7])
+def test_resample_equals_batch(spark, tmp_path, minutes):
+    rows = scattered()
+    got = deliver(spark, tmp_path, [rows[:50], rows[50:51], rows[51:]], lambda s: mb.resample_stream(s, minutes))
+    batch = intraday.resample(spark.createDataFrame(rows, SCHEMA).withColumns({"trade_date": F.to_date("ts"), "ts": F.col("ts").cast("timestamp_ntz")}), minutes)
+    def key(df):
+        return sorted((r["instrument_id"], str(r["ts"]), r["price"], r["volume"], r["amount"]) for r in df.collect())
+    assert key(got) == key(batch) and len(key(got)) > 20
+
+
+def test_open_buckets_stay_open(spark, tmp_path):
+    rows = scattered()
+    got = deliver(spark, tmp_path, [rows], lambda s: mb.resample_stream(s, 5), end=False)
+    assert 0 < got.count() and got.agg(F.max("ts")).first()[0] <= max(r[1] for r in rows) - dt.timedelta(minutes=15)
+
+
+def test_keep_last_waits_for_the_last(spark, tmp_path):
+    """Corrections in later deliveries win by their order, not by their arrival."""
+    schema = "instrument_id string, ts timestamp, seq long, price double"
+    at = [START + dt.timedelta(minutes=k) for k in range(6)]
+    first = [("a", t, 5, 1.0) for t in at[:4]]
+    second = [("a", at[1], 9, 2.0), ("a", at[2], 3, 3.0), ("b", at[2], 1, 4.0), ("a", at[3], 5, None), ("a", at[4], 1, 6.0), ("a", at[4], 1, 5.0)]
+    got = deliver(spark, tmp_path, [first, second], lambda s: mb.keep_last_bars(s, ["seq"]), schema=schema)
+    assert {(r["instrument_id"], r["ts"]): (r["seq"], r["price"]) for r in got.collect() if r["instrument_id"]} == {
+        ("a", at[0]): (5, 1.0), ("a", at[1]): (9, 2.0), ("a", at[2]): (5, 1.0), ("a", at[3]): (5, 1.0), ("a", at[4]): (1, 6.0), ("b", at[2]): (1, 4.0)}
+
+
+def test_closing_row_of_nothing(spark):
+    assert mb.closing_row(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
 def test_duplicates_are_dropped(spark, feed):
@@ -46,11 +93,26 @@ def test_duplicates_are_dropped(spark, feed):
     assert drain(mb.distinct_bars(stream), "once").count() == rows.distinct().count()
 
 
-def test_ema_continues_over_batches(spark, feed):
-    stream, rows = feed
-    got = drain(mb.running_ema(mb.distinct_bars(stream), 5), "ema").orderBy("ts").toPandas()
-    want = pd.Series([10.0 + k for k in range(40)]).ewm(span=5, adjust=False).mean()
-    assert got["ema"].tolist() == pytest.approx(want.tolist())
+@pytest.fixture()
+def rocks(spark):
+    before = spark.conf.get(mb.ROCKS[0])
+    spark.conf.set(*mb.ROCKS)
+    yield
+    spark.conf.set(mb.ROCKS[0], before)
+
+
+def test_ema_takes_late_rows_in_order(spark, tmp_path, rocks):
+    """Rows within the delay count at their time; one that comes after the watermark doesn't."""
+    rows = scattered()
+    cut = 60
+    too_late = [("000001", START - dt.timedelta(minutes=1), 999.0, 1.0, 1.0)]
+    got = deliver(spark, tmp_path, [rows[:cut], rows[cut:100], rows[100:] + too_late], lambda s: mb.running_ema(s, 5)).toPandas()
+    want = pd.DataFrame(rows, columns=["instrument_id", "ts", "value", "v", "a"]).dropna(subset=["value"]).sort_values(["instrument_id", "ts"])
+    assert len(got) == len(want)
+    for name, g in want.groupby("instrument_id"):
+        mine = got[got["instrument_id"] == name].sort_values("ts")
+        assert mine["value"].tolist() == g["value"].tolist()
+        assert mine["ema"].tolist() == pytest.approx(g["value"].ewm(span=5, adjust=False).mean().tolist())
 
 
 def test_quality_sink(spark, feed, tmp_path):

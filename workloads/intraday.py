@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tidepanel.operators import intraday as i
 from tidepanel.operators import joins
 from tidepanel.plans import tables
 from tidepanel.plans.factor_graph import factor_graph, minute_factors
-from tidepanel.session import shared_folder
 from tidepanel.sources.canonical import canonical_minutes
 from tidepanel.streaming import minute_bars as minute_bars_stream
 
-from .common import BARS, MACRO, MINUTES, ORDERED, PK, avg, kept, query, std
+from .common import BARS, MACRO, MINUTES, ORDERED, PK, avg, kept, query, scratch, std
 
 QUERIES = {}
 
@@ -280,21 +278,114 @@ for _name, _zero in (("factor_graph_all_inputs", "null"), ("factor_graph_zero_st
 # ---- streams ----------------------------------------------------------------------------------------------------
 
 
-def _streamed(spark, folder):
-    """Five-minute bars of the events read as a stream; buckets still open under the watermark are not out yet."""
-    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    bars = events.select(F.col("event_type").alias("instrument_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"),
-                         F.get_json_object("props", "$.k").try_cast("double").alias("volume")).withColumn("amount", F.col("price") * F.col("volume"))
-    made = minute_bars_stream.resample_stream(bars, 5, "10 minutes")
-    q = made.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start(f"{path}/out")
-    q.awaitTermination()
+
+BAR = ("instrument_id", "ts", "event_id", "price", "volume", "amount")
+
+
+def _arriving(spark, folder, minute=False):
+    """Events as trades, and which of two deliveries they come with: up to eight minutes late, so out of order."""
+    rows = tables.minutes(spark, folder).select(*BAR)
+    at = F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(480_000_000))
+    middle = rows.agg(((F.min(F.unix_micros(F.col("ts").cast("timestamp"))) + F.max(F.unix_micros(F.col("ts").cast("timestamp")))) / 2).alias("m")).first()[0]
+    ts = F.col("ts").cast("timestamp")
+    return rows.withColumn("late", at > middle).withColumn("ts", F.date_trunc("minute", ts) if minute else ts)
+
+
+def _replayed(spark, folder, run, minute=False):
+    """Two deliveries into a folder, each taken up by ``run(stream, checkpoint)``, which goes on where it stopped; the second ends the source."""
+    path = scratch(spark, "stream")
+    rows = kept(_arriving(spark, folder, minute))
+    for late in (False, True):
+        part = rows.where(F.col("late") == late).drop("late")
+        part.write.mode("append").parquet(f"{path}/in")
+        if late:
+            minute_bars_stream.closing_row(rows.drop("late")).write.mode("append").parquet(f"{path}/in")
+        run(spark.readStream.schema(part.schema).parquet(f"{path}/in"), f"{path}/checkpoint")
+    return path
+
+
+def _to_parquet(made, checkpoint):
+    out = f"{checkpoint.rpartition('/')[0]}/out"
+    made.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(out).awaitTermination()
+
+
+def _stream_result(spark, folder, make, minute=False):
+    path = _replayed(spark, folder, lambda stream, checkpoint: _to_parquet(make(stream), checkpoint), minute)
     return spark.read.parquet(f"{path}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+def _resampled_7m(spark, folder):
+    return _stream_result(spark, folder, lambda s: minute_bars_stream.resample_stream(minute_bars_stream.keep_last_bars(s, ["event_id"]), 7, None))
+
+
 QUERIES["stream_resample_5m"] = query(
-    _streamed,
-    """sb AS (SELECT instrument_id, time_bucket(INTERVAL 5 MINUTE, ts, TIMESTAMP '1970-01-01') AS ts, max(price) AS top, sum(volume) AS volume, sum(amount) AS amount FROM raw_minutes GROUP BY 1, 2) =>
-    SELECT instrument_id, ts, volume, amount FROM sb WHERE ts + INTERVAL 5 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM raw_minutes)""",
-    ("instrument_id", "ts"), ["volume", "amount"], 3, ctes=(MINUTES,))
+    lambda spark, folder: _stream_result(spark, folder, lambda s: minute_bars_stream.resample_stream(s, 5)),
+    f"{_resample_sql(5, 'm05')} => SELECT * FROM m05", ("instrument_id", "ts"), ["price", "volume", "amount"], ctes=(MINUTES,))
+
+QUERIES["stream_resample_7m_deduplicated"] = query(
+    _resampled_7m, f"{_resample_sql(7, 'm07')} => SELECT * FROM m07", ("instrument_id", "ts"), ["price", "volume", "amount"], ctes=(MINUTES,))
+
+QUERIES["stream_keep_last"] = query(
+    lambda spark, folder: _stream_result(spark, folder, lambda s: minute_bars_stream.keep_last_bars(s, ["event_id"]), minute=True),
+    """SELECT instrument_id, date_trunc('minute', ts) AS ts, max(event_id) AS event_id, arg_max(price, event_id) AS price, arg_max(volume, event_id) AS volume
+       FROM raw_minutes GROUP BY 1, 2""", ("instrument_id", "ts", "event_id"), ["price", "volume"], ctes=(MINUTES,))
+
+
+def _stream_ema(spark, folder):
+    before = spark.conf.get(minute_bars_stream.ROCKS[0])
+    spark.conf.set(*minute_bars_stream.ROCKS)
+    try:
+        return _stream_result(spark, folder, lambda s: minute_bars_stream.running_ema(s, 9))
+    finally:
+        spark.conf.set(minute_bars_stream.ROCKS[0], before)
+
+
+QUERIES["stream_running_ema"] = query(
+    _stream_ema,
+    """se AS (SELECT instrument_id, list(price ORDER BY ts, price) AS p, list(ts ORDER BY ts, price) AS t FROM raw_minutes WHERE price IS NOT NULL GROUP BY 1),
+    su AS (SELECT instrument_id, p, t, unnest(range(1, len(p) + 1)) AS k FROM se) =>
+    SELECT instrument_id, t[k] AS ts, p[k] AS value, list_reduce(p[greatest(1, k - 400):k], lambda a, v: a + 0.2::DOUBLE * (v - a)) AS ema FROM su""",
+    ("instrument_id", "ts"), ["value", "ema"], 5, ctes=(MINUTES,))
+
+
+class _Lost(RuntimeError):
+    pass
+
+
+STREAM_RULES = [{"type": "expression", "name": "cheap", "expr": "price > 20"}, {"type": "unique_key", "name": "once", "key": ["event_id"]},
+                {"type": "market_session_check", "name": "hours"}]
+
+
+def _stream_quality(spark, folder):
+    """Every delivery is written twice: the first time the query is lost after the sink has written, before it is committed."""
+    path, lost = scratch(spark, "sink"), set()
+    sink = minute_bars_stream.quality_sink(STREAM_RULES, f"{path}/data", f"{path}/report")
+
+    def write(batch, batch_id):
+        sink(batch, batch_id)
+        if batch_id not in lost:
+            lost.add(batch_id)
+            raise _Lost
+
+    def run(stream, checkpoint):
+        for _ in range(2):
+            q = stream.where(F.col("instrument_id").isNotNull()).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+            try:
+                q.awaitTermination()
+            except StreamingQueryException:
+                if "_Lost" not in str(q.exception()):
+                    raise
+
+    _replayed(spark, folder, run)
+    report = spark.read.parquet(f"{path}/report").groupBy("rule").agg(F.sum("failed_rows").alias("failed"), F.countDistinct("batch_id").alias("batches"))
+    data = spark.read.parquet(f"{path}/data").groupBy("instrument_id").agg(F.count("*").alias("failed"), F.countDistinct("event_id").alias("batches"))
+    return report.unionByName(data.withColumnRenamed("instrument_id", "rule"))
+
+
+QUERIES["stream_quality_sink"] = query(
+    _stream_quality,
+    """hours AS (SELECT *, CAST(ts AS TIME) BETWEEN TIME '09:30:00' AND TIME '11:30:59.999999' OR CAST(ts AS TIME) BETWEEN TIME '13:00:00' AND TIME '15:00:59.999999' AS open FROM raw_minutes) =>
+    SELECT 'cheap' AS rule, count(CASE WHEN price > 20 THEN NULL ELSE 1 END) AS failed, 2 AS batches FROM raw_minutes
+    UNION ALL SELECT 'once', 0, 2 UNION ALL SELECT 'hours', count(CASE WHEN NOT open THEN 1 END), 2 FROM hours
+    UNION ALL SELECT instrument_id, count(*), count(*) FROM hours WHERE open GROUP BY 1""",
+    ("rule",), ["failed", "batches"], 0, ctes=(MINUTES,))
