@@ -6,10 +6,11 @@
    apart at most one count of the vectors is higher and at most one lower, each by one.
 3. The trie arranges words by their counts, a level per group. Its upper ``levels`` are dealt out: a branch is the words of equal
    first counts, in pieces of about ``PIECE`` words, and each word is sent to the branches that it reaches with a surplus and a
-   deficit of one, along with what is left of them. A task builds the rest of the trie of its piece and searches depth first,
-   all words sent there at once: at a node each goes on to the children whose count differs by what it has left.
-4. Pairs in the leaves reached are verified, in blocks of bounded size. A task reports per word how many are near it and the most
-   frequent one, never pairs.
+   deficit of one, along with what is left of them; of two branches that reach each other only one is sent to. A task
+   builds the rest of the trie of its piece and searches depth first, all words sent there at once: at a node each goes on
+   to the children whose count differs by what it has left. Nodes of few words are leaves, whose remaining counts are compared as they are.
+4. Pairs in the leaves reached are verified, in blocks of bounded size. A task reports per word, sent or of the piece, how many are
+   near it and the most frequent one, never pairs.
 
 Levels are as many as it takes to make branches of at most ``PIECE`` words, up to ``MOST_LEVELS``; larger branches have several pieces.
 """
@@ -92,7 +93,10 @@ def group_counts(word: Column) -> Column:
 
 
 def _routes(levels: int) -> list[tuple[list[int], int, int]]:
-    """Changes of the first ``levels`` counts that cost at most a surplus and a deficit of one, and what is left of both."""
+    """Changes of the first ``levels`` counts that cost at most a surplus and a deficit of one, and what is left of both.
+
+    Of a change and its opposite only the one that begins with a surplus.
+    """
     out = []
     for up in range(-1, levels):
         for down in range(-1, levels):
@@ -101,7 +105,8 @@ def _routes(levels: int) -> list[tuple[list[int], int, int]]:
                 for at, by in ((up, 1), (down, -1)):
                     if at >= 0:
                         change[at] = by
-                out.append((change, int(up < 0), int(down < 0)))
+                if next((x for x in change if x), 1) > 0:
+                    out.append((change, int(up < 0), int(down < 0)))
     return out
 
 
@@ -112,8 +117,6 @@ class Words:
         order = np.lexsort(vectors.T[::-1]) if vectors.shape[1] else np.arange(len(words))
         self.words, self.n, self.vectors = [words[i] for i in order], n[order], vectors[order]
         self.codes, self.size = coded(self.words)
-        self.rank = np.empty(len(words), np.int64)  # place in code-point order
-        self.rank[sorted(range(len(words)), key=self.words.__getitem__)] = np.arange(len(words))
 
 
 def coded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -149,16 +152,23 @@ def near(one: np.ndarray, size: np.ndarray, other: np.ndarray, other_size: np.nd
     return np.where(same, differs.any(axis=1) & ~(differs & after).any(axis=1), (abs(size - other_size) == 1) & ~shifted.any(axis=1))
 
 
-def reached(vectors: np.ndarray, asked: np.ndarray, up: np.ndarray, down: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
-    """(searches, first, last) for each leaf: the rows first..last - 1 of ``vectors`` (sorted) and who gets there with what is left."""
+def reached(vectors: np.ndarray, asked: np.ndarray, up: np.ndarray, down: np.ndarray, few: int = 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(searches, rows) leaf by leaf: the rows of ``vectors`` (sorted) that a search reaches with what it has left."""
     levels = vectors.shape[1]
     todo = [(0, 0, len(vectors), np.arange(len(asked)), up, down)]
     while todo:
         level, first, last, who, up, down = todo.pop()
         if not len(who) or first == last:
             continue
-        if level == levels:
-            yield who, first, last
+        if level == levels or last - first <= few:
+            for part in np.array_split(np.arange(len(who)), -(-len(who) * (last - first) // PAIRS)):
+                surplus, deficit = np.zeros((2, len(part), last - first), np.int64)
+                for k in range(level, levels):
+                    off = vectors[first:last, k][None, :] - asked[who[part], k][:, None]
+                    surplus += np.maximum(off, 0)
+                    deficit -= np.minimum(off, 0)
+                i, row = np.nonzero((surplus <= up[part][:, None]) & (deficit <= down[part][:, None]))
+                yield who[part[i]], first + row
             continue
         counts = vectors[first:last, level]
         starts = np.append(0, np.flatnonzero(counts[1:] != counts[:-1]) + 1)
@@ -168,18 +178,16 @@ def reached(vectors: np.ndarray, asked: np.ndarray, up: np.ndarray, down: np.nda
             todo.append((level + 1, first + int(a), first + int(b), who[on], (up - (off == 1))[on], (down - (off == -1))[on]))
 
 
-def searched(piece: Words, words: list[str], vectors: np.ndarray, up: np.ndarray, down: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each of ``words`` the number of words of the piece that are near, and the place of the most frequent one (-1: none)."""
+def searched(piece: Words, words: list[str], vectors: np.ndarray, n: np.ndarray, up: np.ndarray, down: np.ndarray, both: np.ndarray
+             ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each of ``words`` the number of words of the piece that are near and the place of the most frequent one (-1: none);
+    for each word of the piece the same of those ``words`` that are marked ``both``."""
     codes, size = coded(words)
-    count, best = np.zeros(len(words), np.int64), np.full(len(words), -1)
-    value = np.empty(len(piece.n), np.int64)  # places by count, then by code points: the larger, the better
-    value[np.lexsort((-piece.rank, piece.n))] = np.arange(len(piece.n))
-    top = np.full(len(words), -1)
+    count, top, back_count, back_top = (np.full(len(x), y) for x in (words, piece.words) for y in (0, -1))
+    value, back = best_first(piece.words, piece.n), best_first(words, n)
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def verify() -> None:
-        if not held:
-            return
         search, row = (np.concatenate(x) for x in zip(*held))
         held.clear()
         fit = np.abs(size[search] - piece.size[row]) <= 1
@@ -189,23 +197,39 @@ def searched(piece: Words, words: list[str], vectors: np.ndarray, up: np.ndarray
         ok[~long] = near(codes[search[~long]], size[search[~long]], piece.codes[row[~long]], piece.size[row[~long]])
         for i in np.flatnonzero(long):
             ok[i] = one_edit(words[search[i]], piece.words[row[i]])
-        np.add.at(count, search[ok], 1)
-        np.maximum.at(top, search[ok], value[row[ok]])
+        search, row = search[ok], row[ok]
+        np.add.at(count, search, 1)
+        np.maximum.at(top, search, value[row])
+        search, row = search[both[search]], row[both[search]]
+        np.add.at(back_count, row, 1)
+        np.maximum.at(back_top, row, back[search])
 
     total = 0
-    for who, first, last in reached(piece.vectors, vectors, up, down):
-        most = max(1, PAIRS // (last - first))
-        for part in np.array_split(who, -(-len(who) // most)):
-            held.append((np.repeat(part, last - first), np.tile(np.arange(first, last), len(part))))
-            total += len(part) * (last - first)
-            if total >= PAIRS:
-                verify()
-                total = 0
-    verify()
-    place = np.empty(len(piece.n), np.int64)
-    place[value] = np.arange(len(piece.n))
-    best[top >= 0] = place[top[top >= 0]]
-    return count, best
+    for search, row in reached(piece.vectors, vectors, up, down):
+        held.append((search, row))
+        total += len(search)
+        if total >= PAIRS:
+            verify()
+            total = 0
+    if held:
+        verify()
+    return count, _undone(value, top), back_count, _undone(back, back_top)
+
+
+def best_first(words: list[str], n: np.ndarray) -> np.ndarray:
+    """A number for each word, larger for larger ``n`` and, among equal ones, for those earlier in code-point order."""
+    place = np.empty(len(words), np.int64)
+    place[sorted(range(len(words)), key=words.__getitem__)] = np.arange(len(words))
+    value = np.empty(len(words), np.int64)
+    value[np.lexsort((-place, n))] = np.arange(len(words))
+    return value
+
+
+def _undone(value: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """The places of the numbers ``top`` in ``value``; -1 stays."""
+    place = np.empty(len(value) + 1, np.int64)
+    place[value], place[-1] = np.arange(len(value)), -1
+    return place[top]
 
 
 def neighbours(vocabulary: DataFrame) -> DataFrame:
@@ -222,9 +246,10 @@ def neighbours(vocabulary: DataFrame) -> DataFrame:
         "branch", F.pmod(F.xxhash64("word"), F.col("pieces")).cast("int").alias("piece"), "word", "n", "rest")
     options = F.array(*[F.struct(F.array(*map(F.lit, change)).alias("change"), F.lit(up).alias("up"), F.lit(down).alias("down"))
                         for change, up, down in _routes(levels)])
-    sent = words.select("word", head.alias("head"), rest.alias("rest"), F.explode(options).alias("route")).select(
-        F.zip_with("head", "route.change", lambda a, b: a + b).alias("branch"), "word", "rest", "route.up", "route.down").join(
-        sizes, "branch").select("branch", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "word", "rest", "up", "down")
+    moves = F.exists("route.change", lambda x: x != 0)  # else a word and its like are both sent, each to the other
+    sent = words.select("word", "n", head.alias("head"), rest.alias("rest"), F.explode(options).alias("route")).select(
+        F.zip_with("head", "route.change", lambda a, b: a + b).alias("branch"), "word", "n", "rest", "route.up", "route.down", moves.alias("both")).join(
+        sizes, "branch").select("branch", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "word", "n", "rest", "up", "down", "both")
 
     sent = sent.toDF(*sent.columns)  # columns of its own, as both sides come from one table
 
@@ -236,11 +261,14 @@ def neighbours(vocabulary: DataFrame) -> DataFrame:
         if not len(mine) or not len(asked):
             return pa.table([pa.array([], t) for t in (pa.string(), pa.int64(), pa.string(), pa.int64())], names)
         piece = Words(mine.column("word").to_pylist(), mine.column("n").to_numpy(), matrix(mine.column("rest")))
-        words = asked.column("word").to_pylist()
-        count, best = searched(piece, words, matrix(asked.column("rest")), *(asked.column(c).to_numpy().astype(np.int64) for c in ("up", "down")))
-        met = np.flatnonzero(count)
-        return pa.table([pa.array([words[i] for i in met], pa.string()), pa.array(count[met]),
-                         pa.array([piece.words[best[i]] for i in met], pa.string()), pa.array(piece.n[best[met]])], names)
+        words, n = asked.column("word").to_pylist(), asked.column("n").to_numpy()
+        left = (asked.column(c).to_numpy().astype(np.int64) for c in ("up", "down"))
+        count, best, back_count, back_best = searched(piece, words, matrix(asked.column("rest")), n, *left, asked.column("both").to_numpy(zero_copy_only=False))
+        met, back = np.flatnonzero(count), np.flatnonzero(back_count)
+        return pa.table([pa.array([words[i] for i in met] + [piece.words[i] for i in back], pa.string()),
+                         pa.array(np.concatenate((count[met], back_count[back]))),
+                         pa.array([piece.words[i] for i in best[met]] + [words[i] for i in back_best[back]], pa.string()),
+                         pa.array(np.concatenate((piece.n[best[met]], n[back_best[back]])))], names)
 
     found = placed.groupBy("branch", "piece").cogroup(sent.groupBy("branch", "piece")).applyInArrow(
         run, "word string, near long, form string, form_n long")
