@@ -18,7 +18,7 @@ from ..functions.factor import EPS, PANEL, Axis, factor, windowed, with_factors
 from ..functions.rolling import pct_change, shift, true_range
 from ..functions.scalar import absolute, clip, finite, log1p
 from ..session import durable
-from .ordering import average_ranks, group_quantiles
+from .ordering import average_ranks, mapped_counts, medians_and_spreads, positions_of, quantiles_of, value_counts
 
 DATE = ("trade_date",)
 LIMIT_UP = 0.095
@@ -137,12 +137,17 @@ def static_features(df: DataFrame, dim: DataFrame, k: int = 12, other: bool = Tr
         "instrument_id", "industry_bucket", "industry_bucket_index",
         F.when(F.col("cap").isNotNull(), capital).alias("st_log_mcap"))
     joined = df.join(dim, "instrument_id", "left")
-    middle = group_quantiles(joined, [], "st_log_mcap", {"m": 0.5}).scalar()
     if other:
         joined = joined.withColumn("industry_bucket", F.coalesce("industry_bucket", F.lit("__OTHER__"))) \
                        .withColumn("industry_bucket_index", F.coalesce(F.col("industry_bucket_index"), industry_count(dim)))
+    # one pass counts the values of each day, missing ones as -1 (none is negative): the median, then the ranks come from that
+    counts = value_counts(joined.select(*DATE, F.coalesce("st_log_mcap", F.lit(-1.0)).alias("_m")), DATE, ["_m"]).select(*DATE, "_x", "_n")
+    known = F.when(F.col("_x") >= 0, F.col("_x"))
+    middle = quantiles_of(mapped_counts(counts, [], known), [], {"m": 0.5}).scalar()
     filled = joined.withColumn("st_log_mcap", F.coalesce(F.col("st_log_mcap"), middle))
-    filled = cs_rank(filled, {"st_log_mcap_cs_rank": "st_log_mcap"})
+    places = positions_of(mapped_counts(counts, DATE, F.coalesce(known, middle)), DATE)
+    ranks = places.select(*DATE, F.col("_x").alias("st_log_mcap"), ((F.col("_below") + (F.col("_n") + 1) / 2) / F.col("_total")).alias("st_log_mcap_cs_rank"))
+    filled = filled.join(ranks, [*DATE, "st_log_mcap"], "left").select(*filled.columns, "st_log_mcap_cs_rank")
     hot = [F.when(F.col("industry_bucket_index") == i, 1.0).otherwise(0.0).alias(f"st_ind_oh_{i:02d}")
            for i in range(k + (1 if other else 0))]
     return filled.select(*[c for c in filled.columns if c != "industry_bucket_index"], *hot)
@@ -187,17 +192,21 @@ def market_sentiment(df: DataFrame, return_column: str = "pct_chg", turnover_col
                      by: Sequence[str] = DATE, limit_up: float = LIMIT_UP, over: DataFrame | None = None) -> DataFrame:
     """Per-day columns ``market_*`` shared by all names; percent returns are recognised and scaled."""
     source = over if over is not None else df
-    size = group_quantiles(source.select(F.abs(F.col(return_column)).alias("_a")), [], "_a", {"m": 0.5}).scalar()
-    scaled = source.withColumn("_ret", F.col(return_column) / F.when(size > 1.0, 100.0).otherwise(1.0))
-    rising = F.sum(F.when(F.col("_ret") >= limit_up, 1.0).otherwise(0.0))
-    aggs = [F.log1p(rising).alias("market_limit_up_count_log"),
-            (rising / (F.count(F.lit(1)) + EPS)).alias("market_limit_up_ratio")]
+    ret = F.col(return_column)
+    aggs = [F.count(F.lit(1)).alias("_rows"), F.sum(F.when(ret >= limit_up, 1.0).otherwise(0.0)).alias("_up"),
+            F.sum(F.when(ret / 100.0 >= limit_up, 1.0).otherwise(0.0)).alias("_up_percent")]
     if turnover_column:
         traded = F.greatest(F.coalesce(F.col(turnover_column).cast("double"), F.lit(0.0)), F.lit(0.0))
-        aggs.insert(0, F.log1p(F.sum(traded)).alias("market_total_turnover_log"))
-    daily = scaled.groupBy(*by).agg(*aggs)
-    medians = group_quantiles(scaled, by, "_ret", {"market_median_return": 0.5})
-    return attach(attach(df, medians, by), daily, by)
+        aggs.append(F.log1p(F.sum(traded)).alias("market_total_turnover_log"))
+    counts = value_counts(source, by, [return_column])
+    percent = quantiles_of(mapped_counts(counts, [], F.abs("_x")), [], {"m": 0.5}).scalar() > 1.0
+    medians = quantiles_of(counts, by, {"_median": 0.5})
+    days = source.groupBy(*by).agg(*aggs).join(medians, list(by), "left")
+    rising = F.when(percent, F.col("_up_percent")).otherwise(F.col("_up"))
+    return attach(df, days.select(
+        *by, (F.col("_median") / F.when(percent, 100.0).otherwise(1.0)).alias("market_median_return"),
+        *(["market_total_turnover_log"] if turnover_column else []), F.log1p(rising).alias("market_limit_up_count_log"),
+        (rising / (F.col("_rows") + EPS)).alias("market_limit_up_ratio")), by)
 
 
 def industry_zscore(df: DataFrame, columns: Mapping[str, str], industry: str = "industry_bucket",
@@ -248,22 +257,21 @@ def winsorize_mad(df: DataFrame, columns: Sequence[str], n: float = 5.0, min_sca
     Days with fewer than ``min_group`` rows stay as they are.  ``center="lower_median"`` takes the smaller of two
     middle values instead of their mean.
     """
-    out = df
-    for c in columns:
-        middle = group_quantiles(out, by, c, {"_med": center})
-        away = attach(out, middle, by).withColumn("_away", F.abs(F.col(c) - F.col("_med")))
-        spread = group_quantiles(away, by, "_away", {"_mad": center})
-        bounds = middle.join(spread, list(by))
-        if min_group > 1:
-            bounds = bounds.join(out.groupBy(*by).agg(F.count(F.lit(1)).alias("_size")), list(by))
-        reach = F.greatest(F.col("_mad") * MAD_SCALE, F.lit(min_scale)) * n
-        limited = F.greatest(F.least(F.col(c), F.col("_med") + reach), F.col("_med") - reach)
-        value = F.when(F.col(c).isNotNull() & F.col("_med").isNotNull(), limited).otherwise(F.col(c))
-        if min_group > 1:
-            value = F.when(F.col("_size") >= min_group, value).otherwise(F.col(c))
-        joined = attach(out, bounds, by)
-        out = joined.select(*[value.alias(x) if x == c else F.col(x) for x in out.columns])
-    return out
+    by, columns = list(by), list(columns)
+    spread = medians_and_spreads(value_counts(df, by, columns), [*by, "_c"], center)
+    reach = F.greatest(F.col("_mad") * MAD_SCALE, F.lit(min_scale)) * n
+    limits = spread.groupBy(*by).agg(*[e for i, c in enumerate(columns) for e in (
+        F.max(F.when(F.col("_c") == c, F.col("_med") - reach)).alias(f"_least{i}"),
+        F.max(F.when(F.col("_c") == c, F.col("_med") + reach)).alias(f"_most{i}"))])
+    if min_group > 1:
+        limits = limits.join(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") >= min_group), by)
+
+    def value(i: int, c: str) -> Column:
+        bounded = F.col(c).isNotNull() & F.col(f"_least{i}").isNotNull()
+        return F.when(bounded, F.greatest(F.least(F.col(c), F.col(f"_most{i}")), F.col(f"_least{i}"))).otherwise(F.col(c))
+
+    places = {c: i for i, c in enumerate(columns)}
+    return attach(df, limits, by).select(*[value(places[c], c).alias(c) if c in places else F.col(c) for c in df.columns])
 
 
 def factor_gates(df: DataFrame, columns: Sequence[str], max_null_ratio: float = 0.2, max_inf_ratio: float = 0.0,

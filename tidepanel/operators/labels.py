@@ -11,7 +11,7 @@ from ..functions.factor import EPS, PANEL, Axis, Factor, factor, windowed
 from ..functions.rolling import shift
 from ..session import durable
 from .cross_section import DATE, attach, cs_rank, cs_zscore, winsorize_mad
-from .ordering import group_quantiles, ordinal_positions
+from .ordering import group_quantiles, mapped_counts, medians_and_spreads, ordinal_positions, quantiles_of, value_counts
 
 
 def forward_return(open_: str = "open", horizon: int = 5, axis: Axis = PANEL) -> Factor:
@@ -99,16 +99,13 @@ def process_volatility(df: DataFrame, label: str = "vol_label", method: str = "z
     return ranked.withColumn(label, F.when(F.col(label).isNotNull(), value)).select(*df.columns)
 
 
-def _bounds(df: DataFrame, target: str, by: Sequence[str], kind: str, lower_q: float, upper_q: float, mad_n: float,
-            min_scale: float) -> DataFrame:
+def _bounds(counts: DataFrame, by: Sequence[str], kind: str, lower_q: float, upper_q: float, mad_n: float, min_scale: float) -> DataFrame:
+    """(by, _lower, _upper) from the counts (by, _x, _n) of the targets."""
     if kind == "quantile":
-        return group_quantiles(df, by, target, {"_lower": lower_q, "_upper": upper_q})
-    middle = group_quantiles(df, by, target, {"_med": "lower_median"})
-    away = attach(df, middle, by).withColumn("_away", F.abs(F.col(target) - F.col("_med")))
-    spread = group_quantiles(away, by, "_away", {"_mad": "lower_median"})
+        return quantiles_of(counts, by, {"_lower": lower_q, "_upper": upper_q})
     reach = F.greatest(F.col("_mad") * 1.4826, F.lit(min_scale)) * mad_n
-    return middle.join(spread, list(by)).select(*by, (F.col("_med") - reach).alias("_lower"),
-                                                (F.col("_med") + reach).alias("_upper"))
+    return medians_and_spreads(counts, by, "lower_median").select(
+        *by, (F.col("_med") - reach).alias("_lower"), (F.col("_med") + reach).alias("_upper"))
 
 
 def transform_targets(df: DataFrame, target: str, mode: str = "none", norm: str | None = "zscore",
@@ -121,36 +118,39 @@ def transform_targets(df: DataFrame, target: str, mode: str = "none", norm: str
     """
     if mode not in ("none", "drop", "clip", "drop_clip", "mad_drop", "mad_clip", "mad_drop_clip"):
         raise ValueError(f"unknown mode: {mode}")
+    if norm not in ("zscore", "rank", None):
+        raise ValueError(f"unknown normalisation: {norm}")
     by = list(by)
     kind = "mad" if mode.startswith("mad") else "quantile"
+    x, n = F.col("_x"), F.col("_n")
     out = df.where(F.col(target).isNotNull())
+    # limits and moments come from these counts, in one pass over the rows; limits, one row per day, are stored
+    counts = value_counts(out, by, [target]).select(*by, "_x", "_n")
     if "drop" in mode:
-        bounds = _bounds(out, target, by, kind, lower_q, upper_q, mad_n, min_scale)
-        inside = F.col(target).between(F.col("_lower"), F.col("_upper"))
-        flagged = attach(out, bounds, by).withColumn("_in", inside.cast("int"))
-        sizes = flagged.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.sum("_in").alias("_kept"))
-        kept = attach(flagged, sizes, by).where((F.col("_n") <= 5) | (F.col("_kept") < 2) | (F.col("_in") == 1))
-        out = durable(kept.select(*df.columns))  # every further step reads it more than once
+        bounds = _bounds(counts, by, kind, lower_q, upper_q, mad_n, min_scale)
+        within = x.between(F.col("_lower"), F.col("_upper"))
+        sizes = counts.join(bounds, by).groupBy(*by, "_lower", "_upper").agg(F.sum("_n").alias("_all"), F.sum(F.when(within, n).otherwise(0)).alias("_kept"))
+        cut = durable(sizes.where((F.col("_all") > 5) & (F.col("_kept") >= 2)).select(*by, F.col("_lower").alias("_from"), F.col("_upper").alias("_to")))
+        free = F.col("_from").isNull()
+        counts = durable(counts.join(cut, by, "left").where(free | x.between(F.col("_from"), F.col("_to"))).select(*by, "_x", "_n"))
+        out = attach(out, cut, by).where(free | F.col(target).between(F.col("_from"), F.col("_to"))).select(*df.columns)
     if "clip" in mode:
-        bounds = _bounds(out, target, by, kind, lower_q, upper_q, mad_n, min_scale)
-        sizes = out.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-        joined = attach(attach(out, bounds, by), sizes, by)
-        limited = F.greatest(F.least(F.col(target), F.col("_upper")), F.col("_lower"))
-        value = F.when(F.col("_n") > 2, limited).otherwise(F.col(target))
-        out = joined.select(*[value.alias(c) if c == target else F.col(c) for c in df.columns])
+        bounds = _bounds(counts, by, kind, lower_q, upper_q, mad_n, min_scale)
+        limits = durable(bounds.join(counts.groupBy(*by).agg(F.sum("_n").alias("_all")).where(F.col("_all") > 2), by))
+        limited = lambda c: F.when(F.col("_lower").isNull(), c).otherwise(F.greatest(F.least(c, F.col("_upper")), F.col("_lower")))
+        counts = mapped_counts(counts.join(limits, by, "left"), by, limited(x))
+        out = attach(out, limits, by).select(*[limited(F.col(c)).alias(c) if c == target else F.col(c) for c in df.columns])
+    value = F.col(target)
     if norm == "zscore":
-        stats = out.groupBy(*by).agg(F.avg(target).alias("_mean"), F.stddev_pop(target).alias("_sd"))
-        value = (F.col(target) - F.col("_mean")) / (F.col("_sd") + 1e-6)
+        means = counts.groupBy(*by).agg((F.sum(x * n) / F.sum("_n")).alias("_mean"))
+        spread = F.sqrt(F.sum(n * (x - F.col("_mean")) * (x - F.col("_mean"))) / F.sum("_n"))
+        stats = counts.join(means, by).groupBy(*by, "_mean").agg(spread.alias("_sd"))
+        value = (value - F.col("_mean")) / (F.col("_sd") + 1e-6)
         out = attach(out, stats, by)
     elif norm == "rank":
-        sizes = out.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-        placed = attach(ordinal_positions(out, by, target, tie, "_pos"), sizes, by)
-        value = F.when(F.col("_n") > 1, F.try_divide(F.col("_pos"), F.col("_n") - 1) * 2.0 - 1.0).otherwise(0.0)
-        out = placed
-    elif norm is None:
-        value = F.col(target)
-    else:
-        raise ValueError(f"unknown normalisation: {norm}")
+        sizes = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
+        out = attach(ordinal_positions(out, by, target, tie, "_pos"), sizes, by)
+        value = F.when(F.col("_all") > 1, F.try_divide(F.col("_pos"), F.col("_all") - 1) * 2.0 - 1.0).otherwise(0.0)
     if norm and clip_at is not None:
         value = F.greatest(F.least(value, F.lit(clip_at)), F.lit(-clip_at))
     return out.select(*[value.alias(c) if c == target else F.col(c) for c in df.columns])

@@ -20,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import durable
+
 BUCKETS_PER_OCTAVE = 16384.0
 _OFFSET = 1100.0  # doubles lie between 2**-1075 and 2**1024
 
@@ -47,6 +49,26 @@ def _counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return values.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", value_bucket(F.col("_x")))
 
 
+def value_counts(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(keys, _c, _x, _n): how many rows of each group have each value of each column, in one pass over ``df``.
+
+    From this table, which is stored, come quantiles, limits, means and ranks of all the columns, by group and of the
+    whole table, without another pass. NULL and NaN aren't counted.
+    """
+    keys = list(keys)
+    x = lambda c: F.col(c).cast("double") + F.lit(0.0)
+    if len(columns) == 1:
+        long = df.select(*keys, F.lit(columns[0]).alias("_c"), x(columns[0]).alias("_x"))
+    else:
+        long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), x(c).alias("_x")) for c in columns])).alias("_v")).select(*keys, "_v.*")
+    return durable(long.where(F.col("_x").isNotNull() & ~F.isnan("_x")).groupBy(*keys, "_c", "_x").agg(F.count(F.lit(1)).alias("_n")))
+
+
+def mapped_counts(counts: DataFrame, keys: Sequence[str], x: Column) -> DataFrame:
+    """The counts after each value became ``x``; values that become NULL are gone."""
+    return counts.select(*keys, x.alias("_x"), "_n").where(F.col("_x").isNotNull()).groupBy(*keys, "_x").agg(F.sum("_n").alias("_n"))
+
+
 def _below(placed: DataFrame, keys: Sequence[str]) -> DataFrame:
     inside = Window.partitionBy(*keys, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("_below", F.col("_base") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
@@ -54,8 +76,13 @@ def _below(placed: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def value_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """One row per (keys, distinct non-NULL value ``_x``): ``_n`` copies, ``_below`` smaller rows, ``_total`` rows."""
+    return positions_of(_counts(df, list(keys), value), keys)
+
+
+def positions_of(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """:func:`value_positions` from the counts (keys, _x, _n) of values."""
     keys = list(keys)
-    counts = _counts(df, keys, value)
+    counts = counts.select(*keys, "_x", "_n", value_bucket(F.col("_x")).alias("_b"))
     placed = counts.join(_histogram(counts, keys), [*keys, "_b"])
     return _below(placed, keys).select(*keys, "_x", "_n", "_below", "_total")
 
@@ -67,10 +94,16 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: d
     With no keys the result is the single row of the whole table.
     """
     keys = list(keys)
+    return quantiles_of(_counts(df, keys, value), keys, quantiles)
+
+
+def quantiles_of(counts: DataFrame, keys: Sequence[str], quantiles: dict[str, float | str]) -> DataFrame:
+    """:func:`group_quantiles` from the counts (keys, _x, _n) of values; groups of ``keys`` may span several of the counts' own."""
+    keys = list(keys)
     constant = not keys
     if constant:
-        df, keys = df.withColumn("_all", F.lit(1)), ["_all"]
-    counts = _counts(df, keys, value)
+        counts, keys = counts.withColumn("_all", F.lit(1)), ["_all"]
+    counts = counts.select(*keys, "_x", "_n", value_bucket(F.col("_x")).alias("_b"))
 
     def ends(q):
         last = F.col("_total") - 1
@@ -100,6 +133,17 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: d
     return found.select(*([] if constant else keys), *out)
 
 
+def medians_and_spreads(counts: DataFrame, keys: Sequence[str], center: float | str = 0.5) -> DataFrame:
+    """(keys, _med, _mad): the median and the median distance from it, of each group of the counts (keys, _x, _n).
+
+    ``counts`` should be stored, as the steps read it several times; the medians, one row per group, are.
+    """
+    keys = list(keys)
+    middle = durable(quantiles_of(counts, keys, {"_med": center}))
+    away = mapped_counts(counts.join(middle, keys), keys, F.abs(F.col("_x") - F.col("_med")))
+    return middle.join(quantiles_of(away, keys, {"_mad": center}), keys)
+
+
 def average_ranks(df: DataFrame, keys: Sequence[str], columns: Sequence[str], row_key: Sequence[str]) -> DataFrame:
     """``row_key`` and, per column, rank / non-NULL count within the group, ties averaged; NULL for NULL.
 
@@ -117,40 +161,48 @@ def average_ranks(df: DataFrame, keys: Sequence[str], columns: Sequence[str], ro
         F.max(F.when(F.col("_c") == c, F.col("_rank"))).alias(c) for c in columns])
 
 
-def ordinal_positions(df: DataFrame, keys: Sequence[str], value: str, tie: str, out: str,
-                      descending: bool = False, tie_prefix: int = 4) -> DataFrame:
+def numbered(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
+    """``df`` with the 0-based place of each row in the order of the whole table. Stored.
+
+    Rows are dealt by ranges of the whole order, so equal values of its first columns are cut by the later ones and no
+    run of them meets in one task. What is added up over partitions is one count of each.
+    """
+    at = free_column(df, "_at")
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
+    stored = durable(ranged)  # partition and place in it are fixed from here on
+    part, place = F.shiftright(at, 33), F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = stored.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    # one row per partition of the shuffle
+    joined = stored.join(F.broadcast(starts), part == F.col("_part"))
+    return joined.select(*df.columns, (F.col("_start") + place).alias(out))
+
+
+def free_column(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def ordinal_positions(df: DataFrame, keys: Sequence[str], value: str, tie: str, out: str, descending: bool = False) -> DataFrame:
     """``df`` with the 0-based place of each row in its group ordered by (value, tie); NULL values get NULL.
 
-    Rows of equal value are ordered by the text ``tie``; a large run of equal values is cut by the leading
-    characters of ``tie`` and never sorted in one task.
+    Rows of equal value are ordered by ``tie``. The places are those in the order of the whole table (:func:`numbered`), less
+    the group's first one.
     """
     keys = list(keys)
-    size = F.col(value).cast("double") + F.lit(0.0)
+    size = F.nanvl(F.col(value).cast("double") + F.lit(0.0), F.lit(None).cast("double"))
     work = df.withColumn("_ord_x", -size + F.lit(0.0) if descending else size)
-    places = value_positions(work.select(*keys, "_ord_x"), keys, "_ord_x").select(
-        *keys, F.col("_x").alias("_ord_x"), "_below")
-    work = work.withColumn("_ord_p", F.substring(F.col(tie).cast("string"), 1, tie_prefix))
-    run = [*keys, "_ord_x", "_ord_p"]
-    runs = work.where(F.col("_ord_x").isNotNull()).groupBy(*run).agg(F.count(F.lit(1)).alias("_run"))
-    earlier = Window.partitionBy(*keys, "_ord_x").orderBy("_ord_p").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select(*run, F.coalesce(F.sum("_run").over(earlier), F.lit(0)).alias("_before"))
-    starts = runs.join(places, [*keys, "_ord_x"]).select(*run, (F.col("_below") + F.col("_before")).alias("_ord_start"))
-    inside = Window.partitionBy(*run).orderBy(tie)
-    placed = work.join(starts, run, "left").withColumn(
-        out, F.when(F.col("_ord_start").isNotNull(), F.col("_ord_start") + F.row_number().over(inside) - 1))
-    return placed.select(*df.columns, out)
-
-
-def dense_index(ids: DataFrame, column: str, out: str, prefix: int = 4) -> DataFrame:
-    """Distinct values of a text column numbered 0, 1, 2, ... in text order, sorted one prefix at a time."""
-    distinct = ids.select(column).where(F.col(column).isNotNull()).distinct().withColumn(
-        "_p", F.substring(column, 1, prefix))
-    sizes = distinct.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).withColumn("_all", F.lit(1))
-    earlier = Window.partitionBy("_all").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_p", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_p").orderBy(column)
-    return distinct.join(starts, "_p").select(
-        column, (F.col("_start") + F.row_number().over(inside) - 1).alias(out))
+    placed = numbered(work, [*[F.col(k).asc_nulls_last() for k in keys], F.col("_ord_x").asc_nulls_last(), F.col(tie).asc_nulls_last()], "_ord_at")
+    firsts = placed.groupBy(*keys).agg(F.min("_ord_at").alias("_ord_first"))
+    joined = placed.join(firsts, keys, "left")
+    return joined.select(*df.columns, F.when(F.col("_ord_x").isNotNull(), F.col("_ord_at") - F.col("_ord_first")).alias(out))
+
+
+def dense_index(ids: DataFrame, column: str, out: str) -> DataFrame:
+    """Distinct values of a column numbered 0, 1, 2, ... in their order."""
+    return numbered(ids.select(column).where(F.col(column).isNotNull()).distinct(), [F.col(column)], out)
 
 
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
