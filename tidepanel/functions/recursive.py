@@ -1,20 +1,23 @@
-"""Indicators whose value depends on their own previous value.
+"""Indicators whose value depends on their own previous value, and order statistics of sliding windows.
 
-Catalyst has no window function that carries state from row to row, so these are computed in one grouped-map pass
-over Arrow batches: :func:`with_recursive` evaluates every requested indicator of an instrument in the same pass.
-A group is one instrument's daily history, at most as long as the calendar.  Inside, the recurrences are pandas
-exponential means (compiled code), not Python loops.
+Catalyst has no window function that carries state from row to row, and none that keeps a sliding window sorted, so these
+are computed in one grouped-map pass over Arrow tables: :func:`with_recursive` evaluates every requested indicator of
+an instrument in the same pass.  A group is one instrument's daily history, at most as long as the calendar.  Inside,
+the recurrences are pandas exponential means and the windows are views of one array (compiled code), not Python loops.
 
-Warm-up conventions: ``ema`` starts at its first value; the others start from the mean of their first ``n`` inputs.
+Warm-up conventions: ``ema`` starts at its first value; the other recurrences start from the mean of their first ``n``
+inputs; ``last_*`` are missing until the last ``n`` rows all have a value.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -153,6 +156,47 @@ def chaikin_volatility(high, low, *, n):
     return ((level - before) / (before + EPS)).to_numpy()
 
 
+def _windows(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The last ``n`` values of each row from the n-th on, and which of them are complete."""
+    view = np.lib.stride_tricks.sliding_window_view(x, n) if len(x) >= n else np.empty((0, n))
+    return view, ~np.isnan(view).any(axis=1)
+
+
+def _placed(x: np.ndarray, n: int, complete: np.ndarray, value: np.ndarray) -> np.ndarray:
+    out = np.full(len(x), np.nan)
+    out[n - 1:][complete] = value
+    return out
+
+
+def last_quantile(x, *, n, q):
+    """Quantile of the last n values, linear between neighbours."""
+    view, complete = _windows(x, int(n))
+    at = q * (n - 1)
+    low, high = math.floor(at), math.ceil(at)
+    ordered = np.partition(view[complete], (low, high), axis=1)
+    a, b = ordered[:, low], ordered[:, high]
+    return _placed(x, int(n), complete, a + (b - a) * (at - low))
+
+
+def last_rank(x, *, n):
+    """Rank of the newest of the last n values, ties averaged, divided by n."""
+    view, complete = _windows(x, int(n))
+    view = view[complete]
+    points = 2 * (view < view[:, -1:]).sum(axis=1) + (view == view[:, -1:]).sum(axis=1)
+    return _placed(x, int(n), complete, (points + 1) / (2.0 * n))
+
+
+def last_argmax(x, *, n):
+    """Place of the first largest of the last n values, counted from 0, over n."""
+    view, complete = _windows(x, int(n))
+    return _placed(x, int(n), complete, view[complete].argmax(axis=1) / float(n))
+
+
+def last_argmin(x, *, n):
+    view, complete = _windows(x, int(n))
+    return _placed(x, int(n), complete, view[complete].argmin(axis=1) / float(n))
+
+
 @dataclass(frozen=True)
 class Recursive:
     """One requested indicator: the function above, its input columns and its parameters."""
@@ -169,27 +213,25 @@ def recursive(function: str, *inputs: str, **params) -> Recursive:
 
 
 FUNCTIONS = {f.__name__: f for f in (
-    ema, seeded_ema, macd_line, macd_signal, rsi, cmo, atr, adx, tema, chaikin_osc, chaikin_volatility)}
+    ema, seeded_ema, macd_line, macd_signal, rsi, cmo, atr, adx, tema, chaikin_osc, chaikin_volatility,
+    last_quantile, last_rank, last_argmax, last_argmin)}
 
 
 def with_recursive(df: DataFrame, wanted: Mapping[str, Recursive], axis: Axis = PANEL) -> DataFrame:
-    """``df`` with one column per requested indicator."""
-    order = list(axis.order)
-    specs = dict(wanted)
+    """``df`` with one column per requested indicator; the other columns pass as they are."""
+    order, specs = list(axis.order), dict(wanted)
+    kept = [f for f in df.schema.fields if f.name not in specs]
+    schema = T.StructType(kept + [T.StructField(name, T.DoubleType()) for name in specs])
+    inputs = list(dict.fromkeys(c for spec in specs.values() for c in spec.inputs))
 
-    def one_instrument(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
+    def one_instrument(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in order])
+        arrays = {c: rows.column(c).cast(pa.float64(), safe=False).to_numpy() for c in inputs}
         for name, spec in specs.items():
-            arrays = [pdf[c].to_numpy(dtype="float64") for c in spec.inputs]
             with np.errstate(all="ignore"):
-                pdf[name] = FUNCTIONS[spec.function](*arrays, **dict(spec.params))
-        return pdf
+                made = np.asarray(FUNCTIONS[spec.function](*[arrays[c] for c in spec.inputs], **dict(spec.params)), dtype="float64")
+            # what isn't a finite number is missing
+            rows = rows.append_column(name, pa.array(made, pa.float64(), mask=~np.isfinite(made)))
+        return rows
 
-    kept = [f for f in df.schema.fields if f.name not in specs]
-    schema = T.StructType(kept + [T.StructField(name, T.DoubleType()) for name in specs])
-    source = df.select(*[f.name for f in kept])
-    made = source.groupBy(*axis.key).applyInPandas(one_instrument, schema)
-    # pandas hands a missing value over as NaN
-    from .scalar import finite
-    from pyspark.sql import functions as F
-    return made.select(*[f.name for f in kept], *[finite(F.col(name)).alias(name) for name in specs])
+    return df.select(*[f.name for f in kept]).groupBy(*axis.key).applyInArrow(one_instrument, schema)

@@ -37,6 +37,18 @@ def attach(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.join(stats, list(by), "left")
 
 
+def one_per_day(table: DataFrame, by: Sequence[str] = DATE) -> DataFrame:
+    """The rows of a caller's table, one per day: repeated rows count once, and a day with different ones fails the job.
+
+    So what is then broadcast has at most one row per day of the calendar, and no row that it meets is multiplied.
+    """
+    values = [c for c in table.columns if c not in by]
+    sizes = F.count_distinct(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in values]))
+    merged = table.groupBy(*by).agg(sizes.alias("_kinds"), *[F.min(c).alias(c) for c in values])
+    checked = F.when(F.col("_kinds") > 1, F.raise_error(F.concat(F.lit("different rows of one day: "), *[F.col(c).cast("string") for c in by])).cast("boolean")).otherwise(F.lit(True))
+    return merged.where(checked).select(*table.columns)
+
+
 def cs_zscore(df: DataFrame, columns: Mapping[str, str], by: Sequence[str] = DATE, zero_std: str = "null",
               eps: float = EPS, clip_at: float | None = None, over: DataFrame | None = None) -> DataFrame:
     """Adds ``out: source`` z-scores within each group (sample standard deviation).

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rolling import safe_corr
-from .cross_section import DATE, attach
+from .cross_section import one_per_day, DATE, attach
 from .ordering import ordinal_positions, top_rows
 from .pairs import BLOCK_ROWS, rectangular_cells
 
@@ -107,7 +107,7 @@ def batched_metrics(returns: DataFrame, folds: DataFrame | None = None, batch: i
 
     ``returns`` is the output of :func:`strategy_returns`; ``folds`` names each day's fold.
     """
-    rows = returns.withColumn("fold", F.lit("all")) if folds is None else returns.join(F.broadcast(folds), "trade_date")
+    rows = returns.withColumn("fold", F.lit("all")) if folds is None else returns.join(F.broadcast(one_per_day(folds, ("trade_date",))), "trade_date")
     # days of a fold in order: one calendar long at most
     days = rows.select("fold", "trade_date").distinct()
     order = Window.partitionBy("fold").orderBy("trade_date")
@@ -124,7 +124,7 @@ def best_strategy(metrics: DataFrame, by: str = "risk_adjusted", group: Sequence
     order = F.struct(F.col(by), -F.col("position"))
     names = ("strategy", "mean_return", "return_std", "risk_adjusted")
     out = metrics.where(F.col(by).isNotNull()).groupBy(*group).agg(
-        F.max_by(F.struct(*names, "position"), order).alias("b"))
+        F.max_by(F.struct(*dict.fromkeys([*names, by, "position"])), order).alias("b"))
     return out.select(*group, *[F.col(f"b.{c}").alias(c) for c in names], F.col(f"b.{by}").alias("objective"),
                       F.col("b.position").alias("position"))
 
@@ -156,6 +156,43 @@ def fold_diagnostics(metrics: DataFrame, by: str = "risk_adjusted", flat: float
     return per_fold, summary
 
 
+SELECTION = {"risk_adjusted": "risk_adjusted", "mean_return": "mean_return"}
+
+
+def win_counts(metrics: DataFrame, candidates: DataFrame, mode: str = "risk_adjusted") -> DataFrame:
+    """(position, strategy, wins): in how many folds each candidate (position, strategy) is chosen, 0 included.
+
+    ``mode`` says by which metric; a candidate without a risk-adjusted value in a fold counts with its mean return.
+    """
+    wins = best_strategy(selection_scores(metrics, mode), "score", ["fold"]).groupBy("strategy").agg(F.count(F.lit(1)).alias("wins"))
+    return candidates.select("position", "strategy").join(wins, "strategy", "left").select(
+        "position", "strategy", F.coalesce("wins", F.lit(0)).alias("wins"))
+
+
+def selection_scores(metrics: DataFrame, mode: str = "risk_adjusted") -> DataFrame:
+    """The metrics with the ``score`` that candidates are chosen by: risk-adjusted, else the mean return."""
+    if mode not in SELECTION:
+        raise ValueError(f"unknown selection mode: {mode}")
+    score = F.coalesce("risk_adjusted", "mean_return") if mode == "risk_adjusted" else F.col("mean_return")
+    return metrics.withColumn("score", score)
+
+
+def fold_comparison(metrics: DataFrame, candidates: DataFrame, mode: str = "risk_adjusted") -> DataFrame:
+    """(fold, position, strategy, mean_return, return_std, risk_adjusted, score, place, chosen): every candidate in every fold.
+
+    What a fold has no value for is 0; a missing risk-adjusted return is the mean return. Places go by score, then by position.
+    """
+    listed = candidates.agg(F.collect_list(F.struct("position", "strategy")).alias("l")).scalar()  # a few candidates
+    grid = metrics.select("fold").distinct().select("fold", listed.alias("l")).select("fold", F.inline("l"))
+    values = metrics.select("fold", "strategy", "mean_return", "return_std", "risk_adjusted")
+    filled = grid.join(values, ["fold", "strategy"], "left").withColumn("mean_return", F.coalesce("mean_return", F.lit(0.0))).withColumn(
+        "return_std", F.coalesce("return_std", F.lit(0.0))).withColumn("risk_adjusted", F.coalesce("risk_adjusted", "mean_return"))
+    scored = selection_scores(filled, mode)
+    place = F.row_number().over(Window.partitionBy("fold").orderBy(F.desc("score"), "position"))  # one row per candidate
+    return scored.withColumn("place", place).withColumn("chosen", F.col("place") == 1).select(
+        "fold", "position", "strategy", "mean_return", "return_std", "risk_adjusted", "score", "place", "chosen")
+
+
 def ensemble(runs: DataFrame, by: str = "risk_adjusted") -> tuple[DataFrame, DataFrame]:
     """Metrics averaged over runs per strategy, and the run whose best strategy is best (the first of equals).
 
@@ -273,10 +310,20 @@ def pairwise_logistic(df: DataFrame, score: str = "score", target: str = "target
     return out.select(*by, value.alias("pairwise_logistic"))
 
 
-def information_coefficient(df: DataFrame, score: str = "score", target: str = "target", by: Sequence[str] = DATE) -> DataFrame:
-    """Pearson correlation per day; 0 for a single name or a constant side."""
+def information_coefficient(df: DataFrame, score: str = "score", target: str = "target", by: Sequence[str] = DATE,
+                            mode: str = "pearson", tie: str = "instrument_id") -> DataFrame:
+    """Correlation per day; 0 for a single name or a constant side.
+
+    ``mode`` "rank" correlates the places of both sides (equal values in the order of ``tie``) instead of the values.
+    """
+    if mode not in ("pearson", "rank"):
+        raise ValueError(f"unknown mode: {mode}")
     valid = df.where(F.col(score).isNotNull() & F.col(target).isNotNull())
     s, t = F.col(score), F.col(target)
+    if mode == "rank":
+        valid = ordinal_positions(valid.select(*by, tie, score, target), by, score, tie, "_ps")
+        valid = ordinal_positions(valid, by, target, tie, "_pt")
+        s, t = F.col("_ps").cast("double"), F.col("_pt").cast("double")
     value = F.coalesce(F.covar_pop(s, t) / (F.sqrt(F.var_pop(s) + 1e-12) * F.sqrt(F.var_pop(t) + 1e-12) + 1e-12), F.lit(0.0))
     return valid.groupBy(*by).agg(F.greatest(F.least(value, F.lit(1.0)), F.lit(-1.0)).alias("ic"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.canonical import key_id
-from .cross_section import attach
+from .cross_section import attach, one_per_day
 from .ordering import keep_last
 
 KEYS = ("instrument_id", "trade_date")
@@ -175,7 +175,7 @@ def with_benchmark(df: DataFrame, benchmark: DataFrame, value: str, out: str = "
                    by: Sequence[str] = ("trade_date",)) -> DataFrame:
     """The day's benchmark value, or the cross-section's mean of ``value`` where there is none."""
     means = df.groupBy(*by).agg(F.avg(value).alias("_mean"))
-    joined = attach(attach(df, benchmark, by), means, by)
+    joined = attach(attach(df, one_per_day(benchmark.select(*by, "benchmark_return"), by), by), means, by)
     return joined.select(*df.columns, F.coalesce(F.col("benchmark_return"), F.col("_mean")).alias(out))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.factor import EPS, PANEL, Axis, Factor, factor, windowed
 from ..functions.rolling import shift
 from ..session import durable
-from .cross_section import DATE, attach, cs_rank, cs_zscore, winsorize_mad
+from .cross_section import DATE, attach, cs_rank, cs_zscore, one_per_day, winsorize_mad
 from .ordering import group_quantiles, mapped_counts, medians_and_spreads, ordinal_positions, quantiles_of, value_counts
 
 
@@ -53,7 +53,7 @@ def neutralize(df: DataFrame, label: str, method: str = "cross_mean", benchmark:
         joined = attach(out, means, by)
         base = F.col("_mean")
         if step == "benchmark" and benchmark is not None:
-            joined = attach(joined, benchmark, by)
+            joined = attach(joined, one_per_day(benchmark.select(*by, "benchmark_return"), by), by)
             base = F.coalesce(F.col("benchmark_return"), base)
         if step == "industry":
             groups = out.where(F.col(industry).isNotNull()).groupBy(*by, industry).agg(F.avg(label).alias("_group"))

@@ -46,6 +46,13 @@ def select_names(df: DataFrame, k: int, by: Sequence[str] = ("trade_date",), pos
     return top_rows(rows, by, order, k).drop("_adjusted")
 
 
+def filled_days(chosen: DataFrame, days: DataFrame, k: int, by: Sequence[str] = ("trade_date",)) -> DataFrame:
+    """(day, names, missing, empty): how many names each of ``days`` holds, also those on which none is left."""
+    held = chosen.groupBy(*by).agg(F.count(F.lit(1)).alias("_names"))
+    out = days.select(*by).distinct().join(held, list(by), "left").withColumn("names", F.coalesce("_names", F.lit(0)))
+    return out.select(*by, "names", (F.lit(int(k)) - F.col("names")).alias("missing"), (F.col("names") == 0).alias("empty"))
+
+
 def weigh(df: DataFrame, weighting: str = "equal", temperature: float = 1.0, by: Sequence[str] = ("trade_date",)) -> DataFrame:
     """Adds ``weight`` to selected names (at most a handful per day)."""
     from pyspark.sql import Window

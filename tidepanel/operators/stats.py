@@ -25,8 +25,9 @@ def instrument_subset(df: DataFrame, instruments: int, rows: int) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, n: int, keys: Sequence[str] = ("instrument_id", "trade_date"), seed: int = 42) -> DataFrame:
-    """``n`` rows picked by a seeded hash of their key, the same ones on every run."""
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+    """``n`` rows picked by the md5 of their key and the seed, the same ones on every run and in every engine."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("~")) for k in keys], F.lit(str(seed)))
+    return df.orderBy(F.md5(text), *keys).limit(n)
 
 
 def add_missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:

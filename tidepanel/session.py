@@ -17,6 +17,8 @@ def local_session(cores: int = 8, name: str = "tidepanel", memory: str = "12g")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # call sites in error messages cost several calls into the JVM for every column expression
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The line formats of a training log.
@@ -22,11 +22,30 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
 
 
+BLOCK_LINES = 4096
+
+
+def carried(lines: DataFrame, value: Column, out: str) -> DataFrame:
+    """``lines`` with the last non-NULL ``value`` of the same file at or above each line.
+
+    A file is cut in blocks of lines; only lines of a block are ordered together, and a table with one row per block hands
+    the value on, so a long file is spread over its blocks.
+    """
+    work = lines.withColumn("_value", value).withColumn("_block", F.floor(F.col("line_no") / BLOCK_LINES))
+    ends = work.groupBy("file", "_block").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col("line_no"))).alias("_end"))
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("file", "_block", F.last("_end", ignorenulls=True).over(before).alias("_prior"))
+    inside = Window.partitionBy("file", "_block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    within = work.withColumn("_within", F.last("_value", ignorenulls=True).over(inside))
+    return within.join(ends, ["file", "_block"], "left").select(*lines.columns, F.coalesce("_within", "_prior").alias(out))
+
+
 def parse_training_log(lines: DataFrame) -> dict[str, DataFrame]:
-    """Tables ``metrics`` (file, epoch, name, value), ``best`` , ``ablation`` and ``early_stop``.
+    """Tables ``epochs``, ``metrics``, ``best``, ``ablation`` and ``early_stop`` of lines (file, line_no, line).
 
-    A line belongs to the last epoch header above it; lines before the first header are ignored.  A metric that is
-    reported twice in an epoch keeps its last value.
+    A line belongs to the last epoch header above it; lines before the first header are ignored.  ``epochs`` has every
+    epoch with a header, also those without a metric, its ``total_epochs`` from the first header and whether it
+    stopped early.  What is reported twice in an epoch (a metric, the best strategy) keeps its last value.
     """
     def part(pattern, group):
         return F.regexp_extract("line", pattern, group)
@@ -34,9 +53,7 @@ def parse_training_log(lines: DataFrame) -> dict[str, DataFrame]:
     def number(pattern, group):
         return part(pattern, group).try_cast("double")
 
-    marked = lines.withColumn("_epoch", part(EPOCH, 1).try_cast("int"))
-    above = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = marked.withColumn("epoch", F.last("_epoch", ignorenulls=True).over(above)).where("epoch IS NOT NULL")
+    rows = carried(lines, part(EPOCH, 1).try_cast("int"), "epoch").where("epoch IS NOT NULL")
     scalars = rows.where(F.col("line").rlike(SCALAR)).select(
         "file", "epoch", "line_no", F.concat_ws("_", F.lower(part(SCALAR, 1)), part(SCALAR, 2)).alias("name"),
         number(SCALAR, 3).alias("value"))
@@ -49,12 +66,18 @@ def parse_training_log(lines: DataFrame) -> dict[str, DataFrame]:
     ablation = rows.where(F.col("line").rlike(ABLATION)).select(
         "file", "epoch", F.trim(part(ABLATION, 1)).alias("factor_group"), part(ABLATION, 2).try_cast("int").alias("num_features"),
         number(ABLATION, 3).alias("return"), number(ABLATION, 4).alias("delta"))
-    status = rows.where(F.col("line").rlike(STOP_STATUS)).select(
-        "file", "epoch", F.trim(part(STOP_STATUS, 1)).alias("monitor"), number(STOP_STATUS, 3).alias("best"),
-        part(STOP_STATUS, 4).try_cast("int").alias("bad_epochs"), part(STOP_STATUS, 5).try_cast("int").alias("patience"),
-        F.lit(False).alias("triggered"))
-    stopped = rows.where(F.col("line").rlike(STOPPED)).select(
-        "file", "epoch", F.trim(part(STOPPED, 1)).alias("monitor"), number(STOPPED, 4).alias("best"),
-        F.lit(None).cast("int").alias("bad_epochs"), part(STOPPED, 3).try_cast("int").alias("patience"),
-        F.lit(True).alias("triggered"))
-    return {"metrics": metrics, "best": best, "ablation": ablation, "early_stop": status.unionByName(stopped)}
+    status, stopped = F.col("line").rlike(STOP_STATUS), F.col("line").rlike(STOPPED)
+
+    def either(in_status, in_stopped):
+        return F.when(status, in_status).otherwise(in_stopped)
+
+    early = rows.where(status | stopped).select(
+        "file", "epoch", F.trim(either(part(STOP_STATUS, 1), part(STOPPED, 1))).alias("monitor"),
+        F.when(stopped, F.trim(part(STOPPED, 2))).alias("mode"), F.when(status, number(STOP_STATUS, 2)).alias("value"),
+        either(number(STOP_STATUS, 3), number(STOPPED, 4)).alias("best"), F.when(status, part(STOP_STATUS, 4).try_cast("int")).alias("bad_epochs"),
+        either(part(STOP_STATUS, 5), part(STOPPED, 3)).try_cast("int").alias("patience"), stopped.alias("triggered"))
+    total = F.when(F.col("line").rlike(EPOCH), part(EPOCH, 2).try_cast("int"))
+    epochs = rows.groupBy("file", "epoch").agg(
+        F.min_by(total, F.when(total.isNotNull(), F.col("line_no"))).alias("total_epochs"),
+        F.count_if(F.col("line").rlike(SCALAR)).alias("metric_lines"), F.max(stopped).alias("triggered"))
+    return {"epochs": epochs, "metrics": metrics, "best": best, "ablation": ablation, "early_stop": early}

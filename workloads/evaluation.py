@@ -111,6 +111,26 @@ QUERIES["fold_regime_summary"] = query(
     ["folds", "positive_folds", "negative_folds", "flat_folds", "mean_best_score", "mean_best_return", "mean_score_spread", "dominant_wins"], 5)
 
 
+def _candidates(spark):
+    """The grid and a candidate that no fold has values for."""
+    return spark.createDataFrame([(i, g.name) for i, g in enumerate(GRID)] + [(len(GRID), "never_run")], "position int, strategy string")
+
+
+_CAND = "ca AS (SELECT DISTINCT position, strategy FROM fm UNION ALL SELECT max(position) + 1, 'never_run' FROM fm)"
+for _mode in ("risk_adjusted", "mean_return"):
+    QUERIES[f"fold_comparison_{_mode}"] = query(
+        lambda spark, folder, m=_mode: ev.fold_comparison(kept(_fold_metrics(spark, folder)), _candidates(spark), m),
+        f"""{_FM}, {_CAND}, fg AS (SELECT f.fold, ca.position, ca.strategy, coalesce(fm.mean_return, 0) AS mean_return, coalesce(fm.return_std, 0) AS return_std,
+             coalesce(fm.risk_adjusted, fm.mean_return, 0) AS risk_adjusted FROM (SELECT DISTINCT fold FROM fm) f CROSS JOIN ca LEFT JOIN fm ON fm.fold = f.fold AND fm.strategy = ca.strategy) =>
+        SELECT *, {_mode} AS score, row_number() OVER (PARTITION BY fold ORDER BY {_mode} DESC, position) AS place FROM fg""",
+        ("fold", "strategy"), [*NAMES, "score", "place"], 5)
+    QUERIES[f"fold_win_counts_{_mode}"] = query(
+        lambda spark, folder, m=_mode: ev.win_counts(kept(_fold_metrics(spark, folder)), _candidates(spark), m),
+        f"""{_FM}, {_CAND}, fp AS (SELECT fold, strategy, row_number() OVER (PARTITION BY fold ORDER BY {_mode} DESC, position) AS k FROM fm) =>
+        SELECT ca.position, ca.strategy, count(fp.fold) AS wins FROM ca LEFT JOIN fp ON fp.strategy = ca.strategy AND fp.k = 1 GROUP BY 1, 2""",
+        ("strategy",), ["position", "wins"])
+
+
 def _runs(spark, folder):
     """Folds taken as runs of one experiment."""
     return kept(_fold_metrics(spark, folder).withColumnRenamed("fold", "run"))
@@ -200,6 +220,12 @@ QUERIES["loss_information_coefficient"] = query(
     lambda spark, folder: ev.information_coefficient(_targets(spark, folder)),
     f"{SCORES}, {_TG} => SELECT trade_date, coalesce(covar_pop(score, target) / (sqrt(var_pop(score) + 1e-12) * sqrt(var_pop(target) + 1e-12) + 1e-12), 0) AS ic FROM tg GROUP BY 1",
     ("trade_date",), ["ic"])
+QUERIES["loss_information_coefficient_rank"] = query(
+    lambda spark, folder: ev.information_coefficient(_targets(spark, folder), mode="rank"),
+    f"""{SCORES}, {_TG}, ir AS (SELECT trade_date, row_number() OVER (PARTITION BY trade_date ORDER BY score, instrument_id) - 1.0::DOUBLE AS a,
+        row_number() OVER (PARTITION BY trade_date ORDER BY target, instrument_id) - 1.0::DOUBLE AS b FROM tg) =>
+    SELECT trade_date, coalesce(covar_pop(a, b) / (sqrt(var_pop(a) + 1e-12) * sqrt(var_pop(b) + 1e-12) + 1e-12), 0) AS ic FROM ir GROUP BY 1""",
+    ("trade_date",), ["ic"])
 QUERIES["volatility_head_error"] = query(
     lambda spark, folder: ev.volatility_error(_targets(spark, folder), "score", "target"),
     f"{SCORES}, {_TG} => SELECT trade_date, avg(CASE WHEN abs(score - target) < 1 THEN pow(score - target, 2) / 2 ELSE abs(score - target) - 0.5 END) AS huber, "

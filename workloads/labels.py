@@ -225,7 +225,8 @@ QUERIES["instrument_preview"] = query(
     lambda spark, folder: stats.instrument_subset(tables.bars(spark, folder), 20, 10),
     """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY trade_date DESC) AS rn FROM bars
        WHERE instrument_id IN (SELECT DISTINCT instrument_id FROM bars ORDER BY 1 LIMIT 20)) WHERE rn <= 10""", PK, ["close"], 3)
-QUERIES["seeded_row_sample"] = query(lambda spark, folder: stats.sample_rows(tables.bars(spark, folder), 1000), None, PK, ["close"], 3)
+QUERIES["seeded_row_sample"] = query(lambda spark, folder: stats.sample_rows(tables.bars(spark, folder), 1000),
+    "SELECT * FROM bars ORDER BY md5(concat_ws('|', instrument_id, CAST(trade_date AS VARCHAR), '42')), instrument_id, trade_date LIMIT 1000", PK, ["close"], 3)
 QUERIES["date_range_filter"] = query(
     lambda spark, folder: tables.bars(spark, folder).where(F.col("trade_date").between(F.lit("1996-03-01").cast("date"), F.lit("1997-09-01").cast("date"))),
     "SELECT * FROM bars WHERE trade_date BETWEEN DATE '1996-03-01' AND DATE '1997-09-01'", PK, ["close"], 3)

@@ -80,6 +80,19 @@ QUERIES["portfolio_industry_cap"] = query(
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY score DESC, position DESC) AS rank FROM ci WHERE g <= 1) WHERE rank <= 5""",
     ("trade_date", "instrument_id"), ["rank", "score"], ctes=(BARS, DIM))
 
+
+def _sparse(spark, folder):
+    """Candidates of high scores only, so that on some days few or none are left."""
+    every = scores(spark, folder)
+    return pf.filled_days(pf.select_names(every.where("score > 3"), 5), every, 5)
+
+
+QUERIES["portfolio_filled_days"] = query(
+    _sparse,
+    f"""{SCORES}, fd AS (SELECT trade_date, least(count(CASE WHEN score > 3 THEN 1 END), 5) AS names FROM scores GROUP BY 1) =>
+    SELECT trade_date, names, 5 - names AS missing, CASE WHEN names = 0 THEN 1 ELSE 0 END AS empty FROM fd""",
+    ("trade_date",), ["names", "missing", "empty"])
+
 _HOLD = """hold AS (SELECT instrument_id, rank, 0.2 AS weight FROM (SELECT *, row_number() OVER (ORDER BY score DESC, position DESC) AS rank FROM scores
   WHERE trade_date = (SELECT max(trade_date) FROM scores WHERE ret IS NOT NULL)) WHERE rank <= 4)"""
 

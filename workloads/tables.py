@@ -198,9 +198,76 @@ QUERIES["table_snapshot"] = query(
     lambda spark, folder: manifest.snapshot(tables.bars(spark, folder), "bars"),
     "SELECT 'bars' AS table_name, count(*) AS row_count, 9 AS column_count, min(trade_date) AS date_min, max(trade_date) AS date_max, count(DISTINCT instrument_id) AS instruments FROM bars",
     ("table_name", "date_min", "date_max"), ["row_count", "column_count", "instruments"])
+
+
+def cell(column, kind="text"):
+    """A value as text, as the hashes make it."""
+    if kind == "double":
+        text = (f"CASE WHEN isnan({column}) THEN 'nan' WHEN abs({column}) >= 4611686018427387904.0::DOUBLE THEN 'huge' || CAST(CAST(sign({column}) AS INTEGER) AS VARCHAR) "
+                f"ELSE CAST(CAST(floor({column}) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(floor(({column} - floor({column})) * 4503599627370496.0::DOUBLE) AS BIGINT) AS VARCHAR) END")
+    else:
+        text = f"CAST({column} AS VARCHAR)"
+    return f"coalesce({text}, '~')"
+
+
+def content(cells):
+    h = f"md5(concat_ws('|', {', '.join(cells)}))"
+    piece = lambda k: f"CAST(sum(CAST(CAST('0x' || substring({h}, {k}, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR)"
+    return f"{piece(1)} || ':' || {piece(16)}"
+
+
+def order_days(spark, folder):
+    return tables.read(spark, folder, "orders").select(
+        F.col("o_custkey").cast("string").alias("instrument_id"), F.to_date("o_orderdate").alias("trade_date"), "o_orderkey", F.col("o_totalprice").cast("double").alias("o_totalprice"), "o_orderpriority")
+
+
+def _manifest(spark, folder):
+    orders = kept(order_days(spark, folder))
+    dim = tables.dimension(spark, folder).withColumn("trade_date", F.lit(None).cast("date"))
+    made = manifest.manifest({"dim": dim, "orders": orders}, orders, run_id="run-1", factor_fingerprint="f0", paths={"out": "x"})
+    return made.withColumn("n_inputs", F.size("inputs")).withColumn("input_rows", F.aggregate("inputs", F.lit(0).cast("bigint"), lambda a, x: a + x["row_count"]))
+
+
+_ORDER_CELLS = [cell("o_custkey"), cell("o_orderkey"), cell("o_orderpriority"), cell("o_totalprice", "double"), cell("CAST(o_orderdate AS DATE)")]
 QUERIES["run_manifest"] = query(
-    lambda spark, folder: (lambda b: manifest.manifest({"bars": b, "dim": tables.dimension(spark, folder).withColumn("trade_date", F.lit(None).cast("date"))}, b, run_id="run-1").withColumn("n_inputs", F.size("inputs")))(kept(tables.bars(spark, folder))),
-    None, ("run_id", "status", "schema_hash", "data_hash"), ["row_count", "n_inputs"])
+    _manifest,
+    f"""SELECT 'run-1' AS run_id, 'succeeded' AS status, 'f0' AS factor_fingerprint, md5('instrument_id,trade_date,o_orderkey,o_totalprice,o_orderpriority') AS schema_hash,
+        {content(_ORDER_CELLS)} AS data_hash, '{{"out": "x"}}' AS paths, count(*) AS row_count, 2 AS n_inputs, count(*) + (SELECT count(*) FROM supplier) AS input_rows FROM orders""",
+    ("run_id", "status", "factor_fingerprint", "schema_hash", "data_hash", "paths"), ["row_count", "n_inputs", "input_rows"], ctes=())
+_FINGER = [cell("p_brand"), cell("p_partkey"), cell("p_size"), cell("p_retailprice", "double")]
+
+
+def _definitions(spark, folder):
+    """Parts as factor definitions of the factor sets that are their types."""
+    return tables.read(spark, folder, "part").select("p_type", "p_brand", "p_partkey", "p_size", F.col("p_retailprice").cast("double").alias("p_retailprice"))
+
+
+def _fingerprints(spark, folder, kept_only=False):
+    rows = _definitions(spark, folder)
+    rows = rows.where("p_size <= 45") if kept_only else rows
+    return manifest.table_fingerprints(rows, ["p_type"])
+
+
+def fingerprint_sql(where=""):
+    cells = [cell("p_brand"), cell("p_partkey"), cell("p_retailprice", "double"), cell("p_size"), cell("p_type")]
+    return f"SELECT p_type, count(*) AS factors, substring(sha256(CAST(count(*) AS VARCHAR) || ':' || {content(cells)}), 1, 16) AS factor_fingerprint FROM part {where} GROUP BY 1"
+
+
+QUERIES["factor_fingerprint"] = query(_fingerprints, fingerprint_sql(), ("p_type", "factor_fingerprint"), ["factors"], ctes=())
+
+
+def _lineage(spark, folder):
+    """Data sets built when parts of large size weren't definitions yet, against all of them."""
+    return manifest.lineage_issues(_fingerprints(spark, folder, True), _fingerprints(spark, folder).where("p_type <> 'PROMO'"), "p_type", ["factor_fingerprint", "factors"])
+
+
+QUERIES["lineage_check"] = query(
+    _lineage,
+    f"""li AS ({fingerprint_sql('WHERE p_size <= 45')}), la AS ({fingerprint_sql()}),
+    lb AS (SELECT li.*, la.factor_fingerprint AS f2, la.factors AS n2 FROM li LEFT JOIN la ON li.p_type = la.p_type AND la.p_type <> 'PROMO') =>
+    SELECT p_type, 'factor_fingerprint' AS field, factor_fingerprint AS dataset_value, f2 AS active_value FROM lb WHERE factor_fingerprint IS DISTINCT FROM f2
+    UNION ALL SELECT p_type, 'factors', CAST(factors AS VARCHAR), CAST(n2 AS VARCHAR) FROM lb WHERE factors IS DISTINCT FROM n2""",
+    ("p_type", "field", "dataset_value", "active_value"), [], ctes=())
 QUERIES["factor_quality_summary"] = query(
     lambda spark, folder: manifest.quality_summary(with_factors(by_instrument(tables.bars(spark, folder)), {"f1": r.pct_change("close"), "f20": r.sma("close", 20)}), ["f1", "f20"]),
     f"""qs AS (SELECT *, close / lag(close) OVER {ORDERED} AS f1, CASE WHEN row_number() OVER {ORDERED} >= 20 THEN 1 END AS f20 FROM bars) =>
@@ -354,6 +421,30 @@ QUERIES["factor_nodes_lenient"] = query(
     "WINDOW w AS (PARTITION BY instrument_id ORDER BY trade_date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)", PK, ["ok", "bad", "after", "lost"], 3)
 
 
+def _node_status(spark, folder):
+    """Reports of two runs in one table: the lenient one above on the bars, and one without broken definitions."""
+    bars = kept(tables.bars(spark, folder))
+    broken = [catalog.FactorSpec("ok", "sma", {"x": "close", "w": 5}), catalog.FactorSpec("bad", "no_such_function", {"x": "close"}),
+              catalog.FactorSpec("after", "diff", {"x": "bad"}), catalog.FactorSpec("lost", "sma", {"x": "nowhere", "w": 3})]
+    sound = [catalog.FactorSpec("m", "sma", {"x": "close", "w": 5}), catalog.FactorSpec("top", "last_quantile", {"x": "m", "n": 4, "q": 0.5})]
+    runs = [(name, catalog.run_factors(bars, specs, strict=False)) for name, specs in (("lenient", broken), ("sound", sound))]
+    status = runs[0][1].report(spark).withColumn("run", F.lit(runs[0][0])).unionByName(runs[1][1].report(spark).withColumn("run", F.lit(runs[1][0])))
+    values = None
+    for name, result in runs:
+        made = [c for c in result.frame.columns if c not in bars.columns]
+        one = result.frame.agg(*[F.count(c).alias(c) for c in made]).select(F.inline(F.array(*[F.struct(F.lit(name).alias("run"), F.lit(c).alias("factor"), F.col(c).alias("made")) for c in made])))
+        values = one if values is None else values.unionByName(one)
+    return manifest.run_status(status).join(values.groupBy("run").agg(F.sum("made").alias("values")), "run")
+
+
+QUERIES["node_status"] = query(
+    _node_status,
+    f"""nr AS (SELECT row_number() OVER {ORDERED} AS k, count(close) OVER (PARTITION BY instrument_id ORDER BY trade_date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS c FROM bars) =>
+    SELECT 'lenient' AS run, 'after: an input failed' AS first_error, 4 AS factors, 1 AS ok, 3 AS failed, count(CASE WHEN c = 5 THEN 1 END) AS values FROM nr
+    UNION ALL SELECT 'sound', NULL, 2, 2, 0, count(CASE WHEN c = 5 THEN 1 END) + count(CASE WHEN k >= 8 THEN 1 END) FROM nr""",
+    ("run", "first_error"), ["factors", "ok", "failed", "values"])
+
+
 def _resolved(spark, folder):
     """Parts as built-in factors: those of one manufacturer type overridden, suppliers as custom ones, some disabled."""
     part = tables.read(spark, folder, "part")
@@ -374,20 +465,33 @@ QUERIES["catalog_resolution"] = query(
 
 
 def _log_lines(spark, folder):
-    """Each supplier's bars as a training log: a header per month, then two figures, the first reported twice."""
+    """Each supplier's bars as a training log: a header per month, then figures, the first reported twice; some months have a header only."""
     b = tables.bars(spark, folder).select("instrument_id", "trade_date", "volume", "turnover")
     b = b.withColumn("k", F.months_between("trade_date", F.lit("1990-01-01").cast("date")).cast("int"))
-    lines = F.array(F.format_string("=== Epoch %d/400 ===", "k"), F.lit("Train loss: 0.5"), F.format_string("Train loss: %.1f", "volume"),
-                    F.format_string("Eval rank-ic: %.4f", "turnover"), F.format_string("  - price: features=%d, return=%.4f, delta=-0.5", "k", "turnover"), F.lit("other text"))
+    head = F.format_string("=== Epoch %d/%d ===", "k", F.col("k") + 400)
+    lines = F.array(head, F.lit("Train loss: 0.5"), F.format_string("Train loss: %.1f", "volume"),
+                    F.format_string("Eval rank-ic: %.4f", "turnover"), F.format_string("  - price: features=%d, return=%.4f, delta=-0.5", "k", "turnover"), F.lit("other text"),
+                    F.lit("当前最优持仓策略: first | 验证目标值: 0 | 策略收益均值: 0 | RankIC: 0"),
+                    F.format_string("当前最优持仓策略: top%d | 验证目标值: %.1f | 策略收益均值: %.4f | RankIC: -0.25", "k", "volume", "turnover"),
+                    F.format_string("早停状态: monitor=eval_loss, value=%.4f, best=%.1f, bad_epochs=%d/9", "turnover", "volume", "k"),
+                    F.when(F.col("k") % 7 == 0, F.format_string("触发早停: monitor=eval_loss, mode=min, patience=9, best=%.1f", "volume")).otherwise(F.lit("-")))
+    lines = F.when(F.col("k") % 5 == 0, F.array(head)).otherwise(lines)
     placed = b.select(F.col("instrument_id").alias("file"), "k", F.posexplode(lines).alias("n", "line"))
-    return placed.select("file", (F.col("k") * 10 + F.col("n")).alias("line_no"), "line")
-
-
-QUERIES["training_log_metrics"] = query(
-    lambda spark, folder: logs.parse_training_log(_log_lines(spark, folder))["metrics"],
-    """lm AS (SELECT instrument_id AS file, CAST(datediff('month', DATE '1990-01-01', trade_date) AS INTEGER) AS epoch, volume, round(turnover, 4) AS t FROM bars) =>
-    SELECT file, epoch, 'train_loss' AS name, volume AS value FROM lm UNION ALL SELECT file, epoch, 'eval_rank-ic', t FROM lm""", ("file", "epoch", "name"), {"value": 3})
-QUERIES["training_log_ablation"] = query(
-    lambda spark, folder: logs.parse_training_log(_log_lines(spark, folder))["ablation"].withColumnRenamed("return", "ret"),
-    """SELECT instrument_id AS file, CAST(datediff('month', DATE '1990-01-01', trade_date) AS INTEGER) AS epoch, 'price' AS factor_group,
-       datediff('month', DATE '1990-01-01', trade_date) AS num_features, round(turnover, 4) AS ret, -0.5 AS delta FROM bars""", ("file", "epoch", "factor_group"), {"num_features": 0, "ret": 3, "delta": 2})
+    return placed.select("file", (F.col("k") * 1000 + F.col("n")).alias("line_no"), "line")
+
+
+_LM = """lm AS (SELECT *, epoch % 5 = 0 AS bare FROM (SELECT instrument_id AS file, CAST(datediff('month', DATE '1990-01-01', trade_date) AS INTEGER) AS epoch, volume, round(turnover, 4) AS t FROM bars))"""
+for _table, _sql, _keys, _values in (
+        ("epochs", "SELECT file, epoch, epoch + 400 AS total_epochs, CASE WHEN bare THEN 0 ELSE 3 END AS metric_lines, CASE WHEN NOT bare AND epoch % 7 = 0 THEN 1 ELSE 0 END AS triggered FROM lm",
+         ("file", "epoch"), {"total_epochs": 0, "metric_lines": 0, "triggered": 0}),
+        ("metrics", "SELECT file, epoch, 'train_loss' AS name, volume AS value FROM lm WHERE NOT bare UNION ALL SELECT file, epoch, 'eval_rank-ic', t FROM lm WHERE NOT bare", ("file", "epoch", "name"), {"value": 3}),
+        ("best", "SELECT file, epoch, 'top' || epoch AS strategy, volume AS objective, t AS strategy_return, -0.25 AS rank_ic FROM lm WHERE NOT bare",
+         ("file", "epoch", "strategy"), {"objective": 3, "strategy_return": 3, "rank_ic": 3}),
+        ("ablation", "SELECT file, epoch, 'price' AS factor_group, epoch AS num_features, t AS ret, -0.5 AS delta FROM lm WHERE NOT bare",
+         ("file", "epoch", "factor_group"), {"num_features": 0, "ret": 3, "delta": 2}),
+        ("early_stop", """SELECT file, epoch, 'eval_loss' AS monitor, CAST(NULL AS VARCHAR) AS mode, t AS value, volume AS best, epoch AS bad_epochs, 9 AS patience, 0 AS triggered FROM lm WHERE NOT bare
+         UNION ALL SELECT file, epoch, 'eval_loss', 'min', NULL, volume, NULL, 9, 1 FROM lm WHERE NOT bare AND epoch % 7 = 0""",
+         ("file", "epoch", "monitor", "mode"), {"value": 3, "best": 3, "bad_epochs": 0, "patience": 0, "triggered": 0})):
+    QUERIES[f"training_log_{_table}"] = query(
+        lambda spark, folder, t=_table: logs.parse_training_log(_log_lines(spark, folder))[t].withColumnRenamed("return", "ret"),
+        f"{_LM} => {_sql}", _keys, _values)
