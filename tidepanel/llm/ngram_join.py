@@ -29,7 +29,7 @@ from ..session import durable
 from .blocks import blocks, distinct
 from .components import components
 from .lists import list_entries, stars
-from .per_text import per_text
+from .per_text import per_text, slices
 from .text import free_name
 
 WORDS, PERCENT = 5, 80
@@ -125,12 +125,12 @@ def _entries(docs: DataFrame, text_col: str) -> DataFrame:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, nodes, seen = [], [], set()
-            for s in shingle_sets(batch.column("text").to_pylist()):
+            keys, nodes, seen, texts = [], [], set(), batch.column("text")
+            for s in (s for a, b in slices(texts) for s in shingle_sets(texts.slice(a, b - a).to_pylist())):
                 digest = (len(s), *_digest(s))
                 if len(s) and digest not in seen:  # of equal sets the first one stands for all
                     seen.add(digest)
-                    keys.append(s[:reach(len(s))])
+                    keys.append(s[:reach(len(s))].copy())
                     nodes.append(np.full(len(keys[-1]), digest[1]))
             if not keys:
                 continue
@@ -196,14 +196,15 @@ def search(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray | None =
     links, group = np.zeros(len(sets), np.int64), np.arange(len(sets))
     if len(sets) < 2:
         return links, group
-    value, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    value, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), size)
     order = np.argsort(value, kind="stable")  # lists hold documents in rising order
     value, posting = value[order], owner[order]
     head = np.append(True, value[1:] != value[:-1])
     start = np.append(np.flatnonzero(head), len(value))
     length = np.diff(start)
-    of = np.empty(len(value), np.int64)
-    of[order] = np.cumsum(head) - 1  # the list of each element
+    of = np.empty(len(value), np.int32)
+    of[order] = np.cumsum(head, dtype=np.int32) - 1  # the list of each element
+    del order, owner, value, head
     bounds = np.append(0, np.cumsum(size))
     for q in range(len(sets)):
         n = size[q]
@@ -313,7 +314,7 @@ def _searched(docs: DataFrame, grouped: DataFrame, id_col: str, text_col: str) -
                         yield report()
                         block, total = [], 0
                     now, cross, share = (component, left, right), left != right, lone
-                s = values[i].values.to_numpy()
+                s = values[i].values.to_numpy().copy()  # a view would keep the whole batch
                 block.append((doc, weight, s, chunk))
                 total += len(s)
         if block:

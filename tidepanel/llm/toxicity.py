@@ -16,12 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import blocks, distinct
 from .labelled import training_rows
-from .per_text import per_text
+from .per_text import per_text, slices, text_value
 from .text import fold
 
 ORDERS, BITS, _BASE = (4, 6, 8), 22, np.uint64(257)
@@ -72,11 +72,14 @@ def _class_counts(sample: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, 1 << BITS), np.int32)
         for batch in batches:
-            label = np.array(batch.column("label").to_pylist(), np.int64)
-            for first, stop, text, bucket in present(batch.column("text").to_pylist()):
-                toxic = label[first:stop][text] == 1
-                counts[1] += np.bincount(bucket[toxic], minlength=1 << BITS).astype(np.int32)
-                counts[0] += np.bincount(bucket[~toxic], minlength=1 << BITS).astype(np.int32)
+            labels = np.array(batch.column("label").to_pylist(), np.int64)
+            for a, b in slices(batch.column("text")):
+                label = labels[a:b]
+                for first, stop, text, bucket in present(batch.column("text").slice(a, b - a).to_pylist()):
+                    toxic = label[first:stop][text] == 1
+                    for side, met in ((1, bucket[toxic]), (0, bucket[~toxic])):
+                        at, n = np.unique(met, return_counts=True)
+                        counts[side, at] += n.astype(np.int32)
         met = np.flatnonzero(counts.any(axis=0))
         for part in np.array_split(met, max(1, len(met) >> 16)):
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[1, part].astype(np.int64)),
@@ -149,20 +152,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, model: Model, carried: list[str], text_col: str = "text", name: str = "score") -> DataFrame:
     """The ``carried`` columns and the probability that a text is toxic; null texts score as empty ones."""
+    return docs.select(*[F.col(c) for c in carried], probability(F.col(text_col), model).alias(name))
+
+
+def probability(text: Column, model: Model) -> Column:
+    """The probability that a text is toxic, as a column."""
     def start():
         table = np.zeros(1 << BITS, bool)
         table[model.buckets] = True
 
-        def scores(texts: list) -> tuple[np.ndarray]:
+        def scores(texts: list) -> np.ndarray:
             z = np.full(len(texts), model.intercept)
             for first, stop, text, bucket in present(texts, table):
                 w = model.weights[np.searchsorted(model.buckets, bucket)] if len(bucket) else np.zeros(0)
                 z[first:stop] += np.bincount(text, w, stop - first)
-            return (1 / (1 + np.exp(-np.clip(z, -30, 30))),)
+            return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
         return scores
 
-    return per_text(docs, text_col, carried, {name: "double"}, start)
+    return text_value(text, "double", start)
 
 
 def predict(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
