@@ -10,11 +10,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordering import dense_index, top_rows
-from .pairs import BLOCK_ROWS, similar_pairs
+from .pairs import BLOCK_ROWS, pair_degrees, similar_pairs
 
 
 def industry_groups(dim: DataFrame, industry: str = "industry") -> DataFrame:
@@ -40,21 +41,20 @@ def within_industry(edges: DataFrame, dim: DataFrame, industry: str = "industry"
 
 
 def _pairwise_correlation(min_periods: int):
-    def score(a: list, b: list) -> np.ndarray:
+    def score(a: pa.ListArray, b: pa.ListArray) -> np.ndarray:
         """|Pearson| over the days both have; 0 where there are too few or one side is constant."""
-        width = max((int(day) for v in (*a, *b) for day in (x["day"] for x in v)), default=-1) + 1
+        day = [x.flatten().field("day").to_numpy(zero_copy_only=False) for x in (a, b)]
+        width = max((int(d.max()) for d in day if len(d)), default=-1) + 1
 
-        def table(vectors):
+        def table(vectors, day):
             values = np.full((len(vectors), width), np.nan)
-            for i, v in enumerate(vectors):
-                for x in v:
-                    values[i, int(x["day"])] = x["value"]
+            values[np.repeat(np.arange(len(vectors)), vectors.value_lengths().to_numpy()), day] = vectors.flatten().field("value").to_numpy()
             centre = np.nanmean(values, axis=1, keepdims=True) if width else values
             known = ~np.isnan(values)
             return np.where(known, values - centre, 0.0), known.astype(float), np.where(known, values, 0.0) ** 2
 
-        xa, ma, squares_a = table(a)
-        xb, mb, squares_b = table(b)
+        xa, ma, squares_a = table(a, day[0])
+        xb, mb, squares_b = table(b, day[1])
         n = ma @ mb.T
         sa, sb = xa @ mb.T, ma @ xb.T
         with np.errstate(all="ignore"):
@@ -69,17 +69,30 @@ def _pairwise_correlation(min_periods: int):
     return score
 
 
+def _histories(df: DataFrame, value: str) -> DataFrame:
+    """(instrument_id, history): each instrument's daily means as (day, value), one calendar long at most."""
+    from .splits import trading_days
+    daily = df.where(F.col(value).isNotNull()).groupBy("instrument_id", "trade_date").agg(F.avg(value).alias("value"))
+    days = F.broadcast(trading_days(df).select("trade_date", "day"))  # one row per calendar day
+    return daily.join(days, "trade_date").groupBy("instrument_id").agg(F.collect_list(F.struct("day", "value")).alias("history"))
+
+
+def correlation_degrees(df: DataFrame, value: str, min_periods: int = 20, threshold: float = 0.2, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(instrument_id, degree, weight): with how many others the |correlation| reaches the threshold, and their sum.
+
+    What :func:`correlation_edges` would list, where a low threshold admits most pairs.
+    """
+    found = pair_degrees(_histories(df, value), [], "instrument_id", _pairwise_correlation(min_periods), "history", threshold, block_rows)
+    return found.select(F.col("id").alias("instrument_id"), "degree", F.col("total").alias("weight"))
+
+
 def correlation_edges(df: DataFrame, value: str, min_periods: int = 20, threshold: float = 0.2, k: int = 20,
                       block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(src, dst, weight) in both directions: |correlation| at or above the threshold, or among a row's ``k`` largest.
 
     Correlations are over the days both instruments have; one that is missing counts as 0 in a row's order.
     """
-    from .splits import trading_days
-    daily = df.where(F.col(value).isNotNull()).groupBy("instrument_id", "trade_date").agg(F.avg(value).alias("value"))
-    days = F.broadcast(trading_days(df).select("trade_date", "day"))  # one row per calendar day
-    history = daily.join(days, "trade_date").groupBy("instrument_id").agg(
-        F.collect_list(F.struct("day", "value")).alias("history"))  # one calendar long at most
+    history = _histories(df, value)
     found = similar_pairs(history, [], "instrument_id", _pairwise_correlation(min_periods), "history", k,
                           threshold if threshold > 0 else None, block_rows=block_rows)
     best = top_rows(found, ["src"], [F.desc("score"), F.asc("dst")], k, "_rn").select("src", "dst", "score") if k > 0 else None
@@ -103,9 +116,9 @@ def prior_graph_stats(dim: DataFrame, correlation: DataFrame) -> DataFrame:
                       (merged / (F.col("nodes") * F.col("nodes"))).alias("density"))
 
 
-def _cosine(a: list, b: list) -> np.ndarray:
+def _cosine(a: pa.ListArray, b: pa.ListArray) -> np.ndarray:
     def unit(vectors):
-        m = np.asarray([np.asarray(v, dtype="float64") for v in vectors])
+        m = vectors.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
         return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
     return unit(a) @ unit(b).T
 

@@ -11,7 +11,8 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,17 +51,27 @@ def rectangular_cells(left: DataFrame, right: DataFrame, keys: Sequence[str], ro
         right_rows.select(*left.columns, "_i", F.col("_b").alias("_j"), F.lit(False).alias("_left")))
 
 
-def _best(scores: np.ndarray, names: np.ndarray, others: np.ndarray, k: int) -> list[tuple]:
-    """Per row of ``scores`` the k largest by (score desc, name asc)."""
-    out = []
+def _best(scores: np.ndarray, others: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (row, column) of the ``k`` largest scores of each row, equal ones by the smaller id of the column; NaN never counts."""
     by_name = np.argsort(others, kind="stable")
-    ordered = scores[:, by_name]
-    for r in range(len(names)):
-        row = ordered[r]
-        usable = np.flatnonzero(~np.isnan(row))
-        top = usable[np.argsort(-row[usable], kind="stable")[:k]]
-        out.extend((names[r], others[by_name[t]], float(row[t])) for t in top)
-    return out
+    ordered = np.where(np.isnan(scores), -np.inf, scores)[:, by_name]
+    top = np.argsort(-ordered, axis=1, kind="stable")[:, :k]
+    row = np.repeat(np.arange(len(scores)), top.shape[1])
+    usable = ordered[row, top.ravel()] > -np.inf
+    return row[usable], by_name[top.ravel()[usable]]
+
+
+def _cell_scores(rows: pa.Table, score: Callable, vector: str, itself: bool, digits: int) -> tuple[pa.Table, pa.Table, np.ndarray, bool]:
+    """The two sides of a cell, their scores, and whether both are one block."""
+    same = rows.column("_i")[0] == rows.column("_j")[0]
+    left = rows.column("_left")
+    a, b = (rows, rows) if same else (rows.filter(left), rows.filter(pc.invert(left)))
+    if not len(a) or not len(b):
+        return a, b, np.zeros((len(a), len(b))), same
+    table = np.round(score(a.column(vector).combine_chunks(), b.column(vector).combine_chunks()), digits)
+    if same and not itself:
+        np.fill_diagonal(table, np.nan)
+    return a, b, table, same
 
 
 def similar_pairs(df: DataFrame, keys: Sequence[str], row_id: str, score: Callable, vector: str, k: int,
@@ -68,37 +79,53 @@ def similar_pairs(df: DataFrame, keys: Sequence[str], row_id: str, score: Callab
                   digits: int = 9) -> DataFrame:
     """(keys, src, dst, score): per source the ``k`` best partners, and every pair at or above ``threshold``.
 
-    ``score(A, B)`` gives the matrix of scores between two lists of vectors.  Scores are rounded to ``digits`` so
-    that ties are the same wherever they are computed; ties go to the smaller id.
+    ``score(A, B)`` gives the matrix of scores between two Arrow arrays of vectors.  Scores are rounded to ``digits``
+    so that ties are the same wherever they are computed; ties go to the smaller id.  Where the threshold admits most
+    pairs, :func:`pair_degrees` gives their number without listing them.
     """
     keys = list(keys)
     cells = symmetric_cells(df.select(*keys, row_id, vector), keys, row_id, block_rows)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
-    def one_cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = [pdf[c].iloc[0] for c in keys]
-        same = pdf["_i"].iloc[0] == pdf["_j"].iloc[0]
-        a = pdf if same else pdf[pdf["_left"]]
-        b = pdf if same else pdf[~pdf["_left"]]
-        if len(a) == 0 or len(b) == 0:
-            return pd.DataFrame(columns=[*keys, "src", "dst", "score", "qualified"])
-        ia, ib = a[row_id].to_numpy(), b[row_id].to_numpy()
-        table = np.round(score(list(a[vector]), list(b[vector])), digits)
-        if same and not itself:
-            np.fill_diagonal(table, np.nan)
-        found = {}
-        if k > 0:
-            for s, d, v in _best(table, ia, ib, k) + ([] if same else _best(table.T, ib, ia, k)):
-                found[(s, d)] = (v, False)
-        if threshold is not None:
-            hit_r, hit_c = np.nonzero(np.nan_to_num(table, nan=-np.inf) >= threshold)
-            for r, c in zip(hit_r, hit_c):
-                found[(ia[r], ib[c])] = (float(table[r, c]), True)
-                if not same:
-                    found[(ib[c], ia[r])] = (float(table[r, c]), True)
-        rows = [(*key, s, d, v, q) for (s, d), (v, q) in found.items()]
-        return pd.DataFrame(rows, columns=[*keys, "src", "dst", "score", "qualified"])
+    def one_cell(key: tuple, rows: pa.Table) -> pa.Table:
+        a, b, table, same = _cell_scores(rows, score, vector, itself, digits)
+        ia, ib = a.column(row_id).combine_chunks(), b.column(row_id).combine_chunks()
+        hits = np.flatnonzero(table >= threshold) if threshold is not None else np.zeros(0, np.int64)  # NaN is no hit
+        parts = []
+        for turned in (False,) if same else (False, True):
+            scores, others = (table.T, ia) if turned else (table, ib)
+            row, column = _best(scores, others.to_numpy(zero_copy_only=False), k) if k > 0 and table.size else (np.zeros(0, np.int64),) * 2
+            at = np.union1d(column * table.shape[1] + row if turned else row * table.shape[1] + column, hits).astype(np.int64)
+            r, c = at // max(1, table.shape[1]), at % max(1, table.shape[1])
+            src, dst = ia.take(pa.array(r)), ib.take(pa.array(c))
+            parts.append(pa.table([*[pa.repeat(x, len(at)) for x in key[:len(keys)]], *((dst, src) if turned else (src, dst)),
+                                   pa.array(table[r, c]), pa.array(table[r, c] >= (np.inf if threshold is None else threshold))],
+                                  names=[*keys, "src", "dst", "score", "qualified"]))
+        return pa.concat_tables(parts)
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), f"src {kinds[row_id]}", f"dst {kinds[row_id]}",
                         "score double", "qualified boolean"])
-    return cells.groupBy(*keys, "_i", "_j").applyInPandas(one_cell, schema)
+    return cells.groupBy(*keys, "_i", "_j").applyInArrow(one_cell, schema)
+
+
+def pair_degrees(df: DataFrame, keys: Sequence[str], row_id: str, score: Callable, vector: str, threshold: float,
+                 block_rows: int = BLOCK_ROWS, digits: int = 9) -> DataFrame:
+    """(keys, id, degree, total): how many others each row has a score of at least ``threshold`` with, and their sum.
+
+    A cell returns one row per row it holds, however many pairs qualify.
+    """
+    keys = list(keys)
+    cells = symmetric_cells(df.select(*keys, row_id, vector), keys, row_id, block_rows)
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+
+    def one_cell(key: tuple, rows: pa.Table) -> pa.Table:
+        a, b, table, same = _cell_scores(rows, score, vector, False, digits)
+        hit = table >= threshold
+        kept = np.where(hit, table, 0.0)
+        sides = [(a, hit.sum(axis=1), kept.sum(axis=1))] + ([] if same else [(b, hit.sum(axis=0), kept.sum(axis=0))])
+        return pa.concat_tables([pa.table([*[pa.repeat(x, len(rows)) for x in key[:len(keys)]], rows.column(row_id), pa.array(n, pa.int64()), pa.array(total)],
+                                          names=[*keys, "id", "degree", "total"]) for rows, n, total in sides])
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), f"id {kinds[row_id]}", "degree bigint", "total double"])
+    found = cells.groupBy(*keys, "_i", "_j").applyInArrow(one_cell, schema)
+    return found.groupBy(*keys, "id").agg(F.sum("degree").alias("degree"), F.sum("total").alias("total"))

@@ -55,6 +55,17 @@ def _small_correlation(spark, folder):
 
 
 QUERIES["correlation_edges_small_scale"] = query(_small_correlation, f"{CORR} => SELECT * FROM cedge", ("src", "dst"), ["weight"])
+
+
+def _degrees(spark, folder):
+    """A threshold that admits most pairs: numbers and sums, not edges."""
+    panel = with_factors(by_instrument(tables.bars(spark, folder)), {"x": r.diff(r.sma("turnover", 2))})
+    return eg.correlation_degrees(panel.select("instrument_id", "trade_date", "x"), "x", min_periods=40, threshold=0.05, block_rows=40)
+
+
+QUERIES["correlation_degrees"] = query(
+    _degrees, f"{CORR} => SELECT src AS instrument_id, count(CASE WHEN score >= 0.05 THEN 1 END) AS degree, sum(CASE WHEN score >= 0.05 THEN score ELSE 0 END) AS weight FROM al GROUP BY 1",
+    ("instrument_id",), ["degree", "weight"])
 QUERIES["edges_within_industry"] = query(
     lambda spark, folder: eg.within_industry(correlation(spark, folder), dim(spark, folder)),
     f"{CORR} => SELECT src, dst, weight, coalesce(a.industry = b.industry, FALSE) AS same_industry FROM cedge LEFT JOIN dim a ON src = a.instrument_id LEFT JOIN dim b ON dst = b.instrument_id",
