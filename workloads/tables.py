@@ -42,10 +42,10 @@ QUERIES["exchange_symbols"] = query(
         ELSE 'sz.' || id END AS symbol FROM ids""", ("t", "symbol"), ctes=())
 
 
-def _raw_daily(spark, folder):
-    """Trades as a provider would land them: foreign names, ids with a suffix, unpadded date text, text numbers."""
+def _raw_daily(spark, folder, ident=None):
+    """Trades as a provider would land them: foreign names, ids with a blank, unpadded date text, text numbers."""
     return tables.read(spark, folder, "lineitem").select(
-        F.concat(F.lit(" "), tables.padded_id("l_suppkey")).alias("股票代码"), F.date_format("l_shipdate", "y/M/d").alias("日期"),
+        (F.concat(F.lit(" "), tables.padded_id("l_suppkey")) if ident is None else ident).alias("股票代码"), F.date_format("l_shipdate", "y/M/d").alias("日期"),
         F.col("l_partkey").cast("string").alias("开盘"), (F.col("l_tax") * 100).alias("high"), F.col("l_linenumber").alias("最低"),
         F.col("l_discount").cast("string").alias("preclose"), F.col("l_tax").alias("涨跌幅"),
         F.when(F.col("l_quantity") < 49, (F.col("l_extendedprice") / F.col("l_quantity")).cast("string")).otherwise("n/a").alias("收盘"),
@@ -65,6 +65,21 @@ QUERIES["canonical_daily"] = query(
     ["open", "high", "low", "close", "preclose", "volume", "amount", "turnover", "pct_chg"], 2, ctes=())
 
 
+def foreign_id(number):
+    """A number below a million as providers spell it: with an exchange before or after it, padded or not."""
+    n = F.col(number).cast("string")
+    padded = F.lpad(n, 6, "0")
+    return F.element_at(F.array(F.concat(F.lit("SZ"), padded), F.concat(padded, F.lit(".SH")), F.concat(F.lit(" "), n), F.concat(F.lit("sh."), n)),
+                        (F.pmod(F.col(number) * 7 + 3, F.lit(4)) + 1).cast("int"))
+
+
+# Ids of six digits are all that the exchanges have, so suppliers have to be fewer than a million here.
+QUERIES["canonical_daily_foreign_ids"] = query(
+    lambda spark, folder: cn.canonical_daily(_raw_daily(spark, folder, foreign_id("l_suppkey")), _ORDER),
+    f"{_RAW} => SELECT *, CAST(NULL AS DOUBLE) AS turnover FROM daily", PK,
+    ["open", "high", "low", "close", "preclose", "volume", "amount", "turnover", "pct_chg"], 2, ctes=())
+
+
 def _hf(spark, folder):
     e = tables.read(spark, folder, "events")
     return e.select(tables.padded_id("user_id").alias("code"), F.date_format("ts", "yyyy-MM-dd").alias("date"), F.col("value").cast("string").alias("hf_realized_vol_m05"),
@@ -335,6 +350,21 @@ QUERIES["benchmark_lookup_with_fallback"] = query(
     SELECT instrument_id, trade_date, coalesce(b, avg(turnover) OVER (PARTITION BY trade_date)) AS benchmark FROM bars LEFT JOIN bm USING (trade_date)""", PK, ["benchmark"], 4)
 
 
+def _merge_foreign(spark, folder):
+    """Features whose ids are spelled another way than those of the bars, on both sides read by their six digits."""
+    b = tables.bars(spark, folder).withColumn("n", F.col("instrument_id").cast("long"))
+    left = b.withColumn("instrument_id", F.concat(F.lit("sz."), "instrument_id")).drop("n")
+    right = b.where("volume > 100").withColumn("_f", foreign_id("n")).select(F.col("_f").alias("instrument_id"), "trade_date", (F.col("close") * 2).alias("twice"), F.col("volume").alias("v"))
+    return joins.merge_features(left, right, ["v"])[0].withColumn("instrument_id", F.right("instrument_id", F.lit(6)))
+
+
+QUERIES["merge_hf_foreign_ids"] = query(
+    _merge_foreign, "SELECT instrument_id, trade_date, close, CASE WHEN volume > 100 THEN close * 2 END AS twice FROM bars", PK, {"close": 3, "twice": 3})
+QUERIES["universe_restriction_foreign_ids"] = query(
+    lambda spark, folder: joins.restrict_universe(tables.bars(spark, folder), tables.read(spark, folder, "supplier").where("s_nationkey < 9").select(foreign_id("s_suppkey").alias("instrument_id"))),
+    "SELECT * FROM bars WHERE CAST(instrument_id AS BIGINT) IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 9)", PK, ["close"], 3)
+
+
 def _universe(spark, folder):
     s = tables.read(spark, folder, "supplier")
     return joins.restrict_universe(tables.bars(spark, folder), s.where("s_acctbal > 5000").select(tables.padded_id("s_suppkey").alias("instrument_id")),
