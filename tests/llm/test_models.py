@@ -5,10 +5,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from test_rows import blank_words
-from tidepanel.llm import html_layout, pairwise_quality, token_counts, toxicity
+from tidepanel.llm import html_layout, labelled, pairwise_quality, token_counts, toxicity
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -51,11 +52,22 @@ def test_ngrams_by_brute_force():
     whole = {(i + first, b) for first, _, t, bs in toxicity.present(texts) for i, b in zip(t, bs)}
     alone = {(i, b) for i, text in enumerate(texts) for _, _, t, bs in toxicity.present([text]) for b in bs}
     assert whole == alone
-    raw = " abc dé fghi jklm ".encode()
+    raw = " abc dé fghi jklm "
     assert sum(1 for i, _ in whole if i == 0) == sum(len({raw[j:j + n] for j in range(len(raw) - n + 1)}) for n in toxicity.ORDERS)
     assert {b for i, b in whole if i == 0} <= {b for i, b in whole if i == 4}
 
 
+def test_training_rows_are_bounded(spark):
+    """One labelled id repeated many times is one row, the same one on every run."""
+    docs = spark.range(5000).select(F.lit(1).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text")).unionByName(
+        spark.createDataFrame([(2, "a"), (2, None), (6, None)], "doc_id int, text string"))
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (6, 1)], "doc_id int, toxic int")
+    runs = [sorted((r["doc"], r["text"] or "", r["label"]) for r in labelled.training_rows(d, labels, "toxic", 5, 9, 10).collect())
+            for d in (docs, docs.repartition(7))]
+    assert runs[0] == runs[1] and [r[0] for r in runs[0]] == [1, 2, 6] and runs[0][0][2] == 1
+    assert labelled.training_rows(docs, labels, "toxic", 5, 9, 2).count() <= 2
+
+
 def test_quality_held_out(spark):
     labels = {r["doc_id"]: r["quality"] for r in table(spark, "labels").collect()}
     rows = pairwise_quality.predict(table(spark, "documents"), table(spark, "labels")).collect()

@@ -9,24 +9,27 @@ import numpy as np
 BLOCK_BYTES = 1 << 19
 
 
-def blocks(texts: list, block_bytes: int = BLOCK_BYTES, before: bytes = b" ", after: bytes = b" "
+def blocks(texts: list, block_bytes: int = BLOCK_BYTES, before: bytes = b" ", after: bytes = b" ", points: bool = False
            ) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, stop, bytes, offsets): texts first..stop-1, one after the other; text i is bytes[offsets[i]:offsets[i + 1]].
 
     A text is never cut: a block has at least one, and more only as long as they stay below ``block_bytes``. Null counts as
-    empty. Each text stands between ``before`` and ``after``.
+    empty. Each text stands between ``before`` and ``after``. With ``points`` there are code points in place of bytes.
     """
+    encoding, unit = ("utf-32-le", np.uint32) if points else ("utf-8", np.uint8)
+    before, after = (x.decode().encode(encoding) for x in (before, after))
+    block_bytes *= np.dtype(unit).itemsize
     parts, offsets, first, total = [], [0], 0, 0
     for n, text in enumerate(texts):
-        raw = before + (text or "").encode("utf-8", "surrogatepass") + after
+        raw = before + (text or "").encode(encoding, "surrogatepass") + after
         if parts and total + len(raw) > block_bytes:
-            yield first, n, np.frombuffer(b"".join(parts), np.uint8), np.array(offsets)
+            yield first, n, np.frombuffer(b"".join(parts), unit), np.array(offsets) // np.dtype(unit).itemsize
             parts, offsets, first, total = [], [0], n, 0
         parts.append(raw)
         total += len(raw)
         offsets.append(total)
     if parts:
-        yield first, len(texts), np.frombuffer(b"".join(parts), np.uint8), np.array(offsets)
+        yield first, len(texts), np.frombuffer(b"".join(parts), unit), np.array(offsets) // np.dtype(unit).itemsize
 
 
 def distinct(values: np.ndarray) -> np.ndarray:

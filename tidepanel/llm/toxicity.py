@@ -1,6 +1,6 @@
 """Toxicity by a linear classifier over character n-grams, scaled by naive Bayes log-count ratios.
 
-Features are the distinct 4-, 6- and 8-grams of a text's bytes (in lower case, a blank on each side), hashed to ``1 << BITS``
+Features are the distinct 4-, 6- and 8-grams of a text's code points (in lower case, a blank on each side), hashed to ``1 << BITS``
 buckets. On the labelled sample each bucket's number of toxic and of clean documents gives its log-count ratio r = log((p + 1) / |p|)
 - log((q + 1) / |q|). The buckets whose counts differ most by their share of the classes (chi-squared) become features with value r
 where present; logistic regression with an L2 penalty weighs them. A score is the logistic function of the weighted sum.
@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +37,9 @@ class Model:
 
 
 def grams(raw: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For each order n, the bucket of the n-gram that starts at each byte; the last n - 1 have none.
+    """For each order n, the bucket of the n-gram that starts at each code point; the last n - 1 have none.
 
-    The difference of two sums of byte * base ** -place, moved back to the n-gram's place, is its polynomial hash.
+    The difference of two sums of code point * base ** -place, moved back to the n-gram's place, is its polynomial hash.
     """
     size = len(raw)
     up = np.cumprod(np.append(np.uint64(1), np.full(size, _BASE)))
@@ -56,7 +57,7 @@ def present(texts: list, chosen: np.ndarray | None = None) -> Iterator[tuple[int
 
     ``chosen`` marks the buckets that count; without it all do.
     """
-    for first, stop, raw, offsets in blocks([t and t.lower() for t in texts]):
+    for first, stop, raw, offsets in blocks([t and t.lower() for t in texts], points=True):
         keys, owner = [], np.repeat(np.arange(stop - first), np.diff(offsets))
         for n, h in grams(raw):
             at = np.arange(len(h)) if chosen is None else np.flatnonzero(chosen[h])
@@ -144,7 +145,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
         return features
 
-    matrix = per_text(sample, "text", ["label"], {"features": "ints"}, start).toArrow()
+    matrix = per_text(sample, "text", ["doc", "label"], {"features": "ints"}, start).toArrow().combine_chunks()
+    matrix = matrix.take(pc.sort_indices(matrix.column("doc")))  # the same sums on every run
     rows = [np.asarray(x.values, np.int64) for x in matrix.column("features")]
     w, b = logistic(rows, ratio, (np.array(matrix.column("label").to_pylist()) == 1).astype(float))
     return Model(buckets, ratio * w, b)
