@@ -230,16 +230,27 @@ def test_unique_key_is_enforced_at_run_time(spark):
 
 
 def test_merge_features_values_coverage_and_names(spark):
-    base = days(spark.createDataFrame([("000001.SZ", "2024-01-02", 1.0), ("SZ000002", "2024-01-02", 2.0)], "instrument_id string, trade_date string, label double"))
-    hf = days(spark.createDataFrame([("000001", "2024-01-02", 9.9, 5.0, 0), ("000001", "2024-01-02", 1.1, 6.0, 1), ("sz000002", "2024-01-02", 2.2, 7.0, 0)],
-                                    "instrument_id string, trade_date string, hf_alpha double, label double, n int"))
-    merged, cover = joins.merge_features(base, hf, ["n"])
-    assert [(r["hf_alpha"], r["label"], r["hf_label"]) for r in merged.orderBy("hf_alpha").collect()] == [(1.1, 1.0, 6.0), (2.2, 2.0, 7.0)]
-    assert cover.first()["coverage"] == 1.0
-    over, _ = joins.merge_features(base, hf, ["n"], overwrite=True, keep="first")
-    assert sorted(r["label"] for r in over.collect()) == [5.0, 7.0]
-    pre, _ = joins.merge_features(base, hf, ["n"], columns=["hf_alpha"], prefix="p_", how="inner")
-    assert "p_hf_alpha" in pre.columns and "hf_label" not in pre.columns
+    """Three names over four days, each table spelling them its own way; every third feature row is missing, some come up to three times."""
+    codes, dates = (7, 430017, 688981), [f"2025-05-{d:02d}" for d in (6, 7, 8, 9)]
+    base_rows = [(f"bj{c:06d}" if c > 400000 else f"{c}.SZ", d, float(c % 11)) for c in codes for d in dates]
+    base = days(spark.createDataFrame(base_rows, "instrument_id string, trade_date string, weight double"))
+    feature_rows, last, first = [], {}, {}
+    for i, (c, d) in enumerate((c, d) for c in codes for d in dates):
+        for version in range(i % 3 + (i % 3 == 2)):
+            row = (f"x.{c:06d}", d, 100.0 * i + version, -float(version) - i, version)
+            feature_rows.append(row)
+            first.setdefault((c, d), row)
+            last[c, d] = row
+    features = days(spark.createDataFrame(feature_rows[::-1], "instrument_id string, trade_date string, spread double, weight double, version int"))
+    merged, cover = joins.merge_features(base, features, ["version"])
+    digits = lambda text: int("".join(x for x in text if x.isdigit()))
+    got = {(digits(r["instrument_id"]), str(r["trade_date"])): (r["weight"], r["spread"], r["hf_weight"]) for r in merged.collect()}
+    assert got == {(c, d): (float(c % 11), *(last[c, d][2:4] if (c, d) in last else (None, None))) for c in codes for d in dates}
+    assert cover.first()["coverage"] == pytest.approx(len(last) / len(base_rows))
+    over, _ = joins.merge_features(base, features, ["version"], overwrite=True, keep="first")
+    assert sorted(r["weight"] for r in over.where("weight IS NOT NULL").collect()) == sorted(r[3] for r in first.values())
+    pre, _ = joins.merge_features(base, features, ["version"], columns=["spread"], prefix="p_", how="inner")
+    assert pre.count() == len(last) and "p_spread" in pre.columns and "hf_weight" not in pre.columns
 
 
 def test_asof_published_null_staleness_and_fill(spark):
