@@ -75,3 +75,41 @@ def test_prior_graph_counts_without_clique_rows(spark):
     assert degree == {"a": 2, "b": 2, "c": 2, "d": 0, "e": 0}
     with pytest.raises(ValueError):
         eg.combine_edges(corr, corr, "xor")
+
+
+def test_rows_are_sent_to_few_cells(spark):
+    from pyspark.sql import functions as F
+
+    from tidepanel.operators import pairs
+    df = spark.range(400).select("id", F.array(F.rand(1)).alias("v"))
+    sent = pairs._cells(df, [], "id", F.size("v"), 2).count().agg(F.sum("count"), F.count(F.lit(1))).first()
+    assert tuple(sent) == (400 * pairs.GRID, pairs.GRID * (pairs.GRID + 1) // 2)  # not 400 rows in 200 blocks
+
+
+@pytest.mark.parametrize("block", [2, 16, 1000])
+def test_correlations_over_gaps(spark, block):
+    """Whole histories, few kinds of gaps, many, copies, constants and infinities, whatever lies in one piece."""
+    rng = np.random.default_rng(6)
+    days = pd.date_range("2024-01-01", periods=24)
+    table = pd.DataFrame(rng.normal(size=(24, 90)), index=days, columns=[f"{i:06d}" for i in range(90)])
+    table.iloc[-1, 30:60] = np.nan
+    table.iloc[:, 60:75] = table.iloc[:, 60:75].mask(rng.random((24, 15)) < 0.3)
+    table.iloc[:, 80], table.iloc[:, 81], table.iloc[:, 82] = table.iloc[:, 3], table.iloc[:, 40], 2.0
+    table.iloc[:20, 83] = np.nan
+    size = table.corr(min_periods=12).abs().fillna(0.0).round(9)
+    table.iloc[4, 84] = np.inf
+    size.loc["000084"] = size["000084"] = 0.0
+    long = table.rename_axis("trade_date").reset_index().melt("trade_date", var_name="instrument_id", value_name="x").dropna()
+    df = spark.createDataFrame([(a, b.date(), float(c)) for b, a, c in long.itertuples(index=False)], "instrument_id string, trade_date date, x double")
+    off = size.where(~np.eye(len(size), dtype=bool), 0.0)
+    got = {r["instrument_id"]: (r["degree"], r["weight"]) for r in eg.correlation_degrees(df, "x", 12, 0.2, block).collect()}
+    assert {a: n for a, (n, _) in got.items()} == (off >= 0.2).sum(axis=1).to_dict()
+    assert {a: w for a, (_, w) in got.items()} == pytest.approx(off.where(off >= 0.2, 0.0).sum(axis=1).to_dict(), abs=1e-6)
+    edges = [(r["src"], r["dst"], r["weight"]) for r in eg.correlation_edges(df, "x", 12, 0.5, 3, block).collect()]
+    want = set()
+    for a in size.index:
+        others = sorted((-size.loc[a, b], b) for b in size.columns if b != a)
+        want |= {(a, b) for _, b in others[:3]} | {(a, b) for v, b in others if -v >= 0.5}
+    want |= {(b, a) for a, b in want}
+    assert len(edges) == len(want) and {(a, b) for a, b, _ in edges} == want
+    assert all(w == pytest.approx(size.loc[a, b], abs=1e-8) for a, b, w in edges)
