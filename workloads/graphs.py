@@ -30,7 +30,7 @@ QUERIES["industry_degree"] = query(
 
 def correlation(spark, folder):
     panel = with_factors(by_instrument(tables.bars(spark, folder)), {"x": r.diff(r.sma("turnover", 2))})
-    return kept(eg.correlation_edges(panel.select("instrument_id", "trade_date", "x"), "x", **ARGS))
+    return eg.correlation_edges(panel.select("instrument_id", "trade_date", "x"), "x", **ARGS)
 
 
 CORR = f"""
