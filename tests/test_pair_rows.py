@@ -17,3 +17,9 @@ def test_qualified_pairs_come_once_and_are_not_compared_again(spark):
     assert found.where("not candidate").count() == 12 * 11 // 2  # each way of each pair before
     edges = eg.correlation_edges(df, "x", 10, 0.9, 0)
     assert edges.count() == 12 * 11 and "Exchange" not in plan(edges)
+
+
+def test_industries_of_edges_are_looked_up_where_the_edges_are(spark):
+    from workloads import registered
+    text = plan(registered()["edges_within_industry"].run(spark, "/root/testdata/sf0.001"))
+    assert text.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in text

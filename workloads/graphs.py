@@ -67,7 +67,7 @@ QUERIES["correlation_degrees"] = query(
     _degrees, f"{CORR} => SELECT src AS instrument_id, count(CASE WHEN score >= 0.05 THEN 1 END) AS degree, sum(CASE WHEN score >= 0.05 THEN score ELSE 0 END) AS weight FROM al GROUP BY 1",
     ("instrument_id",), ["degree", "weight"])
 QUERIES["edges_within_industry"] = query(
-    lambda spark, folder: eg.within_industry(correlation(spark, folder), dim(spark, folder)),
+    lambda spark, folder: eg.within_industry(correlation(spark, folder), kept(dim(spark, folder))),
     f"{CORR} => SELECT src, dst, weight, coalesce(a.industry = b.industry, FALSE) AS same_industry FROM cedge LEFT JOIN dim a ON src = a.instrument_id LEFT JOIN dim b ON dst = b.instrument_id",
     ("src", "dst", "same_industry"), ["weight"], ctes=(BARS, DIM))
 QUERIES["prior_graph_stats"] = query(
