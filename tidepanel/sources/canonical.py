@@ -93,8 +93,11 @@ def instrument_id(c: Column) -> Column:
     """The first run of six digits, else the last six of all digits zero-filled; without digits an empty text."""
     text = c.cast("string")
     digits = F.regexp_replace(text, r"\D", "")
-    return (F.when(text.rlike(r"\d{6}"), F.regexp_extract(text, r"\d{6}", 0))
-            .when(text.rlike(r"\d"), F.lpad(F.right(digits, F.lit(6)), 6, "0")).otherwise(F.lit("")))
+    code = (F.when(text.rlike(r"\d{6}"), F.regexp_extract(text, r"\d{6}", 0))
+            .when(text.rlike(r"\d"), F.lpad(F.right(digits, F.lit(6)), 6, "0")))
+    # as the last resort of a coalesce it is seen to be never NULL: no test for that, patterns and all, is moved to the rows
+    # from which ids were grouped
+    return F.coalesce(code, F.lit(""))
 
 
 def key_id(c: Column, normalize: bool = True) -> Column:
