@@ -23,3 +23,21 @@ def test_industries_of_edges_are_looked_up_where_the_edges_are(spark):
     from workloads import registered
     text = plan(registered()["edges_within_industry"].run(spark, "/root/testdata/sf0.001"))
     assert text.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in text
+
+
+def test_few_copies_of_the_best_names(spark):
+    rows = spark.range(2000).select(F.lit("d").alias("trade_date"), F.col("id"), F.rand(1).alias("x"))
+    cells = pairs.rectangular_cells(rows.where("id < 200"), rows, ["trade_date"], "id", F.lit(1), 4)
+    assert cells.count() == 200 * pairs.GRID + 2000  # 200 * 500 + 2000 * 50 before
+
+
+def test_pairwise_loss_of_any_scale(spark):
+    from tidepanel.operators import evaluation as ev
+    rng = np.random.default_rng(5)
+    for scale in (1e-3, 1.0, 50.0, 1e4):
+        p, q = rng.normal(size=300) * scale, rng.normal(size=700) * scale
+        y, z = rng.integers(0, 9, 300).astype(float), rng.integers(-3, 9, 700).astype(float)
+        gap = y[:, None] - z[None, :]
+        want = (np.logaddexp(0.0, q[None, :] - p[:, None]) * gap)[gap > 0].sum()
+        total, n = ev.pairwise_loss_sum((p, y), (q, z), 64)
+        assert n == (gap > 0).sum() and abs(total - want) <= 1e-10 * abs(want)

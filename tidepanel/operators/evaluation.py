@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rolling import safe_corr
+from ..session import durable
 from .cross_section import one_per_day, DATE, attach
 from .ordering import ordinal_positions, top_rows
-from .pairs import BLOCK_ROWS, rectangular_cells
+from .pairs import BLOCK_ROWS, GRID, rectangular_cells
 
 RISK_LAMBDA = 0.2
 
@@ -278,34 +279,55 @@ def lambda_ndcg(df: DataFrame, score: str = "score", target: str = "target", k:
     return sums.select(*by, F.coalesce(F.try_divide("s", "n"), F.lit(0.0)).alias("lambda_ndcg"))
 
 
+def pairwise_loss_sum(better: tuple, worse: tuple, most: int) -> tuple[float, int]:
+    """Sum of softplus(worse score - better score) * (better target - worse target) over pairs of a larger and a smaller
+    target, and their number. Both sides are (scores, targets); ``most`` of each are looked at together."""
+    (pa_, ya), (pb, yb) = ((p[o], y[o]) for p, y in (better, worse) for o in (np.argsort(y, kind="stable"),))
+    ends = np.searchsorted(yb, ya)  # those before have a smaller target
+    total = 0.0
+    for s in range(0, len(ya), most):
+        p, y, end = pa_[s:s + most], ya[s:s + most], ends[s:s + most]
+        for t in range(0, int(end[-1]) if len(end) else 0, most):
+            q, z = pb[t:t + most], yb[t:t + most]
+            middle = (p.min() + p.max()) / 2
+            with np.errstate(all="ignore"):
+                loss = np.multiply.outer(np.exp(middle - p), np.exp(q - middle))
+                if max(np.abs(p - middle).max(), np.abs(q - middle).max()) < 300:  # no product leaves the doubles
+                    loss = np.log1p(loss, out=loss)
+                else:
+                    loss = np.logaddexp(0.0, q[None, :] - p[:, None])
+            if end[0] < t + len(q):  # some of these are not worse than all of the others
+                loss[np.arange(t, t + len(q))[None, :] >= end[:, None]] = 0.0
+            total += float(y @ loss.sum(axis=1) - loss.sum(axis=0) @ z)
+    return total, int(ends.sum())
+
+
 def pairwise_logistic(df: DataFrame, score: str = "score", target: str = "target", fraction: float = 0.1,
                       by: Sequence[str] = DATE, tie: str = "instrument_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Logistic loss over pairs (one of the day's best fraction, a worse name), weighted by the target difference.
 
-    Pairs are summed inside cells of two blocks of names; a cell emits one row.
+    Pairs are summed inside cells of two blocks of names, a few hundred of each at a time; a cell emits one row.
     """
     by = list(by)
     valid = df.where(F.col(score).isNotNull() & F.col(target).isNotNull()).select(
         *by, tie, F.col(score).cast("double").alias("_p"), F.col(target).cast("double").alias("_y"))
     sizes = valid.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    placed = attach(ordinal_positions(valid, by, "_y", tie, "_pos", descending=True), sizes, by)
+    placed = durable(attach(ordinal_positions(valid, by, "_y", tie, "_pos", descending=True), sizes, by))
     top = placed.where(F.col("_pos") < F.greatest(F.floor(F.col("_n") * fraction), F.lit(1))).select(*by, tie, "_p", "_y")
-    cells = rectangular_cells(top, valid, by, tie, block_rows)
+    cells = rectangular_cells(top, placed.select(*by, tie, "_p", "_y"), by, tie, F.lit(2), block_rows).drop(tie)
     kinds = {f.name: f.dataType.simpleString() for f in valid.schema.fields}
 
-    def one_cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["_left"]], pdf[~pdf["_left"]]
-        gap = a["_y"].to_numpy()[:, None] - b["_y"].to_numpy()[None, :]
-        lead = a["_p"].to_numpy()[:, None] - b["_p"].to_numpy()[None, :]
-        worse = gap > 0
-        loss = np.logaddexp(0.0, -lead) * gap
-        return pd.DataFrame([[*(pdf[c].iloc[0] for c in by), float(loss[worse].sum()), int(worse.sum())]],
-                            columns=[*by, "s", "n"])
+    def one_cell(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [b.select(["_left", "_p", "_y"]) for b in batches]
+        left, p, y = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in rows]) for c in ("_left", "_p", "_y"))
+        total, pairs = pairwise_loss_sum((p[left], y[left]), (p[~left], y[~left]), min(block_rows, 512))
+        yield pa.record_batch([*[pa.array([k.as_py()], k.type) for k in key[:len(by)]], pa.array([total]), pa.array([pairs])], names=[*by, "s", "n"])
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "s double", "n bigint"])
-    summed = cells.groupBy(*by, "_i", "_j").applyInPandas(one_cell, schema).groupBy(*by).agg(
+    # cells cost far more than their rows weigh, so they aren't left to be merged into few tasks
+    summed = cells.repartition(GRID * (GRID + 1) // 2, *by, "_i", "_j").groupBy(*by, "_i", "_j").applyInArrow(one_cell, schema).groupBy(*by).agg(
         F.sum("s").alias("s"), F.sum("n").alias("n"))
-    out = attach(sizes, summed, by)
+    out = attach(placed.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), summed, by)
     value = F.when(F.col("_n") > 1, F.col("s") / (F.col("n") + 1e-8)).otherwise(0.0)
     return out.select(*by, value.alias("pairwise_logistic"))
 

@@ -51,23 +51,26 @@ def _cells(df: DataFrame, keys: Sequence[str], row_id: str, size: Column, block_
     return cells.repartitionById(blocks * (blocks + 1) // 2, "_cell").groupBy("_cell", "_i", "_j")
 
 
-def _blocked(df: DataFrame, keys: Sequence[str], row_id: str, block_rows: int) -> DataFrame:
-    """Adds ``_nb`` (blocks of the group) and ``_b`` (this row's block)."""
-    sizes = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_nb"))
-    return df.join(sizes, list(keys)).withColumn("_b", F.pmod(F.xxhash64(row_id), F.col("_nb")).cast("int"))
-
-
-def rectangular_cells(left: DataFrame, right: DataFrame, keys: Sequence[str], row_id: str,
+def rectangular_cells(left: DataFrame, right: DataFrame, keys: Sequence[str], row_id: str, size: Column,
                       block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Rows of both sides (same columns) once per cell (_i, _j)."""
-    a, b = _blocked(left, keys, row_id, block_rows), _blocked(right, keys, row_id, block_rows)
+    """Rows of both sides (same columns) once per cell (_i, _j); ``size`` is how many numbers a row has.
+
+    Each side has as few blocks as its rows need, and the larger one is cut further until there are ``GRID`` cells.
+    """
     on = list(keys)
-    na = a.groupBy(*on).agg(F.max("_nb").alias("_na"))
-    nb = b.groupBy(*on).agg(F.max("_nb").alias("_nbr"))
-    left_rows = a.join(nb, on).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_nbr") - 1)))
-    right_rows = b.join(na, on).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_na") - 1)))
-    return left_rows.select(*left.columns, F.col("_b").alias("_i"), "_j", F.lit(True).alias("_left")).unionByName(
-        right_rows.select(*left.columns, "_i", F.col("_b").alias("_j"), F.lit(False).alias("_left")))
+    least = F.ceil(F.sum(size) / CELL_VALUES)
+    na = left.groupBy(*on).agg(least.alias("_na"))
+    nb = right.groupBy(*on).agg(least.alias("_nb"), F.ceil(F.count(F.lit(1)) / block_rows).alias("_fine"))
+    # one row per group, so it is sent to the rows
+    blocks = na.join(nb, on).select(*on, F.col("_na").cast("int").alias("_na"), F.greatest(
+        "_nb", F.least("_fine", F.ceil(F.lit(GRID) / F.col("_na")))).cast("int").alias("_nb"))
+    blocks = F.broadcast(blocks)
+    own = F.xxhash64(row_id)
+    a = left.join(blocks, on).select(*left.columns, F.pmod(own, F.col("_na")).cast("int").alias("_i"),
+                                     F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_j"), F.lit(True).alias("_left"))
+    b = right.join(blocks, on).select(*right.columns, F.explode(F.sequence(F.lit(0), F.col("_na") - 1)).alias("_i"),
+                                      F.pmod(own, F.col("_nb")).cast("int").alias("_j"), F.lit(False).alias("_left"))
+    return a.unionByName(b)
 
 
 class Scores:
