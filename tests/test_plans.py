@@ -63,3 +63,15 @@ def test_factor_layers_share_one_shuffle(spark):
     text = plan(registered()["alpha158"].run(spark, FOLDER))
     # the bars' own aggregation, then one exchange by instrument for every window layer
     assert text.count("Exchange hashpartitioning(instrument_id") == 2
+
+
+def test_long_frames_hold_values_only(spark):
+    """A frame is aggregated anew for every row, so sums and moments of long windows are joined from shorter ones."""
+    spark.conf.set("spark.sql.debug.maxToStringFields", 100000)
+    try:
+        text = plan(registered()["alpha158"].run(spark, FOLDER))
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    frames = re.findall(r"(\w+)\([^()]*(?:\([^()]*\)[^()]*)*\) windowspecdefinition\([^()]*specifiedwindowframe\(RowFrame, -(\d+), currentrow", text)
+    assert {name for name, before in frames if int(before) >= 9} == {"collect_list", "count"}
+    assert "InArrow" not in text and "InPandas" not in text

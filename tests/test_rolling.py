@@ -3,6 +3,8 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from tidepanel.functions import rolling as r
 from tidepanel.functions import scalar as s
@@ -97,3 +99,32 @@ def test_clip_and_minmax_keep_missing_values(spark):
     assert [x["m"] for x in got] == [3.0, None, None]
     assert [x["rm"] for x in got] == [3.0, 3.0, 9.0]
     assert got[0]["l"] is None and got[0]["q"] is None and got[2]["l"] is None
+
+
+@pytest.mark.parametrize("w", [9, 10, 13, 14, 15, 26, 30])
+def test_windows_joined_from_shorter_ones(spark, w):
+    rng = np.random.default_rng(w)
+    rows = []
+    for name, n in (("a", 90), ("b", 90), ("flat", 60), ("short", w - 1), ("steps", 90)):
+        x = np.full(n, 0.1) if name == "flat" else np.repeat(rng.lognormal(0, 3, n // 30 + 1), 30)[:n] if name == "steps" else rng.integers(1, 9, n) / 10
+        rows += [(name, i, None if name == "b" and i == 40 else float(x[i]), float(rng.lognormal(0, 1))) for i in range(n)]
+    df = spark.createDataFrame(rows, "instrument_id string, trade_date int, x double, y double")
+    made = {"sum": (r.rolling_sum("x", w), F.sum("x")), "avg": (r.sma("x", w), F.avg("x")), "low": (r.rolling_min("x", w), F.min("x")),
+            "high": (r.rolling_max("x", w), F.max("x")), "std": (r.rolling_std("x", w), F.stddev_samp("x")),
+            "pstd": (r.population_std("x", w), F.stddev_pop("x")), "slope": (r.linearreg_slope("x", w), F.regr_slope("x", F.col("trade_date").cast("double")))}
+    last = Window.partitionBy("instrument_id").orderBy("trade_date").rowsBetween(1 - w, 0)
+    full = F.count("x").over(last) == w
+    plain = {f"{n}_": F.when(full, agg.over(last)) for n, (_, agg) in made.items()}
+    covar, both = F.covar_samp("x", "y").over(last), F.stddev_samp("x").over(last) * F.stddev_samp("y").over(last)
+    plain["corr_"] = F.when(full, F.try_divide(covar, both))
+    values = F.collect_list("x").over(last)
+    plain["top_"] = F.when(full, (F.array_position(values, F.array_max(values)) - 1) / w)
+    plain["bottom_"] = F.when(full, (F.array_position(values, F.array_min(values)) - 1) / w)
+    factors = {n: f for n, (f, _) in made.items()} | {"corr": r.rolling_corr("x", "y", w), "top": r.argmax_ratio("x", w), "bottom": r.argmin_ratio("x", w)}
+    got = with_factors(df.withColumns(plain), factors).orderBy("instrument_id", "trade_date").toPandas()
+    for n in factors:
+        mine, want = got[n].to_numpy(dtype=float), got[f"{n}_"].to_numpy(dtype=float)
+        assert (np.isnan(mine) == np.isnan(want)).all(), n
+        np.testing.assert_allclose(mine, want, rtol=1e-9, atol=1e-12, err_msg=n)
+    still = got[got["pstd_"] == 0.0]
+    assert len(still) and (still["pstd"] == 0.0).all() and still["corr"].isna().all()

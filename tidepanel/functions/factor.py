@@ -155,6 +155,13 @@ def windowed(name: str, fn, *args, axis: Axis | None = None) -> Factor:
     return Factor(helper, lambda: F.col(helper), steps, axis)
 
 
+def staged(name: str, fn, *args) -> Factor:
+    """A row-wise function of several values, as a helper column of its own: for what several factors or windows read."""
+    made = combine(name, fn, *args)
+    helper = "_" + hashlib.md5(made.label.encode()).hexdigest()[:16]
+    return Factor(helper, lambda: F.col(helper), _merge(made.steps, ({},) * len(made.steps) + ({helper: made.make},)), made.axis)
+
+
 def by_instrument(df: DataFrame, axis: Axis = PANEL) -> DataFrame:
     """Rows of one instrument in one partition, in as many partitions as the session shuffles into.
 

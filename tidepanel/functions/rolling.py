@@ -2,6 +2,10 @@
 
 Every argument is a column name, a number or a :class:`Factor`.  A window of ``w`` rows yields NULL until ``w``
 non-NULL values are in it.
+
+Spark aggregates every row's frame anew, so a long frame costs its length for every row.  Sums, extremes, variances and
+covariances of a long window are therefore joined from two shorter ones, the newer ending at the row itself and the older
+being that of an earlier row; what isn't in the window never takes part, so nothing cancels.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .factor import EPS, Axis, Factor, combine, factor, windowed
+from .factor import EPS, Axis, Factor, combine, factor, staged, windowed
 from .scalar import absolute, clip, row_max
 
 
@@ -54,12 +58,83 @@ def pct_change(x, n: int = 1) -> Factor:
     return x / shift(x, n) - 1.0
 
 
-def sma(x, w: int) -> Factor: return _rolling("avg", F.avg, x, w)
-def rolling_std(x, w: int) -> Factor: return _rolling("std", F.stddev_samp, x, w)
-def population_std(x, w: int) -> Factor: return _rolling("pstd", F.stddev_pop, x, w)
-def rolling_min(x, w: int) -> Factor: return _rolling("min", F.min, x, w)
-def rolling_max(x, w: int) -> Factor: return _rolling("max", F.max, x, w)
-def rolling_sum(x, w: int) -> Factor: return _rolling("sum", F.sum, x, w)
+def _parts(w: int) -> tuple[int, int] | None:
+    """How many newer and older rows a long window is joined from; None where its frame is aggregated.
+
+    The parts are alike or one is two of the other, so equal values have the very same mean in both.
+    """
+    if w < 10 or w % 2 and w % 3:
+        return None
+    return (w // 2, w // 2) if w % 2 == 0 else (w // 3 * 2, w // 3)
+
+
+def _both(make, w: int) -> tuple[Factor, Factor]:
+    """``make`` of the newer and of the older part of a long window."""
+    new, old = _parts(w)
+    newer = make(new)
+    return newer, shift(newer if new == old else make(old), new)
+
+
+def _joined(name: str, agg, join, x, w: int) -> Factor:
+    """An aggregate over the last ``w`` rows where ``join`` makes one of two of them."""
+    if _parts(w) is None:
+        return _rolling(name, agg, x, w)
+    return staged(f"{name}{w}", join, *_both(lambda n: _joined(name, agg, join, x, n), w))
+
+
+def _total(x, w: int) -> Factor:
+    return _joined("total", lambda c: F.sum(c.cast("double")), lambda a, b: a + b, x, w)
+
+
+def _centred(name: str, agg, w: int, apart, *args) -> Factor:
+    """A second moment, divided by ``w``; ``apart`` are the factors by which the means of the parts differ."""
+    if _parts(w) is None:
+        out = over_last(name, agg, w, *args)
+        for x in args:
+            out = full(x, w, out)
+        return out
+    new, old = _parts(w)
+
+    def join(a, b, *gaps):
+        between = gaps[0] * gaps[-1] * (new * old / (w * w))
+        return a * (new / w) + b * (old / w) + between
+    return staged(f"{name}{w}", join, *_both(lambda n: _centred(name, agg, n, apart, *args), w), *apart(w))
+
+
+def _gap(x, w: int) -> Factor:
+    """By how much the mean of a long window's newer part exceeds that of the older part."""
+    new, old = _parts(w)
+    return combine(f"gap{w}", lambda a, b: a / float(new) - b / float(old), *_both(lambda n: _total(x, n), w))
+
+
+def _variance(x, w: int) -> Factor:
+    """Population variance; exactly 0 on a constant window."""
+    return _centred("var", F.var_pop, w, lambda n: (_gap(x, n),), x)
+
+
+def _covariance(x, y, w: int) -> Factor:
+    return _centred("covar", F.covar_pop, w, lambda n: (_gap(x, n), _gap(y, n)), x, y)
+
+
+def _root(name: str, scale: float, x, w: int) -> Factor:
+    return combine(name, lambda v: F.sqrt(v * scale), _variance(x, w))
+
+
+def sma(x, w: int) -> Factor: return _total(x, w) / float(w)
+
+
+def rolling_std(x, w: int) -> Factor:
+    return _root("std", w / (w - 1), x, w) if w > 1 else _rolling("std", F.stddev_samp, x, w)
+
+
+def population_std(x, w: int) -> Factor: return _root("pstd", 1.0, x, w)
+def rolling_min(x, w: int) -> Factor: return _joined("min", F.min, _and_null(F.least), x, w)
+def rolling_max(x, w: int) -> Factor: return _joined("max", F.max, _and_null(F.greatest), x, w)
+def rolling_sum(x, w: int) -> Factor: return _joined("sum", F.sum, lambda a, b: a + b, x, w)
+
+
+def _and_null(pick):
+    return lambda a, b: F.when(a.isNotNull() & b.isNotNull(), pick(a, b))
 
 
 rolling_mean = sma
@@ -72,26 +147,29 @@ def rolling_skew(x, w: int) -> Factor:
     return full(x, w, combine("skew", lambda c: F.coalesce(F.nanvl(c, F.lit(None)) * scale, F.lit(0.0)), raw))
 
 
+def _sorted(x, w: int) -> Factor:
+    return staged(f"sorted{w}", F.sort_array, _values(x, w))
+
+
 def rolling_quantile(x, w: int, q: float) -> Factor:
     """Linear between neighbours."""
     at = q * (w - 1)
     low, high = math.floor(at), math.ceil(at)
 
-    def pick(values):
-        ordered = F.array_sort(values)
+    def pick(ordered):
         a, b = F.element_at(ordered, low + 1), F.element_at(ordered, high + 1)
         return a + (b - a) * (at - low)
-    return combine(f"quantile{q}", pick, _values(x, w))
+    return staged(f"quantile{q}", pick, _sorted(x, w))
 
 
 def rank_pct(x, w: int) -> Factor:
     """Rank of the newest value within its window, ties averaged, divided by ``w``."""
-    def rank(values):
-        newest = F.element_at(values, -1)
+    def rank(ordered, newest):
         # two points for a smaller value, one for an equal one (the newest itself included)
-        points = F.aggregate(values, F.lit(0), lambda acc, v: acc + F.when(v < newest, 2).when(v == newest, 1).otherwise(0))
-        return (points + 1) / (2.0 * w)
-    return combine("rank_pct", rank, _values(x, w))
+        smaller = F.array_position(ordered, newest) - 1
+        greater = F.array_position(F.reverse(ordered), newest) - 1
+        return (smaller + w - greater + 1) / (2.0 * w)
+    return staged(f"rank_pct{w}", rank, _sorted(x, w), x)
 
 
 rolling_rank = rank_pct
@@ -102,13 +180,28 @@ def zscore(x, w: int) -> Factor:
     return (x - sma(x, w)) / (rolling_std(x, w) + EPS)
 
 
+def _place(x, w: int, extreme, pick, before) -> Factor:
+    """Position of the row with the first of the window's extremes; ``before`` tells whether an older one comes first."""
+    name = extreme.__name__
+    if _parts(w) is None:
+        return staged(f"place_{name}{w}", lambda v, at: at - float(w) + F.array_position(v, pick(v)), _values(x, w), position(factor(x).axis))
+
+    def join(new, old, newer, older):
+        return F.when(before(older, newer), old).when(~before(older, newer), new)
+    return staged(f"place_{name}{w}", join, *_both(lambda n: _place(x, n, extreme, pick, before), w), *_both(lambda n: extreme(x, n), w))
+
+
+def _place_ratio(place: Factor, w: int) -> Factor:
+    return (place - position(place.axis) + (w - 1.0)) / float(w)
+
+
 def argmax_ratio(x, w: int) -> Factor:
     """Place of the first largest value in the window, counted from 0, over ``w``."""
-    return combine("argmax", lambda v: (F.array_position(v, F.array_max(v)) - 1) / float(w), _values(x, w))
+    return _place_ratio(_place(x, w, rolling_max, F.array_max, lambda older, newer: older >= newer), w)
 
 
 def argmin_ratio(x, w: int) -> Factor:
-    return combine("argmin", lambda v: (F.array_position(v, F.array_min(v)) - 1) / float(w), _values(x, w))
+    return _place_ratio(_place(x, w, rolling_min, F.array_min, lambda older, newer: older <= newer), w)
 
 
 def argmax_minus_argmin_ratio(x, y, w: int) -> Factor:
@@ -125,23 +218,29 @@ def safe_corr(x: Column, y: Column) -> Column:
 def rolling_corr(x, y, w: int) -> Factor:
     """NULL until ``w`` rows have both values, and when one side is constant."""
     x, y = factor(x), factor(y)
-    ratio = combine("corr", lambda c, a, b: F.try_divide(c, a * b), over_last("covar", F.covar_samp, w, x, y),
-                    over_last("std", F.stddev_samp, w, x), over_last("std", F.stddev_samp, w, y))
-    return full(x, w, full(y, w, ratio))
+    return combine("corr", lambda c, a, b: F.try_divide(c, a * b), _covariance(x, y, w), population_std(x, w), population_std(y, w))
 
 
 def position(axis: Axis) -> Factor:
     return windowed("position", lambda ax: F.row_number().over(ax.ordered()).cast("double"), axis=axis)
 
 
-def linearreg_slope(x, w: int) -> Factor:
+def _with_time(x, w: int) -> Factor:
+    """Covariance with the position; the means of the parts' positions are half a window apart."""
     x = factor(x)
-    return full(x, w, over_last("slope", F.regr_slope, w, x, position(x.axis)))
+
+    def covar(c, at):
+        return F.covar_pop(c, at)
+    return _centred("timecov", covar, w, lambda n: (_gap(x, n), factor(n / 2)), x, position(x.axis))
+
+
+def linearreg_slope(x, w: int) -> Factor:
+    return _with_time(x, w) / ((w * w - 1) / 12)
 
 
 def linearreg_rsquare(x, w: int) -> Factor:
-    x = factor(x)
-    return combine("square", lambda c: c * c, rolling_corr(x, position(x.axis), w))
+    scale = math.sqrt((w * w - 1) / 12)
+    return combine("rsquare", lambda c, s: F.pow(F.try_divide(c, s * scale), F.lit(2.0)), _with_time(x, w), population_std(x, w))
 
 
 def linearreg_residual(x, w: int) -> Factor:

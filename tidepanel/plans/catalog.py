@@ -21,7 +21,7 @@ from ..sources.manifest import fingerprint
 FUNCTIONS: dict[str, Callable] = {
     name: fn for module in (rolling, scalar) for name, fn in vars(module).items()
     if callable(fn) and not name.startswith("_") and getattr(fn, "__module__", "").startswith("tidepanel.functions")
-    and name not in ("factor", "windowed", "combine", "full", "finite", "safe_corr", "Factor", "Axis", "position")}
+    and name not in ("factor", "windowed", "staged", "combine", "full", "finite", "safe_corr", "Factor", "Axis", "position")}
 
 
 @dataclass(frozen=True)

@@ -20,21 +20,8 @@ def _or_zero(x: Factor) -> Factor:
     return combine("or0", lambda c: F.coalesce(c, F.lit(0.0)), x)
 
 
-def alpha158_ordered(windows: Sequence[int] = WINDOWS) -> dict[str, Recursive]:
-    """Order statistics of the windows that ``alpha158`` needs, as columns of the grouped pass."""
-    out = {}
-    for w in windows:
-        out |= {f"_QTLU{w}": recursive("last_quantile", "close", n=w, q=0.8), f"_QTLD{w}": recursive("last_quantile", "close", n=w, q=0.2),
-                f"_RANK{w}": recursive("last_rank", "close", n=w), f"_IMAX{w}": recursive("last_argmax", "high", n=w),
-                f"_IMIN{w}": recursive("last_argmin", "low", n=w)}
-    return out
-
-
-def alpha158(axis: Axis = PANEL, windows: Sequence[int] = WINDOWS, ordered: bool = False) -> dict[str, Factor]:
-    """158 price and volume factors: 13 of the day itself and 29 per window.
-
-    With ``ordered`` the panel has the columns of :func:`alpha158_ordered`; else windows are sorted in expressions.
-    """
+def alpha158(axis: Axis = PANEL, windows: Sequence[int] = WINDOWS) -> dict[str, Factor]:
+    """158 price and volume factors: 13 of the day itself and 29 per window."""
     o, h, l, c, v, a = (factor(x, axis) for x in ("open", "high", "low", "close", "volume", "amount"))
     upper, lower = row_max(o, c), row_min(o, c)
     span, base = h - l + EPS, o + EPS
@@ -53,7 +40,7 @@ def alpha158(axis: Axis = PANEL, windows: Sequence[int] = WINDOWS, ordered: bool
 
     def corr_or_zero(x: Factor, y: Factor, w: int) -> Factor:
         """Correlation; 0 where the window is full and one side constant."""
-        full = r.rolling_sum(x * 0.0 + y * 0.0, w)
+        full = r.sma(x, w) * 0.0 + r.sma(y, w) * 0.0
         return combine("corr_or_zero", F.coalesce, r.rolling_corr(x, y, w), full)
 
     for w in windows:
@@ -66,14 +53,10 @@ def alpha158(axis: Axis = PANEL, windows: Sequence[int] = WINDOWS, ordered: bool
         out[f"RESI{w}"] = r.linearreg_residual(c, w) / price
         out[f"MAX{w}"] = highest / price
         out[f"MIN{w}"] = lowest / price
-        if ordered:
-            upper_q, lower_q, rank, at_top, at_bottom = (factor(f"_{x}{w}", axis) for x in ("QTLU", "QTLD", "RANK", "IMAX", "IMIN"))
-        else:
-            upper_q, lower_q, rank = r.rolling_quantile(c, w, 0.8), r.rolling_quantile(c, w, 0.2), r.rank_pct(c, w)
-            at_top, at_bottom = r.argmax_ratio(h, w), r.argmin_ratio(l, w)
-        out[f"QTLU{w}"] = upper_q / price
-        out[f"QTLD{w}"] = lower_q / price
-        out[f"RANK{w}"] = rank
+        at_top, at_bottom = r.argmax_ratio(h, w), r.argmin_ratio(l, w)
+        out[f"QTLU{w}"] = r.rolling_quantile(c, w, 0.8) / price
+        out[f"QTLD{w}"] = r.rolling_quantile(c, w, 0.2) / price
+        out[f"RANK{w}"] = r.rank_pct(c, w)
         out[f"RSV{w}"] = (c - lowest) / (highest - lowest + EPS)
         out[f"IMAX{w}"] = at_top
         out[f"IMIN{w}"] = at_bottom
@@ -155,16 +138,16 @@ def custom_recursive() -> dict[str, Recursive]:
 def engineer(df: DataFrame, feature_set: str = "158+39", default: float | None = 0.0, axis: Axis = PANEL) -> DataFrame:
     """``df`` with the named set ("158", "39", "158+39" or "custom"); what is undefined becomes ``default``.
 
-    The recursive columns come first: their grouped pass and the windows then share one shuffle by instrument.
+    The recursive columns come first, in a grouped pass of their own; all windows share one shuffle by instrument.
     """
-    sets = {"158": lambda: (alpha158(axis, ordered=True), {}, alpha158_ordered()),
-            "39": lambda: (tech39_windowed(axis), tech39_recursive(), {}),
-            "158+39": lambda: (alpha158(axis, ordered=True) | tech39_windowed(axis), tech39_recursive(), alpha158_ordered()),
-            "custom": lambda: (custom_windowed(axis), custom_recursive(), {})}
+    sets = {"158": lambda: (alpha158(axis), {}),
+            "39": lambda: (tech39_windowed(axis), tech39_recursive()),
+            "158+39": lambda: (alpha158(axis) | tech39_windowed(axis), tech39_recursive()),
+            "custom": lambda: (custom_windowed(axis), custom_recursive())}
     if feature_set not in sets:
         raise ValueError(f"unknown feature set: {feature_set}")
-    windowed, recursed, helpers = sets[feature_set]()
+    windowed, recursed = sets[feature_set]()
     out = by_instrument(df, axis)
-    out = with_recursive(out, recursed | helpers, axis)
-    out = with_factors(out, windowed, keep=[c for c in out.columns if c not in helpers])
-    return null_policy(out, [*recursed, *windowed], default)
+    if recursed:
+        out = with_recursive(out, recursed, axis)
+    return null_policy(with_factors(out, windowed), [*recursed, *windowed], default)
