@@ -87,3 +87,38 @@ def test_one_pass_over_instruments(spark):
     got = out.where("instrument_id = 'b'").orderBy("trade_date").toPandas()
     np.testing.assert_allclose(got["e"].to_numpy(dtype=float), seeded(CLOSE * 2, 12, 2 / 13))
     assert out.where("e IS NULL").count() == 22  # a missing value is NULL, not NaN
+
+
+def test_a_table_of_histories_is_evaluated_like_each_of_them():
+    rng = np.random.default_rng(4)
+    lengths = [1, 2, 30, 59, 60, *rng.integers(20, 60, 25)]
+    table = np.full((4, len(lengths), 60), np.nan)
+    for i, n in enumerate(lengths):
+        table[:, i, :n] = 3.0 if i % 9 == 2 else rng.lognormal(0, 1, (4, n))
+        table[:, i, 12] = np.nan if i % 5 == 0 else table[:, i, 12]
+    calls = {"ema": (1, dict(span=5)), "seeded_ema": (1, dict(n=6)), "macd_line": (1, {}), "macd_signal": (1, {}), "rsi": (1, dict(n=5)), "cmo": (1, dict(n=5)),
+             "atr": (3, dict(n=5)), "adx": (3, dict(n=5)), "tema": (1, dict(n=5)), "chaikin_osc": (4, {}), "chaikin_volatility": (2, dict(n=4)),
+             "last_quantile": (1, dict(n=7, q=0.8)), "last_rank": (1, dict(n=7)), "last_argmax": (1, dict(n=7)), "last_argmin": (1, dict(n=7))}
+    assert calls.keys() == rec.FUNCTIONS.keys()
+    with np.errstate(all="ignore"):
+        for name, (k, params) in calls.items():
+            got = rec.FUNCTIONS[name](*table[:k], **params)
+            for i, n in enumerate(lengths):
+                np.testing.assert_allclose(got[i, :n], rec.FUNCTIONS[name](*table[:k, i, :n], **params), rtol=1e-9, atol=1e-9, err_msg=name)
+
+
+def test_histories_are_not_passed_one_by_one(spark):
+    n = 300
+    df = spark.range(n * 700).selectExpr(f"IF(id % {n} = 7, NULL, CAST(id % {n} AS STRING)) AS instrument_id", f"CAST(id DIV {n} AS INT) AS trade_date",
+                                         "CAST(hash(id) AS DOUBLE) / 1e6 AS x").where(f"hash(instrument_id) % 3 <> 0 OR trade_date < 40")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # more rows than are evaluated together
+    try:
+        out = rec.with_recursive(df, {"e": rec.recursive("ema", "x", span=9)})
+        assert "InArrow" in out._jdf.queryExecution().executedPlan().toString() and "Groups" not in out._jdf.queryExecution().executedPlan().toString()
+        got = out.toPandas().sort_values(["instrument_id", "trade_date"])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == df.count() > rec.PASS_ROWS
+    want = got.groupby("instrument_id", dropna=False)["x"].transform(lambda x: x.ewm(span=9, adjust=False).mean())
+    np.testing.assert_allclose(got["e"].to_numpy(dtype=float), want.to_numpy())

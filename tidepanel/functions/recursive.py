@@ -1,9 +1,9 @@
 """Indicators whose value depends on their own previous value, and order statistics of sliding windows.
 
 Catalyst has no window function that carries state from row to row, and none that keeps a sliding window sorted, so these
-are computed in one grouped-map pass over Arrow tables: :func:`with_recursive` evaluates every requested indicator of
-an instrument in the same pass.  A group is one instrument's daily history, at most as long as the calendar.  Inside,
-the recurrences are pandas exponential means and the windows are views of one array (compiled code), not Python loops.
+are computed in one pass over Arrow tables: :func:`with_recursive` evaluates every requested indicator of an instrument in
+the same pass.  A history is at most as long as the calendar, and many short ones are evaluated together, one line of a
+table each: every function takes one history or such a table, whose lines end in NaN where a history is shorter.
 
 Warm-up conventions: ``ema`` starts at its first value; the other recurrences start from the mean of their first ``n``
 inputs; ``last_*`` are missing until the last ``n`` rows all have a value.
@@ -12,7 +12,7 @@ inputs; ``last_*`` are missing until the last ``n`` rows all have a value.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,26 +21,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .factor import EPS, PANEL, Axis
+from .factor import EPS, PANEL, Axis, by_instrument
 
+PASS_ROWS = 1 << 17  # rows evaluated together
 
-def _smooth(values: np.ndarray, alpha: float) -> np.ndarray:
-    return pd.Series(values).ewm(alpha=alpha, adjust=False, ignore_na=True).mean().to_numpy()
+
+def _smooth(values: np.ndarray, alpha: float, ignore_na: bool = True) -> np.ndarray:
+    """Exponential mean along the last axis; a gap leaves it as it is."""
+    lines, length = math.prod(values.shape[:-1]), values.shape[-1]
+    if length >= 20 * lines:  # few long histories: each by itself
+        each = [pd.Series(x).ewm(alpha=alpha, adjust=False, ignore_na=ignore_na).mean().to_numpy() for x in values.reshape(lines, length)]
+        return np.array(each, dtype=float).reshape(values.shape)
+    steps = np.ascontiguousarray(np.moveaxis(values, -1, 0))
+    out = np.empty_like(steps)
+    mean, weight = np.full(steps.shape[1:], np.nan), np.ones(steps.shape[1:])
+    for at, x in enumerate(steps):
+        if not ignore_na:
+            weight = weight * (1.0 - alpha)
+        old = 1.0 - alpha if ignore_na else weight
+        there, begun = ~np.isnan(x), ~np.isnan(mean)
+        moved = np.where(mean == x, mean, (old * mean + alpha * x) / (old + alpha))
+        mean = np.where(there, np.where(begun, moved, x), mean)
+        weight = np.where(there | ~begun, 1.0, weight)
+        out[at] = mean
+    return np.moveaxis(out, 0, -1)
+
+
+def _started(values: np.ndarray, start, first: np.ndarray, alpha: float) -> np.ndarray:
+    """Exponential mean that is ``first`` at place ``start`` of its line and missing before."""
+    at = np.arange(values.shape[-1])
+    start, first = np.asarray(start)[..., None], np.asarray(first)[..., None]
+    return _smooth(np.where(at < start, np.nan, np.where(at == start, first, values)), alpha)
 
 
 def _seeded(values: np.ndarray, n: int, alpha: float, skip: int = 0) -> np.ndarray:
     """Exponential mean whose first value is the plain mean of the first ``n`` inputs after ``skip`` more."""
-    out = np.full(len(values), np.nan)
-    valid = np.flatnonzero(~np.isnan(values))
-    if len(valid) == 0:
-        return out
-    first = valid[0] + skip
-    last = first + n - 1
-    if last >= len(values):
-        return out
-    chain = np.concatenate([[values[first:last + 1].mean()], values[last + 1:]])
-    out[last:] = _smooth(chain, alpha)
-    return out
+    if not values.shape[-1]:
+        return np.full(values.shape, np.nan)
+    first = (~np.isnan(values)).argmax(axis=-1) + skip
+    at = np.arange(values.shape[-1])
+    inside = (at >= first[..., None]) & (at < first[..., None] + n)
+    return _started(values, first + n - 1, np.where(inside, values, 0.0).sum(axis=-1) / n, alpha)
 
 
 def _ema(values: np.ndarray, n: int, skip: int = 0) -> np.ndarray:
@@ -51,8 +72,10 @@ def _wilder(values: np.ndarray, n: int) -> np.ndarray:
     return _seeded(values, n, 1.0 / n)
 
 
-def _previous(values: np.ndarray) -> np.ndarray:
-    return np.concatenate([[np.nan], values[:-1]]) if len(values) else values
+def _previous(values: np.ndarray, n: int = 1) -> np.ndarray:
+    out = np.full(values.shape, np.nan)
+    out[..., n:] = values[..., :-n]
+    return out
 
 
 def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -61,7 +84,7 @@ def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def ema(x, *, span):
-    return pd.Series(x).ewm(span=span, adjust=False).mean().to_numpy()
+    return _smooth(x, 2.0 / (span + 1), ignore_na=False)
 
 
 def seeded_ema(x, *, n):
@@ -113,25 +136,18 @@ def adx(high, low, close, *, n):
     plus = np.where(known, np.nan, np.where((up > 0) & (up > down), up, 0.0))
     minus = np.where(known, np.nan, np.where((down > 0) & (up < down), down, 0.0))
 
+    at = np.arange(close.shape[-1])
+
     def accumulate(values):
         # Wilder's running total over n-1 moves, then S - S/n + x; kept here divided by n
-        out = np.full(len(values), np.nan)
-        if len(values) <= n:
-            return out
-        chain = np.concatenate([[values[1:n].sum() / n], values[n:]])
-        out[n:] = _smooth(chain, 1.0 / n)[1:]
-        return out
+        return np.where(at >= n, _started(values, n - 1, values[..., 1:n].sum(axis=-1) / n, 1.0 / n), np.nan)
 
     ranges, plus, minus = accumulate(_true_range(high, low, close)), accumulate(plus), accumulate(minus)
     total = plus + minus
     usable = (ranges > 0) & (total > 0)
-    dx = np.full(len(total), np.nan)
+    dx = np.full(total.shape, np.nan)
     dx[usable] = 100.0 * np.abs(plus[usable] - minus[usable]) / total[usable]
-    out = np.full(len(dx), np.nan)
-    if len(dx) >= 2 * n:
-        chain = np.concatenate([[np.nansum(dx[n:2 * n]) / n], dx[2 * n:]])
-        out[2 * n - 1:] = _smooth(chain, 1.0 / n)
-    return out
+    return _started(dx, 2 * n - 1, np.nansum(dx[..., n:2 * n], axis=-1) / n, 1.0 / n)
 
 
 def tema(close, *, n):
@@ -144,27 +160,29 @@ def tema(close, *, n):
 def chaikin_osc(high, low, close, volume, *, fast=3, slow=10):
     spread = high - low
     flow = _ratio((close - low) - (high - close), spread) * volume
-    line = np.cumsum(flow)
+    line = np.cumsum(flow, axis=-1)
     out = _smooth(line, 2.0 / (fast + 1)) - _smooth(line, 2.0 / (slow + 1))
-    out[:max(fast, slow) - 1] = np.nan
+    out[..., :max(fast, slow) - 1] = np.nan
     return out
 
 
 def chaikin_volatility(high, low, *, n):
-    level = pd.Series(ema(high - low, span=n))
-    before = level.shift(n)
-    return ((level - before) / (before + EPS)).to_numpy()
+    level = ema(high - low, span=n)
+    before = _previous(level, n)
+    return (level - before) / (before + EPS)
 
 
 def _windows(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The last ``n`` values of each row from the n-th on, and which of them are complete."""
-    view = np.lib.stride_tricks.sliding_window_view(x, n) if len(x) >= n else np.empty((0, n))
-    return view, ~np.isnan(view).any(axis=1)
+    if x.shape[-1] < n:
+        return np.empty((*x.shape[:-1], 0, n)), np.empty((*x.shape[:-1], 0), bool)
+    view = np.lib.stride_tricks.sliding_window_view(x, n, axis=-1)
+    return view, ~np.isnan(view).any(axis=-1)
 
 
 def _placed(x: np.ndarray, n: int, complete: np.ndarray, value: np.ndarray) -> np.ndarray:
-    out = np.full(len(x), np.nan)
-    out[n - 1:][complete] = value
+    out = np.full(x.shape, np.nan)
+    out[..., n - 1:][complete] = value
     return out
 
 
@@ -217,21 +235,69 @@ FUNCTIONS = {f.__name__: f for f in (
     last_quantile, last_rank, last_argmax, last_argmin)}
 
 
+def _starts(rows: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where the history of another instrument begins."""
+    step = np.zeros(max(len(rows) - 1, 0), bool)
+    for c in keys:
+        code = rows.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        step |= code[1:] != code[:-1]
+    return np.concatenate([[0], np.flatnonzero(step) + 1])
+
+
+def _evaluated(rows: pa.Table, starts: np.ndarray, specs: Mapping[str, Recursive], inputs: list[str]) -> pa.Table:
+    """``rows`` with the indicators; histories of like length are lines of one table, padded to at most twice their rows."""
+    arrays = {c: rows.column(c).cast(pa.float64(), safe=False).to_numpy() for c in inputs}
+    lengths = np.diff(np.append(starts, len(rows)))
+    classes = np.frexp(lengths)[1]
+    made = {name: np.full(len(rows), np.nan) for name in specs}
+    for kind in np.unique(classes):
+        mine = classes == kind
+        at = np.arange(lengths[mine].max())
+        there = at < lengths[mine][:, None]
+        places = (starts[mine][:, None] + at)[there]
+        lines = {}
+        for c in inputs:
+            lines[c] = np.full(there.shape, np.nan)
+            lines[c][there] = arrays[c][places]
+        for name, spec in specs.items():
+            with np.errstate(all="ignore"):
+                made[name][places] = FUNCTIONS[spec.function](*[lines[c] for c in spec.inputs], **dict(spec.params))[there]
+    for name, values in made.items():
+        # what isn't a finite number is missing
+        rows = rows.append_column(name, pa.array(values, pa.float64(), mask=~np.isfinite(values)))
+    return rows
+
+
 def with_recursive(df: DataFrame, wanted: Mapping[str, Recursive], axis: Axis = PANEL) -> DataFrame:
-    """``df`` with one column per requested indicator; the other columns pass as they are."""
-    order, specs = list(axis.order), dict(wanted)
+    """``df`` with one column per requested indicator; the other columns pass as they are.
+
+    Histories come one after the other, in order, and are evaluated as soon as ``PASS_ROWS`` rows are there; the last one
+    waits for the rows that may follow, so a task holds those rows and one history.
+    """
+    specs = dict(wanted)
+    keys = list(axis.key)
     kept = [f for f in df.schema.fields if f.name not in specs]
     schema = T.StructType(kept + [T.StructField(name, T.DoubleType()) for name in specs])
     inputs = list(dict.fromkeys(c for spec in specs.values() for c in spec.inputs))
 
-    def one_instrument(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([(c, "ascending") for c in order])
-        arrays = {c: rows.column(c).cast(pa.float64(), safe=False).to_numpy() for c in inputs}
-        for name, spec in specs.items():
-            with np.errstate(all="ignore"):
-                made = np.asarray(FUNCTIONS[spec.function](*[arrays[c] for c in spec.inputs], **dict(spec.params)), dtype="float64")
-            # what isn't a finite number is missing
-            rows = rows.append_column(name, pa.array(made, pa.float64(), mask=~np.isfinite(made)))
-        return rows
-
-    return df.select(*[f.name for f in kept]).groupBy(*axis.key).applyInArrow(one_instrument, schema)
+    def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, count, goal = [], 0, PASS_ROWS
+        for batch in batches:
+            waiting.append(batch)
+            count += len(batch)
+            if count < goal:
+                continue
+            rows = pa.Table.from_batches(waiting)
+            starts = _starts(rows, keys)
+            last = int(starts[-1])
+            if last:
+                yield from _evaluated(rows.slice(0, last), starts[:-1], specs, inputs).combine_chunks().to_batches(max_chunksize=1 << 14)
+            waiting = rows.slice(last).to_batches()
+            count = len(rows) - last
+            goal = max(PASS_ROWS, 2 * count)
+        if count:
+            rows = pa.Table.from_batches(waiting)
+            yield from _evaluated(rows, _starts(rows, keys), specs, inputs).combine_chunks().to_batches(max_chunksize=1 << 14)
+
+    rows = by_instrument(df.select(*[f.name for f in kept]), axis).sortWithinPartitions(*axis.key, *axis.order)
+    return rows.mapInArrow(evaluate, schema)

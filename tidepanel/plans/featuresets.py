@@ -138,7 +138,7 @@ def custom_recursive() -> dict[str, Recursive]:
 def engineer(df: DataFrame, feature_set: str = "158+39", default: float | None = 0.0, axis: Axis = PANEL) -> DataFrame:
     """``df`` with the named set ("158", "39", "158+39" or "custom"); what is undefined becomes ``default``.
 
-    The recursive columns come first, in a grouped pass of their own; all windows share one shuffle by instrument.
+    The recursive columns come first, in a pass of their own; all windows share one shuffle by instrument.
     """
     sets = {"158": lambda: (alpha158(axis), {}),
             "39": lambda: (tech39_windowed(axis), tech39_recursive()),
