@@ -1,6 +1,7 @@
 """What the pair work emits and what its users read."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidepanel.operators import edges as eg
@@ -41,3 +42,27 @@ def test_pairwise_loss_of_any_scale(spark):
         want = (np.logaddexp(0.0, q[None, :] - p[:, None]) * gap)[gap > 0].sum()
         total, n = ev.pairwise_loss_sum((p, y), (q, z), 64)
         assert n == (gap > 0).sum() and abs(total - want) <= 1e-10 * abs(want)
+
+
+def test_best_partners_come_from_the_pairs_that_reached_the_threshold():
+    """Once every row has k partners at the threshold, the rest of a table is not searched for better ones."""
+    rng = np.random.default_rng(8)
+    score = np.rint(rng.normal(size=(40, 600)) * 4)
+    k, least = 3, 6.0
+    ids = pa.array([f"{i:03d}" for i in rng.permutation(600)])
+    best = pairs._Best(40, k, ids)
+    searched = []
+    for s in range(0, 600, 60):
+        table, to = score[:, s:s + 60], np.arange(s, s + 60)
+        line, column = np.nonzero(table >= least)
+        full = best.score[:, -1].min() >= least
+        if full:  # what did not reach the threshold must not be looked at
+            table = np.where(table >= least, table, np.inf)
+        searched.append(not full)
+        best.add(np.arange(40), to, table, (least, line, column))
+    assert searched[0] and not searched[-1]
+    row, other, value = best.found()
+    names = ids.to_pylist()
+    for i in range(40):
+        want = sorted(range(600), key=lambda j: (-score[i, j], names[j]))[:k]
+        assert other[row == i].tolist() == want and value[row == i].tolist() == score[i, want].tolist()

@@ -129,6 +129,19 @@ def _pieces(rows: pa.Table, same: bool, score: Scores, vector: str, itself: bool
     return a, b, each()
 
 
+def _least(threshold: float, unit: float) -> float:
+    """The smallest whole number of units that reaches the threshold."""
+    least = np.floor(threshold * unit) - 1.0
+    while least / unit < threshold:
+        least += 1.0
+    return least
+
+
+def _where(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``np.nonzero`` by way of one dimension, which is several times faster."""
+    return np.divmod(np.flatnonzero(mask), mask.shape[1])
+
+
 class _Best:
     """The ``k`` best partners of each row so far, equal scores by the smaller id."""
 
@@ -139,14 +152,20 @@ class _Best:
         self.other = np.full((n, k), -1, np.int64)
         self.k = k
 
-    def add(self, rows: np.ndarray, others: np.ndarray, table: np.ndarray) -> None:
-        """``table`` has a line per row and a column per other."""
+    def add(self, rows: np.ndarray, others: np.ndarray, table: np.ndarray, reached: tuple[float, np.ndarray, np.ndarray] | None = None) -> None:
+        """``table`` has a line per row and a column per other; ``reached`` tells a score and where the table has at least that."""
         k = self.k
         last, holder = self.score[rows, -1], self.other[rows, -1]
         if table.shape[1] > 8 * k and np.isneginf(last).any():
             # at least k reach the k-th largest of these
             last = np.maximum(last, np.partition(table, table.shape[1] - k, axis=1)[:, -k])
-        line, column = np.nonzero(table >= last[:, None])
+        if reached is not None and last.min() >= reached[0]:
+            # no row lacks k partners with that score, so a better one is among those found already
+            line, column = reached[1:]
+            better = table[line, column] >= last[line]
+            line, column = line[better], column[better]
+        else:
+            line, column = _where(table >= last[:, None])
         value = table[line, column]
         before = np.where(holder >= 0, self.rank[holder], len(self.rank))[line]
         better = (value > self.score[rows[line], -1]) | (np.isfinite(value) & (self.rank[others[column]] < before))
@@ -198,20 +217,23 @@ def similar_pairs(df: DataFrame, keys: Sequence[str], row_id: str, score: Scores
             return pa.record_batch([*[pa.repeat(x, len(src)) for x in key[:len(keys)]], src, dst, pa.array(scores), pa.array(qualified),
                                     pa.repeat(pa.scalar(candidate), len(src))], names=[*keys, "src", "dst", "score", "qualified", "candidate"])
 
+        least = np.inf if threshold is None else _least(threshold, unit)
         by_row = _Best(len(a), k, ib) if k > 0 else None
         by_column = by_row if same else (_Best(len(b), k, ia) if k > 0 else None)
         for at, to, table in pieces:
+            reached = None
             if threshold is not None:
-                line, column = np.nonzero(table >= threshold * unit - 1.0)
-                line, column = (x[table[line, column] / unit >= threshold] for x in (line, column))
+                line, column = _where(table >= least)
+                reached = least, line, column
                 if len(line):
                     yield made(ia.take(pa.array(at[line])), ib.take(pa.array(to[column])), table[line, column], False)
             if k > 0:
-                by_row.add(at, to, table)
+                by_row.add(at, to, table, reached)
                 if itself and at is to:
                     table = table.copy()
                     np.fill_diagonal(table, -np.inf)  # a row is its own partner once
-                by_column.add(to, at, table.T)
+                    reached = None
+                by_column.add(to, at, table.T, reached and (least, column, line))
         if k > 0:
             for best, ids, others, turned in ((by_row, ia, ib, False),) if same else ((by_row, ia, ib, False), (by_column, ib, ia, True)):
                 row, other, scores = best.found()
@@ -233,9 +255,7 @@ def pair_degrees(df: DataFrame, keys: Sequence[str], row_id: str, score: Scores,
     cells = _cells(df.select(*keys, row_id, vector), keys, row_id, size, block_rows)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     unit = 10.0 ** digits
-    least = np.floor(threshold * unit) - 1.0
-    while least / unit < threshold:  # the smallest whole number of units that reaches the threshold
-        least += 1.0
+    least = _least(threshold, unit)
     most = min(max(block_rows, 256), 512)
 
     def one_cell(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
