@@ -77,6 +77,62 @@ def test_join_of_edited_groups(spark, monkeypatch):
     assert kept == {d for d, (n, c, _) in want.items() if not n or c == d}
 
 
+def with_common_passages(rng, families):
+    """Texts of 200 words of families of two to four near copies; a passage of 36 words stands in many families, three of five in each."""
+    passages = [" ".join(f"p{k}x{i}" for i in range(36)) for k in range(5)]
+    texts = []
+    for f in range(families):
+        own = [f"f{f}x{i}" for i in range(rng.randint(80, 100))]
+        chosen = rng.sample(passages, 3)
+        for c in range(rng.randint(2, 4)):
+            words = own[:30] + [f"c{c}x{f}"] + own[31:]
+            texts.append(" ".join([*words[:40], chosen[0], *words[40:60], chosen[1], *words[60:], chosen[2]]))
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("rows_sent", [1000, 0])
+def test_join_of_families_with_common_passages(spark, monkeypatch, rows_sent):
+    """Passages make one candidate group of all; what is sent to all tasks stays within the limit of rows, none of them a list."""
+    monkeypatch.setattr(ngram_join, "CHUNK", 8)
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", rows_sent)
+    sent, broadcast = [], ngram_join.F.broadcast
+
+    def spy(table):
+        lists = [c for c, kind in table.dtypes if kind.startswith("array")]
+        sent.append(sum(1 + sum(len(r[c]) for c in lists) for r in table.collect()))
+        return broadcast(table)
+
+    monkeypatch.setattr(ngram_join.F, "broadcast", spy)
+    rows = with_common_passages(random.Random(3), 120)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert joined(docs.repartition(5)) == brute_join(rows)
+    assert all(n <= rows_sent for n in sent)
+
+
+def test_wide_group_is_formed_anew(spark, monkeypatch):
+    """Sets that only common passages connect are in groups of their own, so few of them are compared."""
+    monkeypatch.setattr(ngram_join, "CHUNK", 8)
+    stored, durable = [], ngram_join.durable
+
+    def spy(table):
+        table = durable(table)
+        stored.append(table)
+        return table
+
+    monkeypatch.setattr(ngram_join, "durable", spy)
+    rows = with_common_passages(random.Random(4), 120)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert joined(docs) == brute_join(rows)
+    visits = 0
+    for table in stored:
+        if "visits" in table.columns:
+            visits += sum(len(r["visits"]) for r in table.select("visits").collect())
+        elif {"left", "right"} <= set(table.columns):
+            visits += table.count()
+    assert len(rows) <= visits <= 2 * len(rows)
+
+
 def test_join_odd_rows(odd, none):
     rows = ngram_join.join(odd).collect()
     assert len(rows) == odd.count()

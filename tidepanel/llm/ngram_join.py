@@ -9,6 +9,9 @@ at least 0.8; then they share at least T = ceil(0.8 n) elements, n being the siz
    that no other set has are put first in its order, so only the few others that still belong to the prefix matter.
    A set that has more than n - T shingles of its own is linked with none. Sets that meet in a list belong to one
    candidate group; a list contributes a star, not pairs, and a batch puts one entry of a shingle on its list.
+   Many short passages can make one group of sets that are far apart. Groups larger than a chunk are formed anew:
+   counting in how many of their sets each shingle is, rare ones come first in the order, and sets meet only in
+   the n - T + 1 rarest of all their shingles, which a common passage belongs to only where nearly all is common.
 3. Candidate groups, cut in chunks of bounded size ordered by set size, are searched chunk against chunk as far as
    sizes allow: a query's shorter lists are merged by counting, its T / (mu log M + 1) longest lists are
    probed by binary search for the documents that reached T minus their number, and those that reach the required
@@ -22,7 +25,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import durable
@@ -179,7 +182,11 @@ def _candidates(docs: DataFrame, sizes: DataFrame, text_col: str) -> DataFrame:
     own = F.least(n, F.floor(length * 3 / 2)) - F.size("keys")  # elements no other set has: these come first
     kept = keys.join(sizes, F.col("node") == F.col("d1")).withColumn("left", (length - own).cast("int")).where(
         F.col("left") > 0).select("node", F.explode(F.slice("keys", 1, F.col("left"))).alias("key"))
+    return _met(kept)
 
+
+def _met(kept: DataFrame) -> DataFrame:
+    """(a, b): who meets on the lists of ``kept`` (node, key), as stars."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield list_entries(batch.column("key").to_numpy(), np.arange(batch.num_rows), batch.column("node"))
@@ -187,6 +194,19 @@ def _candidates(docs: DataFrame, sizes: DataFrame, text_col: str) -> DataFrame:
     return stars(kept.mapInArrow(run, "key long, doc long, near long"))
 
 
+def _rarest(sets: DataFrame) -> DataFrame:
+    """(node, key): of each set its shingles that others of ``sets`` (d1, n, set) have, without the required(n) - 1 most frequent.
+
+    With the shingles that only it has these are the first n - required(n) + 1 in an order that is the same for all sets.
+    """
+    entries = sets.select(F.col("d1").alias("node"), F.explode("set").alias("key"))
+    shared = entries.withColumn("found", F.count("*").over(Window.partitionBy("key"))).where("found > 1")
+    sizes = sets.select(F.col("d1").alias("node"), "n").distinct()
+    place = F.dense_rank().over(Window.partitionBy("node").orderBy(F.desc("found"), F.desc("key")))  # repeated rows count once
+    return shared.join(sizes, "node").withColumn("place", place).where(
+        F.col("place") >= F.ceil(F.col("n") * PERCENT / 100)).select("node", "key")
+
+
 def search(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links within a block: for each set the weight of those linked with it, and the first of its group in the block.
 
@@ -241,39 +261,27 @@ def search(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray | None =
     return links, group
 
 
-def _chunks(grouped: DataFrame) -> DataFrame:
-    """(doc, weight, n, d1, component, chunk): candidate groups cut by set size in chunks of about ``CHUNK``."""
-    from pyspark.sql import Window
+def _cost() -> Column:
+    return F.lit(1) + F.floor(F.col("n") / 1024)
+
 
-    cost = F.lit(1) + F.floor(F.col("n") / 1024)
-    sizes = grouped.groupBy("component", "n").agg(F.sum(cost).alias("cost"))
+def _chunks(grouped: DataFrame) -> DataFrame:
+    """(d1, component, chunk, n): candidate groups cut by set size in chunks of about ``CHUNK``."""
+    sizes = grouped.groupBy("component", "n").agg(F.sum(_cost()).alias("cost"))
     before = F.sum("cost").over(Window.partitionBy("component").orderBy("n")) - F.col("cost")
     share = F.pmod(F.xxhash64("doc"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     placed = grouped.join(sizes.withColumn("before", before), ["component", "n"])
-    return placed.select("doc", "weight", "n", "d1", "component",
-                         F.floor((F.col("before") + share * F.col("cost")) / CHUNK).alias("chunk"))
+    return placed.select("d1", "component", F.floor((F.col("before") + share * F.col("cost")) / CHUNK).alias("chunk"), "n")
 
 
-def _searched(docs: DataFrame, grouped: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, links, near), stored: what the blocks report of each class."""
-    chunks = durable(_chunks(grouped))
-    spans = chunks.groupBy("component", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    left = spans.select("component", F.col("chunk").alias("chunk"), F.col("high").alias("left_high"))
-    right = spans.select("component", F.col("chunk").alias("other"), F.col("low").alias("right_low"))
-    pairs = left.join(right, "component").where(
-        (F.col("chunk") <= F.col("other")) & (100 * F.col("left_high") >= PERCENT * F.col("right_low"))).select(
-        "component", "chunk", "other")
-    side = F.struct(F.col("chunk").alias("left"), F.col("other").alias("right"))
-    visits = pairs.select("component", "chunk", side.alias("visit")).unionByName(pairs.where("chunk <> other").select(
-        "component", F.col("other").alias("chunk"), side.alias("visit"))).groupBy("component", "chunk").agg(
-        F.collect_list("visit").alias("visits"))
-    lone = spans.groupBy("component").agg((F.count("*") == 1).alias("lone"))
-    routes = durable(chunks.join(visits, ["component", "chunk"]).join(lone, "component"))
-    # the side with the candidates is sent to all tasks only when it is known to be small; else both are shuffled
-    if routes.count() <= BROADCAST_ROWS:
-        routes = F.broadcast(routes)
+def _few(stored: DataFrame) -> DataFrame:
+    """``stored``, a table of narrow rows, is sent to all tasks only when it is known to be small; else both sides of a join are shuffled."""
+    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
+
+
+def _sets(docs: DataFrame, grouped: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``grouped`` with their sets, stored."""
     named = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    wanted = named.join(routes, "doc")
 
     def start():
         def compute(texts: list) -> tuple:
@@ -281,14 +289,43 @@ def _searched(docs: DataFrame, grouped: DataFrame, id_col: str, text_col: str) -
             return sets, [_digest(s)[0] for s in sets]
         return compute
 
-    carried = ["doc", "weight", "n", "d1", "component", "chunk", "lone", "visits"]
-    sets = per_text(wanted, "text", carried, {"set": "longs", "is": "long"}, start)
-    sets = sets.where((F.col("is") == F.col("d1")) & (F.size("set") == F.col("n")))
+    sets = per_text(named.join(_few(grouped), "doc"), "text", grouped.columns, {"set": "longs", "is": "long"}, start)
+    return durable(sets.where((F.col("is") == F.col("d1")) & (F.size("set") == F.col("n"))).drop("is"))
+
+
+def _routes(grouped: DataFrame, sets: DataFrame) -> DataFrame:
+    """(d1, component, chunk, left, right, lone), stored: the blocks that each set of the wide groups goes to, a row for each block.
+
+    A group that is still larger than a chunk has a block for each pair of chunks whose sizes allow a link.
+    """
+    met = components(_met(_rarest(sets)), "a", "b")
+    nodes = met.unionByName(met.select(F.col("component").alias("node"), "component")).distinct()
+    chunks = durable(_chunks(grouped.drop("component").join(nodes, F.col("d1") == F.col("node"))))
+    spans = chunks.groupBy("component", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    left = spans.select("component", F.col("chunk").alias("left"), F.col("high").alias("left_high"))
+    right = spans.select("component", F.col("chunk").alias("right"), F.col("low").alias("right_low"))
+    pairs = left.join(right, "component").where(
+        (F.col("left") <= F.col("right")) & (100 * F.col("left_high") >= PERCENT * F.col("right_low"))).select(
+        "component", "left", "right")
+    visits = pairs.withColumn("chunk", F.col("left")).unionByName(pairs.where("left <> right").withColumn("chunk", F.col("right")))
+    lone = spans.groupBy("component").agg((F.count("*") == 1).alias("lone"))
+    return durable(chunks.drop("n").join(visits, ["component", "chunk"]).join(lone, "component"))
+
+
+def _searched(docs: DataFrame, grouped: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, links, near), stored: what the blocks report of each class."""
+    wide = grouped.groupBy("component").agg((F.sum(_cost()) > CHUNK).alias("wide"))  # larger than a chunk
+    grouped = durable(grouped.join(wide, "component"))
+    sets = _sets(docs, grouped, id_col, text_col)
     # a block for each pair of chunks; groups of one chunk may share blocks, as nothing links them
-    dealt = sets.select("doc", "weight", "component", "chunk", "lone", "set", F.explode("visits").alias("visit")).select(
-        "doc", "weight", "component", "chunk", "lone", "set", "visit.left", "visit.right").withColumn(
-        "key", F.xxhash64("component", "left", "right")).repartition("key").sortWithinPartitions("key", "component", "left", "right", "doc")
-    kind = named.schema["doc"].dataType
+    dealt = sets.where("not wide").select("doc", "weight", "set", "component", *[
+        F.lit(0).cast("long").alias(c) for c in ("chunk", "left", "right")], F.lit(True).alias("lone"))
+    if grouped.where("wide").first() is not None:
+        routes = _routes(grouped.where("wide"), sets.where("wide"))
+        dealt = dealt.unionByName(sets.where("wide").select("doc", "weight", "d1", "set").join(_few(routes), "d1").drop("d1"))
+    dealt = dealt.withColumn("key", F.xxhash64("component", "left", "right")).repartition("key").sortWithinPartitions(
+        "key", "component", "left", "right", "doc")
+    kind = sets.schema["doc"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: list[tuple] = []
